@@ -1 +1,6 @@
+"""Registered queries over the benchmark tables."""
 
+from . import quotes_cases  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

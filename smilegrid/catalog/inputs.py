@@ -14,9 +14,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import numeric as N
 from ..operators import calendar as cal
 from ..operators import cleaning, features, mapping, pnl, quotes, risk, scoring, signals
 from ..plans.lineage import cut
+from ..sources.tables import spread
 from ..settings import DIVIDEND, RATE_DATE, TENOR_COLUMNS, Cleaning, Grid, Inference, Signals, Splits
 
 FIRST_DAY = dt.date(2024, 1, 1)
@@ -40,6 +42,23 @@ X_LOW = -0.22
 GRID = Grid()
 
 
+def session_index(day: str):
+    n = F.datediff(day, F.lit(FIRST_DAY))
+    return F.floor(n / F.lit(7.0)).cast("int") * 5 + n % 7
+
+
+def session_rates(n) -> dict:
+    """Daily tenor rates and dividend yield of the n-th session."""
+    out = {c: F.lit(1e-4) + 1e-6 * n + 1e-5 * i for i, c in enumerate(TENOR_COLUMNS)}
+    return {**out, DIVIDEND: F.lit(4e-5) + 1e-7 * n}
+
+
+def true_vol(k, t, day):
+    """The volatility surface the quotes are priced from."""
+    wave = F.lit(0.02) * F.sin(day * 0.37) + F.lit(0.01) * F.sin(k * 40.0 + t * 9.0 + day * 1.3)
+    return F.lit(0.18) + F.lit(0.5) * k * k + F.lit(0.03) * F.sqrt(t) + wave
+
+
 class Market:
     """Lazily built frames over one scale-factor folder."""
 
@@ -71,20 +90,19 @@ class Market:
         )
         df = df.withColumns(
             {
-                "days": F.greatest(F.datediff("xd", "qd"), F.lit(1)).cast("double"),
+                "t": F.greatest(F.datediff("xd", "qd"), F.lit(1)) / F.lit(365.0),
                 "intr": F.when(F.col("kind") == "P", F.greatest(F.col("strike") - F.col("s"), F.lit(0.0))).otherwise(
                     F.greatest(F.col("s") - F.col("strike"), F.lit(0.0))
                 ),
-                "k": F.ln(F.col("strike") / F.col("s")),
+                **session_rates(F.col("d")),
             }
         )
-        time_value = (
-            F.lit(0.4) * F.col("s") * (0.18 + 0.5 * F.col("k") * F.col("k")) * F.sqrt(F.col("days") / 365.0)
-        ) * F.exp(-4.0 * F.abs("k"))
-        mid0 = F.when((F.col("l_tax") > 0.075) & (F.col("intr") > 10.0), 0.9 * F.col("intr")).otherwise(
-            F.col("intr") + time_value
-        )
-        return df.withColumn("mid0", mid0)
+        df = df.withColumns({"r": N.annualised(N.tenor_rate("t")), "y": N.annualised(F.col(f"`{DIVIDEND}`"))})
+        df = df.withColumn("vol", true_vol(F.ln(F.col("strike") / F.col("s")), F.col("t"), F.datediff("qd", F.lit(FIRST_DAY))))
+        df = N.with_option_price(df, "fair", "s", "strike", "t", "r", "y", "vol", F.col("kind") != "P")
+        # A share of deep in-the-money quotes is priced far below the no-arbitrage bound.
+        broken = (F.col("l_tax") > 0.075) & (F.col("intr") > 10.0)
+        return df.withColumn("mid0", F.when(broken, 0.5 * F.col("intr")).otherwise(F.col("fair")))
 
     @cached_property
     def raw_quotes(self) -> DataFrame:
@@ -95,7 +113,7 @@ class Market:
             .otherwise(F.date_format("qd", "yyyy-MM-dd"))
         )
         edge = 1.3 * F.col("l_discount")
-        return self._lines.select(
+        table = self._lines.select(
             F.lit("spx ").alias("underlying_symbol"),
             text.alias("quote_date"),
             "root",
@@ -111,6 +129,7 @@ class Market:
             (F.col("mid0") * (1.0 - edge)).alias("bid_eod"),
             (F.col("mid0") * (1.0 + edge)).alias("ask_eod"),
         )
+        return cut(spread(table))
 
     @cached_property
     def sessions(self) -> DataFrame:
@@ -127,14 +146,17 @@ class Market:
 
     @cached_property
     def raw_rates(self) -> DataFrame:
-        """Daily rates with holes, absent on some sessions."""
-        n = F.col("session_no")
-        tenors = [
-            F.when((n + i) % 7 != 3, F.lit(1e-4) + 1e-6 * n + 1e-5 * i).alias(c) for i, c in enumerate(TENOR_COLUMNS)
-        ]
-        return self.calendar.where(n % 13 != 5).select(
-            F.col("session").alias(RATE_DATE), F.when(n % 5 != 0, F.lit(4e-5) + 1e-7 * n).alias(DIVIDEND), *tenors
-        )
+        """Daily rates, absent on some sessions."""
+        n = session_index("session")
+        tenors = [v.alias(c) for c, v in session_rates(n).items()]
+        return self.calendar.where(n % 13 != 5).select(F.col("session").alias(RATE_DATE), *tenors)
+
+    @cached_property
+    def gappy_rates(self) -> DataFrame:
+        """The same table with holes in every column."""
+        n = session_index(RATE_DATE)
+        holes = {c: F.when((n + i) % 7 != 3, F.col(f"`{c}`")) for i, c in enumerate(TENOR_COLUMNS)}
+        return self.raw_rates.withColumns({**holes, DIVIDEND: F.when(n % 5 != 0, F.col(f"`{DIVIDEND}`"))})
 
     @cached_property
     def rates(self) -> DataFrame:
@@ -146,17 +168,14 @@ class Market:
 
     @cached_property
     def clean(self) -> DataFrame:
-        return cleaning.kept(self.flagged)
+        return cut(cleaning.kept(self.flagged))
 
     @cached_property
     def iv_quotes(self) -> DataFrame:
-        """Cleaned quotes with a stored volatility. The downstream operators take the
-        volatility as an input column, so a closed form stands in for it here; the
-        inversion job is verified by its own queries."""
-        k = F.ln("moneyness")
-        noise = F.lit(0.01) * F.sin(F.col("strike") * 3.7 + F.datediff("quote_date", F.lit(FIRST_DAY)) * 1.3)
-        level = 0.18 + 0.5 * k * k + 0.03 * F.sqrt("T") + 0.02 * F.sin(F.datediff("quote_date", F.lit(FIRST_DAY)) * 0.37)
-        return self.clean.withColumn("implied_vol", F.round(level + noise, 10))
+        """Cleaned quotes with the volatility they were priced from. The inversion job
+        recovers the same numbers from the prices, in its own queries."""
+        vol = true_vol(F.ln("moneyness"), F.col("T"), F.datediff("quote_date", F.lit(FIRST_DAY)))
+        return cut(self.clean.withColumn("implied_vol", F.round(vol, 10)))
 
     @cached_property
     def market(self) -> DataFrame:
@@ -195,7 +214,7 @@ class Market:
         play the model outputs; the fitted models have their own queries."""
         f = self.lagged(1)
         near, week = F.col("lag_1"), F.col("roll_mean_5")
-        tilt = F.lit(0.004) * F.sin(F.col("session_no") * 0.9 + F.ascii(F.substring("node", 5, 1)) * 2.1 + F.ascii(F.substring("node", 9, 1)) * 1.7)
+        tilt = F.lit(0.004) * F.sin(F.col("session_no") * 0.9 + F.ascii(F.substring("node", 6, 1)) * 2.1 + F.ascii(F.substring("node", 10, 1)) * 1.7)
         forecasts = f.select(
             F.col("quote_date").alias("forecast_origin_date"),
             F.col("target_date").alias("forecast_target_date"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import TENOR_COLUMNS, TENOR_MONTHS
@@ -141,48 +141,76 @@ def two_sided_normal_p(statistic) -> Column:
     return 2 * norm_cdf(-F.abs(col(statistic)))
 
 
-def _d1(spot, strike, t, r, q, vol) -> Column:
-    return (F.ln(spot / strike) + (r - q + vol * vol * 0.5) * t) / (vol * F.sqrt(t))
-
-
-def option_price(spot, strike, t, r, q, vol, is_call: Column) -> Column:
-    """Discounted European price; intrinsic value once time or volatility is used up."""
-    spot, strike, t, r, q, vol = (col(c) for c in (spot, strike, t, r, q, vol))
-    d1 = _d1(spot, strike, t, r, q, vol)
-    d2 = d1 - vol * F.sqrt(t)
-    sign = F.when(is_call, 1.0).otherwise(-1.0)
-    live = sign * (
-        spot * F.exp(-q * t) * norm_cdf(sign * d1) - strike * F.exp(-r * t) * norm_cdf(sign * d2)
+_TERMS = ("_spot", "_strike", "_t", "_r", "_q", "_vol", "_sign", "_root", "_d1", "_x1", "_x2", "_n1", "_n2")
+
+
+def _with_option_terms(df: DataFrame, spot, strike, t, r, q, vol, is_call: Column) -> DataFrame:
+    """Shared pricing terms as staged columns. Staging keeps each generated
+    expression small: inlined, the distribution function would repeat its whole
+    argument some twenty times."""
+    df = df.withColumns(
+        {
+            "_spot": col(spot),
+            "_strike": col(strike),
+            "_t": col(t),
+            "_r": col(r),
+            "_q": col(q),
+            "_vol": col(vol),
+            "_sign": F.when(is_call, 1.0).otherwise(-1.0),
+            "_root": F.sqrt(col(t)),
+        }
+    )
+    c = F.col
+    drift = c("_r") - c("_q") + c("_vol") * c("_vol") * 0.5
+    df = df.withColumn("_d1", div(F.ln(div("_spot", "_strike")) + drift * c("_t"), c("_vol") * c("_root")))
+    df = df.withColumns({"_x1": c("_sign") * c("_d1"), "_x2": c("_sign") * (c("_d1") - c("_vol") * c("_root"))})
+    return df.withColumns({"_n1": norm_cdf("_x1"), "_n2": norm_cdf("_x2")})
+
+
+def with_option_price(df: DataFrame, name: str, spot, strike, t, r, q, vol, is_call: Column) -> DataFrame:
+    """Add the discounted European price; intrinsic value once time or volatility
+    is used up."""
+    df = _with_option_terms(df, spot, strike, t, r, q, vol, is_call)
+    c = F.col
+    live = c("_sign") * (
+        c("_spot") * F.exp(-c("_q") * c("_t")) * c("_n1") - c("_strike") * F.exp(-c("_r") * c("_t")) * c("_n2")
     )
-    intrinsic = F.greatest(F.lit(0.0), sign * (spot - strike))
-    return F.when((t <= 0) | (vol <= 0), intrinsic).otherwise(live)
+    intrinsic = F.greatest(F.lit(0.0), c("_sign") * (c("_spot") - c("_strike")))
+    price = F.when((c("_t") <= 0) | (c("_vol") <= 0), intrinsic).otherwise(live)
+    return df.withColumn(name, price).drop(*_TERMS)
 
 
-def greeks(spot, strike, t, r, q, vol, is_call: Column) -> dict[str, Column]:
-    """Delta, Gamma, Vega (per 1.00 of volatility) and Theta (per year).
+def with_greeks(df: DataFrame, prefix: str, spot, strike, t, r, q, vol, is_call: Column) -> DataFrame:
+    """Add Delta, Gamma, Vega (per 1.00 of volatility) and Theta (per year).
 
     NULL unless all six inputs are finite and spot, strike, time and volatility
     are positive.
     """
-    spot, strike, t, r, q, vol = (col(c) for c in (spot, strike, t, r, q, vol))
-    usable = finite(r) & finite(q)
-    for c in (spot, strike, t, vol):
-        usable = usable & finite(c) & holds(c > 0)
-    root = F.sqrt(t)
-    d1 = _d1(spot, strike, t, r, q, vol)
-    d2 = d1 - vol * root
-    carry, discount = F.exp(-q * t), F.exp(-r * t)
-    sign = F.when(is_call, 1.0).otherwise(-1.0)
-    density = norm_pdf(d1)
-    decay = -spot * carry * density * vol / (2 * root)
-    income = sign * (q * spot * carry * norm_cdf(sign * d1) - r * strike * discount * norm_cdf(sign * d2))
+    df = _with_option_terms(df, spot, strike, t, r, q, vol, is_call)
+    c = F.col
+    usable = finite("_r") & finite("_q")
+    for name in ("_spot", "_strike", "_t", "_vol"):
+        usable = usable & finite(name) & holds(c(name) > 0)
+    df = df.withColumns(
+        {
+            "_usable": usable,
+            "_carry": F.exp(-c("_q") * c("_t")),
+            "_discount": F.exp(-c("_r") * c("_t")),
+            "_density": norm_pdf("_d1"),
+        }
+    )
+    decay = div(-c("_spot") * c("_carry") * c("_density") * c("_vol"), 2 * c("_root"))
+    income = c("_sign") * (
+        c("_q") * c("_spot") * c("_carry") * c("_n1") - c("_r") * c("_strike") * c("_discount") * c("_n2")
+    )
     values = {
-        "Delta": sign * carry * norm_cdf(sign * d1),
-        "Gamma": carry * density / (spot * vol * root),
-        "Vega": spot * carry * density * root,
+        "Delta": c("_sign") * c("_carry") * c("_n1"),
+        "Gamma": div(c("_carry") * c("_density"), c("_spot") * c("_vol") * c("_root")),
+        "Vega": c("_spot") * c("_carry") * c("_density") * c("_root"),
         "Theta": decay + income,
     }
-    return {name: F.when(usable, value) for name, value in values.items()}
+    df = df.withColumns({prefix + name: F.when(c("_usable"), value) for name, value in values.items()})
+    return df.drop(*_TERMS, "_usable", "_carry", "_discount", "_density")
 
 
 def qlike(actual, predicted) -> Column:

@@ -42,7 +42,13 @@ CATEGORY_OF_RULE = {
 }
 # --- end of fixed values ---
 
-DAY_FIRST_FORMATS = ("yyyy-MM-dd", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy/M/d", "yyyyMMdd", "d MMM yyyy")
+# Shapes rewritten to ISO before one cast. Trying parsers in turn would raise and
+# swallow an exception per row for every format that does not fit.
+DAY_FIRST = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?:[ T].*)?$"
+YEAR_FIRST = r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})(?:[ T].*)?$"
+COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
+ISO = r"^\d{4}-\d{1,2}-\d{1,2}(?:[ T].*)?$"
+WITH_MONTH_NAME = r"^\d{1,2} [A-Za-z]{3} \d{4}$"
 
 
 def normalise_headers(df: DataFrame) -> DataFrame:
@@ -50,12 +56,23 @@ def normalise_headers(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({c: c.strip() for c in df.columns if c != c.strip()})
 
 
-def lenient_date(c, formats=DAY_FIRST_FORMATS) -> Column:
-    """Mixed-format, day-first date parse; anything unreadable becomes NULL."""
+def lenient_date(c) -> Column:
+    """Mixed-format date parse, day first; a month above 12 is read month first, and
+    anything unreadable becomes NULL."""
     text = F.trim(col(c).cast("string"))
-    # A time of day behind an ISO date is dropped, as a date column needs no clock.
-    text = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[ T]"), F.substring(text, 1, 10)).otherwise(text)
-    return F.coalesce(*[F.try_to_date(text, f) for f in formats])
+    return (
+        F.when(text.rlike(ISO), text.try_cast("date"))
+        .when(
+            text.rlike(DAY_FIRST),
+            F.coalesce(
+                F.regexp_replace(text, DAY_FIRST, "$3-$2-$1").try_cast("date"),
+                F.regexp_replace(text, DAY_FIRST, "$3-$1-$2").try_cast("date"),
+            ),
+        )
+        .when(text.rlike(YEAR_FIRST), F.regexp_replace(text, YEAR_FIRST, "$1-$2-$3").try_cast("date"))
+        .when(text.rlike(COMPACT), F.regexp_replace(text, COMPACT, "$1-$2-$3").try_cast("date"))
+        .when(text.rlike(WITH_MONTH_NAME), F.try_to_date(text, "d MMM yyyy"))
+    )
 
 
 def as_date(df: DataFrame, name: str) -> Column:
@@ -73,6 +90,12 @@ def strict_date(c) -> Column:
     return F.to_date(col(c).cast("string"), "yyyy-MM-dd")
 
 
+def iso_date(c) -> Column:
+    """ISO date; anything else is NULL."""
+    text = F.trim(col(c).cast("string"))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
+
+
 def label(c) -> Column:
     return F.upper(F.trim(col(c).cast("string")))
 

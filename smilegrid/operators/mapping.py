@@ -142,12 +142,15 @@ def assemble_trades(signals: DataFrame, market: DataFrame, calendar: DataFrame,
     """All models and dates in one plan: mapping, weights, entry Greeks, status."""
     mapped = map_entry(signals.where("selected"), market, calendar, rules)
     weighted = lock_weights(mapped, rules.side_budget)
-    sensitivities = N.greeks(
-        "entry_spot", "strike", "entry_T", "entry_r", "entry_q", "entry_implied_vol", F.col("option_type") == "C"
-    )
-    return weighted.withColumns(
-        {
-            **{f"entry_{name}": value for name, value in sensitivities.items()},
-            "trade_status": F.when(F.col("weight_at_entry") != 0, "ENTERED").otherwise("NOT_ENTERED"),
-        }
+    priced = N.with_greeks(
+        weighted,
+        "entry_",
+        "entry_spot",
+        "strike",
+        "entry_T",
+        "entry_r",
+        "entry_q",
+        "entry_implied_vol",
+        N.holds(F.col("option_type") == "C"),
     )
+    return priced.withColumn("trade_status", F.when(F.col("weight_at_entry") != 0, "ENTERED").otherwise("NOT_ENTERED"))

@@ -41,7 +41,7 @@ def absent_pairs(required: DataFrame, processed: DataFrame) -> DataFrame:
 
 def normalise_raw(raw: DataFrame) -> DataFrame:
     """Raw quotes with ISO dates (anything else is missing), labels, identity and midpoints."""
-    iso = lambda c: F.col(c) if dict(raw.dtypes)[c] == "date" else F.try_to_date(F.trim(F.col(c)), "yyyy-MM-dd")
+    iso = lambda c: F.col(c) if dict(raw.dtypes)[c] == "date" else X.iso_date(c)
     df = raw.withColumns(
         {
             "quote_date": iso("quote_date"),

@@ -36,8 +36,9 @@ def greek_quality(contracts: DataFrame) -> DataFrame:
     peak = N.div(
         carry, c("entry_spot") * c("entry_implied_vol") * F.sqrt("entry_T") * math.sqrt(2 * math.pi)
     )
-    again = N.greeks("entry_spot", "strike", "entry_T", "entry_r", "entry_q", "entry_implied_vol", call)
-    out = contracts.withColumns({f"finite_{g}": finite[g] for g in GREEKS})
+    inputs = ("entry_spot", "strike", "entry_T", "entry_r", "entry_q", "entry_implied_vol")
+    out = N.with_greeks(contracts, "_again_", *inputs, call)
+    out = out.withColumns({f"finite_{g}": finite[g] for g in GREEKS})
     out = out.withColumns(
         {
             "all_entry_greeks_finite": every,
@@ -46,9 +47,9 @@ def greek_quality(contracts: DataFrame) -> DataFrame:
             "implausible_gamma": ~finite["Gamma"]
             | N.holds(c("entry_Gamma") <= 0)
             | N.holds(c("entry_Gamma") > peak * (1 + slack)),
-            **{f"_gap_{g}": F.abs(c(f"entry_{g}") - again[g]) for g in GREEKS},
+            **{f"_gap_{g}": F.abs(c(f"entry_{g}") - c(f"_again_{g}")) for g in GREEKS},
         }
-    )
+    ).drop(*[f"_again_{g}" for g in GREEKS])
     return out.withColumn(
         "entry_greeks_quality_valid",
         c("all_entry_greeks_finite")
@@ -195,22 +196,23 @@ def attribution(contracts: DataFrame, spots: DataFrame, processed: DataFrame) ->
     )
     out = out.join(stored, ["intended_exit_date", "contract_key"], "left")
     call = c("option_type") == "C"
-    entry_price = N.option_price("entry_spot", "strike", "entry_T", "entry_r", "entry_q", "entry_implied_vol", call)
-    exit_price = N.option_price(
-        "exit_spot", "strike", "processed_exit_T", "processed_exit_r", "processed_exit_q", "processed_exit_implied_vol", call
-    )
+    entry_inputs = ("entry_spot", "strike", "entry_T", "entry_r", "entry_q", "entry_implied_vol")
+    exit_inputs = ("exit_spot", "strike", *[f"processed_exit_{f}" for f in ("T", "r", "q", "implied_vol")])
+    out = N.with_option_price(out, "_entry_price", *entry_inputs, call)
+    out = N.with_option_price(out, "_exit_price", *exit_inputs, call)
     priceable = lambda *names: N.holds(F.least(*[N.finite_or_null(n) for n in names]) > 0)
     out = out.withColumns(
         {
             "entry_IV_repricing_error": F.when(
-                priceable("entry_spot", "strike", "entry_T", "entry_implied_vol"), F.abs(entry_price - c("entry_mid"))
+                priceable("entry_spot", "strike", "entry_T", "entry_implied_vol"), F.abs(c("_entry_price") - c("entry_mid"))
             ),
             "exit_IV_repricing_error": F.when(
                 priceable("exit_spot", "strike", "processed_exit_T", "processed_exit_implied_vol"),
-                F.abs(exit_price - c("exit_mid")),
+                F.abs(c("_exit_price") - c("exit_mid")),
             ),
         }
     )
+    out = out.drop("_entry_price", "_exit_price")
     same = lambda a, b: N.holds(F.abs(a - b) <= 1e-10)
     exact = (c("exit_quote_source") == PROCESSED) & have & c("entry_greeks_quality_valid")
     for name in ("entry_implied_vol", "processed_exit_implied_vol", "processed_exit_r", "processed_exit_q", "processed_exit_T"):
