@@ -175,7 +175,7 @@ class Market:
         """Cleaned quotes with the volatility they were priced from. The inversion job
         recovers the same numbers from the prices, in its own queries."""
         vol = true_vol(F.ln("moneyness"), F.col("T"), F.datediff("quote_date", F.lit(FIRST_DAY)))
-        return cut(self.clean.withColumn("implied_vol", F.round(vol, 10)))
+        return cut(self.clean.withColumn("implied_vol", vol))
 
     @cached_property
     def market(self) -> DataFrame:
@@ -187,7 +187,7 @@ class Market:
         xi = F.floor((F.ln("moneyness") - X_LOW) / PANEL_X).cast("int")
         ti = F.floor(F.col("T") / PANEL_T).cast("int")
         cells = self.iv_quotes.select("quote_date", xi.alias("x_idx"), ti.alias("t_idx"), "implied_vol")
-        means = cells.groupBy("quote_date", "x_idx", "t_idx").agg(F.round(F.avg("implied_vol"), 10).alias("iv_grid"))
+        means = cells.groupBy("quote_date", "x_idx", "t_idx").agg(F.avg("implied_vol").alias("iv_grid"))
         return cut(means.select("quote_date", F.format_string("iv_x%02d_t%02d", "x_idx", "t_idx").alias("node"), "x_idx", "t_idx", "iv_grid"))
 
     @cached_property

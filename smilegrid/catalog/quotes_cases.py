@@ -476,7 +476,7 @@ register(
     lambda m: surface.build_surface(surface.surface_points(_inverted(m))),
     "quote_date node",
     "iv_grid",
-    SURFACE_NODES.replace("implied_vol AS iv", "exact_vol AS iv"),
+    SURFACE_NODES,
 )
 register(
     "surface_day_stats",

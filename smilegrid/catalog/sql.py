@@ -159,7 +159,7 @@ FROM (SELECT *, pow(1+({tenor_rate('T')}),252e0)-1 AS r_annual, pow(1+"{DIVIDEND
 """
 CTES["clean"] = "SELECT * FROM flagged WHERE first_fail IS NULL"
 CTES["iv_quotes"] = """
-SELECT *, round({v},10) AS implied_vol, {v} AS exact_vol FROM (SELECT *, ln(moneyness) AS lk, quote_date-DATE '2024-01-01' AS n FROM clean)
+SELECT *, {v} AS implied_vol FROM (SELECT *, ln(moneyness) AS lk, quote_date-DATE '2024-01-01' AS n FROM clean)
 """.format(v=vol_sql("lk", "T", "n"))
 _KEY = "upper(trim(underlying_symbol))||'|'||upper(trim(root))||'|'||strftime({x},'%Y-%m-%d')||'|'||printf('%.6f',strike)||'|'||substr(upper(trim(option_type)),1,1)"
 CTES["market"] = f"""
@@ -171,7 +171,7 @@ FROM (SELECT * REPLACE (upper(trim(underlying_symbol)) AS underlying_symbol), {_
 GROUP BY quote_date, contract_key
 """
 CTES["surface"] = """
-SELECT quote_date, printf('iv_x%02d_t%02d',xi,ti) AS node, xi AS x_idx, ti AS t_idx, round(avg(implied_vol),10) AS iv_grid
+SELECT quote_date, printf('iv_x%02d_t%02d',xi,ti) AS node, xi AS x_idx, ti AS t_idx, avg(implied_vol) AS iv_grid
 FROM (SELECT quote_date, implied_vol, CAST(floor((ln(moneyness)-(-0.22e0))/0.05e0) AS INT) AS xi, CAST(floor(T/0.1e0) AS INT) AS ti FROM iv_quotes)
 GROUP BY quote_date, xi, ti
 """

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..functions.sizing import quantile
+from ..functions.sizing import mean_rank, quantile
 
 
 def _or_raise(valid: Column, value: Column, message: str, strict: bool) -> Column:
@@ -428,8 +428,6 @@ def correlations(df: DataFrame, keys: list[str], pairs: list[tuple[str, str]], n
 
 
 def pair_correlation(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    from ..functions.sizing import mean_rank
-
     ranked = df.withColumns({"_rx": mean_rank(x, keys), "_ry": mean_rank(y, keys)})
     return ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_dates"),
@@ -441,4 +439,4 @@ def pair_correlation(df: DataFrame, keys: list[str], x: str, y: str) -> DataFram
 def safe_corr(x: str, y: str) -> Column:
     """Correlation, NULL when either side is constant or has under two rows."""
     varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return F.when(varies, F.corr(x, y))
+    return F.when(varies, N.div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
