@@ -225,7 +225,7 @@ class Market:
             (0.2 * near + 0.8 * week + 0.3 * tilt).alias("forecast_xgboost"),
             (0.5 * near + 0.5 * week - tilt).alias("forecast_arima_h2"),
             (0.3 * near + 0.3 * F.col("lag_2") + 0.4 * week + tilt).alias("forecast_ridge_h2"),
-            (0.1 * near + 0.9 * week - 0.7 * tilt).alias("forecast_xgboost_h2"),
+            (0.1 * near + 0.9 * week + 0.9 * tilt).alias("forecast_xgboost_h2"),
         )
         out = scoring.attach_outcomes(
             forecasts,

@@ -35,5 +35,5 @@ def register(
     QUERIES[name] = lambda spark, folder: tidy(build(market_for(spark, folder)), others, doubles, digits)
     if sql is not None:
         source = sql if " " in sql.strip() else f"SELECT * FROM {sql.strip()}"
-        columns = [*others.split(), *[f"R{digits}({c}) AS {c}" for c in doubles.split()]]
+        columns = [*[f'"{c}"' for c in others.split()], *[f'R{digits}("{c}") AS "{c}"' for c in doubles.split()]]
         ORACLES[name] = compose(f"SELECT {', '.join(columns)} FROM ({source})")

@@ -199,7 +199,7 @@ CTES["forecasts"] = """
 SELECT quote_date AS forecast_origin_date, target_date AS forecast_target_date, next2, node, lag_1 AS forecast_persistence,
   0.7e0*lag_1+0.3e0*roll_mean_5+tilt AS forecast_arima, 0.5e0*lag_1+0.3e0*lag_2+0.2e0*roll_mean_5-0.5e0*tilt AS forecast_ridge,
   0.2e0*lag_1+0.8e0*roll_mean_5+0.3e0*tilt AS forecast_xgboost, 0.5e0*lag_1+0.5e0*roll_mean_5-tilt AS forecast_arima_h2,
-  0.3e0*lag_1+0.3e0*lag_2+0.4e0*roll_mean_5+tilt AS forecast_ridge_h2, 0.1e0*lag_1+0.9e0*roll_mean_5-0.7e0*tilt AS forecast_xgboost_h2
+  0.3e0*lag_1+0.3e0*lag_2+0.4e0*roll_mean_5+tilt AS forecast_ridge_h2, 0.1e0*lag_1+0.9e0*roll_mean_5+0.9e0*tilt AS forecast_xgboost_h2
 FROM (SELECT *, 0.004e0*sin(session_no*0.9e0+ascii(substr(node,6,1))*2.1e0+ascii(substr(node,10,1))*1.7e0) AS tilt FROM lagged)
 """
 _MODELS4 = ("persistence", "arima", "ridge", "xgboost")

@@ -148,14 +148,8 @@ def resampled_sums(
         *keys, "n", "_at", *[F.sum(c).over(running).alias(c) for c in columns]
     )
     packed = prefixed.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("_at", *columns))).alias("_sorted"))
-    packed = packed.select(
-        *keys,
-        "n",
-        *[
-            F.concat(F.array(F.lit(0.0)), F.transform("_sorted", lambda s, c=c: s[c].cast("double"))).alias(c)
-            for c in columns
-        ],
-    )
+    prefix = lambda c: F.concat(F.array(F.lit(0.0)), F.col(f"_sorted.{c}").cast("array<double>"))
+    packed = packed.select(*keys, "n", *[prefix(c).alias(c) for c in columns])
     tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
     per_chunk = math.ceil(reps / tasks)
     spread = packed.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).repartition(
