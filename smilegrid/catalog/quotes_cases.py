@@ -191,10 +191,19 @@ register(
 
 
 def _half_even(m: Market):
-    # Prices are whole cents: dividing by 2e7 puts the seventh decimal on a half.
-    cents = F.round(F.col("l_extendedprice") * 100)
-    strike = (F.floor(cents / 100) * 10 + 5) / F.lit(1e7)
-    return m.table("lineitem").select(X.rounded_strike(strike).alias("strike")).groupBy("strike").agg(F.count(F.lit(1)).alias("n"))
+    # An odd number over two million has its seventh decimal on a half.
+    strike = (2 * F.col("l_partkey") + 1) / F.lit(2e6)
+    key = X.contract_key(F.lit(" spx"), F.col("l_returnflag"), F.to_date("l_shipdate"), strike, F.lit("call"))
+    return m.table("lineitem").select(key.alias("contract_key")).groupBy("contract_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+register(
+    "half_even_contract_keys",
+    _half_even,
+    "contract_key n",
+    "",
+    """SELECT 'SPX|'||l_returnflag||'|'||strftime(l_shipdate,'%Y-%m-%d')||'|'||printf('%.6f',round_even((2*l_partkey+1)/2e6*1e6,0)/1e6)||'|C' AS contract_key, count(*) AS n FROM lineitem GROUP BY 1""",
+)
 
 
 def _maturity(m: Market):

@@ -105,8 +105,9 @@ def option_side(c) -> Column:
 
 
 def rounded_strike(c) -> Column:
-    """Strike rounded half-even to six decimals, the precision of the contract key."""
-    return F.bround(col(c).cast("double"), 6)
+    """Strike rounded half-even to six decimals, the precision of the contract key.
+    The scaled product is rounded, as array libraries do, not the decimal text."""
+    return F.rint(col(c).cast("double") * 1e6) / F.lit(1e6)
 
 
 def contract_key(symbol, root, expiration, strike, option_type) -> Column:
