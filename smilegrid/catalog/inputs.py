@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..operators import calendar as cal
-from ..operators import cleaning, features, mapping, pnl, quotes, risk, scoring, signals
+from ..operators import features, scoring
 from ..plans.lineage import cut
+from ..plans.study import Study
 from ..sources.tables import spread
-from ..settings import DIVIDEND, RATE_DATE, TENOR_COLUMNS, Cleaning, Grid, Inference, Signals, Splits
+from ..settings import DIVIDEND, RATE_DATE, TENOR_COLUMNS, Grid, Inference, Signals, Splits
+from ..settings import Study as Settings
 
 FIRST_DAY = dt.date(2024, 1, 1)
 SESSIONS = 60
@@ -59,11 +60,16 @@ def true_vol(k, t, day):
     return F.lit(0.18) + F.lit(0.5) * k * k + F.lit(0.03) * F.sqrt(t) + wave
 
 
-class Market:
-    """Lazily built frames over one scale-factor folder."""
+class Market(Study):
+    """The study over one scale-factor folder, with closed-form forecasts and a
+    coarse panel so that every stage after them can be stated in SQL as well."""
+
+    bootstrap = False
+    require_full_coverage = False
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self.use(Settings(splits=SPLITS, signals=RULES, inference=INFERENCE))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -140,10 +146,6 @@ class Market:
         )
         return cut(days.withColumn("close_ts", close))
 
-    @cached_property
-    def calendar(self) -> DataFrame:
-        return cal.calendar_table(self.sessions)
-
     @cached_property
     def raw_rates(self) -> DataFrame:
         """Daily rates, absent on some sessions."""
@@ -158,18 +160,6 @@ class Market:
         holes = {c: F.when((n + i) % 7 != 3, F.col(f"`{c}`")) for i, c in enumerate(TENOR_COLUMNS)}
         return self.raw_rates.withColumns({**holes, DIVIDEND: F.when(n % 5 != 0, F.col(f"`{DIVIDEND}`"))})
 
-    @cached_property
-    def rates(self) -> DataFrame:
-        return cut(cleaning.prepare_rates(self.raw_rates))
-
-    @cached_property
-    def flagged(self) -> DataFrame:
-        return cleaning.with_first_failure(self.raw_quotes, self.rates)
-
-    @cached_property
-    def clean(self) -> DataFrame:
-        return cut(cleaning.kept(self.flagged))
-
     @cached_property
     def iv_quotes(self) -> DataFrame:
         """Cleaned quotes with the volatility they were priced from. The inversion job
@@ -177,10 +167,6 @@ class Market:
         vol = true_vol(F.ln("moneyness"), F.col("T"), F.datediff("quote_date", F.lit(FIRST_DAY)))
         return cut(self.clean.withColumn("implied_vol", vol))
 
-    @cached_property
-    def market(self) -> DataFrame:
-        return cut(mapping.market_day(mapping.normalise_market(self.iv_quotes)))
-
     @cached_property
     def surface(self) -> DataFrame:
         """A coarse observed panel: mean volatility per day and coordinate bucket."""
@@ -201,13 +187,6 @@ class Market:
             )
         )
 
-    @cached_property
-    def panel(self) -> DataFrame:
-        return cal.densify(self.surface, self.calendar, self.nodes.select("node"))
-
-    def lagged(self, horizon: int = 1) -> DataFrame:
-        return features.lag_features(self.panel, self.calendar, horizon)
-
     @cached_property
     def journal(self) -> DataFrame:
         """Forecasts of four models at every origin. Closed forms of the lag features
@@ -235,130 +214,6 @@ class Market:
         out = out.join(features.regions(self.nodes), "node")
         return cut(scoring.annotate(out))
 
-    @cached_property
-    def common(self) -> DataFrame:
-        return self.journal.where("common_sample_4models")
-
-    @cached_property
-    def daily_losses(self) -> DataFrame:
-        return cut(scoring.daily_losses(self.common))
-
-    @cached_property
-    def economic(self) -> DataFrame:
-        """Decision rows with both horizons and, joined last, the outcomes."""
-        j = self.journal
-        base = j.select(
-            F.col("forecast_origin_date").alias("decision_date"),
-            F.col("forecast_target_date").alias("entry_date"),
-            "node",
-            "log_moneyness",
-            "T",
-            F.col("observed_iv_at_origin").alias("observed_iv_at_decision"),
-            "moneyness_region",
-            "maturity_region",
-            *[F.col(f"forecast_{m}").alias(f"forecast_{m}_h1") for m in ("arima", "ridge", "xgboost")],
-            *[f"forecast_{m}_h2" for m in ("arima", "ridge", "xgboost")],
-        )
-        exits = cal.with_targets(self.calendar, (2,)).select(
-            F.col("session").alias("decision_date"), F.col("target_h2").alias("intended_exit_date")
-        )
-        base = signals.candidates(base.join(exits, "decision_date", "left"))
-        out = scoring.attach_outcomes(base, self.surface, {"entry_date": "actual_iv_entry", "intended_exit_date": "actual_iv_exit"})
-        return cut(out.withColumn("actual_holding_change", F.col("actual_iv_exit") - F.col("actual_iv_entry")))
-
-    @cached_property
-    def signals(self) -> DataFrame:
-        ranked = signals.rank_signals(self.economic, RULES)
-        outcomes = self.economic.select("decision_date", "node", "actual_iv_entry", "actual_iv_exit", "actual_holding_change")
-        return cut(ranked.join(outcomes, ["decision_date", "node"]))
-
-    @cached_property
-    def signal_daily(self) -> DataFrame:
-        return cut(signals.signal_daily(self.signals, RULES.min_ic_nodes))
-
-    @cached_property
-    def trades(self) -> DataFrame:
-        """Selections with both a session to enter and one to exit."""
-        usable = self.signals.where(F.col("intended_exit_date").isNotNull())
-        return cut(mapping.assemble_trades(usable, self.market, self.calendar, RULES))
-
-    @cached_property
-    def net(self) -> DataFrame:
-        return cut(signals.net_contracts(self.trades))
-
-    @cached_property
-    def required(self) -> DataFrame:
-        return quotes.required_pairs(self.net)
-
-    @cached_property
-    def processed(self) -> DataFrame:
-        return cut(quotes.processed_pairs(self.market, self.required))
-
-    @cached_property
-    def recovered(self) -> DataFrame:
-        missing = quotes.absent_pairs(self.required, self.processed)
-        return cut(quotes.recover_raw(self.raw_quotes, missing, self.rates))
-
-    @cached_property
-    def exit_quotes(self) -> DataFrame:
-        return cut(quotes.choose_quotes(self.required, self.processed, self.recovered, self.calendar))
-
-    @cached_property
-    def ready(self) -> DataFrame:
-        return cut(quotes.join_trades(self.net, self.exit_quotes))
-
-    @cached_property
-    def audit(self) -> DataFrame:
-        usable = self.signals.where(F.col("intended_exit_date").isNotNull())
-        return cut(pnl.calendar_audit(usable, self.ready, self.calendar))
-
-    @cached_property
-    def eligible(self) -> DataFrame:
-        return pnl.eligible_contracts(self.ready, self.audit)
-
-    @cached_property
-    def contracts(self) -> DataFrame:
-        """Valued contracts. Exits without any quote occur in this sparse market, so
-        the evaluated set is the active contracts with a usable exit."""
-        active = self.eligible.where("nonzero_net_position AND BASE")
-        return cut(risk.without_gaps(risk.greek_quality(pnl.contract_pnl(active))))
-
-    @cached_property
-    def daily(self) -> DataFrame:
-        selection = self.audit.select("model", "entry_date", "number_selected_nodes")
-        return cut(pnl.daily_pnl(self.contracts, self.eligible, selection))
-
-    @cached_property
-    def diagnostics(self) -> DataFrame:
-        return cut(pnl.signal_diagnostics(self.daily, self.signal_daily, self.signals))
-
-    @cached_property
-    def controls(self) -> DataFrame:
-        return cut(risk.entry_controls(self.contracts))
-
-    @cached_property
-    def spots(self) -> DataFrame:
-        return cut(risk.spot_by_day(self.contracts))
-
-    @cached_property
-    def attribution(self) -> DataFrame:
-        return cut(risk.attribution(self.contracts, self.spots, self.processed))
-
-    @cached_property
-    def states(self) -> DataFrame:
-        return cut(risk.portfolio_states(self.contracts, self.controls, self.spots, self.daily))
-
-    @cached_property
-    def complete_states(self) -> DataFrame:
-        """State rows of the dates on which every state of every model is available,
-        the panel the paired and family tests need."""
-        whole = self.states.groupBy("entry_date").agg(F.count_if("available").alias("n")).where("n = 12")
-        return self.states.join(whole.select("entry_date"), "entry_date", "left_semi")
-
-    @cached_property
-    def performance(self) -> DataFrame:
-        return cut(pnl.performance(self.complete_states, ["model", "portfolio_state"], INFERENCE, with_bootstrap=False))
-
 
 _markets: dict[tuple[str, str], Market] = {}
 

@@ -133,3 +133,26 @@ register(
     "quote_date node",
     "iv_grid",
 )
+
+
+def _streamed(m: Market):
+    from ..plans.lineage import shared_folder
+    from ..streaming import cleaning as stream
+
+    folder = shared_folder(m.spark, "quote-stream")
+    m.raw_quotes.repartition(4).write.parquet(f"{folder}/in")
+    quotes = stream.quote_stream(m.spark, f"{folder}/in", "parquet", files_per_batch=2)
+    stream.clean_stream(quotes, m.rates, f"{folder}/out").awaitTermination()
+    return stream.total_counts(m.spark, f"{folder}/out")
+
+
+_DROPPED = ("basic", "bad_dates", "t_window", "no_rates", "moneyness", "spread", "option_type", "lower_bound")
+register(
+    "streamed_cleaning_counts",
+    _streamed,
+    "input kept_basic " + " ".join("dropped_" + d for d in _DROPPED),
+    "",
+    "SELECT count(*) AS input, count(*) FILTER (first_fail IS NULL) AS kept_basic, "
+    + ", ".join(f"count(*) FILTER (first_fail='{d}') AS dropped_{d}" for d in _DROPPED)
+    + " FROM flagged",
+)
