@@ -26,11 +26,14 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+        # Methods the JIT would refuse to compile run outside whole-stage code instead.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
 
     from smilegrid.catalog.inputs import Market
+    from smilegrid.plans.lineage import cut
     from smilegrid.operators import cleaning, implied_vol, mapping, pnl, quotes, risk, robustness, signals, stats, surface
 
     market = Market(spark, folder)
@@ -55,12 +58,13 @@ def main() -> None:
     def stage_one() -> None:
         flagged = cleaning.with_first_failure(market.raw_quotes, market.rates)
         inverted = implied_vol.invert(cleaning.kept(flagged))
-        run(surface.build_surface(surface.surface_points(inverted)))
+        locations = cut(surface.unique_locations(cut(surface.surface_points(inverted))))
+        run(surface.build_surface(locations))
 
     timed("raw_quotes_to_surface", stage_one)
-    points = surface.surface_points(market.iv_quotes)
-    timed("separable_surface", lambda: run(surface.build_surface(points)))
-    timed("delaunay_surface", lambda: run(surface.build_surface(points, method="delaunay")))
+    timed("location_medians", lambda: market.locations)
+    timed("separable_surface", lambda: run(surface.build_surface(market.locations)))
+    timed("delaunay_surface", lambda: run(surface.build_surface(market.locations, method="delaunay")))
     timed("processed_market", lambda: run(mapping.market_day(mapping.normalise_market(market.iv_quotes))))
     market.market
     timed("panel_and_forecast_journal", lambda: (market.surface, market.journal))

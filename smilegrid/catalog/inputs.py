@@ -38,6 +38,7 @@ EXPIRIES = (
 SPLITS = Splits(train_end=dt.date(2024, 2, 2), fit_end=dt.date(2024, 2, 23), min_train=10, min_validation=5, min_arma_train=10)
 RULES = Signals(min_ic_nodes=10)
 INFERENCE = Inference(reps=200, forecast_reps=200)
+LINE_COLUMNS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax")
 PANEL_X, PANEL_T = 0.05, 0.1
 X_LOW = -0.22
 GRID = Grid()
@@ -79,7 +80,7 @@ class Market(Study):
         d = F.col("l_orderkey") % SESSIONS
         days = F.array(*[F.lit(x).cast("date") for x in EXPIRIES])
         expiry = (F.col("l_suppkey") % len(EXPIRIES)).cast("int")
-        df = self.table("lineitem").select(
+        df = spread(self.table("lineitem").select(*LINE_COLUMNS)).select(
             "l_orderkey",
             "l_linenumber",
             "l_partkey",
@@ -135,7 +136,7 @@ class Market(Study):
             (F.col("mid0") * (1.0 - edge)).alias("bid_eod"),
             (F.col("mid0") * (1.0 + edge)).alias("ask_eod"),
         )
-        return cut(spread(table))
+        return cut(table)
 
     @cached_property
     def sessions(self) -> DataFrame:

@@ -108,8 +108,7 @@ register(
 
 def _tilted(m: Market):
     """A plane over all quoted locations must come back exactly."""
-    points = surface.surface_points(m.iv_quotes)
-    return points.withColumn("implied_vol", 0.3 + 0.2 * F.col("log_moneyness") - 0.1 * F.col("T"))
+    return m.locations.withColumn("implied_vol", 0.3 + 0.2 * F.col("log_moneyness") - 0.1 * F.col("T"))
 
 
 def _plane_check(m: Market):
@@ -129,7 +128,7 @@ register(
 )
 register(
     "delaunay_surface",
-    lambda m: surface.build_surface(surface.surface_points(m.iv_quotes), method="delaunay"),
+    lambda m: surface.build_surface(m.locations, method="delaunay"),
     "quote_date node",
     "iv_grid",
 )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as X
 from ..operators import checks, cleaning, implied_vol, mapping, quotes, surface
-from ..plans.lineage import shared_folder
+from ..plans.lineage import cut, shared_folder
 from ..settings import DIVIDEND, RATE_DATE, TENOR_COLUMNS, Grid
 from ..sources import tables
 from .inputs import GRID, Market
@@ -390,7 +390,7 @@ register(
     "region iv_status n",
     "",
     f"""SELECT region, iv_status, count(*) AS n FROM (SELECT {_REGION} AS region, CASE WHEN T>0 AND {_ABOVE}>0 AND mid<={_CEILING} THEN 'VALID_IV' ELSE 'SOLVER_FAILURE' END AS iv_status
- FROM flagged WHERE quote_date IS NOT NULL AND has_rate) WHERE region<>'at_bound' GROUP BY ALL""",
+ FROM flagged WHERE coalesce(first_fail,'')<>'basic' AND quote_date IS NOT NULL AND has_rate) WHERE region<>'at_bound' GROUP BY ALL""",
 )
 
 
@@ -424,7 +424,7 @@ register(
     ),
     "input valid solver_failure invalid_input",
     "",
-    f"SELECT count(*) AS input, count(*) FILTER (mid<={_CEILING}) AS valid, count(*) FILTER (mid>{_CEILING}) AS solver_failure, 0 AS invalid_input FROM flagged WHERE quote_date IS NOT NULL AND has_rate AND {_REGION}='time_value'",
+    f"SELECT count(*) AS input, count(*) FILTER (mid<={_CEILING}) AS valid, count(*) FILTER (mid>{_CEILING}) AS solver_failure, 0 AS invalid_input FROM flagged WHERE coalesce(first_fail,'')<>'basic' AND quote_date IS NOT NULL AND has_rate AND {_REGION}='time_value'",
 )
 
 # ---------------------------------------------------------------- surface
@@ -449,7 +449,7 @@ def _points(m: Market):
 
 
 def _nodes(m: Market):
-    return surface.build_surface(_points(m))
+    return surface.build_surface(m.locations)
 
 
 register(
@@ -474,22 +474,22 @@ register(
 register(
     "location_medians",
     lambda m: surface.unique_locations(_points(m)),
-    "quote_date",
+    "quote_date n_quotes",
     "log_moneyness T implied_vol",
-    f"SELECT quote_date, x AS log_moneyness, t AS T, iv AS implied_vol FROM ({_LOCATIONS})",
+    f"SELECT quote_date, x AS log_moneyness, t AS T, iv AS implied_vol, n AS n_quotes FROM ({_LOCATIONS})",
     8,
 )
 register("separable_surface", _nodes, "quote_date node x_idx t_idx", "log_moneyness T iv_grid", SURFACE_NODES)
 register(
     "surface_from_raw_quotes",
-    lambda m: surface.build_surface(surface.surface_points(_inverted(m))),
+    lambda m: surface.build_surface(cut(surface.unique_locations(cut(surface.surface_points(_inverted(m)))))),
     "quote_date node",
     "iv_grid",
     SURFACE_NODES,
 )
 register(
     "surface_day_stats",
-    lambda m: surface.day_stats(_points(m), _nodes(m)),
+    lambda m: surface.day_stats(m.locations, _nodes(m)),
     "quote_date n_obs_raw n_obs_unique status interp_used",
     "coverage",
     f"""SELECT d.quote_date, CAST(n_obs_raw AS BIGINT) AS n_obs_raw, n_obs_unique, CASE WHEN n_obs_unique>=10 THEN 'kept' ELSE 'skipped_min_points' END AS status,
@@ -508,7 +508,7 @@ register(
 
 
 def _filled(m: Market):
-    return surface.build_surface(_points(m), fill=True)
+    return surface.build_surface(m.locations, fill=True)
 
 
 register(
@@ -536,7 +536,7 @@ def _mirror(i: str, n: int) -> str:
 
 register(
     "surface_smoothing",
-    lambda m: surface.build_surface(_points(m), sigma=1.0),
+    lambda m: surface.build_surface(m.locations, sigma=1.0),
     "quote_date node",
     "iv_grid",
     f"""SELECT c.quote_date, printf('iv_x%02d_t%02d',c.i,c.j) AS node, CASE WHEN sum(a.w*b.w*m.m)>=1e-6 THEN sum(a.w*b.w*m.v)/sum(a.w*b.w*m.m) END AS iv_grid

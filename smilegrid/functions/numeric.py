@@ -83,7 +83,7 @@ def price_floor(spot, strike, t, r, q, is_call: Column) -> Column:
     """European no-arbitrage lower bound."""
     forward = col(spot) * F.exp(-col(q) * col(t))
     bond = col(strike) * F.exp(-col(r) * col(t))
-    return F.greatest(F.lit(0.0), F.when(is_call, forward - bond).otherwise(bond - forward))
+    return F.greatest(F.lit(0.0), F.when(is_call, 1.0).otherwise(-1.0) * (forward - bond))
 
 
 # --- fixed values: coefficients of Hart's rational normal-tail approximation,

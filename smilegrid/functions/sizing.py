@@ -94,18 +94,22 @@ def exact_quantiles(
 
 
 def median_by(
-    df: DataFrame, keys: list[str], value: str, name: str, heavy_rows: int = 1_000_000, **options
+    df: DataFrame, keys: list[str], value: str, name: str, count: str, heavy_rows: int = 1_000_000, **options
 ) -> DataFrame:
-    """Exact median per key. Ordinary keys use one aggregation; the few keys above
-    `heavy_rows` rows (there can be at most rows / heavy_rows of them) are counted
-    first and go through the histogram route instead."""
-    heavy = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy_rows).drop("_n")
-    if heavy.isEmpty():
-        return df.groupBy(*keys).agg(F.median(value).alias(name))
-    heavy = small_side(heavy)
-    light = df.join(heavy, keys, "left_anti").groupBy(*keys).agg(F.median(value).alias(name))
+    """Exact median and row count per key. Ordinary keys use one aggregation; the few
+    keys above `heavy_rows` rows (there can be at most rows / heavy_rows of them)
+    are counted first and go through the histogram route instead.
+
+    Reads `df` twice, so it should be a table and not a long unmaterialised plan.
+    """
+    size = F.count(F.lit(1))
+    sizes = df.groupBy(*keys).agg(size.alias(count)).where(F.col(count) > heavy_rows)
+    if sizes.isEmpty():
+        return df.groupBy(*keys).agg(F.median(value).alias(name), size.alias(count))
+    heavy = small_side(sizes.select(*keys))
+    light = df.join(heavy, keys, "left_anti").groupBy(*keys).agg(F.median(value).alias(name), size.alias(count))
     rest = exact_quantiles(df.join(heavy, keys, "left_semi"), keys, value, {name: 0.5}, **options)
-    return light.unionByName(rest)
+    return light.unionByName(rest.join(sizes, keys))
 
 
 def mean_rank(value: str, partition: list[str]) -> Column:

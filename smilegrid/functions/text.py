@@ -60,17 +60,28 @@ def lenient_date(c) -> Column:
     """Mixed-format date parse, day first; a month above 12 is read month first, and
     anything unreadable becomes NULL."""
     text = F.trim(col(c).cast("string"))
+    at = lambda start, length=1: F.substring(text, start, length)
+    ten = F.length(text) == 10
+    plain_iso = ten & (at(5) == "-") & (at(8) == "-")
+    plain_day_first = ten & (at(3) == "/") & (at(6) == "/")
+    iso = (
+        F.when(plain_iso, text)
+        .when(plain_day_first, F.concat(at(7, 4), F.lit("-"), at(4, 2), F.lit("-"), at(1, 2)))
+        .otherwise(F.lit(None).cast("string"))
+    )
+    # The other shapes are rare. Inside an array function they stay out of the
+    # generated code of the whole stage, which must stay small to be compiled well.
+    rare = F.element_at(F.transform(F.array(text), _rare_date), 1)
+    return F.coalesce(iso.try_cast("date"), F.when(~plain_iso & (text != ""), rare))
+
+
+def _rare_date(text: Column) -> Column:
+    swapped = lambda pattern, order: F.regexp_replace(text, pattern, order).try_cast("date")
     return (
         F.when(text.rlike(ISO), text.try_cast("date"))
-        .when(
-            text.rlike(DAY_FIRST),
-            F.coalesce(
-                F.regexp_replace(text, DAY_FIRST, "$3-$2-$1").try_cast("date"),
-                F.regexp_replace(text, DAY_FIRST, "$3-$1-$2").try_cast("date"),
-            ),
-        )
-        .when(text.rlike(YEAR_FIRST), F.regexp_replace(text, YEAR_FIRST, "$1-$2-$3").try_cast("date"))
-        .when(text.rlike(COMPACT), F.regexp_replace(text, COMPACT, "$1-$2-$3").try_cast("date"))
+        .when(text.rlike(DAY_FIRST), F.coalesce(swapped(DAY_FIRST, "$3-$2-$1"), swapped(DAY_FIRST, "$3-$1-$2")))
+        .when(text.rlike(YEAR_FIRST), swapped(YEAR_FIRST, "$1-$2-$3"))
+        .when(text.rlike(COMPACT), swapped(COMPACT, "$1-$2-$3"))
         .when(text.rlike(WITH_MONTH_NAME), F.try_to_date(text, "d MMM yyyy"))
     )
 
@@ -93,7 +104,8 @@ def strict_date(c) -> Column:
 def iso_date(c) -> Column:
     """ISO date; anything else is NULL."""
     text = F.trim(col(c).cast("string"))
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
+    shaped = (F.length(text) == 10) & (F.substring(text, 5, 1) == "-") & (F.substring(text, 8, 1) == "-")
+    return F.when(shaped, text.try_cast("date"))
 
 
 def label(c) -> Column:

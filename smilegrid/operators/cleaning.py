@@ -57,17 +57,21 @@ def with_first_failure(quotes: DataFrame, rates: DataFrame, rules: Cleaning = Cl
 
     A single pass: the rate table joins on the exact date (broadcast once its
     counted size is small), and every later rule is an ordered CASE branch, so
-    the funnel and the kept rows come from the same plan without a cache.
+    the funnel and the kept rows come from the same plan without a cache. Dates
+    and what follows from them stay NULL on rows that fail the basic rule.
     """
     rate_days = small_side(rates.withColumn("_has_rate", F.lit(True)))
     df = quotes.withColumns(
         {
-            "quote_date": X.as_date(quotes, "quote_date"),
-            "expiration": X.as_date(quotes, "expiration"),
             "spot": N.midpoint("underlying_bid_1545", "underlying_ask_1545"),
             "mid": N.midpoint("bid_1545", "ask_1545"),
         }
     )
+    df = df.withColumn("_basic", N.holds(passes_basic()))
+    # Dates are read only where the first rule holds: most raw quotes fail it.
+    df = df.withColumns(
+        {c: F.when(F.col("_basic"), X.as_date(quotes, c)) for c in ("quote_date", "expiration")}
+    )
     df = df.withColumn("T", N.year_fraction("quote_date", "expiration", rules.days_per_year))
     df = df.join(rate_days, df.quote_date == rate_days[RATE_DATE], "left")
     df = df.withColumns(
@@ -78,12 +82,12 @@ def with_first_failure(quotes: DataFrame, rates: DataFrame, rules: Cleaning = Cl
             "option_type": X.label("option_type"),
         }
     )
-    return df.withColumn("first_fail", first_failure(rules))
+    return df.withColumn("first_fail", first_failure(rules)).drop("_basic")
 
 
-def first_failure(rules: Cleaning) -> Column:
+def passes_basic() -> Column:
     c = F.col
-    basic = (
+    return (
         (c("bid_1545") > 0)
         & (c("ask_1545") > 0)
         & (c("ask_1545") > c("bid_1545"))
@@ -93,9 +97,13 @@ def first_failure(rules: Cleaning) -> Column:
         & (c("strike") > 0)
         & (c("mid") > 0)
     )
+
+
+def first_failure(rules: Cleaning) -> Column:
+    c = F.col
     floor = N.price_floor("spot", "strike", "T", "r_annual", "q_annual", c("option_type") == "C")
     passed = {
-        "basic": basic,
+        "basic": c("_basic"),
         "bad_dates": c("quote_date").isNotNull() & c("expiration").isNotNull(),
         "t_window": (c("T") >= rules.t_min_days / rules.days_per_year) & (c("T") <= rules.t_max_years),
         "no_rates": c("_has_rate"),

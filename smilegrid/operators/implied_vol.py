@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import numeric as N
 from ..functions import text as X
+from ..functions.numeric import HART_BOTTOM, HART_SPLIT, HART_TOP, SQRT_TWO_PI
 from ..functions.sizing import small_side
 from ..settings import DIVIDEND, RATE_DATE
 
@@ -21,12 +22,12 @@ LOWEST, HIGHEST = 1e-4, 5.0
 def _cdf(x: np.ndarray) -> np.ndarray:
     a = np.minimum(np.abs(x), 38.0)
     tail = np.exp(-a * a / 2)
-    centre = tail * np.polyval(N.HART_TOP, a) / np.polyval(N.HART_BOTTOM, a)
-    if (a >= N.HART_SPLIT).any():
+    centre = tail * np.polyval(HART_TOP, a) / np.polyval(HART_BOTTOM, a)
+    if (a >= HART_SPLIT).any():
         fraction = a + 0.65
         for k in (4.0, 3.0, 2.0, 1.0):
             fraction = a + k / fraction
-        centre = np.where(a < N.HART_SPLIT, centre, tail / fraction / N.SQRT_TWO_PI)
+        centre = np.where(a < HART_SPLIT, centre, tail / fraction / SQRT_TWO_PI)
     upper = np.where(a > 37, 0.0, centre)
     return np.where(x > 0, 1 - upper, upper)
 
@@ -89,15 +90,21 @@ def invert(quotes: DataFrame) -> DataFrame:
     Rows without a parseable date or with a missing pricing input are dropped,
     as they cannot be attempted. The solver is row-local: no shuffle.
     """
-    typed = {
-        "quote_date": X.as_date(quotes, "quote_date"),
-        "expiration": X.as_date(quotes, "expiration"),
-        "option_type": X.label("option_type"),
-    }
-    typed |= {c: N.number(c) for c in ("mid", "spot", "strike", "r_annual", "q_annual")}
-    df = quotes.withColumns(typed)
+    kinds = dict(quotes.dtypes)
+    inputs = ["mid", "spot", "strike", "r_annual", "q_annual"]
+    df = quotes.withColumns(
+        {
+            **{c: X.as_date(quotes, c) for c in ("quote_date", "expiration") if kinds[c] != "date"},
+            **{c: F.col(c).try_cast("double") for c in inputs if kinds[c] != "double"},
+            "option_type": X.label("option_type"),
+        }
+    )
     df = df.withColumn("T", N.year_fraction("quote_date", "expiration"))
-    df = df.dropna(subset=["quote_date", "expiration", "mid", "spot", "strike", "T", "r_annual", "q_annual"])
+    # The sum is missing when any input is: one short predicate for all of them.
+    total = F.col("T")
+    for c in inputs:
+        total = total + F.col(c)
+    df = df.where(N.holds(~F.isnan(total)))
     df = df.withColumn(
         "implied_vol",
         N.finite_or_null(

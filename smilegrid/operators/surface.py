@@ -12,6 +12,7 @@ from ..functions import numeric as N
 from ..functions import text as X
 from ..functions.sizing import median_by, small_side
 from ..settings import Grid
+from .delaunay import delaunay_surface
 from .nearest import nearest
 
 DAY = "quote_date"
@@ -87,18 +88,17 @@ def surface_points(
     return df
 
 
-def unique_locations(points: DataFrame) -> DataFrame:
-    """One median volatility per day and location."""
-    return median_by(points, [DAY, "log_moneyness", "T"], "implied_vol", "implied_vol")
+def unique_locations(points: DataFrame, heavy_rows: int = 1_000_000) -> DataFrame:
+    """One median volatility per day and location, with its number of quotes."""
+    keys = [DAY, "log_moneyness", "T"]
+    return median_by(points, keys, "implied_vol", "implied_vol", "n_quotes", heavy_rows)
 
 
-def location_counts(points: DataFrame, grid: Grid = Grid()) -> DataFrame:
-    """Raw and distinct location counts per day. Counting per location first keeps
-    a heavy day spread over many tasks."""
-    per_location = points.groupBy(DAY, "log_moneyness", "T").agg(F.count(F.lit(1)).alias("n"))
+def location_counts(locations: DataFrame, grid: Grid = Grid()) -> DataFrame:
+    """Raw and distinct location counts per day."""
     return (
-        per_location.groupBy(DAY)
-        .agg(F.sum("n").alias("n_obs_raw"), F.count(F.lit(1)).alias("n_obs_unique"))
+        locations.groupBy(DAY)
+        .agg(F.sum("n_quotes").alias("n_obs_raw"), F.count(F.lit(1)).alias("n_obs_unique"))
         .withColumn("enough", F.col("n_obs_unique") >= grid.min_points_day)
     )
 
@@ -232,21 +232,22 @@ def smooth(nodes: DataFrame, sigma: float, grid: Grid = Grid(), truncate: float
 
 
 def build_surface(
-    points: DataFrame,
+    locations: DataFrame,
     grid: Grid = Grid(),
     method: str = "separable",
     fill: bool = False,
     sigma: float = 0.0,
 ) -> DataFrame:
-    """Every node of every day with enough distinct locations."""
-    locations = unique_locations(points)
-    days = location_counts(points, grid).where("enough").select(DAY)
+    """Every node of every day with enough distinct locations.
+
+    `locations` (from `unique_locations`) is read more than once; pass a
+    materialised table.
+    """
+    days = location_counts(locations, grid).where("enough").select(DAY)
     usable = locations.join(small_side(days), DAY, "left_semi")
     if method == "separable":
         surface = separable_surface(usable, grid)
     elif method == "delaunay":
-        from .delaunay import delaunay_surface
-
         surface = delaunay_surface(usable, grid)
     else:
         raise ValueError("method must be 'separable' or 'delaunay'")
@@ -256,10 +257,10 @@ def build_surface(
     return smooth(nodes, sigma, grid)
 
 
-def day_stats(points: DataFrame, nodes: DataFrame, grid: Grid = Grid(), used: str = "separable") -> DataFrame:
+def day_stats(locations: DataFrame, nodes: DataFrame, grid: Grid = Grid(), used: str = "separable") -> DataFrame:
     """Counts, coverage and keep/skip status per day."""
     coverage = nodes.groupBy(DAY).agg(F.avg(N.finite("iv_grid").cast("double")).alias("coverage"))
-    counts = location_counts(points, grid)
+    counts = location_counts(locations, grid)
     status = (
         F.when(~F.col("enough"), "skipped_min_points")
         .when(F.col("coverage") >= grid.min_coverage, "kept")

@@ -89,17 +89,20 @@ class Study:
         return cut(implied_vol.invert(self.clean))
 
     @cached_property
-    def points(self) -> DataFrame:
-        return surface.surface_points(self.iv_quotes, self.grid)
+    def locations(self) -> DataFrame:
+        """Median volatility per day and quoted location. The usable points are
+        written once (four columns), because the median looks at them twice."""
+        points = cut(surface.surface_points(self.iv_quotes, self.grid))
+        return cut(surface.unique_locations(points))
 
     @cached_property
     def grid_surface(self) -> DataFrame:
         """Every node of every day with enough observations, NULL where not observed."""
-        return cut(surface.build_surface(self.points, self.grid, self.surface_method))
+        return cut(surface.build_surface(self.locations, self.grid, self.surface_method))
 
     @cached_property
     def day_stats(self) -> DataFrame:
-        return cut(surface.day_stats(self.points, self.grid_surface, self.grid, self.surface_method))
+        return cut(surface.day_stats(self.locations, self.grid_surface, self.grid, self.surface_method))
 
     @cached_property
     def surface(self) -> DataFrame:
