@@ -99,6 +99,7 @@ def delaunay_surface(locations: DataFrame, grid: Grid = Grid(), bounded_day: int
     kernel works on a growing subset, and a distributed pass over all locations
     adds every point found inside some node's circumcircle until none is left.
     """
+    locations = locations.select(DAY, "log_moneyness", "T", "implied_vol")
     counts = locations.groupBy(DAY).agg(F.count(F.lit(1)).alias("_n"))
     heavy = counts.where(F.col("_n") > bounded_day).select(DAY)
     targets = grid_targets(grid)
