@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
+from ..functions.sizing import small_side
 from ..operators import checks, cleaning, implied_vol, mapping, quotes, surface
 from ..plans.lineage import cut, shared_folder
 from ..settings import DIVIDEND, RATE_DATE, TENOR_COLUMNS, Grid
@@ -291,7 +292,7 @@ register(
 def _reasons(m: Market):
     df = quotes.normalise_raw(m.raw_quotes)
     rate_days = m.rates.select(F.col(RATE_DATE).alias("quote_date"), F.lit(True).alias("_rate"))
-    df = df.join(F.broadcast(rate_days), "quote_date", "left")  # one row per session
+    df = df.join(small_side(rate_days), "quote_date", "left")
     df = df.withColumn("t", N.year_fraction("quote_date", "expiration"))
     flags = X.quote_failures("bid_1545", "ask_1545", "trade_volume", "open_interest", "spot", "strike", "t", "option_type", F.col("_rate"), cleaning.Cleaning())
     df = df.select(flags.alias("reasons")).groupBy("reasons").agg(F.count(F.lit(1)).alias("n"))

@@ -128,7 +128,8 @@ def contract_key(symbol, root, expiration, strike, option_type) -> Column:
         label(symbol),
         label(root),
         F.date_format(col(expiration), "yyyy-MM-dd"),
-        F.format_string("%.6f", rounded_strike(strike)),
+        # Through a decimal: the same text as "%.6f" without a formatter call per row.
+        rounded_strike(strike).try_cast("decimal(20,6)").cast("string"),
         option_side(option_type),
     )
 

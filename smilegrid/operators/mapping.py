@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
+from ..functions.sizing import small_side
+from ..plans.lineage import cut
 from ..settings import Signals
 from .calendar import snapshot_guard
 from .nearest import nearest
@@ -50,7 +52,6 @@ def normalise_market(quotes: DataFrame) -> DataFrame:
         N.number("q_annual").alias("q"),
         "trade_volume",
         "open_interest",
-        F.lit("1545").alias("snapshot_label"),
     )
 
 
@@ -58,15 +59,16 @@ def market_day(normalised: DataFrame) -> DataFrame:
     """One row per day and contract: mean prices, summed volume and open interest.
 
     Every aggregate is partially combined before the shuffle, so a contract
-    quoted many times costs one row per task.
+    quoted many times costs one row per task. All buffers have a fixed width,
+    which keeps the aggregation on hashes instead of a sort of all quotes.
     """
-    return normalised.groupBy("quote_date", *IDENTITY).agg(
+    collapsed = normalised.groupBy("quote_date", *IDENTITY).agg(
         *[F.avg(c).alias(c) for c in MARKET_VALUES],
         F.coalesce(F.sum("trade_volume"), F.lit(0.0)).alias("trade_volume"),
         F.coalesce(F.sum("open_interest"), F.lit(0.0)).alias("open_interest"),
-        F.min("snapshot_label").alias("snapshot_label"),
         F.count(F.lit(1)).alias("source_observation_count"),
     )
+    return collapsed.withColumn("snapshot_label", F.lit("1545"))
 
 
 def valid_market(market: DataFrame) -> DataFrame:
@@ -91,20 +93,24 @@ def map_entry(selected: DataFrame, market: DataFrame, calendar: DataFrame, rules
     guarded = snapshot_guard(selected, "entry_date", calendar, "_open")
     targets = guarded.where("_open").select("entry_date", "node", "log_moneyness", "T").distinct()
     valid = valid_market(market).withColumnRenamed("quote_date", "entry_date")
-    hit = nearest(
-        targets,
-        valid,
-        "entry_date",
-        "node",
-        "contract_key",
-        x_scale=rules.x_scale,
-        t_scale=rules.t_scale,
-        tie_tolerance=rules.tie_tolerance,
+    hit = cut(
+        nearest(
+            targets,
+            valid,
+            "entry_date",
+            "node",
+            "contract_key",
+            x_scale=rules.x_scale,
+            t_scale=rules.t_scale,
+            tie_tolerance=rules.tie_tolerance,
+        )
     )
+    # The matches are a small table (at most one per node and date), so the market
+    # is scanned for their books without being shuffled.
     book = valid.select(
         "entry_date", *IDENTITY, *[F.col(c).alias("entry_" + c) for c in ENTRY_VALUES]
     )
-    mapped = hit.join(book, ["entry_date", "contract_key"])
+    mapped = book.join(small_side(hit), ["entry_date", "contract_key"])
     out = guarded.join(mapped, ["entry_date", "node"], "left")
     found = F.col("contract_key").isNotNull()
     return out.withColumns(

@@ -39,10 +39,9 @@ def absent_pairs(required: DataFrame, processed: DataFrame) -> DataFrame:
     return required.join(present, EXIT_KEY, "left_anti")
 
 
-def normalise_raw(raw: DataFrame) -> DataFrame:
-    """Raw quotes with ISO dates (anything else is missing), labels, identity and midpoints."""
+def _typed_raw(raw: DataFrame) -> DataFrame:
     iso = lambda c: F.col(c) if dict(raw.dtypes)[c] == "date" else X.iso_date(c)
-    df = raw.withColumns(
+    return raw.withColumns(
         {
             "quote_date": iso("quote_date"),
             "expiration": iso("expiration"),
@@ -52,28 +51,55 @@ def normalise_raw(raw: DataFrame) -> DataFrame:
             "strike": X.rounded_strike(N.number("strike")),
         }
     )
-    return df.withColumns(
+
+
+def _with_identity(typed: DataFrame) -> DataFrame:
+    known = F.col("expiration").isNotNull() & F.col("strike").isNotNull()
+    key = X.contract_key("underlying_symbol", "root", "expiration", "strike", "option_type")
+    return typed.withColumns(
         {
-            "contract_key": F.when(
-                F.col("expiration").isNotNull() & F.col("strike").isNotNull(),
-                X.contract_key("underlying_symbol", "root", "expiration", "strike", "option_type"),
-            ),
+            "contract_key": F.when(known, key),
             "spot": N.midpoint("underlying_bid_1545", "underlying_ask_1545"),
             "mid": N.midpoint("bid_1545", "ask_1545"),
         }
     )
 
 
+def normalise_raw(raw: DataFrame) -> DataFrame:
+    """Raw quotes with ISO dates (anything else is missing), labels, identity and midpoints."""
+    return _with_identity(_typed_raw(raw))
+
+
 def recover_raw(raw: DataFrame, missing: DataFrame, rates: DataFrame, rules: Cleaning = Cleaning()) -> DataFrame:
     """Search the raw archive for the missing pairs and say which default rules
-    each found quote breaks. One pass: the wanted dates filter rows before any
-    identity is built, then the exact pairs are kept by a semi join."""
-    wanted = small_side(_as_quote_key(missing))
+    each found quote breaks. One pass: the wanted dates filter rows first, the
+    exact contracts are met on their typed parts, and only found rows get a key."""
+    part = F.split("contract_key", r"\|")
+    identity = ["quote_date", "_symbol", "_root", "_expiration", "_micro", "_side"]
+    wanted = small_side(
+        _as_quote_key(missing).select(
+            "quote_date",
+            part[0].alias("_symbol"),
+            part[1].alias("_root"),
+            X.iso_date(part[2]).alias("_expiration"),
+            F.rint(part[3].cast("double") * 1e6).cast("long").alias("_micro"),
+            part[4].alias("_side"),
+        )
+    )
     dates = small_side(_as_quote_key(missing).select("quote_date").distinct())
-    text_dates = dict(raw.dtypes)["quote_date"] == "string"
-    iso_text = dates.select(F.date_format("quote_date", "yyyy-MM-dd").alias("quote_date")) if text_dates else dates
-    near = raw.join(small_side(iso_text), "quote_date", "left_semi")
-    found = normalise_raw(near).join(wanted, QUOTE_KEY, "left_semi")
+    is_text = dict(raw.dtypes)["quote_date"] == "string"
+    spelled = dates.select(F.date_format("quote_date", "yyyy-MM-dd").alias("quote_date")) if is_text else dates
+    near = raw.join(small_side(spelled), "quote_date", "left_semi")
+    typed = _typed_raw(near).withColumns(
+        {
+            "_symbol": F.col("underlying_symbol"),
+            "_root": F.col("root"),
+            "_expiration": F.col("expiration"),
+            "_micro": F.rint(F.col("strike") * 1e6).cast("long"),
+            "_side": F.col("option_type"),
+        }
+    )
+    found = _with_identity(typed.join(wanted, identity, "left_semi").drop(*identity[1:]))
     rate_days = small_side(rates.select(F.col(RATE_DATE).alias("quote_date"), F.lit(True).alias("_rate")).distinct())
     found = found.join(rate_days, "quote_date", "left").withColumn("_t", N.year_fraction("quote_date", "expiration"))
     found = found.withColumn(

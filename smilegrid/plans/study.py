@@ -211,7 +211,7 @@ class Study:
 
     @cached_property
     def required(self) -> DataFrame:
-        return quotes.required_pairs(self.net)
+        return cut(quotes.required_pairs(self.net))
 
     @cached_property
     def processed(self) -> DataFrame:
@@ -219,7 +219,7 @@ class Study:
 
     @cached_property
     def recovered(self) -> DataFrame:
-        missing = quotes.absent_pairs(self.required, self.processed)
+        missing = cut(quotes.absent_pairs(self.required, self.processed))
         return cut(quotes.recover_raw(self.raw_quotes, missing, self.rates))
 
     @cached_property
