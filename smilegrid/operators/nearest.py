@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizing import small_side
+from ..plans.lineage import cut
+
 CELLS_EACH_WAY = 64
 
 
@@ -37,10 +40,11 @@ def nearest(
     points of those cells through an equi-join. The result is exact.
     """
     targets = targets.select(day, target_id, F.col(x).alias("_x"), F.col(t).alias("_t")).distinct()
+    # Distinct places first: only numbers are grouped, which stays a hash aggregation.
+    places = points.select(day, F.col(key).alias("_key"), F.col(x).alias("_px"), F.col(t).alias("_pt"))
     located = (
-        points.select(day, F.col(key).alias("_key"), F.col(x).alias("_px"), F.col(t).alias("_pt"))
-        .groupBy(day, "_px", "_pt")
-        .agg(F.min("_key").alias("_key"))
+        places.select(day, "_px", "_pt")
+        .distinct()
         .withColumns({"_cx": _cell("_px", x_scale), "_ct": _cell("_pt", t_scale)})
     )
     boxes = located.groupBy(day, "_cx", "_ct").agg(
@@ -65,12 +69,17 @@ def nearest(
         .select(day, target_id, "_x", "_t", "_cx", "_ct")
     )
     reached = candidates.join(located, [day, "_cx", "_ct"]).select(
-        day, target_id, "_key", scaled(F.col("_px") - F.col("_x"), F.col("_pt") - F.col("_t")).alias("_d")
+        day, target_id, "_px", "_pt", scaled(F.col("_px") - F.col("_x"), F.col("_pt") - F.col("_t")).alias("_d")
     )
     shortest = reached.groupBy(day, target_id).agg(F.min("_d").alias("mapping_distance"))
-    return (
+    closest = cut(
         reached.join(shortest, [day, target_id])
         .where(F.col("_d") - F.col("mapping_distance") <= tie_tolerance)
+        .select(day, target_id, "_px", "_pt", "mapping_distance")
+    )
+    # Few rows are left, so the keys at those places are found by scanning the points.
+    return (
+        places.join(small_side(closest), [day, "_px", "_pt"])
         .groupBy(day, target_id)
         .agg(F.min("mapping_distance").alias("mapping_distance"), F.min("_key").alias(key))
     )
