@@ -120,10 +120,10 @@ _SUMMARY_SQL = f"""SELECT a.*, h.HAC_t_stat AS IC_NW_t, h.p_t AS IC_p_value, z.H
  SELECT * FROM (SELECT model, avg(rank_ic) AS mean_IC, median(rank_ic) AS median_IC, stddev_samp(rank_ic) AS std_IC, count(rank_ic) AS valid_IC_dates, 100*avg(CASE WHEN rank_ic>0 THEN 1e0 WHEN rank_ic IS NOT NULL THEN 0e0 END) AS IC_percent_positive,
   avg(top_minus_bottom) AS mean_top_minus_bottom, median(top_minus_bottom) AS median_top_minus_bottom, count(top_minus_bottom) AS valid_spread_dates, 100*avg(CASE WHEN top_minus_bottom>0 THEN 1e0 WHEN top_minus_bottom IS NOT NULL THEN 0e0 END) AS spread_percent_positive,
   avg(balanced_hit_rate) AS mean_daily_balanced_hit FROM signal_daily GROUP BY 1)
- JOIN (SELECT model, avg(CASE WHEN actual_holding_change>0 THEN 1e0 ELSE 0e0 END) FILTER (signal=1) AS long_hit_rate, avg(CASE WHEN actual_holding_change<0 THEN 1e0 ELSE 0e0 END) FILTER (signal=-1) AS short_hit_rate,
+ LEFT JOIN (SELECT model, avg(CASE WHEN actual_holding_change>0 THEN 1e0 ELSE 0e0 END) FILTER (signal=1) AS long_hit_rate, avg(CASE WHEN actual_holding_change<0 THEN 1e0 ELSE 0e0 END) FILTER (signal=-1) AS short_hit_rate,
   count(*) FILTER (signal=1) AS n_scored_long, count(*) FILTER (signal=-1) AS n_scored_short FROM signals WHERE selected AND actual_holding_change IS NOT NULL GROUP BY 1) USING (model)) a
- JOIN ({student_sql(hac_cte('signal_daily', ['model'], 'rank_ic', 'decision_date', student=True))}) h USING (model)
- JOIN ({student_sql(hac_cte('signal_daily', ['model'], 'top_minus_bottom', 'decision_date', student=True))}) z USING (model)"""
+ LEFT JOIN ({student_sql(hac_cte('signal_daily', ['model'], 'rank_ic', 'decision_date', student=True))}) h USING (model)
+ LEFT JOIN ({student_sql(hac_cte('signal_daily', ['model'], 'top_minus_bottom', 'decision_date', student=True))}) z USING (model)"""
 _SUMMARY = (
     "model valid_IC_dates valid_spread_dates n_scored_long n_scored_short hac_lag",
     "mean_IC median_IC std_IC IC_percent_positive IC_NW_t IC_p_value mean_top_minus_bottom median_top_minus_bottom spread_NW_t spread_p_value spread_percent_positive long_hit_rate short_hit_rate balanced_hit_rate mean_daily_balanced_hit",

@@ -54,6 +54,12 @@ FROM (SELECT {k}, count(*) AS n_days, CAST(sum(number_contracts) AS BIGINT) AS n
    FROM ({source}))) GROUP BY {k}) a JOIN ({hac}) h ON {on}"""
 
 
+def guarded_sql(source: str, columns: str) -> str:
+    """Statistics only where the sample has seven days."""
+    blank = ", ".join(f"CASE WHEN n_days>=7 THEN {c} END AS {c}" for c in columns.split())
+    return f"SELECT * REPLACE ({blank}), CASE WHEN n_days>=7 THEN 'OK' ELSE 'UNAVAILABLE_INFERENCE' END AS status FROM ({source})"
+
+
 _PERFORMANCE = (
     "n_days n_contracts wealth_index_status",
     "median_daily_return daily_vol annualized_mean annualized_vol annualized_sharpe cumulative_normalized_return compounded_normalized_return positive_day_pct max_drawdown worst_daily_return best_daily_return total_pnl mean_daily_return HAC_standard_error HAC_t_stat HAC_p_value",
@@ -70,7 +76,7 @@ register(
     lambda m: m.performance,
     "model portfolio_state implementation status " + _PERFORMANCE[0],
     _PERFORMANCE[1] + " unavailable_day_pct",
-    f"SELECT *, 'OK' AS status, 0e0 AS unavailable_day_pct FROM ({performance_sql('SELECT * FROM state_returns', ['model', 'portfolio_state', 'implementation'])})",
+    f"SELECT *, 0e0 AS unavailable_day_pct FROM ({guarded_sql(performance_sql('SELECT * FROM state_returns', ['model', 'portfolio_state', 'implementation']), _PERFORMANCE[1])})",
 )
 
 
