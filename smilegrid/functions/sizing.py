@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,7 +120,3 @@ def mean_rank(value: str, partition: list[str]) -> Column:
 def quantile(value, p: float) -> Column:
     """Linear-interpolated quantile for report-size groups (one value per model and session)."""
     return F.percentile(F.col(value) if isinstance(value, str) else value, F.lit(float(p)))
-
-
-def blocks_for(n: int, block: int) -> int:
-    return math.ceil(n / block)

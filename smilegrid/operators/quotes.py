@@ -16,7 +16,7 @@ EXIT_KEY = ["intended_exit_date", "contract_key"]
 QUOTE_KEY = ["quote_date", "contract_key"]
 QUOTE_SOURCES = (PROCESSED, RECOVERED, NO_QUOTE)
 RAW_VALUES = ["bid_1545", "ask_1545", "bid_eod", "ask_eod", "mid", "spot", "underlying_bid_1545", "underlying_ask_1545"]
-SOURCE_FILES = {PROCESSED: "options_eod_all_with_iv.csv", RECOVERED: "options_eod_all.csv"}
+SOURCE_TABLES = {PROCESSED: "processed_quotes", RECOVERED: "raw_quotes"}
 
 
 def required_pairs(net: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def choose_quotes(required: DataFrame, processed: DataFrame, raw: DataFrame, cal
             "exit_ask": pick("processed_ask", "raw_ask"),
             "exit_quote_date": F.when(first | second, F.col("intended_exit_date")),
             "exit_contract_key": F.when(first | second, F.col("contract_key")),
-            "source_file": F.when(first, SOURCE_FILES[PROCESSED]).when(second, SOURCE_FILES[RECOVERED]).otherwise(""),
+            "source_file": F.when(first, SOURCE_TABLES[PROCESSED]).when(second, SOURCE_TABLES[RECOVERED]).otherwise(""),
             "raw_relative_spread": N.relative_spread("raw_bid", "raw_ask"),
             "zero_volume_flag": N.holds(F.col("raw_trade_volume") == 0),
             "zero_open_interest_flag": N.holds(F.col("raw_open_interest") == 0),
