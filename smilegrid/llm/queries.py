@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_join import op1_ngram_jaccard_join
+from .token_counts import op2_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_token_counts": op2_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
