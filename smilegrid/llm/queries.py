@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .line_dedup import OP6_SQL, op6_line_dedup
 from .ngram_join import op1_ngram_jaccard_join
+from .source_mix import OP3_SQL, op3_source_mix
 from .token_counts import op2_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_counts": op2_token_counts,
+    "op3_source_mix": op3_source_mix,
+    "op6_line_dedup": op6_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_source_mix": OP3_SQL,
+    "op6_line_dedup": OP6_SQL,
+}
