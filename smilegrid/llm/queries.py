@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op8_decontaminate
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .ngram_join import op1_ngram_jaccard_join
 from .source_mix import OP3_SQL, op3_source_mix
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_source_mix": op3_source_mix,
     "op6_line_dedup": op6_line_dedup,
+    "op8_decontaminate": op8_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
