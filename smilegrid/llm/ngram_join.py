@@ -305,30 +305,46 @@ def _central_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
 def _cross_pairs(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """All candidates between different components, by length and position.
 
-    Shingles held by one component only are dropped first; then components that
-    meet at a shingle are paired before their classes, so classes of one
-    component never meet each other.
+    The smaller set of a pair needs a shorter prefix: with percent/(100 + percent)
+    of both sizes in common, at least that of twice its own. Shingles held by one
+    component only are dropped first; then components that meet at a shingle are
+    paired before their classes, so classes of one component never meet.
+
+    A pair's overlap is at most the shared shingles of either, so a partner's size
+    is at most room = ((100 + percent) * m - percent * n) / percent. The extremes
+    of a component's classes at a shingle tell if any pair can be large enough.
     """
-    owned = prefixes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn(
-        "label", F.coalesce("label", "cls")
+    owned = prefixes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select(
+        "h", F.coalesce("label", "cls").alias("label"), "cls", "n", "m", "pos", (F.col("m") * (100 + percent) - F.col("n") * percent).alias("room")
     )
-    owned = cut(owned.select("h", "label", "cls", "n", "m", "pos"), "owned")
+    owned = cut(owned, "owned")
     mixed = owned.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     meeting = cut(owned.join(mixed.select("h"), "h", "left_semi"), "meeting")
-    groups = meeting.select("h", "label").distinct()
-    both = groups.select("h", F.col("label").alias("la")).join(groups.select("h", F.col("label").alias("lb")), "h").where("la < lb")
-    one = meeting.select("h", F.col("label").alias("la"), *[F.col(c).alias(f"{c}1") for c in ("cls", "n", "m", "pos")])
-    two = meeting.select("h", F.col("label").alias("lb"), *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "m", "pos")])
-    most = F.least("pos1", "pos2") + 1 + F.least(F.col("m1") - F.col("pos1"), F.col("m2") - F.col("pos2")) - 1
-    needed = (F.col("n1") + F.col("n2")) * percent <= most * (100 + percent)
-    first = F.col("cls1") < F.col("cls2")
+    short = meeting.where(F.col("pos") <= F.col("m") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)))
+    extremes = (F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"))
+    small, large = (t.groupBy("h", F.col("label").alias(f"l{k}")).agg(*extremes) for t, k in ((short, 1), (meeting, 2)))
+    small, large = (t.select("h", f"l{k}", *[F.col(c).alias(f"{c}{k}") for c in ("least", "most", "room")]) for t, k in ((small, 1), (large, 2)))
+    both = small.join(large, "h").where(
+        (F.col("l1") != F.col("l2"))
+        & (F.col("least1") <= F.col("most2"))
+        & (F.col("least1") * percent <= F.col("room2"))
+        & (F.col("least2") * percent <= F.col("room1"))
+        & (F.col("least2") * percent <= F.col("most1") * 100)
+    )
+    one = short.select("h", F.col("label").alias("l1"), F.col("cls").alias("c1"), *[F.col(c).alias(f"{c}1") for c in ("n", "m", "pos")])
+    two = meeting.select("h", F.col("label").alias("l2"), F.col("cls").alias("c2"), *[F.col(c).alias(f"{c}2") for c in ("n", "m", "pos")])
+    some = two.join(both.select("h", "l1", "l2", "least1"), ["h", "l2"]).where(
+        (F.col("least1") <= F.col("n2")) & (F.col("least1") * percent <= F.col("m2") * (100 + percent) - F.col("n2") * percent)
+    )
+    most = F.least("pos1", "pos2") + F.least(F.col("m1") - F.col("pos1"), F.col("m2") - F.col("pos2"))
+    enough = (F.col("n1") + F.col("n2")) * percent <= most * (100 + percent)
+    first = F.col("c1") < F.col("c2")
     return (
-        both.join(one, ["h", "la"])
-        .join(two, ["h", "lb"])
-        .where(_fits(F.col("n1"), F.col("n2"), percent) & needed)
+        some.join(one, ["h", "l1"])
+        .where((F.col("n1") <= F.col("n2")) & _fits(F.col("n1"), F.col("n2"), percent) & enough)
         .select(
-            F.least("cls1", "cls2").alias("a"),
-            F.greatest("cls1", "cls2").alias("b"),
+            F.least("c1", "c2").alias("a"),
+            F.greatest("c1", "c2").alias("b"),
             F.when(first, F.col("n1")).otherwise(F.col("n2")).alias("na"),
             F.when(first, F.col("n2")).otherwise(F.col("n1")).alias("nb"),
         )
