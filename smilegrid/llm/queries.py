@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import OP10_SQL, op10_chat_format
 from .decontaminate import op8_decontaminate
 from .line_dedup import OP6_SQL, op6_line_dedup
+from .media import op9_media_columns
 from .ngram_join import op1_ngram_jaccard_join
 from .source_mix import OP3_SQL, op3_source_mix
 from .token_counts import op2_token_counts
@@ -18,9 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op6_line_dedup": op6_line_dedup,
     "op8_decontaminate": op8_decontaminate,
+    "op9_media_columns": op9_media_columns,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLES: dict[str, str] = {
     "op3_source_mix": OP3_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op10_chat_format": OP10_SQL,
 }
