@@ -11,13 +11,17 @@ from .decontaminate import op8_decontaminate
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .media import op9_media_columns
 from .ngram_join import op1_ngram_jaccard_join
+from .quality_knn import op5_quality_knn
 from .source_mix import OP3_SQL, op3_source_mix
 from .token_counts import op2_token_counts
+from .url_filter import OP4_SQL, op4_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_counts": op2_token_counts,
     "op3_source_mix": op3_source_mix,
+    "op4_url_filter": op4_url_filter,
+    "op5_quality_knn": op5_quality_knn,
     "op6_line_dedup": op6_line_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_media_columns": op9_media_columns,
@@ -26,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_source_mix": OP3_SQL,
+    "op4_url_filter": OP4_SQL,
     "op6_line_dedup": OP6_SQL,
     "op10_chat_format": OP10_SQL,
 }
