@@ -123,17 +123,17 @@ def apply_keep(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text
     """The columns of `docs` with (n_lines, n_dropped, kept_text) after them.
 
     `kept_text` joins the lines that the bitmaps keep by line feeds; a null text is
-    an empty one.
+    an empty one. Columns of `docs` that have one of these names are replaced.
     """
-    marks = bitmaps.select(F.col("doc_id").alias("_of"), F.col("text_id").alias("_text_id"), F.col("n_dropped").alias("_lost"), F.col("keep").alias("_keep"))
-    same = docs[id_col].eqNullSafe(marks["_of"]) & (text_id(docs[text_col]) == marks["_text_id"])
-    lines = _lines(F.col(text_col))
-    runs = F.flatten(F.transform("_keep", lambda r: F.slice(lines, r["first"] + 1, r["lines"])))
-    kept = F.when(F.col("_keep").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(runs, "\n"))
-    return docs.join(marks, same, "left").select(
-        *[docs[c] for c in docs.columns],
+    names = ("n_lines", "n_dropped", "kept_text")
+    same = docs[id_col].eqNullSafe(bitmaps["doc_id"]) & (text_id(docs[text_col]) == bitmaps["text_id"])
+    lines = _lines(docs[text_col])
+    runs = F.flatten(F.transform(bitmaps["keep"], lambda r: F.slice(lines, r["first"] + 1, r["lines"])))
+    kept = F.when(bitmaps["keep"].isNull(), F.coalesce(docs[text_col], F.lit(""))).otherwise(F.array_join(runs, "\n"))
+    return docs.join(bitmaps, same, "left").select(
+        *[docs[c] for c in docs.columns if c not in names],
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce("_lost", F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(bitmaps["n_dropped"], F.lit(0)).cast("long").alias("n_dropped"),
         kept.alias("kept_text"),
     )
 
