@@ -215,13 +215,13 @@ register(
     _MULTI,
 )
 _PAIRED = " UNION ALL ".join(
-    f"SELECT model, entry_date, '{a}_MINUS_{b}' AS transformation, '{a}' AS target_state, '{b}' AS reference_state, max(Return_mid) FILTER (portfolio_state='{a}')-max(Return_mid) FILTER (portfolio_state='{b}') AS difference FROM complete_states GROUP BY model, entry_date"
+    f"SELECT model, entry_date, '{a}_MINUS_{b}' AS transformation, '{a}' AS target_state, '{b}' AS reference_state, max(Return_mid) FILTER (portfolio_state='{a}')-max(Return_mid) FILTER (portfolio_state='{b}') AS difference FROM live_states GROUP BY model, entry_date"
     for a, b in STATE_PAIRS
 )
 _PK = robustness.PAIR_KEYS
 register(
     "paired_state_effects",
-    lambda m: robustness.paired_effects(m.complete_states, INFERENCE),
+    lambda m: robustness.paired_effects(m.states, INFERENCE, m.eligible_days),
     "model transformation target_state reference_state n_days " + _ADJ[0] + " " + _CI[0],
     "mean median HAC_standard_error HAC_t_stat " + _ADJ[1] + " " + _CI[1],
     f"""SELECT a.*, a.n AS n_days, {', '.join('b.' + c for c in (_CI[0] + ' ' + _CI[1]).split())} FROM ({adjust_sql(f"({hac_cte(f'({_PAIRED})', _PK, 'difference', 'entry_date')})", [], ['model', 'transformation'])}) a
@@ -230,7 +230,7 @@ register(
 )
 register(
     "paired_bootstrap_sensitivity",
-    lambda m: robustness.paired_bootstrap(m.complete_states, INFERENCE),
+    lambda m: robustness.paired_bootstrap(m.states, INFERENCE, m.eligible_days),
     "model transformation " + _CI[0],
     _CI[1],
     " UNION ALL ".join(bootstrap_sql(f"({_PAIRED})", _PK, "difference", "entry_date", b) for b in (5, 10)),
@@ -257,13 +257,13 @@ register(
 _NORM = "SELECT r.*, r.PnL/nullif(d.GrossPremium_mid,0e0) AS common_ FROM state_returns r JOIN daily d USING (model, entry_date)"
 register(
     "normalisation_sensitivity",
-    lambda m: robustness.normalisation(m.complete_states, m.daily),
+    lambda m: robustness.normalisation(m.live_states, m.daily),
     "model portfolio_state implementation n_days common_sign_matches_primary pooled_sign_matches_primary",
     "primary_mean_daily_ratio mean_Return_common_denom pooled_premium_return total_pnl total_state_gross_premium",
     f"""SELECT *, sign(primary_mean_daily_ratio)=sign(mean_Return_common_denom) AS common_sign_matches_primary, sign(primary_mean_daily_ratio)=sign(pooled_premium_return) AS pooled_sign_matches_primary FROM (
  SELECT model, portfolio_state, implementation, count(*) AS n_days, avg(Return) AS primary_mean_daily_ratio, avg(common_) AS mean_Return_common_denom, sum(PnL)/sum(GrossPremium) AS pooled_premium_return, sum(PnL) AS total_pnl, sum(GrossPremium) AS total_state_gross_premium FROM ({_NORM}) GROUP BY 1,2,3)""",
 )
-_HEDGE = "SELECT s.*, abs(s.hedge_quantity)*p.S_entry AS hedge_notional FROM complete_states s JOIN spots p USING (model, entry_date) WHERE portfolio_state IN ('DELTA_NEUTRAL','VEGA_BALANCED_DELTA_NEUTRAL')"
+_HEDGE = "SELECT s.*, abs(s.hedge_quantity)*p.S_entry AS hedge_notional FROM live_states s JOIN spots p USING (model, entry_date) WHERE portfolio_state IN ('DELTA_NEUTRAL','VEGA_BALANCED_DELTA_NEUTRAL')"
 _EVEN = f"""SELECT *, 10000*break_even_decimal_per_side AS break_even_bps_per_side, 20000*break_even_decimal_per_side AS break_even_bps_round_trip, 10000*aggregate_break_even_decimal_per_side AS aggregate_break_even_bps_per_side,
  uncosted_mean_MID>0 AS positive_mean_friction_budget, CASE WHEN uncosted_mean_MID>0 THEN 'POSITIVE_MEAN_BUDGET' ELSE 'NO_POSITIVE_COST_BUDGET_ALREADY_NONPOSITIVE' END AS status FROM (
  SELECT *, CASE WHEN mean_normalized_cost_load>0 THEN greatest(0e0,uncosted_mean_MID/mean_normalized_cost_load) END AS break_even_decimal_per_side, CASE WHEN notional>0 THEN greatest(0e0,uncosted_total_MID_pnl/(2*notional)) END AS aggregate_break_even_decimal_per_side FROM (
@@ -272,8 +272,8 @@ _STRESS = f"""SELECT model, portfolio_state, bps_per_side, 2*max(bps_per_side) A
  avg((PnL_exec-cost)/nullif(GrossPremium_exec,0e0)) AS mean_BID_ASK_proxy_after_hypothetical_cost FROM (SELECT *, 2*(bps_per_side/10000)*hedge_notional AS cost FROM ({_HEDGE}) CROSS JOIN (VALUES {', '.join(f'({num(float(b))})' for b in HEDGE_COST_BPS)}) v(bps_per_side)) GROUP BY 1,2,3"""
 _EVEN_COLUMNS = "uncosted_mean_MID uncosted_total_MID_pnl mean_hedge_notional mean_normalized_cost_load break_even_decimal_per_side break_even_bps_per_side break_even_bps_round_trip aggregate_break_even_decimal_per_side aggregate_break_even_bps_per_side"
 _STRESS_COLUMNS = "bps_per_side bps_round_trip mean_MID_after_hypothetical_cost total_MID_pnl_after_hypothetical_cost mean_BID_ASK_proxy_after_hypothetical_cost"
-_even = lambda m: robustness.hedge_break_even(m.complete_states, m.spots)
-_stress = lambda m: robustness.hedge_stress(m.complete_states, m.spots)
+_even = lambda m: robustness.hedge_break_even(m.live_states, m.spots)
+_stress = lambda m: robustness.hedge_stress(m.live_states, m.spots)
 register("hedge_cost_break_even", _even, "model portfolio_state n_days positive_mean_friction_budget status", _EVEN_COLUMNS, _EVEN)
 register("hedge_cost_stress", _stress, "model portfolio_state n_days", _STRESS_COLUMNS, _STRESS)
 _null = lambda names: ", ".join(f"CAST(NULL AS DOUBLE) AS {n}" for n in names.split())
@@ -288,7 +288,7 @@ register(
 
 
 def _months(m: Market):
-    return m.complete_states.withColumn("decision_month", F.month("decision_date"))
+    return m.live_states.withColumn("decision_month", F.month("decision_date"))
 
 
 def stability_sql(source: str) -> str:
@@ -303,13 +303,13 @@ register(
     "subperiod_stability",
     lambda m: robustness.stability(_months(m), "decision_month", [1, 2, 3]),
     *_STAB,
-    stability_sql("SELECT *, CAST(month(decision_date) AS VARCHAR) AS bucket FROM complete_states WHERE month(decision_date) IN (1,2,3)"),
+    stability_sql("SELECT *, CAST(month(decision_date) AS VARCHAR) AS bucket FROM live_states WHERE month(decision_date) IN (1,2,3)"),
 )
 CUTOFF = dt.date(2024, 2, 2)
 _LEVELS = "SELECT quote_date AS decision_date, median(iv_grid) AS market_IV_level, count(iv_grid) AS n_observed_nodes FROM surface GROUP BY 1"
 _THRESHOLD = f"(SELECT median(market_IV_level) FROM ({_LEVELS}) WHERE decision_date<=DATE '2024-02-02')"
-_REGIMES = f"SELECT l.*, CASE WHEN market_IV_level<={_THRESHOLD} THEN 'LOW_IV' ELSE 'HIGH_IV' END AS IV_regime FROM ({_LEVELS}) l SEMI JOIN complete_states s ON s.decision_date=l.decision_date"
-_regimes = lambda m: robustness.iv_regimes(m.complete_states, robustness.iv_levels(m.surface), CUTOFF)
+_REGIMES = f"SELECT l.*, CASE WHEN market_IV_level<={_THRESHOLD} THEN 'LOW_IV' ELSE 'HIGH_IV' END AS IV_regime FROM ({_LEVELS}) l SEMI JOIN live_states s ON s.decision_date=l.decision_date"
+_regimes = lambda m: robustness.iv_regimes(m.live_states, robustness.iv_levels(m.surface), CUTOFF)
 register("iv_levels", lambda m: robustness.iv_levels(m.surface), "decision_date n_observed_nodes", "market_IV_level", _LEVELS, 9)
 register(
     "iv_regime_threshold",
@@ -322,14 +322,14 @@ register(
 register("iv_regimes", _regimes, "decision_date IV_regime n_observed_nodes", "market_IV_level", _REGIMES, 9)
 register(
     "iv_regime_stability",
-    lambda m: robustness.stability(m.complete_states.join(_regimes(m), "decision_date"), "IV_regime", ["LOW_IV", "HIGH_IV"], strict=False),
+    lambda m: robustness.stability(m.live_states.join(_regimes(m), "decision_date"), "IV_regime", ["LOW_IV", "HIGH_IV"], strict=False),
     *_STAB,
-    stability_sql(f"SELECT s.*, r.IV_regime AS bucket FROM complete_states s JOIN ({_REGIMES}) r USING (decision_date)"),
+    stability_sql(f"SELECT s.*, r.IV_regime AS bucket FROM live_states s JOIN ({_REGIMES}) r USING (decision_date)"),
 )
 _SENS = " UNION ALL ".join(f"({hac_cte('state_returns', ['model', 'portfolio_state', 'implementation'], 'Return', 'entry_date', lag)})" for lag in HAC_LAGS)
 register(
     "hac_lag_sensitivity",
-    lambda m: robustness.lag_sensitivity(m.complete_states),
+    lambda m: robustness.lag_sensitivity(m.live_states),
     "model portfolio_state implementation HAC_lag n_days " + _ADJ[0],
     "mean HAC_standard_error HAC_t_stat " + _ADJ[1],
     f"SELECT *, n AS n_days FROM ({adjust_sql(f'({_SENS})', ['implementation', 'HAC_lag'], ['model', 'portfolio_state'])})",
@@ -379,6 +379,7 @@ register(
         m.signals,
         m.trades,
         m.ready,
+        m.active,
         m.contracts,
         m.attribution,
         _exposures(m),

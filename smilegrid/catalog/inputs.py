@@ -2,7 +2,8 @@
 
 The benchmark holds no option quotes, so every registered query reads a quote
 table computed from all rows of `lineitem`: each line is one quote, its keys
-choose session, contract and liquidity. Rates, calendar, surface panel and
+choose session, contract and liquidity, and an untraded quote of the same
+contract at the next session, so every contract that can be entered has an exit. Rates, calendar, surface panel and
 forecasts follow from the same rows.
 """
 
@@ -66,7 +67,6 @@ class Market(Study):
     coarse panel so that every stage after them can be stated in SQL as well."""
 
     bootstrap = False
-    require_full_coverage = False
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -77,10 +77,12 @@ class Market(Study):
 
     @cached_property
     def _lines(self) -> DataFrame:
-        d = F.col("l_orderkey") % SESSIONS
+        d = F.col("l_orderkey") % SESSIONS + F.col("ahead")
         days = F.array(*[F.lit(x).cast("date") for x in EXPIRIES])
         expiry = (F.col("l_suppkey") % len(EXPIRIES)).cast("int")
-        df = spread(self.table("lineitem").select(*LINE_COLUMNS)).select(
+        lines = spread(self.table("lineitem").select(*LINE_COLUMNS)).withColumn("ahead", F.explode(F.array(F.lit(0), F.lit(1))))
+        df = lines.where(d < SESSIONS).select(
+            "ahead",
             "l_orderkey",
             "l_linenumber",
             "l_partkey",
@@ -115,8 +117,8 @@ class Market(Study):
     def raw_quotes(self) -> DataFrame:
         """Raw archive layout, dates as text in mixed formats (some unreadable)."""
         text = (
-            F.when(F.col("l_orderkey") % 89 == 0, "n/a")
-            .when(F.col("l_linenumber") == 3, F.date_format("qd", "dd/MM/yyyy"))
+            F.when((F.col("l_orderkey") % 89 == 0) & (F.col("ahead") == 0), "n/a")
+            .when((F.col("l_linenumber") == 3) & (F.col("ahead") == 0), F.date_format("qd", "dd/MM/yyyy"))
             .otherwise(F.date_format("qd", "yyyy-MM-dd"))
         )
         edge = 1.3 * F.col("l_discount")
@@ -127,7 +129,7 @@ class Market(Study):
             F.date_format("xd", "yyyy-MM-dd").alias("expiration"),
             "strike",
             F.col("kind").alias("option_type"),
-            (F.col("l_quantity").cast("long") - 1).alias("trade_volume"),
+            F.when(F.col("ahead") == 0, F.col("l_quantity").cast("long") - 1).otherwise(F.lit(0)).alias("trade_volume"),
             (F.col("l_partkey") % 29).alias("open_interest"),
             (F.col("mid0") * (1.0 - edge)).alias("bid_1545"),
             (F.col("mid0") * (1.0 + edge)).alias("ask_1545"),

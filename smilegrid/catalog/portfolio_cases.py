@@ -76,7 +76,8 @@ register(
     lambda m: m.performance,
     "model portfolio_state implementation status " + _PERFORMANCE[0],
     _PERFORMANCE[1] + " unavailable_day_pct",
-    f"SELECT *, 0e0 AS unavailable_day_pct FROM ({guarded_sql(performance_sql('SELECT * FROM state_returns', ['model', 'portfolio_state', 'implementation']), _PERFORMANCE[1])})",
+    f"SELECT p.*, 100e0*(1-p.n_days/d.days) AS unavailable_day_pct FROM ({guarded_sql(performance_sql('SELECT * FROM state_returns', ['model', 'portfolio_state', 'implementation']), _PERFORMANCE[1])}) p"
+    " JOIN (SELECT model, portfolio_state, count(*) AS days FROM states GROUP BY ALL) d USING (model, portfolio_state)",
 )
 
 

@@ -13,7 +13,7 @@ from ..settings import DIVIDEND, RATE_DATE, TENOR_COLUMNS, Grid
 from ..sources import tables
 from .inputs import GRID, Market
 from .registry import register
-from .sql import cdf, category, div, normal_p, num, price_sql
+from .sql import _KEY, cdf, category, div, normal_p, num, price_sql
 
 # ---------------------------------------------------------------- sources
 
@@ -562,3 +562,56 @@ register(
     "total",
     f"SELECT node, count(*) AS days, count(iv_grid) AS observed, sum(iv_grid) AS total FROM ({SURFACE_NODES}) GROUP BY 1",
 )
+
+
+def _partly_identified(m: Market):
+    """Quotes of which some lack a symbol, a root or a strike."""
+    gap = lambda c, n: F.when(F.col("open_interest") % n != 0, F.col(c)).alias(c)
+    rest = [c for c in m.iv_quotes.columns if c not in ("underlying_symbol", "root", "strike")]
+    quotes = m.iv_quotes.select(*rest, gap("underlying_symbol", 5), gap("root", 7), gap("strike", 11))
+    found = mapping.identified(quotes).groupBy("quote_date").agg(
+        F.count(F.lit(1)).alias("n_quotes"),
+        F.count_if(F.col("contract_key").isNull()).alias("n_unkeyed"),
+        F.countDistinct("contract_key").alias("n_contracts"),
+    )
+    kept = mapping.market_day(mapping.normalise_market(quotes)).groupBy("quote_date").agg(F.sum("source_observation_count").alias("n_used"))
+    return found.join(kept, "quote_date")
+
+
+register(
+    "quotes_without_identity",
+    _partly_identified,
+    "quote_date n_quotes n_unkeyed n_contracts n_used",
+    "",
+    f"""SELECT quote_date, count(*) AS n_quotes, count(*) FILTER (gap) AS n_unkeyed, count(DISTINCT CASE WHEN NOT gap THEN k END) AS n_contracts,
+ count(*) FILTER (NOT gap) AS n_used
+ FROM (SELECT *, {_KEY.format(x='expiration')} AS k, open_interest%5=0 OR open_interest%7=0 OR open_interest%11=0 AS gap FROM iv_quotes) GROUP BY 1""",
+)
+
+
+def _two_layouts(m: Market):
+    """The raw archive written as two folders whose files order their columns differently."""
+    paths = []
+    for part in (0, 1):
+        half = m.raw_quotes.where(F.col("open_interest") % 2 == part)
+        paths.append(shared_folder(m.spark, f"layout-{part}"))
+        half.select(*(half.columns if part == 0 else reversed(half.columns))).write.option("header", True).csv(paths[-1])
+    return tables.read_quotes_csv(m.spark, paths).groupBy("root", "option_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("trade_volume").alias("volume"),
+        F.sum("open_interest").alias("interest"),
+        F.sum("bid_1545").alias("bids"),
+        F.sum("ask_1545").alias("asks"),
+        F.sum("strike").alias("strikes"),
+    )
+
+
+register(
+    "quotes_in_two_layouts",
+    _two_layouts,
+    "root option_type n volume interest",
+    "bids asks strikes",
+    """SELECT root, option_type, count(*) AS n, CAST(sum(trade_volume) AS BIGINT) AS volume, CAST(sum(open_interest) AS BIGINT) AS interest,
+ sum(bid_1545) AS bids, sum(ask_1545) AS asks, sum(strike) AS strikes FROM raw_quotes GROUP BY ALL""",
+    digits=4,
+)

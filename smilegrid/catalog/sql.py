@@ -105,16 +105,17 @@ SELECT *, CASE WHEN l_tax>0.075e0 AND intr>10e0 THEN 0.5e0*intr ELSE sg*(s*exp(-
 FROM (SELECT *, d1-vol*sqrt(t) AS d2 FROM (SELECT *, (ln(s/strike)+(r-y+vol*vol*0.5e0)*t)/(vol*sqrt(t)) AS d1, CASE WHEN kind='P' THEN -1e0 ELSE 1e0 END AS sg
  FROM (SELECT *, pow(1+({tenor_rate('t')}),252e0)-1 AS r, pow(1+"{DIVIDEND}",252e0)-1 AS y, {vol_sql('k', 't', "(qd-DATE '2024-01-01')")} AS vol
   FROM (SELECT *, greatest(xd-qd,1)/365e0 AS t, CASE WHEN kind='P' THEN greatest(strike-s,0e0) ELSE greatest(s-strike,0e0) END AS intr, ln(strike/s) AS k, {tenor_columns('d')}
-   FROM (SELECT l_orderkey,l_linenumber,l_partkey,l_quantity,l_discount,l_tax,l_orderkey%60 AS d,
-    DATE '2024-01-01'+CAST(7*floor((l_orderkey%60)/5e0)+(l_orderkey%60)%5 AS INT) AS qd, {_EXPIRY} AS xd,
+   FROM (SELECT ahead,l_orderkey,l_linenumber,l_partkey,l_quantity,l_discount,l_tax,d,
+    DATE '2024-01-01'+CAST(7*floor(d/5e0)+d%5 AS INT) AS qd, {_EXPIRY} AS xd,
     CASE WHEN l_suppkey%9 IN (2,4,6) THEN 'SPXW' ELSE 'SPX' END AS root,
-    75e0+l_partkey%51 AS strike, 100e0+(((l_orderkey%60)*37)%11)*0.5e0 AS s,
-    CASE WHEN l_orderkey%97=0 THEN 'X' WHEN l_linenumber%2=0 THEN 'P' ELSE 'C' END AS kind FROM lineitem)))))
+    75e0+l_partkey%51 AS strike, 100e0+((d*37)%11)*0.5e0 AS s,
+    CASE WHEN l_orderkey%97=0 THEN 'X' WHEN l_linenumber%2=0 THEN 'P' ELSE 'C' END AS kind
+    FROM (SELECT *, l_orderkey%60+ahead AS d FROM lineitem, (VALUES (0),(1)) AS o(ahead)) WHERE d<60)))))
 """
 CTES["raw_quotes"] = """
-SELECT 'spx ' AS underlying_symbol, CASE WHEN l_orderkey%89=0 THEN 'n/a' WHEN l_linenumber=3 THEN strftime(qd,'%d/%m/%Y')
+SELECT 'spx ' AS underlying_symbol, CASE WHEN l_orderkey%89=0 AND ahead=0 THEN 'n/a' WHEN l_linenumber=3 AND ahead=0 THEN strftime(qd,'%d/%m/%Y')
   ELSE strftime(qd,'%Y-%m-%d') END AS quote_date, root, strftime(xd,'%Y-%m-%d') AS expiration, strike, kind AS option_type,
-  CAST(l_quantity AS BIGINT)-1 AS trade_volume, l_partkey%29 AS open_interest,
+  CASE WHEN ahead=0 THEN CAST(l_quantity AS BIGINT)-1 ELSE 0 END AS trade_volume, l_partkey%29 AS open_interest,
   mid0*(1e0-1.3e0*l_discount) AS bid_1545, mid0*(1e0+1.3e0*l_discount) AS ask_1545, s-0.25e0 AS underlying_bid_1545,
   s+0.25e0 AS underlying_ask_1545, mid0*(1e0-1.3e0*l_discount) AS bid_eod, mid0*(1e0+1.3e0*l_discount) AS ask_eod FROM lines
 """
@@ -366,7 +367,7 @@ SELECT *, pnl_mid-pnl_exec AS cost_wedge_pnl FROM (
   abs(w)*(entry_ask-entry_bid)/2 AS entry_spread_cost, abs(w)*(exit_ask-exit_bid)/2 AS exit_spread_cost
  FROM (SELECT *, weight_at_entry AS w, weight_at_entry AS signed_weight, intended_exit_date AS exit_date, (entry_bid+entry_ask)/2 AS entry_mid,
    CASE WHEN weight_at_entry>0 THEN entry_ask ELSE entry_bid END AS entry_px, CASE WHEN weight_at_entry>0 THEN exit_bid ELSE exit_ask END AS exit_px
-  FROM eligible WHERE nonzero_net_position AND BASE))
+  FROM eligible WHERE nonzero_net_position))
 """
 CTES["daily"] = """
 SELECT *, PnL_mid/nullif(GrossPremium_mid,0e0) AS Return_mid, PnL_exec/nullif(GrossPremium_exec,0e0) AS Return_exec, PnL_mid-PnL_exec AS cost_wedge_pnl,
@@ -445,10 +446,10 @@ CTES["states"] = " UNION ALL ".join(
         _finish("VEGA_BALANCED_DELTA_NEUTRAL", "vega_states", "-NetDelta", "(vega_balance_available AND spot_valid AND NetDelta IS NOT NULL)"),
     )
 )
-CTES["complete_states"] = "SELECT s.* FROM states s SEMI JOIN (SELECT entry_date FROM states GROUP BY 1 HAVING count(*) FILTER (available)=12) c ON c.entry_date=s.entry_date"
+CTES["live_states"] = "SELECT * FROM states WHERE available"
 CTES["state_returns"] = """
-SELECT model, portfolio_state, entry_date, decision_date, 'MID' AS implementation, Return_mid AS Return, PnL_mid AS PnL, GrossPremium_mid AS GrossPremium, number_contracts FROM complete_states
-UNION ALL SELECT model, portfolio_state, entry_date, decision_date, 'BID_ASK', Return_exec, PnL_exec, GrossPremium_exec, number_contracts FROM complete_states
+SELECT model, portfolio_state, entry_date, decision_date, 'MID' AS implementation, Return_mid AS Return, PnL_mid AS PnL, GrossPremium_mid AS GrossPremium, number_contracts FROM live_states
+UNION ALL SELECT model, portfolio_state, entry_date, decision_date, 'BID_ASK', Return_exec, PnL_exec, GrossPremium_exec, number_contracts FROM live_states
 """
 CTES["signal_daily"] = """
 SELECT a.*, i.rank_ic FROM (

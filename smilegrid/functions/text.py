@@ -123,13 +123,19 @@ def rounded_strike(c) -> Column:
 
 
 def contract_key(symbol, root, expiration, strike, option_type) -> Column:
-    return F.concat_ws(
-        "|",
+    """Identity of a contract; NULL when any part is missing, so that two contracts
+    with different gaps never share a key."""
+    bar = F.lit("|")
+    return F.concat(
         label(symbol),
+        bar,
         label(root),
+        bar,
         F.date_format(col(expiration), "yyyy-MM-dd"),
+        bar,
         # Through a decimal: the same text as "%.6f" without a formatter call per row.
         rounded_strike(strike).try_cast("decimal(20,6)").cast("string"),
+        bar,
         option_side(option_type),
     )
 

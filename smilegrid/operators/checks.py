@@ -166,6 +166,7 @@ def invariants(
     signals: DataFrame,
     trades: DataFrame,
     ready: DataFrame,
+    active: DataFrame,
     contracts: DataFrame,
     attr: DataFrame,
     exposures: DataFrame,
@@ -200,7 +201,7 @@ def invariants(
             duplicate_keys(contracts, [*DAY, "contract_key"]).agg(F.count(F.lit(1)).alias("violations")),
             "no_duplicate_active_contracts",
         ),
-        _count(contracts, "BASE_exit_coverage_after_calendar", ~c("BASE")),
+        _count(active, "BASE_exit_coverage_after_calendar", ~F.coalesce(c("BASE"), F.lit(False))),
         _count(
             contracts,
             "exact_exit_identity",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
@@ -140,6 +140,17 @@ def funnel(flagged: DataFrame) -> DataFrame:
             for name, _ in FUNNEL
         ],
     )
+    return _steps(row)
+
+
+def funnel_of(spark: SparkSession, counters: dict[str, int]) -> DataFrame:
+    """The same table from counters that were observed while the quotes were cleaned."""
+    values = {"input": counters["input"], **{name: counters["dropped_" + name] for name, _ in FUNNEL}}
+    return _steps(spark.range(1).select(*[F.lit(int(v)).cast("long").alias(c) for c, v in values.items()]))
+
+
+def _steps(row: DataFrame) -> DataFrame:
+    """One row per rule from one row of counts."""
     removed_so_far = F.lit(0)
     steps = []
     for position, (name, reason) in enumerate(FUNNEL, 1):

@@ -69,6 +69,8 @@ def triangles(points: np.ndarray, targets: np.ndarray, centre: np.ndarray, round
         there = np.linalg.solve(flat, lifted[enter][..., None])[..., 0]
         ratio = np.where(there > 1e-13, np.maximum(here, 0.0) / np.where(there > 1e-13, there, 1.0), np.inf)
         basis[open_rows, ratio.argmin(axis=1)] = enter
+    else:
+        raise RuntimeError(f"triangulation not settled after {rounds} rounds")
     corner = np.swapaxes(lifted[basis], 1, 2)
     weights = np.linalg.solve(corner, np.column_stack([goal, np.ones(len(goal))])[..., None])[..., 0]
     return basis, weights

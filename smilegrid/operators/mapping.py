@@ -22,7 +22,13 @@ ENTRY_VALUES = [
 
 
 def normalise_market(quotes: DataFrame) -> DataFrame:
-    """Typed processed quotes with the six-decimal contract identity."""
+    """Typed processed quotes with the six-decimal contract identity; quotes that lack
+    a part of it belong to no contract and are left out (`identified` keeps them)."""
+    return identified(quotes).where(F.col("contract_key").isNotNull())
+
+
+def identified(quotes: DataFrame) -> DataFrame:
+    """All quotes, typed, with a NULL key where symbol, root, expiration, strike or side is missing."""
     typed = quotes.withColumns(
         {
             "quote_date": X.as_date(quotes, "quote_date") if dict(quotes.dtypes)["quote_date"] != "string" else X.strict_date("quote_date"),

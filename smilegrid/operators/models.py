@@ -145,7 +145,8 @@ def _estimate(series: np.ndarray, order: tuple[int, int, int]) -> np.ndarray | N
     w = np.diff(series) if d else series
     if q == 0:
         return _least_squares(w, _lagged(w, p))
-    long = _lagged(w, min(p + q + 2, max(1, len(w) // 10)))
+    # The long autoregression has two lags more than the model; a series too short for it has no estimate.
+    long = _lagged(w, p + q + 2)
     first = _least_squares(w, long)
     if first is None:
         return None

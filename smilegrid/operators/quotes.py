@@ -188,7 +188,7 @@ def join_trades(net: DataFrame, quotes: DataFrame) -> DataFrame:
     out = net.withColumns({"stage3_" + c: F.col(c) for c in earlier if c in net.columns})
     out = out.drop(*[c for c in quotes.columns if c not in EXIT_KEY and c in net.columns])
     out = out.join(quotes, EXIT_KEY, "left")
-    base = F.when(F.col("BASE").isNull(), F.raise_error(F.lit("entered contract has no required-pair quote row")).cast("boolean")).otherwise(F.col("BASE"))
+    base = F.when(F.col("BASE").isNull(), F.raise_error(F.lit("a held contract was not looked up at its exit date")).cast("boolean")).otherwise(F.col("BASE"))
     have = lambda c: F.col(c) if c in quotes.columns else F.lit(None).cast("double")
     source = F.col("exit_quote_source")
     return out.withColumn("BASE", base).withColumns(

@@ -252,7 +252,7 @@ def iv_regimes(decisions: DataFrame, levels: DataFrame, cutoff: dt.date, thresho
         out = out.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k", "left").drop("_k")  # a single row
         limit = F.col("threshold")
     bad = F.col("market_IV_level").isNull() | limit.isNull()
-    label = F.when(bad, F.raise_error(F.lit("missing decision-time regime label"))).otherwise(
+    label = F.when(bad, F.raise_error(F.lit("no volatility level on a decision date"))).otherwise(
         F.when(F.col("market_IV_level") <= limit, "LOW_IV").otherwise("HIGH_IV")
     )
     return out.withColumn("IV_regime", label).drop("threshold")

@@ -82,7 +82,7 @@ def with_adjusted_p(df: DataFrame, family: list[str], p: str = "raw_p", tie: lis
     family size.
     """
     bad = ~N.finite(p) | (F.col(p) < 0) | (F.col(p) > 1)
-    checked = F.when(bad, F.raise_error(F.lit("invalid correction-family p values")).cast("double")).otherwise(F.col(p))
+    checked = F.when(bad, F.raise_error(F.lit("a family of tests holds a p value outside 0 to 1 or none")).cast("double")).otherwise(F.col(p))
     upward = Window.partitionBy(*family).orderBy("_p", *tie)
     size = F.count(F.lit(1)).over(Window.partitionBy(*family))
     df = df.withColumn("_p", checked)

@@ -40,7 +40,6 @@ class Study:
     """
 
     bootstrap = True
-    require_full_coverage = True
     surface_method = "separable"
 
     def __init__(self, spark: SparkSession, raw_quotes: DataFrame, raw_rates: DataFrame, sessions: DataFrame, settings: Settings = Settings()):
@@ -84,6 +83,12 @@ class Study:
         self.cleaning_counters = counters.get
         return out
 
+    @cached_property
+    def funnel(self) -> DataFrame:
+        """The cleaning funnel from the counters observed while the kept quotes were written."""
+        self.clean  # noqa: B018
+        return cleaning.funnel_of(self.spark, self.cleaning_counters)
+
     @cached_property
     def iv_quotes(self) -> DataFrame:
         return cut(implied_vol.invert(self.clean))
@@ -121,7 +126,8 @@ class Study:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return cal.densify(self.surface, self.calendar, self.nodes.select("node"))
+        """Every session and node; stored, as lags, both horizons and the filter models read it."""
+        return cut(cal.densify(self.surface, self.calendar, self.nodes.select("node")))
 
     def lagged(self, horizon: int = 1) -> DataFrame:
         return features.lag_features(self.panel, self.calendar, horizon)
@@ -239,15 +245,19 @@ class Study:
     def eligible(self) -> DataFrame:
         return pnl.eligible_contracts(self.ready, self.audit)
 
+    @cached_property
+    def active(self) -> DataFrame:
+        """Contracts held after netting on eligible days, with or without an exit book.
+        Stored, so that the check for a missing book sees these rows and no others."""
+        return cut(self.eligible.where("nonzero_net_position"))
+
     @cached_property
     def contracts(self) -> DataFrame:
-        """Valued contracts of eligible days. With full coverage required, an active
-        contract without an exit book is an error; otherwise it is left out."""
-        active = self.eligible.where("nonzero_net_position")
-        if self.require_full_coverage:
-            missing = F.raise_error(F.lit("exit coverage incomplete after calendar exclusions")).cast("boolean")
-            active = active.withColumn("BASE", F.when(F.col("BASE"), F.col("BASE")).otherwise(missing))
-        valued = risk.greek_quality(pnl.contract_pnl(active.where("BASE")))
+        """Valued contracts of eligible days; one without an exit book is an error,
+        so that no position can silently drop out of a portfolio."""
+        missing = F.raise_error(F.lit("a held contract of an eligible day has no exit quote")).cast("boolean")
+        covered = self.active.where(F.when(F.col("BASE"), F.lit(True)).otherwise(missing))
+        valued = risk.greek_quality(pnl.contract_pnl(covered))
         return cut(risk.without_gaps(valued))
 
     @cached_property
@@ -276,15 +286,18 @@ class Study:
         return cut(risk.portfolio_states(self.contracts, self.controls, self.spots, self.daily))
 
     @cached_property
-    def complete_states(self) -> DataFrame:
-        """State rows of the dates on which every state of every model is available,
-        the panel the paired and family tests need."""
-        whole = self.states.groupBy("entry_date").agg(F.count_if("available").alias("n")).where("n = 12")
-        return self.states.join(whole.select("entry_date"), "entry_date", "left_semi")
+    def live_states(self) -> DataFrame:
+        """State rows of the days on which that model's state is available."""
+        return self.states.where("available")
+
+    @cached_property
+    def eligible_days(self) -> int:
+        """Dates on which any model holds contracts: a complete paired panel has them all for every model."""
+        return self.active.select("entry_date").distinct().count()
 
     @cached_property
     def performance(self) -> DataFrame:
-        return cut(pnl.performance(self.complete_states, ["model", "portfolio_state"], self.inference, with_bootstrap=self.bootstrap))
+        return cut(pnl.performance(self.states, ["model", "portfolio_state"], self.inference, with_bootstrap=self.bootstrap))
 
     # ------------------------------------------------------------ report tables
 
@@ -299,15 +312,15 @@ class Study:
         state_keys = ["model", "portfolio_state"]
         perf = self.performance
         multiple = robustness.multiple_testing(perf)
-        even = robustness.hedge_break_even(self.complete_states, self.spots)
-        stress = robustness.hedge_stress(self.complete_states, self.spots)
+        even = robustness.hedge_break_even(self.live_states, self.spots)
+        stress = robustness.hedge_stress(self.live_states, self.spots)
         levels = robustness.iv_levels(self.surface)
-        regimes = robustness.iv_regimes(self.complete_states, levels, self.splits.fit_end)
-        years = self.complete_states.withColumn("decision_year", F.year("decision_date"))
+        regimes = robustness.iv_regimes(self.live_states, levels, self.splits.fit_end)
+        years = self.live_states.withColumn("decision_year", F.year("decision_date"))
         chain = robustness.full_chain(comparison, ic_summary, signal_summary, perf, multiple, even)
         long = pnl.by_implementation(self.daily, ["model", "entry_date"], ("Return",))
         return {
-            "data_cleaning": cleaning.funnel(self.flagged),
+            "data_cleaning": self.funnel,
             "iv_counts": implied_vol.inversion_counts(self.iv_quotes, self.clean),
             "iv_grid_summary": surface.surface_summary(surface.kept_nodes(self.grid_surface, self.day_stats)),
             "iv_grid_day_stats": self.day_stats,
@@ -344,19 +357,23 @@ class Study:
             "exposure_reduction": risk.exposure_reduction(self.states),
             "signal_alignment": risk.signal_alignment(self.states, self.diagnostics),
             "multiple_testing": multiple,
-            "paired_control_effects": robustness.paired_effects(self.complete_states, self.inference),
+            "paired_control_effects": robustness.paired_effects(self.states, self.inference, self.eligible_days),
             "greek_component_inference": robustness.component_inference(self.attribution),
-            "normalization": robustness.normalisation(self.complete_states, self.daily),
+            "normalization": robustness.normalisation(self.live_states, self.daily),
             "hedge_costs": robustness.hedge_report(even, stress),
-            "subperiods": robustness.stability(years, "decision_year", self.decision_years),
-            "iv_regimes": robustness.stability(self.complete_states.join(regimes, "decision_date"), "IV_regime", ["LOW_IV", "HIGH_IV"], strict=False),
-            "inference_sensitivity": robustness.lag_sensitivity(self.complete_states),
+            "subperiods": robustness.stability(years, "decision_year", self.decision_years, strict=False),
+            "iv_regimes": robustness.stability(self.live_states.join(regimes, "decision_date"), "IV_regime", ["LOW_IV", "HIGH_IV"], strict=False),
+            "inference_sensitivity": robustness.lag_sensitivity(self.live_states),
             "full_chain": chain,
             "model_ranks": robustness.model_ranks(chain),
             "checks": self.invariants(multiple, exposure),
         }
 
-    decision_years = (2023, 2024)
+    @cached_property
+    def decision_years(self) -> list[int]:
+        """All years with decisions (one row each)."""
+        years = self.live_states.select(F.year("decision_date").alias("y")).distinct()
+        return sorted(r["y"] for r in years.collect())
 
     def invariants(self, multiple: DataFrame, exposure: DataFrame) -> DataFrame:
         return checks.invariants(
@@ -365,6 +382,7 @@ class Study:
             self.signals,
             self.trades,
             self.ready,
+            self.active,
             self.contracts,
             self.attribution,
             exposure,

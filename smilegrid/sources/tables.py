@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,17 +47,22 @@ def require_columns(df: DataFrame, names) -> DataFrame:
 def read_quotes_csv(spark: SparkSession, path, schema: T.StructType = QUOTE_SCHEMA) -> DataFrame:
     """Header CSV of end-of-day quotes; columns are matched by header name.
 
-    The explicit schema avoids an inference pass over the whole archive. The
-    header is read first because files may order or extend the columns.
+    The explicit schema avoids an inference pass over the whole archive. `path` is
+    one path or a list of them; the files of a path share one header, which is read
+    first, and different paths may order or extend the columns in different ways. A
+    file whose header differs from its path's is an error, never read by position.
     """
+    if not isinstance(path, str) and isinstance(path, (list, tuple)):
+        return reduce(DataFrame.unionByName, [read_quotes_csv(spark, p, schema) for p in path])
+    path = str(path)
     header = spark.read.option("header", True).csv(path).columns
     known = {f.name: f for f in schema.fields}
     require_columns(spark.createDataFrame([], T.StructType([T.StructField(h.strip(), T.StringType()) for h in header])), known)
     full = T.StructType(
         [T.StructField(h, known[h.strip()].dataType if h.strip() in known else T.StringType()) for h in header]
     )
-    df = normalise_headers(spark.read.schema(full).option("header", True).csv(path))
-    return df.select(*schema.names)
+    named = spark.read.schema(full).option("header", True).option("enforceSchema", False)
+    return normalise_headers(named.csv(path)).select(*schema.names)
 
 
 def read_rates_csv(spark: SparkSession, path) -> DataFrame:
@@ -116,14 +123,14 @@ def read_dates(spark: SparkSession, path, dates: DataFrame, date: str = "date")
     return spark.read.parquet(path).join(wanted, date, "left_semi")
 
 
-def write_report(df: DataFrame, path, fmt: str = "csv", order=()) -> None:
-    """One file per report table. Report tables hold a row per model, state and
-    test, so a single writer is enough; anything larger belongs in `write_table`."""
-    rows = df.limit(100_001).count()
-    if rows > 100_000:
-        raise ValueError("report tables are limited to 100,000 rows; use write_table")
+def write_report(df: DataFrame, path, fmt: str = "csv", order=(), files: int | None = 1) -> None:
+    """A report table in one file, computed once and written as it streams past.
+
+    Report tables hold a row per model, state and test. For a large table give
+    `files=None`: every task then writes its own file, in the given order.
+    """
     out = df.orderBy(*order) if order else df
-    writer = out.coalesce(1).write.mode("overwrite")
+    writer = (out.coalesce(files) if files else out).write.mode("overwrite")
     writer.option("header", True).csv(path) if fmt == "csv" else writer.json(path)
 
 

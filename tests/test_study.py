@@ -27,7 +27,6 @@ def test_whole_study(spark, tmp_path):
         source.sessions,
         Settings(grid=grid, splits=SHORT, signals=RULES, inference=INFERENCE),
     )
-    study.require_full_coverage = False
     study.boost_configs = [{**c, "maxIter": 2} for c in models.BOOST_CONFIGS]
     study.decision_years = (2024,)
     study.bootstrap = False
