@@ -1,404 +1,389 @@
+"""Books, controls and inference on random data, each recomputed here row by row in plain Python."""
+
 import datetime as dt
+import itertools
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from smilegrid.operators import checks, features, models, pnl, risk, robustness, signals, stats
-from smilegrid.settings import STATES, TRADED_MODELS, Inference, Splits
-
-D = dt.date
-NAN = float("nan")
-
-
-# ------------------------------------------------------------------ ledger
-
-
-def test_hand_calculated_ledger(spark):
-    rows = [(2.0, 9.0, 11.0, 12.0, 14.0, D(2024, 1, 4)), (-3.0, 19.0, 21.0, 17.0, 19.0, D(2024, 1, 4))]
-    df = spark.createDataFrame(rows, "weight_at_entry double, entry_bid double, entry_ask double, exit_bid double, exit_ask double, intended_exit_date date")
-    out = pnl.contract_pnl(df.coalesce(1)).collect()
-    column = lambda c: [r[c] for r in out]
-    assert column("pnl_mid") == [6.0, 6.0] and column("pnl_exec") == [2.0, 0.0]
-    assert column("gross_entry_premium_mid_component") == [20.0, 60.0]
-    assert column("gross_entry_premium_exec_component") == [22.0, 57.0]
-    assert column("entry_spread_cost") == [2.0, 3.0] and column("exit_spread_cost") == [2.0, 3.0]
-
-
-def test_execution_never_beats_midpoint(spark):
-    rng = np.random.default_rng(9)
-    b, x = rng.uniform(0.1, 100, 200), rng.uniform(0.1, 100, 200)
-    rows = [(float(w), float(i), float(i + s), float(j), float(j + t), D(2024, 1, 4)) for w, i, s, j, t in zip(rng.normal(size=200), b, rng.uniform(0, 5, 200), x, rng.uniform(0, 8, 200))]
-    df = spark.createDataFrame(rows, "weight_at_entry double, entry_bid double, entry_ask double, exit_bid double, exit_ask double, intended_exit_date date")
-    for r in pnl.contract_pnl(df).collect():
-        assert r.pnl_exec <= r.pnl_mid + 1e-12
-        assert r.cost_wedge_pnl == pytest.approx(r.entry_spread_cost + r.exit_spread_cost, abs=1e-12)
-
-
-def series(spark, values, key="k"):
-    rows = [(key, D(2024, 1, 1) + dt.timedelta(days=i), v) for i, v in enumerate(values)]
-    return spark.createDataFrame(rows, "key string, day date, x double")
-
-
-def test_wealth_guard_and_first_peak(spark):
-    out = stats.return_paths(series(spark, [-0.1, 0.05]), ["key"], "x", "day").orderBy("day").collect()
-    assert [r.wealth for r in out] == pytest.approx([0.9, 0.945]) and min(r.drawdown for r in out) == pytest.approx(-0.1)
-    for bad in ([-0.1, -1.0], [-1.2, 0.2], [None, 0.1], [NAN, 0.1]):
-        assert all(r.wealth is None and r.drawdown is None for r in stats.return_paths(series(spark, bad), ["key"], "x", "day").collect())
-
-
-def test_pairs_use_common_dates(spark):
-    rows = [(m, D(2024, 1, 1) + dt.timedelta(days=i), 0.001 * (i + k), 0.001 * (i + k) - 0.002) for k, m in enumerate(TRADED_MODELS) for i in range(15) if not (m == "ridge" and i == 0)]
-    df = spark.createDataFrame(rows, "model string, entry_date date, Return_mid double, Return_exec double")
-    out = {(r.model_A, r.model_B, r.implementation): r for r in pnl.pairwise_returns(df).collect()}
-    assert out["arima", "ridge", "MID"].n_inference_dates == 14 and out["arima", "xgboost", "MID"].n_inference_dates == 15
-    assert out["arima", "xgboost", "BID_ASK"].mean_difference == pytest.approx(-0.002)
-
-
-def test_negative_midpoint_value_has_no_loss_fraction(spark):
-    df = spark.createDataFrame([("arima", -2.0, -3.0, 0.4, 0.6, 1.0, 0.1)], "model string, PnL_mid double, PnL_exec double, entry_spread_cost double, exit_spread_cost double, cost_wedge_pnl double, cost_wedge_return double")
-    assert pnl.cost_wedge(df).first().fraction_midpoint_economic_value_lost is None
-
-
-# ------------------------------------------------------------------ risk
-
-GREEK_SCHEMA = "model string, entry_date date, contract_key string, signed_weight double, entry_Delta double, entry_Gamma double, entry_Vega double, entry_Theta double"
-
-
-def positions(spark, vega=100.0, weights=(0.2, 0.1, -0.1, -0.2)):
-    rows = [("arima", D(2024, 1, 5), k, w, d, 0.01, v, -1.0) for k, w, d, v in zip("abcd", weights, (0.5, 0.2, -0.3, -0.4), (vega, 200.0, 400.0, 300.0))]
-    return spark.createDataFrame(rows, GREEK_SCHEMA)
-
-
-def test_vega_scaling_by_hand(spark):
-    c = positions(spark)
-    d = risk.entry_controls(c)
-    row = d.first()
-    assert (row.LongVega, row.ShortVegaMagnitude, row.a_L, row.a_S) == (40.0, 100.0, 1.0, 0.4)
-    assert row.hedge_quantity == pytest.approx(-0.23)
-    w = {r.contract_key: r for r in risk.vega_weights(c, d).collect()}
-    assert [w[k].w_vega for k in "abcd"] == pytest.approx([0.2, 0.1, -0.04, -0.08])
-    assert sum(r.w_vega * r.entry_Vega for r in w.values()) == pytest.approx(0.0)
-
-
-@pytest.mark.parametrize("vega", [0.0, -1.0, None, NAN, float("inf")])
-def test_invalid_vega_makes_balance_unavailable(spark, vega):
-    c = positions(spark, vega)
-    d = risk.entry_controls(c)
-    assert not d.first().vega_balance_available
-    assert all(r.w_vega is None for r in risk.vega_weights(c, d).collect())
-
-
-def test_one_sided_book_and_post_entry_data(spark):
-    assert not risk.entry_controls(positions(spark, weights=(0.2, 0.1, 0.1, 0.2))).first().vega_balance_available
-    c = positions(spark)
-    later = c.withColumns({"exit_spot": F.lit(1e15), "pnl_mid": F.lit(999.0), "exit_bid": F.lit(None).cast("double")})
-    assert risk.entry_controls(c).collect() == risk.entry_controls(later).collect()
+from smilegrid.operators import checks, pnl, risk, robustness, signals, stats
+from smilegrid.settings import STATE_PAIRS, STATES, TRADED_MODELS
+
+FIRST = dt.date(2022, 11, 7)
+QUOTES = ("entry_bid", "entry_ask", "exit_bid", "exit_ask")
+GREEKS = ("Delta", "Gamma", "Vega", "Theta")
+
+
+def day(n):
+    return FIRST + dt.timedelta(days=n)
+
+
+def book(seed, per_day=7, days=3):
+    """Positions of two models: one dict per contract held."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for model, n in itertools.product(("ridge", "xgboost"), range(days)):
+        move = rng.normal(0, 3)
+        for k in range(per_day):
+            low, later = rng.uniform(1, 40, 2)
+            rows.append(
+                {
+                    "model": model,
+                    "entry_date": day(3 * n),
+                    "decision_date": day(3 * n - 1),
+                    "intended_exit_date": day(3 * n + 2),
+                    "contract_key": f"c{k}",
+                    "underlying_symbol": "SPX",
+                    "signed_weight": float((-1) ** k * rng.uniform(0.01, 0.4)),
+                    "entry_bid": float(low),
+                    "entry_ask": float(low + rng.uniform(0, 2)),
+                    "exit_bid": float(later),
+                    "exit_ask": float(later + rng.uniform(0, 2)),
+                    "entry_spot": 80.0 + n,
+                    "exit_spot": float(80.0 + n + move),
+                    **{f"entry_{g}": float(rng.uniform(0.1, 9) * (1 if g == "Vega" else rng.choice([-1, 1]))) for g in GREEKS},
+                }
+            )
+    return rows
+
+
+def frame(spark, rows):
+    kinds = {dt.date: "date", float: "double", str: "string", int: "long"}
+    names = list(rows[0])
+    kind = {c: next((kinds[type(r[c])] for r in rows if r[c] is not None), "double") for c in names}
+    return spark.createDataFrame([tuple(r[c] for c in names) for r in rows], ", ".join(f"{c} {kind[c]}" for c in names))
+
+
+def valued(spark, rows):
+    return pnl.contract_pnl(frame(spark, rows).withColumn("weight_at_entry", F.col("signed_weight")))
+
+
+def results(r):
+    """Midpoint and executed result and premium of one position."""
+    w = r["signed_weight"]
+    mid_in, mid_out = (r["entry_bid"] + r["entry_ask"]) / 2, (r["exit_bid"] + r["exit_ask"]) / 2
+    paid, got = (r["entry_ask"], r["exit_bid"]) if w > 0 else (r["entry_bid"], r["exit_ask"])
+    return {"mid": w * (mid_out - mid_in), "exec": w * (got - paid), "premium": abs(w) * mid_in, "premium_exec": abs(w) * paid}
+
+
+def by_day(rows):
+    out = {}
+    for r in rows:
+        out.setdefault((r["model"], r["entry_date"]), []).append(r)
+    return out
 
 
-def ledger(spark, vega=100.0):
-    c = positions(spark, vega).withColumns(
-        {
-            "weight_at_entry": F.col("signed_weight"),
-            "entry_bid": F.lit(10.0),
-            "entry_ask": F.lit(12.0),
-            "exit_bid": F.lit(11.0),
-            "exit_ask": F.lit(13.0),
-            "entry_spot": F.lit(100.0),
-            "exit_spot": F.lit(102.0),
-            "underlying_symbol": F.lit("^SPX"),
-            "decision_date": F.lit(D(2024, 1, 4)),
-            "intended_exit_date": F.lit(D(2024, 1, 8)),
-        }
-    )
-    base = spark.createDataFrame(
-        [("arima", D(2024, 1, 5), D(2024, 1, 4), D(2024, 1, 8), 0.0, -1.2, 6.6, 6.6, 0.0, -1.2 / 6.6, 4)],
+def test_positions_are_valued_at_midpoints_and_at_the_touch(spark):
+    rows = book(1)
+    found = {(r.model, r.entry_date, r.contract_key): r for r in valued(spark, rows).collect()}
+    for r in rows:
+        got, want = found[r["model"], r["entry_date"], r["contract_key"]], results(r)
+        assert [got.pnl_mid, got.pnl_exec] == pytest.approx([want["mid"], want["exec"]])
+        assert [got.gross_entry_premium_mid_component, got.gross_entry_premium_exec_component] == pytest.approx([want["premium"], want["premium_exec"]])
+        half = [abs(r["signed_weight"]) * (r[f"{at}_ask"] - r[f"{at}_bid"]) / 2 for at in ("entry", "exit")]
+        assert [got.entry_spread_cost, got.exit_spread_cost] == pytest.approx(half)
+        assert want["mid"] - want["exec"] == pytest.approx(sum(half))
+
+
+def scales(positions):
+    sides = [sum(abs(r["signed_weight"]) * r["entry_Vega"] for r in positions if r["signed_weight"] * s > 0) for s in (1, -1)]
+    return [min(sides) / side for side in sides]
+
+
+def test_vega_balance_scales_the_larger_side_down(spark):
+    rows = book(2)
+    controls = risk.entry_controls(frame(spark, rows))
+    found = {(r.model, r.entry_date): r for r in controls.collect()}
+    for key, positions in by_day(rows).items():
+        assert [found[key].a_L, found[key].a_S] == pytest.approx(scales(positions)) and max(scales(positions)) == 1.0
+        for g in GREEKS:
+            assert found[key][f"Net{g}"] == pytest.approx(sum(r["signed_weight"] * r[f"entry_{g}"] for r in positions))
+        assert found[key].hedge_quantity == -found[key].NetDelta
+    balanced = risk.vega_weights(frame(spark, rows), controls).groupBy("model", "entry_date").agg(F.sum(F.col("w_vega") * F.col("entry_Vega")).alias("net"))
+    assert all(abs(r.net) < 1e-9 for r in balanced.collect())
+
+
+@pytest.mark.parametrize("bad", [None, -0.5, 0.0, math.nan, -math.inf])
+def test_one_bad_vega_closes_the_balance_of_its_day_only(spark, bad):
+    rows = book(3)
+    broken = rows[4] | {"entry_Vega": bad}
+    open_days = {(r.model, r.entry_date): r.vega_balance_available for r in risk.entry_controls(frame(spark, rows[:4] + [broken] + rows[5:])).collect()}
+    assert [k for k, ok in open_days.items() if not ok] == [(broken["model"], broken["entry_date"])]
+
+
+def test_a_book_of_longs_has_no_balance(spark):
+    longs = [r | {"signed_weight": abs(r["signed_weight"])} for r in book(4)]
+    assert not any(r.vega_balance_available for r in risk.entry_controls(frame(spark, longs)).collect())
+
+
+def baseline(spark, rows):
+    out = []
+    for (model, entry), positions in by_day(rows).items():
+        each = [results(r) for r in positions]
+        sums = [sum(x[c] for x in each) for c in ("mid", "exec", "premium", "premium_exec")]
+        out.append((model, entry, entry, entry, *sums, sums[0] / sums[2], sums[1] / sums[3], len(each)))
+    return spark.createDataFrame(
+        out,
         "model string, entry_date date, decision_date date, exit_date date, PnL_mid double, PnL_exec double, GrossPremium_mid double, GrossPremium_exec double, Return_mid double, Return_exec double, number_contracts long",
     )
-    return pnl.contract_pnl(c), base
-
-
-def test_four_states_by_hand(spark):
-    c, base = ledger(spark)
-    out = {r.portfolio_state: r for r in risk.portfolio_states(c, risk.entry_controls(c), risk.spot_by_day(c), base).collect()}
-    assert out["DELTA_NEUTRAL"].PnL_mid == pytest.approx(-0.46) and out["DELTA_NEUTRAL"].GrossPremium_mid == pytest.approx(6.6)
-    vb, joint = out["VEGA_BALANCED"], out["VEGA_BALANCED_DELTA_NEUTRAL"]
-    assert [vb.PnL_mid, vb.PnL_exec, vb.GrossPremium_mid, vb.GrossPremium_exec] == pytest.approx([0.18, -0.66, 4.62, 4.80])
-    assert [joint.PnL_mid, joint.PnL_exec] == pytest.approx([-0.148, -0.988])
-
-
-def test_unavailable_days_keep_null_results(spark):
-    c, base = ledger(spark, vega=None)
-    out = risk.portfolio_states(c, risk.entry_controls(c), risk.spot_by_day(c), base).collect()
-    assert len(out) == 4
-    for r in out:
-        if r.portfolio_state.startswith("VEGA"):
-            assert not r.available and r.PnL_mid is None and r.Return_exec is None
-
-
-def test_disagreeing_spots_are_not_averaged(spark):
-    c, _ = ledger(spark)
-    c = c.withColumn("entry_spot", F.when(F.col("contract_key") == "d", 100.1).otherwise(100.0))
-    day = risk.spot_by_day(c).first()
-    assert not day.spot_valid and day.S_entry is None and day.entry_spot_dispersion == pytest.approx(0.1)
-    assert not all(r.valid for r in risk.spot_by_underlying(c).collect())
-
-
-def test_theta_runs_on_calendar_days(spark):
-    c, _ = ledger(spark)
-    c = c.where("contract_key = 'a'").withColumns(
-        {
-            "strike": F.lit(100.0),
-            "option_type": F.lit("C"),
-            "entry_T": F.lit(0.2),
-            "entry_r": F.lit(0.03),
-            "entry_q": F.lit(0.0),
-            "entry_implied_vol": F.lit(0.2),
-            "entry_source_observation_count": F.lit(1),
-            "all_entry_greeks_finite": F.lit(True),
-            "entry_greeks_quality_valid": F.lit(True),
-            "exit_quote_source": F.lit("RAW_1545_RECOVERED"),
-        }
+
+
+def states(spark, rows):
+    contracts = valued(spark, rows)
+    out = risk.portfolio_states(contracts, risk.entry_controls(contracts), risk.spot_by_day(contracts), baseline(spark, rows))
+    return {(r.model, r.entry_date, r.portfolio_state): r for r in out.collect()}
+
+
+def test_four_states_add_up(spark):
+    rows = book(5)
+    found = states(spark, rows)
+    assert len(found) == 6 * 4
+    for key, positions in by_day(rows).items():
+        long, short = scales(positions)
+        for state in STATES:
+            kept = [long if r["signed_weight"] > 0 else short for r in positions] if state.startswith("VEGA") else [1.0] * len(positions)
+            mid = sum(k * results(r)["mid"] for k, r in zip(kept, positions, strict=True))
+            premium = sum(k * results(r)["premium"] for k, r in zip(kept, positions, strict=True))
+            if state.endswith("DELTA_NEUTRAL"):
+                delta = sum(k * r["signed_weight"] * r["entry_Delta"] for k, r in zip(kept, positions, strict=True))
+                mid -= delta * (positions[0]["exit_spot"] - positions[0]["entry_spot"])
+            got = found[*key, state]
+            assert [got.PnL_mid, got.GrossPremium_mid, got.Return_mid] == pytest.approx([mid, premium, mid / premium])
+
+
+def test_days_that_cannot_be_controlled_stay_without_results(spark):
+    rows = book(6)
+    rows[0]["entry_Vega"] = None  # no balance on the first day
+    rows[-1]["exit_spot"] += 0.01  # spots disagree on the last one
+    found = states(spark, rows)
+    first, last = (rows[0]["model"], rows[0]["entry_date"]), (rows[-1]["model"], rows[-1]["entry_date"])
+    shut = {k for k, r in found.items() if not r.available}
+    assert shut == {(*first, s) for s in STATES if s.startswith("VEGA")} | {(*last, s) for s in STATES if s.endswith("DELTA_NEUTRAL")}
+    assert all(found[k].PnL_mid is None and found[k].Return_exec is None for k in shut)
+    spot = {(r.model, r.entry_date): r for r in risk.spot_by_day(valued(spark, rows)).collect()}[last]
+    assert spot.S_exit is None and spot.S_entry == rows[-1]["entry_spot"] and not spot.spot_valid
+
+
+def test_unavailable_days_count_in_the_share_not_in_the_sample(spark):
+    rng = np.random.default_rng(7)
+    rows = [("ridge", s, day(n), n % k != 1, float(rng.normal()), 5) for s, k in zip(STATES, (99, 2, 3, 5)) for n in range(30)]
+    df = spark.createDataFrame(rows, "model string, portfolio_state string, entry_date date, available boolean, x double, number_contracts long")
+    df = df.withColumns({f"{c}_{i}": F.when(F.col("available"), F.col("x") / 100) for c in ("Return", "PnL", "GrossPremium") for i in ("mid", "exec")})
+    out = {r.portfolio_state: r for r in pnl.performance(df, ["model", "portfolio_state"], with_bootstrap=False).where("implementation = 'MID'").collect()}
+    for state in STATES:
+        live = [r[3] for r in rows if r[1] == state]
+        assert out[state].n_days == sum(live) and out[state].unavailable_day_pct == pytest.approx(100 * (1 - sum(live) / 30))
+
+
+def test_theta_runs_on_the_calendar(spark):
+    rows = [r | {"intended_exit_date": r["entry_date"] + dt.timedelta(days=n)} for r, n in zip(book(8, per_day=5, days=1), (1, 2, 3, 4, 5) * 2)]
+    more = {"strike": 80.0, "option_type": "C", "entry_T": 0.3, "entry_r": 0.01, "entry_q": 0.0, "entry_implied_vol": 0.2, "exit_quote_source": "NONE"}
+    contracts = pnl.contract_pnl(
+        frame(spark, [r | more for r in rows]).withColumns(
+            {"weight_at_entry": F.col("signed_weight"), "entry_source_observation_count": F.lit(1), "all_entry_greeks_finite": F.lit(True), "entry_greeks_quality_valid": F.lit(True)}
+        )
     )
-    empty = spark.createDataFrame([], "quote_date date, contract_key string, implied_vol double, T double, r double, q double, mid double, bid double, ask double, source_observation_count long")
-    a = risk.attribution(c, risk.spot_by_day(c), empty).first()
-    assert a.dt_years == pytest.approx(3 / 365) and a.Theta_component == pytest.approx(-0.2 * 3 / 365)
-    assert a.Delta_component + a.Gamma_component + a.Theta_component + a.DGT_residual == pytest.approx(a.pnl_mid)
-    assert not a.DGVT_available and a.Vega_component is None
+    none = spark.createDataFrame([], "quote_date date, contract_key string, implied_vol double, T double, r double, q double, mid double, bid double, ask double, source_observation_count long")
+    found = {(r.model, r.contract_key): r for r in risk.attribution(contracts, risk.spot_by_day(contracts), none).collect()}
+    for r in rows:
+        got = found[r["model"], r["contract_key"]]
+        days = (r["intended_exit_date"] - r["entry_date"]).days
+        assert got.Theta_component == pytest.approx(r["signed_weight"] * r["entry_Theta"] * days / 365)
+        assert got.Delta_component == pytest.approx(r["signed_weight"] * r["entry_Delta"] * (r["exit_spot"] - r["entry_spot"]))
+        assert got.Vega_component is None and got.DGT_residual == pytest.approx(got.pnl_mid - got.Delta_component - got.Gamma_component - got.Theta_component)
 
 
 # ------------------------------------------------------------------ signals
 
 
-def cross_section(spark):
-    n = 50
-    change = np.linspace(-0.01, 0.01, n)
-    rows = [(D(2024, 1, 2), D(2024, 1, 3), D(2024, 1, 4), f"n{i:03d}", float(np.linspace(-0.2, 0.2, n)[i]), 0.2, 0.2, "central", "short", 0.2, 0.2, 0.2, *[0.2 + float(change[i])] * 3) for i in range(n)]
+def cross_section(spark, seed, nodes=70):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for n in range(nodes):
+        near, far = rng.uniform(0.1, 0.4, 3), rng.uniform(0.1, 0.4, 3)
+        rows.append((day(0), day(1), day(2), f"n{n:02d}", float(n), 0.3, 0.2, "a", "b", *map(float, near), *map(float, far)))
     names = "decision_date date, entry_date date, intended_exit_date date, node string, log_moneyness double, T double, observed_iv_at_decision double, moneyness_region string, maturity_region string, "
-    names += ", ".join(f"forecast_{m}_h{h} double" for h in (1, 2) for m in TRADED_MODELS)
-    return signals.candidates(spark.createDataFrame(rows, names))
-
-
-def test_selection_ignores_poisoned_outcomes(spark):
-    frame = cross_section(spark)
-    ranked = signals.rank_signals(frame)
-    assert {r.model: r.n for r in ranked.groupBy("model").agg(F.count_if("selected").alias("n")).collect()} == dict.fromkeys(TRADED_MODELS, 20)
-    assert ranked.where("selection_rank > 10").count() > 0
-    poisoned = frame.withColumns({"actual_iv_entry": F.lit(None).cast("double"), "actual_iv_exit": F.lit(1e12), "future": F.lit(False)})
-    assert checks.same_frames("s", ranked, signals.rank_signals(poisoned)).first().status == "PASS"
-
-
-def test_flat_cross_section_scores_zero(spark):
-    frame = cross_section(spark).withColumn("forecast_ridge_holding_change", F.lit(0.001))
-    z = signals.rank_signals(frame).where("model = 'ridge'")
-    assert {(r.z_score, r.signal) for r in z.collect()} == {(0.0, 0)}
-
-
-def test_netting_cancels_and_conserves(spark):
-    rows = [("ridge", D(2024, 1, 3), k, "MAPPED", w, s, n) for k, w, s, n in (("a", 0.05, 1, "n1"), ("a", -0.05, -1, "n2"), ("b", 0.05, 1, "n3"), ("b", 0.05, 1, "n4"))]
+    return rows, spark.createDataFrame(rows, names + ", ".join(f"forecast_{m}_h{h} double" for h in (1, 2) for m in TRADED_MODELS))
+
+
+def test_selection_against_a_plain_ranking(spark):
+    rows, df = cross_section(spark, 11)
+    found = {(r.model, r.node): (r.signal, r.selection_rank) for r in signals.rank_signals(signals.candidates(df)).collect()}
+    for k, model in enumerate(TRADED_MODELS):
+        change = np.array([r[12 + k] - r[9 + k] for r in rows])
+        z = (change - change.mean()) / change.std(ddof=1)
+        for side in (1, -1):
+            order = [i for i in np.argsort(-side * z) if side * z[i] >= 0.5]
+            for rank, i in enumerate(order, 1):
+                assert found[model, rows[i][3]] == (side if rank <= 10 else 0, rank)
+
+
+def test_selection_does_not_read_outcomes_and_needs_spread(spark):
+    _, df = cross_section(spark, 12)
+    ready = signals.candidates(df)
+    noisy = ready.withColumns({c: F.rand(3) * 1e6 for c in ("actual_iv_entry", "actual_iv_exit", "actual_holding_change")})
+    assert checks.same_frames("selection", signals.rank_signals(ready), signals.rank_signals(noisy)).first().status == "PASS"
+    level = ready.withColumn(f"forecast_{TRADED_MODELS[0]}_holding_change", F.lit(-0.02))
+    flat = signals.rank_signals(level).where(F.col("model") == TRADED_MODELS[0])
+    assert {(r.z_score, r.signal, r.selection_rank) for r in flat.collect()} == {(0.0, 0, None)}
+
+
+def test_netting_sums_signed_weights_per_contract(spark):
+    rng = np.random.default_rng(13)
+    rows = [("ridge", day(1), f"c{rng.integers(6)}", "MAPPED", float(s) / 8, int(s), f"n{n:02d}") for n, s in enumerate(rng.choice([-1, 1], 40))]
     df = spark.createDataFrame(rows, "model string, entry_date date, contract_key string, entry_mapping_status string, weight_at_entry double, signal int, node string")
-    net = {r.contract_key: r for r in signals.net_contracts(df).collect()}
-    assert not net["a"].nonzero_net_position and net["a"].opposing_signals and net["a"].netting_status == "FULLY_CANCELLED"
-    assert net["b"].weight_at_entry == pytest.approx(0.1) and net["b"].mapped_nodes == "n3;n4"
+    for r in signals.net_contracts(df).collect():
+        own = [x for x in rows if x[2] == r.contract_key]
+        total = sum(x[4] for x in own)
+        assert r.weight_at_entry == total and r.nonzero_net_position == (total != 0) and r.node_gross_weight == len(own) / 8
+        assert r.opposing_signals == (len({x[5] for x in own}) == 2) and r.mapped_nodes == ";".join(sorted(x[6] for x in own))
 
 
 # ------------------------------------------------------------------ inference
 
 
-def test_hac_against_the_bartlett_formula(spark):
-    x = np.random.default_rng(8).normal(size=60)
-    u = x - x.mean()
-    meat = u @ u + 2 * sum((1 - k / 6) * (u[k:] @ u[:-k]) for k in range(1, 6))
-    row = stats.hac_test(series(spark, [float(v) for v in x]), ["key"], "x", "day").first()
-    assert row.HAC_standard_error == pytest.approx(np.sqrt(meat / 60 / 59), abs=1e-12)
-    short = stats.hac_test(series(spark, [1.0] * 6), ["key"], "x", "day").first()
-    assert short.HAC_t_stat is None
-    with pytest.raises(Exception, match="inference sample"):
-        stats.hac_test(series(spark, [1.0] * 6), ["key"], "x", "day", strict=True).collect()
-
-
-def p_values(spark, ps):
-    return spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "i int, raw_p double").withColumn("f", F.lit(1))
-
+def series(spark, values, key="k"):
+    return spark.createDataFrame([(key, day(i), v) for i, v in enumerate(values)], "key string, day date, x double")
+
+
+def test_wealth_compounds_from_one_and_stops_at_ruin(spark):
+    x = np.random.default_rng(14).normal(-0.01, 0.1, 40)
+    paths = stats.return_paths(series(spark, x.tolist()), ["key"], "x", "day").orderBy("day").collect()
+    wealth = np.cumprod(1 + x)
+    peak = np.maximum.accumulate(np.concatenate([[1.0], wealth]))[1:]
+    assert [r.wealth for r in paths] == pytest.approx(wealth.tolist()) and [r.drawdown for r in paths] == pytest.approx((wealth / peak - 1).tolist())
+    for spoiled in (-1.0, -3.5, None, math.nan):
+        again = x.tolist()[:9] + [spoiled]
+        assert {r.wealth for r in stats.return_paths(series(spark, again), ["key"], "x", "day").collect()} == {None}
+
+
+def test_hac_is_a_weighted_quadratic_form(spark):
+    rng = np.random.default_rng(15)
+    x = np.convolve(rng.normal(size=50), [1, 0.6, 0.3], "valid")
+    for lag in (0, 3, 7):
+        n = len(x)
+        kernel = np.maximum(0, 1 - np.abs(np.subtract.outer(np.arange(n), np.arange(n))) / (lag + 1))
+        u = x - x.mean()
+        row = stats.hac_test(series(spark, x.tolist()), ["key"], "x", "day", lag).first()
+        assert row.HAC_standard_error == pytest.approx(math.sqrt(u @ kernel @ u / n / (n - 1)), rel=1e-10)
+
+
+def test_adjusted_p_values_follow_their_definitions(spark):
+    for seed in (16, 17):
+        p = np.random.default_rng(seed).choice([0.001, 0.01, 0.02, 0.02, 0.3, 0.7, 1.0], 9)
+        df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)], "i int, raw_p double").withColumn("f", F.lit(1))
+        out = stats.with_adjusted_p(df, ["f"], tie=["i"]).orderBy("i").collect()
+        order = sorted(range(9), key=lambda i: (p[i], i))
+        place = {i: k for k, i in enumerate(order, 1)}
+        for i in range(9):
+            holm = max(min(1.0, (9 - place[j] + 1) * p[j]) for j in range(9) if place[j] <= place[i])
+            rate = min(min(1.0, 9 * p[j] / place[j]) for j in range(9) if place[j] >= place[i])
+            assert [out[i].holm_adjusted_p, out[i].BH_adjusted_p] == pytest.approx([holm, rate])
+
+
+@pytest.mark.parametrize("bad", [1.0001, -1e-9, None, math.nan])
+def test_families_of_improper_p_values_are_refused(spark, bad):
+    df = spark.createDataFrame([(0.5, 1), (bad, 1)], "raw_p double, f int")
+    with pytest.raises(Exception, match="outside 0 to 1"):
+        stats.with_adjusted_p(df, ["f"]).collect()
+
+
+def test_pairs_are_compared_on_shared_dates(spark):
+    rng = np.random.default_rng(18)
+    held = {m: {n: (float(rng.normal()), float(rng.normal())) for n in range(40) if rng.random() < 0.8} for m in TRADED_MODELS}
+    rows = [(m, day(n), *v) for m, days in held.items() for n, v in days.items()]
+    df = spark.createDataFrame(rows, "model string, entry_date date, Return_mid double, Return_exec double")
+    found = pnl.pairwise_returns(df).collect()
+    assert len(found) == 6
+    for r in found:
+        shared = held[r.model_A].keys() & held[r.model_B].keys()
+        side = 0 if r.implementation == "MID" else 1
+        want = np.mean([held[r.model_A][n][side] - held[r.model_B][n][side] for n in shared])
+        assert r.n_inference_dates == len(shared) and r.mean_difference == pytest.approx(want)
 
-def test_holm_and_benjamini_hochberg_by_hand(spark):
-    out = stats.with_adjusted_p(p_values(spark, [0.01, 0.04, 0.03, 0.2]), ["f"], tie=["i"]).orderBy("i").collect()
-    assert [r.holm_adjusted_p for r in out] == pytest.approx([0.04, 0.09, 0.09, 0.2])
-    assert [r.BH_adjusted_p for r in out] == pytest.approx([0.04, 0.16 / 3, 0.16 / 3, 0.2])
-    for bad in ([None, 0.1], [NAN, 0.1], [-0.1, 0.1], [1.1, 0.1]):
-        with pytest.raises(Exception, match="correction-family"):
-            stats.with_adjusted_p(p_values(spark, bad), ["f"]).collect()
 
+@pytest.mark.parametrize("total", [-7.0, 0.0, 12.0])
+def test_cost_share_needs_a_gain_to_lose_from(spark, total):
+    df = spark.createDataFrame([("ridge", total, total - 3, 1.25, 1.75, 3.0, 0.2)], "model string, PnL_mid double, PnL_exec double, entry_spread_cost double, exit_spread_cost double, cost_wedge_pnl double, cost_wedge_return double")
+    assert pnl.cost_wedge(df).first().fraction_midpoint_economic_value_lost == (0.25 if total > 0 else None)
 
-def test_bootstrap_sums_against_explicit_resampling(spark):
-    import hashlib
 
-    x = np.random.default_rng(7).normal(0.01, 0.1, 23)
-    for block in (5, 10, 40):
-        got = {r.rep: r.x for r in stats.resampled_sums(series(spark, [float(v) for v in x]), ["key"], ["x"], "day", block, 20).collect()}
-        for rep in range(20):
-            places = []
-            for k in range(-(-23 // block)):
-                start = int(hashlib.md5(f"42-{rep}-{k}".encode()).hexdigest()[:8], 16) % 23
-                places += [(start + j) % 23 for j in range(block)]
-            assert got[rep] == pytest.approx(x[places[:23]].sum(), abs=1e-12)
+# ------------------------------------------------------------------ robustness
 
 
-def cost_days(spark, sign=1.0):
-    days = [D(2024, 1, 2), D(2024, 1, 3)]
-    rows = [("arima", d, "DELTA_NEUTRAL", h, sign * p, g, sign * 0.1, e, ge) for d, h, p, g, e, ge in zip(days, (-1.0, 1.0), (1.0, 3.0), (10.0, 30.0), (0.5, 2.5), (11.0, 31.0))]
+def hedged_days(spark, seed, drift):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for n in range(25):
+        gain, premium = float(drift + rng.normal(0, 0.1)), float(rng.uniform(5, 30))
+        rows.append(("ridge", day(n), "DELTA_NEUTRAL", float(rng.normal()), gain, premium, gain / premium, gain - 0.1, premium + 0.2))
     df = spark.createDataFrame(rows, "model string, entry_date date, portfolio_state string, hedge_quantity double, PnL_mid double, GrossPremium_mid double, Return_mid double, PnL_exec double, GrossPremium_exec double")
-    return df, spark.createDataFrame([("arima", d, 100.0) for d in days], "model string, entry_date date, S_entry double")
-
-
-def test_cost_roots(spark):
-    c = robustness.hedge_break_even(*cost_days(spark)).first()
-    assert [c.break_even_bps_per_side, c.aggregate_break_even_bps_per_side] == pytest.approx([75.0, 100.0])
-    s = robustness.hedge_stress(*cost_days(spark)).where("bps_per_side = 0.5").first()
-    assert s.mean_MID_after_hypothetical_cost == pytest.approx(0.1 - (2 * 5e-5 * 100 / 10 + 2 * 5e-5 * 100 / 30) / 2)
-    zero = robustness.hedge_break_even(*cost_days(spark, -1.0)).first()
-    assert zero.break_even_bps_per_side == 0.0 and not zero.positive_mean_friction_budget
-
-
-def test_normalisation_by_hand(spark):
-    days = [D(2024, 1, 2), D(2024, 1, 3)]
-    rows = [("arima", d, "VEGA_BALANCED", p, e, g, ge, p / g, e / ge) for d, p, e, g, ge in zip(days, (2.0, -1.0), (1.0, -2.0), (2.0, 10.0), (3.0, 11.0))]
-    df = spark.createDataFrame(rows, "model string, entry_date date, portfolio_state string, PnL_mid double, PnL_exec double, GrossPremium_mid double, GrossPremium_exec double, Return_mid double, Return_exec double")
-    base = spark.createDataFrame([("arima", d, 10.0, 10.0) for d in days], "model string, entry_date date, GrossPremium_mid double, GrossPremium_exec double")
-    a = robustness.normalisation(df, base).where("implementation = 'MID'").first()
-    assert [a.primary_mean_daily_ratio, a.mean_Return_common_denom, a.pooled_premium_return] == pytest.approx([0.45, 0.05, 1 / 12])
-
-
-def test_paired_effects_need_the_whole_panel(spark):
-    rows = [("arima", D(2023, 1, 2) + dt.timedelta(days=i), s, 0.001 * (i % 7) * (j + 1)) for i in range(20) for j, s in enumerate(STATES)]
-    df = spark.createDataFrame(rows, "model string, entry_date date, portfolio_state string, Return_mid double")
-    assert robustness.paired_effects(df, expected_days=20, with_bootstrap=False).count() == 4
-    for broken, days in ((df, 21), (df.withColumn("Return_mid", F.when(F.col("entry_date") > D(2023, 1, 3), F.col("Return_mid"))), 20)):
-        with pytest.raises(Exception, match="same complete"):
-            robustness.paired_effects(broken, expected_days=days, with_bootstrap=False).collect()
-
-
-def test_regime_threshold_ignores_the_future(spark):
-    days = [D(2023, 4, 19), D(2023, 4, 20), D(2023, 4, 21), D(2023, 4, 24), D(2023, 4, 25)]
-    wide = lambda vs: spark.createDataFrame([(d, n, v) for d, v in zip(days, vs) for n in ("a", "b")], "quote_date date, node string, iv_grid double")
-    decisions = spark.createDataFrame([(days[3],), (days[4],)], "decision_date date")
-    levels = robustness.iv_levels(wide([0.1, 0.2, 0.3, 0.5, 0.05]))
-    info = robustness.regime_threshold(levels, days[2]).first()
-    assert (info.threshold, info.pretest_n_dates) == (pytest.approx(0.2), 3)
-    labels = robustness.iv_regimes(decisions, levels, days[2]).orderBy("decision_date").collect()
-    assert [r.IV_regime for r in labels] == ["HIGH_IV", "LOW_IV"]
-    later = robustness.regime_threshold(robustness.iv_levels(wide([0.1, 0.2, 0.3, 999.0, 999.0])), days[2]).first()
-    assert later.threshold == info.threshold
-    with pytest.raises(Exception, match="regime label"):
-        robustness.iv_regimes(spark.createDataFrame([(D(2023, 5, 1),)], "decision_date date"), levels, days[2]).collect()
-
-
-def test_validated_join_rejects_duplicates_and_unmatched(spark):
-    left = spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string")
-    right = spark.createDataFrame([(1, 1.0), (1, 2.0)], "k int, b double")
-    with pytest.raises(checks.DuplicateKeys):
-        checks.validated_join(left, right, ["k"])
-    with pytest.raises(Exception, match="unmatched"):
-        checks.validated_join(left, right.limit(1), ["k"], matched=True).collect()
-
-
-def test_table_diff_reports_cells(spark):
-    a = spark.createDataFrame([("m", 1.0, None), ("n", 2.0, 3.0)], "model string, x double, y double")
-    b = spark.createDataFrame([("m", 1.0, None), ("n", 2.5, 3.0)], "model string, x double, y double")
-    out = {r.result_name: r.status for r in checks.table_diff(a, b, ["model"]).collect()}
-    assert out["x[model=n]"] == "FAIL" and [v for k, v in out.items() if k != "x[model=n]"] == ["PASS"] * 4
-
-
-# ------------------------------------------------------------------ models
-
-
-def business_days(n):
-    out, d = [], D(2024, 1, 2)
-    while len(out) < n:
-        if d.weekday() < 5:
-            out.append(d)
-        d += dt.timedelta(days=1)
-    return out
-
-
-def walk(n=100, gaps=(12, 72)):
-    x = 0.2 + np.cumsum(np.random.default_rng(4).normal(0, 0.002, n))
-    x[list(gaps)] = np.nan
-    return x
-
-
-@pytest.mark.parametrize("order", [(1, 0, 0), (2, 0, 0), (1, 1, 0), (1, 0, 1), (2, 0, 1)])
-def test_two_step_forecast_ignores_what_follows(order):
-    x = walk()
-    params = models._estimate(x[:60], order)
-    full = models._filtered(x, order, params, 2)[70]
-    cut = x.copy()
-    cut[71:] = np.nan
-    assert models._filtered(cut, order, params, 2)[70] == pytest.approx(full, abs=1e-12)
-
-
-def test_first_order_forecast_is_the_coefficient_times_the_value():
-    x = walk(gaps=())
-    phi = models._estimate(x[:60], (1, 0, 0))
-    assert phi[0] == pytest.approx((x[1:60] @ x[:59]) / (x[:59] @ x[:59]))
-    assert models._filtered(x, (1, 0, 0), phi, 1)[70] == pytest.approx(phi[0] * x[70], abs=1e-9)
-    level = models._filtered(x, (1, 1, 0), models._estimate(x[:60], (1, 1, 0)), 1)[70]
-    step = models._estimate(x[:60], (1, 1, 0))[0]
-    assert level == pytest.approx(x[70] + step * (x[70] - x[69]), abs=1e-5)
-
-
-def panel(spark, n=120):
-    days = business_days(n)
-    rows = [(d, node, None if np.isnan(v) else float(v)) for node, shift in (("p", 0.0), ("q", 0.05)) for d, v in zip(days, walk(n) + shift)]
-    df = spark.createDataFrame(rows, "quote_date date, node string, iv_grid double")
-    from smilegrid.operators.calendar import calendar_table
-
-    calendar = calendar_table(spark.createDataFrame([(d, True) for d in days], "session date, is_1545_open boolean"))
-    return df, calendar, Splits(train_end=days[70], fit_end=days[100], min_train=40, min_validation=10, min_arma_train=40)
-
-
-def test_purged_validation_window(spark):
-    df, calendar, splits = panel(spark)
-    for h in (1, 2):
-        masked = features.split_masks(features.lag_features(df, calendar, h), splits)
-        row = masked.agg(
-            F.min(F.when(F.col("is_validation"), F.col("quote_date"))).alias("a"),
-            F.max(F.when(F.col("is_train"), F.col("target_date"))).alias("b"),
-            F.max(F.when(F.col("is_final"), F.col("target_date"))).alias("c"),
-        ).first()
-        assert row.a >= splits.train_end and row.b <= splits.train_end and row.c <= splits.fit_end
-
-
-def test_ridge_matches_a_direct_solution(spark):
-    df, calendar, splits = panel(spark)
-    masked = features.split_masks(features.lag_features(df, calendar, 1), splits)
-    fit = masked.where("is_final AND node = 'p'").orderBy("quote_date").toPandas()
-    raw = fit[features.FEATURES].to_numpy(dtype=float)
-    x = np.hstack([np.where(np.isnan(raw), np.nanmedian(raw, axis=0), raw), np.isnan(raw).astype(float)])
-    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
-    z = np.column_stack([np.ones(len(x)), (x - x.mean(axis=0)) / scale])
-    penalty = np.diag([0.0] + [10.0] * x.shape[1])
-    beta = np.linalg.solve(z.T @ z + penalty, z.T @ fit["label"].to_numpy())
-    fits = models.ridge_fits(masked.where("is_final"), (10.0,))
-    got = models.ridge_predict(masked.where("is_final AND node = 'p'"), fits).orderBy("quote_date").toPandas()["prediction"]
-    np.testing.assert_allclose(got.to_numpy(), z @ beta, atol=1e-10)
-
-
-def test_forecasts_need_history(spark):
-    df, calendar, splits = panel(spark)
-    masked = features.split_masks(features.lag_features(df, calendar, 1), splits)
-    ready = models.ridge_forecast(masked, splits)
-    assert ready.where("forecast IS NULL").count() == 0 and {r.status for r in ready.select("status").distinct().collect()} == {"OK"}
-    starved = models.ridge_forecast(masked, Splits(train_end=splits.train_end, fit_end=splits.fit_end, min_train=500))
-    assert {(r.status, r.forecast) for r in starved.select("status", "forecast").distinct().collect()} == {("INSUFFICIENT_HISTORICAL_LABELS", None)}
-    arma = models.arma_forecast(df, splits, 2)
-    assert arma.where("status = 'OK' AND forecast IS NOT NULL").count() == 240
-    short = models.arma_forecast(df, Splits(train_end=splits.train_end, fit_end=splits.fit_end, min_arma_train=500))
-    assert {r.status for r in short.select("status").distinct().collect()} == {"INSUFFICIENT_HISTORICAL_LABELS"}
-
-
-def test_selection_rules(spark):
-    rows = [("n", 0, "a", 1.0, 0.5), ("n", 1, "b", 1.0 + 5e-6, 0.4), ("n", 2, "c", float("inf"), 0.1)]
-    losses = spark.createDataFrame(rows, "node string, position int, candidate string, rmse double, mae double")
-    assert models.select_candidate(losses, ["node"]).first().candidate == "a"
-    assert models.select_candidate(losses, ["node"], "near_tie").first().candidate == "b"
+    return df, spark.createDataFrame([("ridge", day(n), 50.0 + n) for n in range(25)], "model string, entry_date date, S_entry double")
+
+
+def test_results_vanish_at_the_break_even_cost(spark):
+    days = hedged_days(spark, 19, 1.0)
+    even = robustness.hedge_break_even(*days).first()
+    at_mean, at_total = (robustness.hedge_stress(*days, bps=[b]).first() for b in (even.break_even_bps_per_side, even.aggregate_break_even_bps_per_side))
+    assert at_mean.mean_MID_after_hypothetical_cost == pytest.approx(0, abs=1e-12) and even.positive_mean_friction_budget
+    assert at_total.total_MID_pnl_after_hypothetical_cost == pytest.approx(0, abs=1e-9)
+    assert even.break_even_bps_round_trip == 2 * even.break_even_bps_per_side
+    loss = robustness.hedge_break_even(*hedged_days(spark, 20, -1.0)).first()
+    assert (loss.break_even_bps_per_side, loss.aggregate_break_even_bps_per_side, loss.positive_mean_friction_budget) == (0.0, 0.0, False)
+
+
+def test_normalisation_uses_one_denominator_for_both(spark):
+    df, _ = hedged_days(spark, 21, 0.4)
+    rows = df.collect()
+    base = [(r.model, r.entry_date, r.GrossPremium_mid * 1.5, r.GrossPremium_exec * 2) for r in rows]
+    df = df.withColumn("Return_exec", F.col("PnL_exec") / F.col("GrossPremium_exec"))
+    found = {r.implementation: r for r in robustness.normalisation(df, spark.createDataFrame(base, "model string, entry_date date, GrossPremium_mid double, GrossPremium_exec double")).collect()}
+    for name, s in (("MID", "mid"), ("BID_ASK", "exec")):
+        gains, own = [r[f"PnL_{s}"] for r in rows], [r[f"GrossPremium_{s}"] for r in rows]
+        assert found[name].mean_Return_common_denom == pytest.approx(np.mean([g / b[2] for g, b in zip(gains, base, strict=True)]))
+        assert found[name].primary_mean_daily_ratio == pytest.approx(np.mean(np.divide(gains, own)))
+        assert found[name].pooled_premium_return == pytest.approx(sum(gains) / sum(own))
+
+
+def state_panel(spark, days, missing=()):
+    rng = np.random.default_rng(22)
+    rows = [("xgboost", day(n), s, None if (n, s) in missing else float(rng.normal(0, 0.02))) for n in range(days) for s in STATES]
+    return spark.createDataFrame(rows, "model string, entry_date date, portfolio_state string, Return_mid double")
+
+
+def test_paired_tests_take_the_whole_panel_or_none(spark):
+    full = state_panel(spark, 26)
+    wide = {(r.entry_date, r.portfolio_state): r.Return_mid for r in full.collect()}
+    found = {(r.target_state, r.reference_state): r for r in robustness.paired_effects(full, expected_days=26, with_bootstrap=False).collect()}
+    assert set(found) == set(STATE_PAIRS)
+    for (a, b), r in found.items():
+        assert r["mean"] == pytest.approx(np.mean([wide[day(n), a] - wide[day(n), b] for n in range(26)]))
+    for panel, days in ((state_panel(spark, 26, {(4, STATES[2])}), 26), (full, 27), (full, 25)):
+        with pytest.raises(Exception, match="complete"):
+            robustness.paired_effects(panel, expected_days=days, with_bootstrap=False).collect()
+
+
+def test_regimes_split_at_the_median_before_the_cutoff(spark):
+    rng = np.random.default_rng(23)
+    iv = rng.uniform(0.1, 0.5, (30, 5))
+    rows = [(day(n), f"n{k}", float(iv[n, k])) for n in range(30) for k in range(5)]
+    surface = spark.createDataFrame(rows, "quote_date date, node string, iv_grid double")
+    decisions = surface.select(F.col("quote_date").alias("decision_date")).distinct().where(F.col("quote_date") > day(17))
+    middle = np.median(np.median(iv, axis=1)[:18])
+    labels = {r.decision_date: r.IV_regime for r in robustness.iv_regimes(decisions, robustness.iv_levels(surface), day(17)).collect()}
+    assert labels == {day(n): "LOW_IV" if np.median(iv[n]) <= middle else "HIGH_IV" for n in range(18, 30)}
+    scrambled = surface.withColumn("iv_grid", F.when(F.col("quote_date") > day(17), 7.0 - F.col("iv_grid")).otherwise(F.col("iv_grid")))
+    assert robustness.regime_threshold(robustness.iv_levels(scrambled), day(17)).first().threshold == pytest.approx(middle)
+    with pytest.raises(Exception, match="decision date"):
+        robustness.iv_regimes(spark.createDataFrame([(day(99),)], "decision_date date"), robustness.iv_levels(surface), day(17)).collect()
+
+
+def test_coverage_check_fails_when_one_exit_is_missing(spark):
+    active = spark.createDataFrame([(True,), (True,)], "BASE boolean")
+    count = lambda df: checks._count(df, "coverage", ~F.coalesce(F.col("BASE"), F.lit(False))).first()
+    assert (count(active).violations, count(active).status) == (0, "PASS")
+    for missing in (False, None):
+        broken = active.unionByName(spark.createDataFrame([(missing,)], "BASE boolean"))
+        assert (count(broken).violations, count(broken).status) == (1, "FAIL")
