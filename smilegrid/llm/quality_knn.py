@@ -23,7 +23,7 @@ from .bytewords import SPACED, text_bytes, words
 from .tables import load
 
 #: Most labelled rows that a model is fitted on; beyond it those of the smallest id hashes are taken.
-MAX_LABELLED = 8_000
+MAX_LABELLED = 5_000
 DIMENSIONS = 32
 NEIGHBOURS = 15
 #: Similarities vote with this power.
@@ -32,7 +32,7 @@ SHARPNESS = 4
 SMOOTHING = 100.0
 KEEP_FROM = 0.7
 
-_CLASSES, _HASHED = 10, 512
+_CLASSES, _HASHED = 10, 256
 CHUNK_BYTES, BLOCK_ROWS = 2 << 20, 256
 
 
@@ -61,7 +61,7 @@ def profiles(column: pa.Array) -> np.ndarray:
         code = (kinds[:-2] * np.uint32(_CLASSES**2) + kinds[1:-1] * np.uint32(_CLASSES) + kinds[2:])[whole]
         out[:, : _CLASSES**3] = np.bincount(owner * np.uint32(_CLASSES**3) + code, minlength=n * _CLASSES**3).reshape(n, -1)
         wide = data.astype(np.uint32)
-        code = ((wide[:-2] | (wide[1:-1] << np.uint32(8)) | (wide[2:] << np.uint32(16))) * np.uint32(2654435761) >> np.uint32(23))[whole]
+        code = ((wide[:-2] | (wide[1:-1] << np.uint32(8)) | (wide[2:] << np.uint32(16))) * np.uint32(2654435761) >> np.uint32(24))[whole]
         out[:, _CLASSES**3 : -3] = np.bincount(owner * np.uint32(_HASHED) + code, minlength=n * _HASHED).reshape(n, -1)
     found = words(column, SPACED)
     owner = np.repeat(np.arange(n, dtype=np.uint64), found.counts)
@@ -88,14 +88,15 @@ class Model:
         return float(self.labels.mean()) if len(self.labels) else 0.5
 
     def features(self, counts: np.ndarray) -> np.ndarray:
-        def smooth(part: slice) -> np.ndarray:
-            own = counts[:, part]
-            return np.sqrt((own + SMOOTHING * self.average[part]) / (own.sum(axis=1, keepdims=True) + SMOOTHING))
-
+        out = np.empty(counts.shape, np.float32)
+        for part, weight in ((slice(0, _CLASSES**3), 1.0), (slice(_CLASSES**3, WIDTH - 3), 0.5)):
+            own = np.add(counts[:, part], np.float32(SMOOTHING) * self.average[part], out=out[:, part])
+            own /= counts[:, part].sum(axis=1, keepdims=True) + np.float32(SMOOTHING)
+            np.sqrt(own, out=own)
+            own *= np.float32(weight)
         n, again, distinct = counts[:, -3], counts[:, -2], counts[:, -1]
-        shape = np.stack([np.sqrt((again + 0.1) / (n + 10)), np.sqrt((distinct + 5) / (n + 5)), np.log1p(n) / 20], axis=1)
-        classes, hashed = slice(0, _CLASSES**3), slice(_CLASSES**3, WIDTH - 3)
-        return np.hstack([smooth(classes), 0.5 * smooth(hashed), shape]).astype(np.float32)
+        out[:, -3:] = np.stack([np.sqrt((again + 0.1) / (n + 10)), np.sqrt((distinct + 5) / (n + 5)), np.log1p(n) / 20], axis=1)
+        return out
 
     def project(self, counts: np.ndarray) -> np.ndarray:
         latent = (self.features(counts) - self.centre) @ self.basis
@@ -150,25 +151,27 @@ def fit(
             yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in counts], pa.binary()), part.column("label")], ["counts", "label"])
 
     # Rows of one id may repeat, so the bound holds for what arrives here too.
-    rows = sample.mapInArrow(run, "counts binary, label double").limit(most).collect()
-    counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.float32).reshape(-1, WIDTH)
-    order = np.lexsort(counts.T[-3:]) if len(rows) else np.empty(0, np.int64)
-    return fit_counts(counts[order], np.array([r["label"] for r in rows])[order])
+    counts, known = np.empty((most, WIDTH), np.float32), []
+    for row in sample.mapInArrow(run, "counts binary, label double").limit(most).toLocalIterator():
+        counts[len(known)] = np.frombuffer(row["counts"], np.float32)
+        known.append(row["label"])
+    order = np.lexsort(counts[: len(known)].T[-3:]) if known else np.empty(0, np.int64)
+    return fit_counts(counts[order], np.array(known, dtype=float)[order])
 
 
 def fit_counts(counts: np.ndarray, labels: np.ndarray) -> Model:
     def share(part: np.ndarray) -> np.ndarray:
-        return part.sum(axis=0) / max(1.0, float(part.sum()))
+        return (part.sum(axis=0, dtype=np.float64) / max(1.0, float(part.sum(dtype=np.float64)))).astype(np.float32)
 
     split = _CLASSES**3
-    average = np.concatenate([share(counts[:, :split]), share(counts[:, split:-3]), np.zeros(3)])
+    average = np.concatenate([share(counts[:, :split]), share(counts[:, split:-3]), np.zeros(3, np.float32)])
     model = Model(average, np.zeros(WIDTH, np.float32), np.zeros((WIDTH, DIMENSIONS), np.float32), np.empty((0, DIMENSIONS), np.float32), np.empty(0))
     if not len(labels):
         return model
     features = model.features(counts)
     model.centre = features.mean(axis=0)
-    spread = (features - model.centre).T @ (features - model.centre)
-    _, vectors = np.linalg.eigh(spread.astype(np.float64))
+    features -= model.centre
+    _, vectors = np.linalg.eigh((features.T @ features).astype(np.float64))
     model.basis = np.ascontiguousarray(vectors[:, ::-1][:, :DIMENSIONS]).astype(np.float32)
     model.vectors = model.project(counts)
     model.labels = labels
