@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from smilegrid.functions import numeric as N
+from smilegrid.functions import text as X
 from smilegrid.operators import calendar as cal
 from smilegrid.operators import cleaning, delaunay, implied_vol, mapping, nearest, quotes, surface
 from smilegrid.settings import DIVIDEND, NO_QUOTE, PROCESSED, RATE_DATE, RECOVERED, TENOR_COLUMNS, Grid
@@ -18,38 +19,6 @@ def rates(spark, rows):
     return spark.createDataFrame(rows, ", ".join(f"`{n}` {'date' if n == RATE_DATE else 'double'}" for n in names))
 
 
-def raw_small(spark):
-    text = "2024-01-02"
-    rows = [("spx", text, "spx", "2024-04-02", 100.0, "C", v, 1, b, 5.5, 99.0, 101.0, b, 5.5) for b, v in ((5.0, 1), (0.0, 1), (5.0, 0))]
-    return spark.createDataFrame(rows, tables.QUOTE_SCHEMA.simpleString().replace("struct<", "").rstrip(">").replace("underlying_symbol:string,quote_date:string,root:string,expiration:string,strike:double,option_type:string,trade_volume:bigint,open_interest:bigint,", "underlying_symbol string, quote_date string, root string, expiration string, strike double, option_type string, trade_volume long, open_interest long, ").replace(":", " "))
-
-
-def test_small_cleaning_sample(spark):
-    flat = rates(spark, [(D(2024, 1, 2), *[0.0] * 7)])
-    flagged = cleaning.with_first_failure(raw_small(spark), flat)
-    counts = cleaning.cleaning_counts(flagged).first()
-    assert (counts.input, counts.dropped_basic, counts.kept_basic) == (3, 2, 1)
-    row = cleaning.kept(flagged).first()
-    assert row.mid == 5.25 and row.r_annual == 0.0
-    assert {r.status for r in cleaning.conservation(cleaning.cleaning_counts(flagged)).collect()} == {"PASS"}
-
-
-def test_first_broken_rule_wins(spark):
-    flat = rates(spark, [(D(2024, 1, 2), *[0.0] * 7)])
-    base = raw_small(spark).limit(1)
-    change = {
-        "bad_dates": {"quote_date": F.lit("n/a")},
-        "t_window": {"expiration": F.lit("2024-01-10")},
-        "no_rates": {"quote_date": F.lit("03/01/2024")},
-        "moneyness": {"strike": F.lit(130.0)},
-        "spread": {"ask_1545": F.lit(9.0)},
-        "option_type": {"option_type": F.lit("x")},
-        "lower_bound": {"strike": F.lit(90.0)},
-    }
-    for rule, columns in change.items():
-        assert cleaning.with_first_failure(base.withColumns(columns), flat).first().first_fail == rule
-
-
 def test_rate_gaps_are_linear_in_calendar_time(spark):
     t = lambda d, v, q: (D(2024, 1, d), q, *[v] * 6)
     rows = [t(1, None, None), t(2, 1.0, 5.0), t(3, None, None), t(8, 7.0, None), t(9, None, 6.0)]
@@ -57,59 +26,6 @@ def test_rate_gaps_are_linear_in_calendar_time(spark):
     assert out == {1: (1.0, 5.0), 2: (1.0, 5.0), 3: (2.0, 5.0), 8: (7.0, 5.0), 9: (7.0, 6.0)}
 
 
-def test_inversion_round_trip_and_unsolvable(spark):
-    rows = [(100.0, k, 0.4, 0.03, 0.01, 0.27, o) for k in (85.0, 105.0, 118.0) for o in ("C", "P")]
-    df = spark.createDataFrame(rows, "spot double, strike double, T double, r_annual double, q_annual double, v double, option_type string")
-    df = N.with_option_price(df, "mid", "spot", "strike", "T", "r_annual", "q_annual", "v", F.col("option_type") == "C")
-    df = df.withColumns({"quote_date": F.lit(D(2024, 1, 2)), "expiration": F.date_add(F.lit(D(2024, 1, 2)), 146)})
-    out = implied_vol.invert(df).collect()
-    assert [r.implied_vol for r in out] == pytest.approx([0.27] * 6, abs=1e-9)
-    bad = implied_vol.invert(df.withColumn("mid", F.lit(-1.0)))
-    counts = implied_vol.inversion_counts(bad.unionByName(implied_vol.invert(df)), df.withColumn("mid", F.lit(1.0)).unionByName(df)).first()
-    assert (counts.valid, counts.solver_failure, counts.invalid_input) == (6, 6, 0)
-
-
-def test_missing_market_inputs_are_derived(spark):
-    df = raw_small(spark).limit(1)
-    out = implied_vol.with_market_inputs(df, rates(spark, [(D(2024, 1, 2), *[0.0] * 7)])).first()
-    assert (out.spot, out.mid, out.r_annual, out.q_annual) == (100.0, 5.25, 0.0, 0.0)
-    with pytest.raises(ValueError):
-        implied_vol.with_market_inputs(df)
-
-
-SMALL = Grid(x_min=0.0, x_max=0.2, x_points=2, t_min=0.2, t_max=0.3, t_points=2, min_points_day=4)
-
-
-def day_points(spark):
-    rows = [(-0.1, 0.1, 0.1), (-0.1, 0.1, 0.3), (0.1, 0.1, 0.2), (-0.1, 0.3, 0.2), (0.1, 0.3, 0.2)]
-    return spark.createDataFrame([(D(2024, 1, 2), *r) for r in rows], "quote_date date, log_moneyness double, T double, implied_vol double")
-
-
-@pytest.mark.parametrize("method", ["separable", "delaunay"])
-def test_surface_median_and_no_extrapolation(spark, method):
-    locations = surface.unique_locations(day_points(spark))
-    out = {r.node: r.iv_grid for r in surface.build_surface(locations, SMALL, method).collect()}
-    assert out["iv_x00_t00"] == pytest.approx(0.2)
-    assert out["iv_x01_t00"] is None
-    stats = surface.day_stats(locations, surface.build_surface(locations, SMALL, method), SMALL).first()
-    assert (stats.n_obs_raw, stats.n_obs_unique, stats.status, stats.coverage) == (5, 4, "kept", 0.5)
-
-
-def test_days_with_few_points_are_skipped(spark):
-    locations = surface.unique_locations(day_points(spark))
-    strict = Grid(min_points_day=10)
-    nodes = surface.build_surface(locations, strict)
-    assert nodes.count() == 0
-    assert surface.day_stats(locations, nodes, strict).first().status == "skipped_min_points"
-
-
-def test_grid_coordinates(spark):
-    rows = surface.grid_nodes(spark).collect()
-    assert [r.node for r in rows[:2]] == ["iv_x00_t00", "iv_x01_t00"] and rows[-1].node == "iv_x24_t19" and len(rows) == 500
-    assert [r.log_moneyness for r in rows] == pytest.approx(list(np.tile(np.linspace(-0.22, 0.18, 25), 20)), abs=1e-15)
-    assert [r.T for r in rows] == pytest.approx(list(np.repeat(np.linspace(0.08, 1.0, 20), 25)), abs=1e-15)
-
-
 def random_day(n, seed):
     rng = np.random.default_rng(seed)
     return np.column_stack([rng.uniform(-0.3, 0.3, n), rng.uniform(0.02, 1.2, n)])
@@ -156,114 +72,270 @@ def test_nearest_against_exhaustive_search(spark):
         assert got[f"n{i}"] == (f"k{distance.argmin():03d}", pytest.approx(distance.min()))
 
 
-def test_smoothing_identity_and_constant(spark):
-    nodes = surface.build_surface(surface.unique_locations(day_points(spark)), SMALL)
-    assert surface.smooth(nodes, 0.0, SMALL) is nodes
-    out = [r.iv_grid for r in surface.smooth(nodes, 0.7, SMALL).collect()]
-    assert out == pytest.approx([0.2] * 4)
+# ------------------------------------------------------------------ cleaning
 
+MONDAY = D(2022, 11, 7)
+QUOTE = [f.name for f in tables.QUOTE_SCHEMA.fields]
 
-# ------------------------------------------------------------------ mapping
 
+def archive(seed, n=400):
+    """Raw quotes around every cleaning limit, as dicts."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for _ in range(n):
+        mid, spot = rng.uniform(0.5, 30), rng.uniform(70, 90)
+        width = mid * rng.choice([0.02, 0.15, 0.19, 0.21, 0.6])
+        day = MONDAY + dt.timedelta(days=int(rng.integers(0, 4)))
+        rows.append(
+            {
+                "underlying_symbol": "spx",
+                "quote_date": str(rng.choice([day.isoformat(), day.strftime("%d/%m/%Y"), "soon"], p=[0.7, 0.25, 0.05])),
+                "root": "SPX",
+                "expiration": (day + dt.timedelta(days=int(rng.choice([13, 14, 60, 200, 365, 366])))).isoformat(),
+                "strike": float(spot * rng.choice([0.79, 0.81, 1.0, 1.19, 1.21])),
+                "option_type": str(rng.choice(["c", "P", "X"], p=[0.45, 0.45, 0.1])),
+                "trade_volume": int(rng.choice([0, 1, 9], p=[0.1, 0.45, 0.45])),
+                "open_interest": int(rng.choice([0, 2], p=[0.1, 0.9])),
+                "bid_1545": float(mid - width / 2),
+                "ask_1545": float(mid + width / 2),
+                "underlying_bid_1545": float(spot - 0.1),
+                "underlying_ask_1545": float(spot + 0.1),
+                "bid_eod": 1.0,
+                "ask_eod": 2.0,
+            }
+        )
+    return rows
+
+
+def as_frame(spark, rows):
+    return spark.createDataFrame([tuple(r[c] for c in QUOTE) for r in rows], tables.QUOTE_SCHEMA)
+
+
+def parsed(text):
+    for style in ("%Y-%m-%d", "%d/%m/%Y"):
+        try:
+            return dt.datetime.strptime(text, style).date()
+        except ValueError:
+            pass
+    return None
+
+
+def first_failure(r, rate_days):
+    """The first rule a quote breaks, at zero rates."""
+    day, mid = parsed(r["quote_date"]), (r["bid_1545"] + r["ask_1545"]) / 2
+    spot = (r["underlying_bid_1545"] + r["underlying_ask_1545"]) / 2
+    if not (r["bid_1545"] > 0 and r["ask_1545"] > r["bid_1545"] and r["trade_volume"] > 0 and r["open_interest"] > 0):
+        return "basic"
+    if day is None:
+        return "bad_dates"
+    if not 14 <= (parsed(r["expiration"]) - day).days <= 365:
+        return "t_window"
+    if day not in rate_days:
+        return "no_rates"
+    if not 0.8 <= r["strike"] / spot <= 1.2:
+        return "moneyness"
+    if (r["ask_1545"] - r["bid_1545"]) / mid > 0.2:
+        return "spread"
+    if r["option_type"].upper() not in "CP":
+        return "option_type"
+    bound = max(0.0, (spot - r["strike"]) * (1 if r["option_type"].upper() == "C" else -1))
+    return "lower_bound" if mid + 1e-4 < bound else None
+
+
+def test_funnel_against_plain_rules(spark):
+    rows = archive(31)
+    days = [MONDAY, MONDAY + dt.timedelta(days=1), MONDAY + dt.timedelta(days=3)]
+    flat = rates(spark, [(d, *[0.0] * 7) for d in days])
+    want = [first_failure(r, days) for r in rows]
+    flagged = cleaning.with_first_failure(as_frame(spark, rows), flat)
+    assert sorted(map(str, (r.first_fail for r in flagged.collect()))) == sorted(map(str, want))
+    assert len(set(want)) == 9
+    removed = {r.step: r.rows_removed for r in cleaning.funnel(flagged).collect()}
+    assert removed == {name: want.count(name) for name, _ in cleaning.FUNNEL}
+    counts = cleaning.cleaning_counts(flagged)
+    assert counts.first().kept_basic == want.count(None)
+    assert {r.status for r in cleaning.conservation(counts).collect()} == {"PASS"}
+    again = cleaning.funnel_of(spark, counts.first().asDict())
+    assert again.collect() == cleaning.funnel(flagged).collect()
+
+
+def test_inversion_recovers_random_volatilities(spark):
+    rng = np.random.default_rng(32)
+    rows = [(float(rng.uniform(50, 150)), float(rng.uniform(0.85, 1.15)), int(rng.integers(20, 360)), float(rng.uniform(0, 0.05)), 0.015, float(rng.uniform(0.1, 0.6)), o) for o in "CP" * 20]
+    df = spark.createDataFrame(rows, "spot double, moneyness double, days int, r_annual double, q_annual double, v double, option_type string")
+    df = df.withColumns({"T": F.col("days") / 365.0, "strike": F.col("spot") * F.col("moneyness"), "quote_date": F.lit(MONDAY), "expiration": F.date_add(F.lit(MONDAY), F.col("days"))})
+    df = N.with_option_price(df, "mid", "spot", "strike", "T", "r_annual", "q_annual", "v", F.col("option_type") == "C")
+    solved = implied_vol.invert(df)
+    assert all(r.implied_vol == pytest.approx(r.v, abs=1e-7) for r in solved.collect())
+    worthless = df.withColumn("mid", F.lit(-0.25))
+    counts = implied_vol.inversion_counts(implied_vol.invert(worthless).unionByName(solved), worthless.withColumn("mid", F.lit(0.25)).unionByName(df)).first()
+    assert (counts.valid, counts.solver_failure, counts.invalid_input) == (40, 40, 0)
 
-def market(spark, date, keys=("b", "a")):
-    rows = [(date, k, "SPX", "SPX", D(2024, 4, 3), 100.0, "C", 1.0, 2.0, 1.5, 100.0, 0.2, 0.2, 0.0, 0.0, 1.0, 1.0, 0.0, 1) for k in keys]
-    return spark.createDataFrame(
-        rows,
-        "quote_date date, contract_key string, underlying_symbol string, root string, expiration date, strike double, option_type string, bid double, ask double, mid double, spot double, implied_vol double, T double, r double, q double, trade_volume double, open_interest double, log_moneyness double, source_observation_count long",
-    )
 
+def test_market_inputs_need_rates(spark):
+    one = as_frame(spark, archive(33, 1)).withColumn("quote_date", F.lit(MONDAY.isoformat()))
+    row = implied_vol.with_market_inputs(one, rates(spark, [(MONDAY, *[0.0] * 7)])).first()
+    assert row.spot == pytest.approx((row.underlying_bid_1545 + row.underlying_ask_1545) / 2) and (row.r_annual, row.q_annual) == (0.0, 0.0)
+    with pytest.raises(ValueError):
+        implied_vol.with_market_inputs(one)
 
-def selected(spark, signals=(1,)):
-    rows = [("ridge", D(2024, 1, 2), D(2024, 1, 3), f"n{i}", 0.0, 0.2, s) for i, s in enumerate(signals)]
-    return spark.createDataFrame(rows, "model string, decision_date date, entry_date date, node string, log_moneyness double, T double, signal int")
 
+# ------------------------------------------------------------------ surfaces
 
-def sessions(spark, closed=()):
-    days = [D(2024, 1, 2), D(2024, 1, 3), D(2024, 1, 4)]
-    return cal.calendar_table(spark.createDataFrame([(d, d not in closed) for d in days], "session date, is_1545_open boolean"))
+COARSE = Grid(x_min=-0.3, x_max=0.3, x_points=7, t_min=0.1, t_max=0.9, t_points=5, min_points_day=6)
 
 
-def test_mapping_tie_goes_to_smallest_key(spark):
-    out = mapping.map_entry(selected(spark), market(spark, D(2024, 1, 3)), sessions(spark)).first()
-    assert (out.contract_key, out.entry_mapping_status, out.entry_execution_price) == ("a", "MAPPED", 2.0)
+def tilted(spark, n=5):
+    """Quotes on a lattice, three at each place, whose median lies on a plane."""
+    rows = []
+    for x in np.linspace(-0.25, 0.25, n):
+        for t in np.linspace(0.05, 1.0, n):
+            level = 0.3 + 0.4 * x - 0.1 * t
+            rows += [(MONDAY, float(x), float(t), float(v)) for v in (level - 0.02, level, level + 0.09)]
+    return spark.createDataFrame(rows, "quote_date date, log_moneyness double, T double, implied_vol double")
 
 
-def test_quotes_of_another_date_never_map(spark):
-    out = mapping.map_entry(selected(spark), market(spark, D(2024, 1, 4)), sessions(spark)).first()
-    assert (out.contract_key, out.entry_mapping_status) == (None, "NO_ENTRY_MARKET")
-    shut = mapping.map_entry(selected(spark), market(spark, D(2024, 1, 3)), sessions(spark, [D(2024, 1, 3)])).first()
-    assert shut.entry_mapping_status == "MARKET_CLOSED_AT_1545"
+@pytest.mark.parametrize("method", ["separable", "delaunay"])
+def test_surfaces_reproduce_a_plane_inside_the_quotes_only(spark, method):
+    locations = surface.unique_locations(tilted(spark))
+    nodes = surface.build_surface(locations, COARSE, method)
+    places = {r.node: (r.log_moneyness, r.T) for r in surface.grid_nodes(spark, COARSE).collect()}
+    found = {r.node: r.iv_grid for r in nodes.collect()}
+    for node, (x, t) in places.items():
+        inside = abs(x) <= 0.25 and 0.05 <= t <= 1.0
+        assert found[node] == (pytest.approx(0.3 + 0.4 * x - 0.1 * t) if inside else None)
+    day = surface.day_stats(locations, nodes, COARSE).first()
+    assert (day.n_obs_raw, day.n_obs_unique, day.status) == (75, 25, "kept") and day.coverage == pytest.approx(25 / 35)
+    assert surface.smooth(nodes, 0.0, COARSE) is nodes
+
+
+def test_thin_days_have_no_surface(spark):
+    locations = surface.unique_locations(tilted(spark))
+    strict = Grid(min_points_day=26)
+    assert surface.build_surface(locations, strict).count() == 0
+    assert surface.day_stats(locations, surface.build_surface(locations, strict), strict).first().status == "skipped_min_points"
+
+
+def test_default_grid_is_evenly_spaced(spark):
+    rows = surface.grid_nodes(spark).collect()
+    xs, ts = sorted({round(r.log_moneyness, 12) for r in rows}), sorted({round(r.T, 12) for r in rows})
+    assert (len(rows), len(xs), len(ts)) == (500, 25, 20) and len({r.node for r in rows}) == 500
+    assert np.ptp(np.diff(xs)) < 1e-11 and np.ptp(np.diff(ts)) < 1e-11
 
 
-def test_weights_are_half_per_side(spark):
-    base = selected(spark, (1, 1, -1)).withColumn("entry_mapping_status", F.lit("MAPPED"))
-    assert sorted(r.weight_at_entry for r in mapping.lock_weights(base).collect()) == [-0.5, 0.25, 0.25]
-    one = mapping.lock_weights(base.where("signal = 1")).collect()
-    assert {(r.weight_at_entry, r.entry_weight_status) for r in one} == {(0.0, "NO_BOTH_SIDES_AT_ENTRY")}
+# ------------------------------------------------------------------ mapping
 
 
-# ------------------------------------------------------------------ exit quotes
+def offers(spark, day, places):
+    """A market with contracts at the given (key, log-moneyness, maturity)."""
+    schema = "quote_date date, contract_key string, underlying_symbol string, root string, expiration date, strike double, option_type string, bid double, ask double, mid double, spot double, implied_vol double, T double, r double, q double, trade_volume double, open_interest double, log_moneyness double, source_observation_count long"
+    rows = [(day, k, "SPX", "SPX", D(2023, 3, 17), 80.0, "P", 3.0, 3.5, 3.25, 82.0, 0.25, float(t), 0.01, 0.0, 4.0, 6.0, float(x), 1) for k, x, t in places]
+    return spark.createDataFrame(rows, schema)
 
 
-def exit_inputs(spark):
-    day = D(2024, 1, 4)
-    required = spark.createDataFrame([(day, k) for k in "abc"], "intended_exit_date date, contract_key string")
-    processed = spark.createDataFrame([(day, "a", 1.0, 2.0, 1.0)], "quote_date date, contract_key string, bid double, ask double, trade_volume double")
-    raw = spark.createDataFrame(
-        [(day, "a", 9.0, 10.0, 0.0, 0.0), (day, "b", 3.0, 3.0, 0.0, 0.0), (day, "c", 4.0, 8.0, 0.0, 0.0)],
-        "quote_date date, contract_key string, bid_1545 double, ask_1545 double, trade_volume double, open_interest double",
-    )
-    return required, processed, raw
+def wishes(spark, signals):
+    rows = [("arima", MONDAY, MONDAY + dt.timedelta(days=1), f"n{i}", 0.05, 0.4, s) for i, s in enumerate(signals)]
+    return spark.createDataFrame(rows, "model string, decision_date date, entry_date date, node string, log_moneyness double, T double, signal int")
 
 
-def test_processed_quote_has_priority(spark):
-    out = {r.contract_key: r for r in quotes.choose_quotes(*exit_inputs(spark), sessions(spark)).collect()}
-    assert [out[k].exit_quote_source for k in "abc"] == [PROCESSED, RECOVERED, RECOVERED]
-    assert out["a"].exit_bid == 1.0 and all(out[k].BASE for k in "abc")
-    assert not out["c"].STRICT_20 and not out["b"].POSITIVE_VOLUME and out["b"].zero_volume_flag
+def week(spark, short=()):
+    days = [MONDAY + dt.timedelta(days=i) for i in range(5)]
+    return cal.calendar_table(spark.createDataFrame([(d, i not in short) for i, d in enumerate(days)], "session date, is_1545_open boolean"))
 
 
-def test_no_other_date_contract_or_closing_price(spark):
-    required, processed, raw = exit_inputs(spark)
-    moved = raw.withColumns(
-        {
-            "quote_date": F.when(F.col("contract_key") == "b", F.date_add("quote_date", 1)).otherwise(F.col("quote_date")),
-            "contract_key": F.when(F.col("contract_key") == "c", F.lit("another")).otherwise(F.col("contract_key")),
-            "bid_eod": F.lit(100.0),
-            "ask_eod": F.lit(101.0),
-        }
-    )
-    out = {r.contract_key: r for r in quotes.choose_quotes(required, processed, moved, sessions(spark)).collect()}
-    assert [out[k].BASE for k in "abc"] == [True, False, False] and out["b"].exit_quote_source == NO_QUOTE
+def test_equally_near_contracts_are_chosen_by_key(spark):
+    entry = MONDAY + dt.timedelta(days=1)
+    ring = [("z", 0.05 + 0.02, 0.4), ("m", 0.05 - 0.02, 0.4), ("q", 0.05, 0.45), ("far", 0.2, 0.4)]
+    out = mapping.map_entry(wishes(spark, [1]), offers(spark, entry, ring), week(spark)).first()
+    assert out.contract_key == "m" and out.entry_mapping_status == "MAPPED" and out.mapping_distance == pytest.approx(1.0)
+    assert mapping.map_entry(wishes(spark, [-1]), offers(spark, entry, ring[2:]), week(spark)).first().entry_execution_price == 3.0
 
 
-def test_liquidity_and_future_fields_do_not_matter(spark):
-    required, processed, raw = exit_inputs(spark)
-    core = ["contract_key", "BASE", "exit_quote_source", "exit_bid", "exit_ask", "exit_mid"]
-    expected = sorted(quotes.choose_quotes(required, processed, raw, sessions(spark)).select(*core).collect())
-    thin = lambda f: f.drop("trade_volume", "open_interest").withColumns({"future_pnl": F.lit(-1e30), "implied_vol": F.lit(None).cast("double")})
-    assert sorted(quotes.choose_quotes(required, thin(processed), thin(raw), sessions(spark)).select(*core).collect()) == expected
+@pytest.mark.parametrize("ahead,short,status", [(2, (), "NO_ENTRY_MARKET"), (0, (), "NO_ENTRY_MARKET"), (1, (1,), "MARKET_CLOSED_AT_1545")])
+def test_entries_use_an_open_market_of_their_own_day(spark, ahead, short, status):
+    market = offers(spark, MONDAY + dt.timedelta(days=ahead), [("k", 0.05, 0.4)])
+    out = mapping.map_entry(wishes(spark, [1]), market, week(spark, short)).first()
+    assert (out.contract_key, out.entry_mapping_status) == (None, status)
 
 
-def test_closed_snapshot_rejects_every_quote(spark):
-    out = quotes.choose_quotes(*exit_inputs(spark), sessions(spark, [D(2024, 1, 4)]))
-    assert not any(r.BASE for r in out.collect())
+@pytest.mark.parametrize("longs,shorts", [(4, 1), (2, 5), (3, 0), (0, 2)])
+def test_each_side_has_half_the_budget_or_none(spark, longs, shorts):
+    base = wishes(spark, [1] * longs + [-1] * shorts).withColumn("entry_mapping_status", F.lit("MAPPED"))
+    weights = sorted(r.weight_at_entry for r in mapping.lock_weights(base).collect())
+    both = longs and shorts
+    assert weights == pytest.approx(sorted([0.5 / longs if both else 0.0] * longs + [-0.5 / shorts if both else 0.0] * shorts))
 
 
-def test_half_days_holidays_and_weekends(spark):
-    closes = [(D(2024, 7, 2), 16), (D(2024, 7, 3), 13), (D(2024, 7, 5), 16), (D(2024, 7, 8), 16), (D(2024, 7, 9), 16)]
-    table = spark.createDataFrame([(d, dt.datetime(d.year, d.month, d.day, h)) for d, h in closes], "session date, close_ts timestamp")
-    calendar = cal.calendar_table(table)
-    days = spark.createDataFrame([(D(2024, 7, d),) for d in (3, 4, 5, 6)], "day date")
-    assert [r.ok for r in cal.snapshot_guard(days, "day", calendar, "ok").orderBy("day").collect()] == [False, False, True, False]
-    assert [r.target_h1 for r in cal.with_targets(calendar).orderBy("session").collect()][1:3] == [D(2024, 7, 5), D(2024, 7, 8)]
-    rows = [(D(2024, 7, 2), D(2024, 7, 3), D(2024, 7, 5)), (D(2024, 7, 3), D(2024, 7, 5), D(2024, 7, 8)), (D(2024, 7, 5), D(2024, 7, 8), D(2024, 7, 9))]
-    frame = spark.createDataFrame(rows, "decision_date date, entry_date date, intended_exit_date date")
-    eligible = [r.economic_calendar_eligible for r in cal.chronology(frame, calendar).orderBy("decision_date").collect()]
-    assert eligible == [False, True, True]
-    poisoned = frame.withColumns({"BASE": F.lit(False), "future_pnl": F.lit(-1e20)})
-    assert [r.economic_calendar_eligible for r in cal.chronology(poisoned, calendar).orderBy("decision_date").collect()] == eligible
+def test_contract_keys_need_every_part(spark):
+    full = ("spx ", "SPXW", D(2023, 3, 17), 80.25, "call")
+    rows = [full, *[tuple(None if i == gap else v for i, v in enumerate(full)) for gap in range(5)]]
+    df = spark.createDataFrame(rows, "s string, r string, e date, k double, o string")
+    assert [r[0] for r in df.coalesce(1).select(X.contract_key("s", "r", "e", "k", "o")).collect()] == ["SPX|SPXW|2023-03-17|80.250000|C", *[None] * 5]
+
+
+# ------------------------------------------------------------------ exit quotes
+
+
+def random_exits(seed, n=120):
+    """Per contract: the processed book and the raw book found, either may be absent or improper."""
+    rng = np.random.default_rng(seed)
+    books = [None, (2.0, 2.6), (5.0, 5.0), (3.0, 2.0), (0.0, 1.0), (float("nan"), 4.0), (4.0, None)]
+    return {f"c{i:03d}": (books[rng.integers(len(books))], books[rng.integers(len(books))], float(rng.integers(0, 2))) for i in range(n)}
+
+
+def exit_frames(spark, exits, day):
+    required = spark.createDataFrame([(day, k) for k in exits], "intended_exit_date date, contract_key string")
+    processed = [(day, k, *p, v) for k, (p, _, v) in exits.items() if p]
+    raw = [(day, k, *r, v, 1.0) for k, (_, r, v) in exits.items() if r]
+    return (
+        required,
+        spark.createDataFrame(processed, "quote_date date, contract_key string, bid double, ask double, trade_volume double"),
+        spark.createDataFrame(raw, "quote_date date, contract_key string, bid_1545 double, ask_1545 double, trade_volume double, open_interest double"),
+    )
+
+
+def proper(book):
+    return bool(book) and book[1] is not None and 0 < book[0] <= book[1]
+
+
+def test_exit_choice_against_a_plain_rule(spark):
+    exits, day = random_exits(34), MONDAY + dt.timedelta(days=2)
+    required, processed, raw = exit_frames(spark, exits, day)
+    found = {r.contract_key: r for r in quotes.choose_quotes(required, processed, raw, week(spark)).collect()}
+    for k, (p, r, volume) in exits.items():
+        source, book = (PROCESSED, p) if proper(p) else (RECOVERED, r) if proper(r) else (NO_QUOTE, None)
+        got = found[k]
+        assert (got.exit_quote_source, got.BASE) == (source, book is not None)
+        assert (got.exit_bid, got.exit_ask) == (book or (None, None))
+        tight = book is not None and (book[1] - book[0]) / sum(book) * 2 <= 0.2
+        assert (got.STRICT_20, got.POSITIVE_VOLUME) == (tight, book is not None and volume > 0)
+    shut = quotes.choose_quotes(required, processed, raw, week(spark, (2,)))
+    assert shut.where("BASE").isEmpty()
+
+
+def test_exit_choice_reads_nothing_but_the_exact_books(spark):
+    exits, day = random_exits(35), MONDAY + dt.timedelta(days=2)
+    required, processed, raw = exit_frames(spark, exits, day)
+    core = ["contract_key", "BASE", "exit_quote_source", "exit_bid", "exit_ask"]
+    want = sorted(map(str, quotes.choose_quotes(required, processed, raw, week(spark)).select(*core).collect()))
+    noise = lambda f: f.withColumns({"trade_volume": F.rand(1), "bid_eod": F.rand(2), "ask_eod": F.rand(3), "implied_vol": F.rand(4)})
+    assert sorted(map(str, quotes.choose_quotes(required, noise(processed), noise(raw), week(spark)).select(*core).collect())) == want
+    nowhere = quotes.choose_quotes(required, processed.withColumn("quote_date", F.date_sub("quote_date", 1)), raw.withColumn("contract_key", F.concat("contract_key", F.lit("x"))), week(spark))
+    assert nowhere.where("BASE").isEmpty() and nowhere.count() == len(exits)
+
+
+def test_snapshot_needs_a_session_that_runs_to_its_time(spark):
+    closes = {D(2022, 11, 23): 16, D(2022, 11, 25): 13, D(2022, 11, 28): 16, D(2022, 11, 29): 16}
+    calendar = cal.calendar_table(spark.createDataFrame([(d, dt.datetime(d.year, d.month, d.day, h)) for d, h in closes.items()], "session date, close_ts timestamp"))
+    every = [D(2022, 11, 23) + dt.timedelta(days=i) for i in range(7)]
+    guarded = cal.snapshot_guard(spark.createDataFrame([(d,) for d in every], "day date"), "day", calendar, "ok").collect()
+    assert {r.day for r in guarded if r.ok} == {d for d, h in closes.items() if h == 16}
+    following = {r.session: r.target_h1 for r in cal.with_targets(calendar).collect()}
+    days = sorted(closes)
+    assert following == dict(zip(days, [*days[1:], None], strict=True))
+    plans = spark.createDataFrame([(a, b, c) for a in every for b in every for c in every], "decision_date date, entry_date date, intended_exit_date date")
+    for r in cal.chronology(plans, calendar).collect():
+        assert r.economic_calendar_eligible == (r.decision_date in closes and closes.get(r.entry_date) == 16 and closes.get(r.intended_exit_date) == 16)
 
 
 # ------------------------------------------------------------------ sources
@@ -271,22 +343,35 @@ def test_half_days_holidays_and_weekends(spark):
 
 def test_csv_source_needs_its_columns(spark, tmp_path):
     path = str(tmp_path / "q")
-    raw_small(spark).drop("root").write.option("header", True).csv(path)
+    as_frame(spark, archive(36, 5)).drop("root").write.option("header", True).csv(path)
     with pytest.raises(tables.MissingColumns):
         tables.read_quotes_csv(spark, path)
 
 
-def test_csv_source_matches_columns_by_name(spark, tmp_path):
-    path = str(tmp_path / "q")
-    df = raw_small(spark)
-    df.select(F.lit("x").alias("extra"), *reversed(df.columns)).coalesce(1).write.option("header", True).csv(path)
-    assert sorted(tables.read_quotes_csv(spark, path).collect()) == sorted(df.collect())
-    assert tables.csv_row_count(spark, path).first().rows == 3
+def test_csv_layouts_are_matched_by_name_or_refused(spark, tmp_path):
+    rows = archive(37, 12)
+    one, two = (as_frame(spark, part).coalesce(1) for part in (rows[:6], rows[6:]))
+    paths = [str(tmp_path / "one"), str(tmp_path / "two")]
+    one.write.option("header", True).csv(paths[0])
+    two.select(F.lit("x").alias("extra"), *reversed(QUOTE)).write.option("header", True).csv(paths[1])
+    both = tables.read_quotes_csv(spark, paths)
+    assert sorted(both.collect()) == sorted(one.collect() + two.collect())
+    assert tables.csv_row_count(spark, paths[1]).first().rows == 6
+    swapped = ["ask_1545" if c == "bid_1545" else "bid_1545" if c == "ask_1545" else c for c in QUOTE]
+    two.select(*swapped).write.mode("append").option("header", True).csv(paths[0])
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_quotes_csv(spark, paths[0]).collect()
 
 
 def test_reading_absent_dates_gives_no_rows(spark, tmp_path):
     path = str(tmp_path / "m")
-    tables.write_by_date(market(spark, D(2024, 1, 3)), path)
-    wanted = lambda d: spark.createDataFrame([(d,)], "d date")
-    assert tables.read_dates(spark, path, wanted(D(2024, 1, 3))).count() == 2
-    assert tables.read_dates(spark, path, wanted(D(2024, 1, 4))).count() == 0
+    tables.write_by_date(offers(spark, MONDAY, [("a", 0.0, 0.3), ("b", 0.1, 0.3), ("c", 0.2, 0.3)]), path)
+    wanted = lambda d: spark.createDataFrame([(d,)], "d date")
+    assert tables.read_dates(spark, path, wanted(MONDAY)).count() == 3
+    assert tables.read_dates(spark, path, wanted(MONDAY + dt.timedelta(days=1))).count() == 0
+
+
+def test_reports_have_no_row_limit(spark, tmp_path):
+    path = str(tmp_path / "r")
+    tables.write_report(spark.range(100_500), path)
+    assert tables.csv_row_count(spark, path).first().rows == 100_500
