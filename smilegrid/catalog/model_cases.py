@@ -73,18 +73,29 @@ def _ridge_one_feature(m: Market):
     standardised feature equals the penalty times its coefficient."""
     rows = _masked(m).where("is_final")
     fits = models.ridge_fits(rows, (0.1, 10.0))
+    kept = fits.select("node", "candidate", *[F.col(c).alias("_" + c) for c in ("median", "mean", "scale", "coef")])
     scored = models.ridge_predict(rows.select("node", "label", *features.FEATURES), fits.drop("position").withColumn("pen", F.col("candidate")))
+    scored = scored.join(kept, ["node", "candidate"]).withColumn("r", F.col("label") - F.col("prediction"))
+    gaps, n = [], len(features.FEATURES)
+    for i, name in enumerate(features.FEATURES):
+        x = N.finite_or_null(name)
+        for j, v in ((i, F.coalesce(x, F.col("_median")[i])), (i + n, x.isNull().cast("double"))):
+            moment = F.sum((v - F.col("_mean")[j]) / F.col("_scale")[j] * F.col("r"))
+            gaps.append(F.abs(moment - F.first(F.col("pen").cast("double") * F.col("_coef")[j])))
     return scored.groupBy("node", "pen").agg(
-        F.count(F.lit(1)).alias("n_fit"), (F.abs(F.sum(F.col("label") - F.col("prediction"))) < 1e-9).alias("centred")
+        F.count(F.lit(1)).alias("n_fit"),
+        (F.abs(F.sum("r")) < 1e-9).alias("centred"),
+        (F.greatest(*gaps) < 1e-9).alias("balanced"),
+        (F.max(F.aggregate("_coef", F.lit(0.0), lambda a, c: a + F.abs(c))) > 0).alias("moved"),
     )
 
 
 register(
     "ridge_fit_invariants",
     _ridge_one_feature,
-    "node n_fit centred",
+    "node n_fit centred balanced moved",
     "pen",
-    "SELECT node, n AS n_fit, true AS centred, unnest([0.1e0,10e0]) AS pen FROM (SELECT node, count(*) AS n FROM lagged WHERE next1<=DATE '2024-02-23' AND label IS NOT NULL GROUP BY 1)",
+    "SELECT node, n AS n_fit, true AS centred, true AS balanced, n>1 AS moved, unnest([0.1e0,10e0]) AS pen FROM (SELECT node, count(*) AS n FROM lagged WHERE next1<=DATE '2024-02-23' AND label IS NOT NULL GROUP BY 1)",
 )
 _GATE = """SELECT l.node, l.quote_date, l.target_date, CASE WHEN g.tr>=10 AND g.va>=5 THEN 'OK' ELSE 'INSUFFICIENT_HISTORICAL_LABELS' END AS status FROM lagged l JOIN (
  SELECT node, count(*) FILTER (next1<=DATE '2024-02-02' AND label IS NOT NULL) AS tr, count(*) FILTER (next1>DATE '2024-02-02' AND next1<=DATE '2024-02-23' AND quote_date>=DATE '2024-02-02' AND label IS NOT NULL) AS va FROM lagged GROUP BY 1) g USING (node)"""

@@ -198,6 +198,7 @@ def performance(
     out = out.withColumns(
         {
             "status": F.when(F.col("_ok"), "OK").otherwise("UNAVAILABLE_INFERENCE"),
+            "implementation_label": F.when(F.col("implementation") == "MID", "valued at midpoints").otherwise("traded at bid and ask"),
             "n_days": F.coalesce("n_days", F.lit(0)),
             "unavailable_day_pct": 100 * (1 - F.coalesce("n_days", F.lit(0)) / F.col("_days")),
         }

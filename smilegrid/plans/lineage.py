@@ -22,10 +22,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(tempfile.mkdtemp(prefix="smilegrid-checkpoint-", dir="/tmp"))
 
 
+_folders: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the checkpoint folder, reachable by every executor."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    _folders.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the stages that this session has written; frames that read them are no longer usable."""
+    context = spark.sparkContext
+    folders = _folders.pop(context.applicationId, [])
+    for folder in folders:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return len(folders)
 
 
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:

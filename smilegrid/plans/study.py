@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import numeric as N
 from ..operators import calendar as cal
 from ..operators import (
     checks,
@@ -27,7 +28,13 @@ from ..operators import (
 )
 from ..settings import FORECAST_MODELS, TRADED_MODELS, Study as Settings
 from ..sources import tables
-from .lineage import cut
+from .lineage import cut, drop_stages
+
+
+def refuse(rows: DataFrame, sound: Column, message: str) -> DataFrame:
+    """All rows of a stored table, or an error as soon as one is not sound."""
+    error = F.raise_error(F.lit(message)).cast("boolean")
+    return rows.where(F.when(F.coalesce(sound, F.lit(False)), F.lit(True)).otherwise(error))
 
 
 class Study:
@@ -253,11 +260,11 @@ class Study:
 
     @cached_property
     def contracts(self) -> DataFrame:
-        """Valued contracts of eligible days; one without an exit book is an error,
-        so that no position can silently drop out of a portfolio."""
-        missing = F.raise_error(F.lit("a held contract of an eligible day has no exit quote")).cast("boolean")
-        covered = self.active.where(F.when(F.col("BASE"), F.lit(True)).otherwise(missing))
-        valued = risk.greek_quality(pnl.contract_pnl(covered))
+        """Valued contracts of eligible days; one without an exit book, or with an
+        improper one, is an error, so that no position can silently drop out."""
+        books = N.two_sided("entry_bid", "entry_ask") & N.two_sided("exit_bid", "exit_ask")
+        covered = refuse(self.active, F.col("BASE"), "a held contract of an eligible day has no exit quote")
+        valued = risk.greek_quality(pnl.contract_pnl(refuse(covered, books, "a held contract has no usable entry or exit book")))
         return cut(risk.without_gaps(valued))
 
     @cached_property
@@ -275,7 +282,9 @@ class Study:
 
     @cached_property
     def spots(self) -> DataFrame:
-        return cut(risk.spot_by_day(self.contracts))
+        """One entry and exit spot per model-day; contracts that disagree are an error here."""
+        found = cut(risk.spot_by_day(self.contracts))
+        return refuse(found, F.col("spot_valid"), "contracts of one day disagree on the underlying price")
 
     @cached_property
     def attribution(self) -> DataFrame:
@@ -354,6 +363,11 @@ class Study:
             "pnl_attribution": risk.attribution_summary(self.attribution),
             "exact_vega_subset": risk.attribution_summary(self.attribution, subset=True),
             "state_performance": perf,
+            "state_bootstrap": stats.bootstrap_sensitivity(
+                pnl.by_implementation(self.live_states, [*state_keys, "entry_date"], ("Return",)),
+                [*state_keys, "implementation"], "Return", "entry_date", self.inference.blocks, reps=self.inference.reps,
+            ),
+            "paired_bootstrap": robustness.paired_bootstrap(self.states, self.inference, self.eligible_days),
             "exposure_reduction": risk.exposure_reduction(self.states),
             "signal_alignment": risk.signal_alignment(self.states, self.diagnostics),
             "multiple_testing": multiple,
@@ -391,6 +405,10 @@ class Study:
             lambda economic: signals.rank_signals(economic, self.rules),
         )
 
+    def close(self) -> None:
+        """Delete the stored stages of this session; results that were written elsewhere stay."""
+        drop_stages(self.spark)
+
     def write_reports(self, folder: str) -> list[str]:
         """Write every report table as CSV; returns the table names."""
         written = []

@@ -94,16 +94,20 @@ def write_table(df: DataFrame, path, sort=(), mode: str = "overwrite") -> None:
     out.write.mode(mode).option("compression", "zstd").parquet(path)
 
 
-def write_by_date(df: DataFrame, path, date: str = "quote_date", files_per_date: int = 8, mode="overwrite") -> None:
+def write_by_date(df: DataFrame, path, date: str = "quote_date", rows_per_file: int = 2_000_000, mode="overwrite") -> None:
     """`date=` folders, so a later read of a few dates touches only those folders.
 
-    Rows are spread by date and a salt: a heavy date is written by several
-    tasks, and no task opens a file for every date.
+    Rows are spread by date and a salt: a date has as many writers as its counted
+    rows need, and no task opens a file for every date. Reads `df` twice, so it
+    should be a table.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_date))
+    sizes = df.groupBy(F.col(date).alias("_day")).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.col("_files"))
     (
-        df.withColumn("date", F.col(date))
+        df.join(F.broadcast(sizes), df[date].eqNullSafe(sizes["_day"]))  # one row per calendar day
+        .withColumn("date", F.col(date))
         .withColumn("_salt", salt)
+        .drop("_day", "_files")
         .repartition("date", "_salt")
         .drop("_salt")
         .write.mode(mode)
