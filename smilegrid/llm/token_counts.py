@@ -38,8 +38,8 @@ STEP = 32_768
 #: First overlap in characters; grows fourfold where no stable boundary lies in it.
 OVERLAP = 256
 #: Words that a task remembers, and bytes of text it counts at a time.
-REMEMBERED = 400_000
-GROUP_BYTES = 4 << 20
+REMEMBERED = 200_000
+GROUP_BYTES = 1 << 20
 
 _ODD_SPACE = re.compile(r" \s|\s ")
 _WORD_GAP = re.compile(r"(?<=\S) (?=\S)")
@@ -81,11 +81,12 @@ class Counter:
             groups[-1].append(piece)
             size += len(piece) + 1
         joined = [" " + " ".join(g) for g in groups if g]
-        for group, found in zip(groups, self.tokenizer.encode_batch(joined, add_special_tokens=False), strict=False):
+        for group, text in zip([g for g in groups if g], joined, strict=True):
+            found = self.tokenizer.encode(text, add_special_tokens=False)
             starts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in group])])
             places = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
             counts = np.bincount(np.searchsorted(starts, places, "right") - 1, minlength=len(group))
-            self._known.update(zip(group, counts.tolist(), strict=False))
+            self._known.update(zip(group, counts.tolist(), strict=True))
 
     def counts(self, texts: list[str]) -> list[int]:
         if not self.stable:
