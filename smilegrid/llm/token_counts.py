@@ -13,9 +13,9 @@ of the end are not used. If the right chunk starts a piece at such a boundary
 too, both continue alike from there. Tokens left of it are counted in the left
 chunk, the others in the right one.
 
-By the same argument a single space between two other characters is always a
-boundary, so ordinary texts are counted word by word and each task encodes a
-word it meets again only once.
+By the same argument a single space or line feed between two other characters
+starts a piece, so texts that are not cut are counted word by word, and a task
+encodes a frequent word only once.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections import Counter as Count
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +41,10 @@ STEP = 32_768
 OVERLAP = 256
 #: Words that a task remembers, and bytes of text it counts at a time.
 REMEMBERED = 200_000
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 2 << 20
 
-_ODD_SPACE = re.compile(r" \s|\s ")
-_WORD_GAP = re.compile(r"(?<=\S) (?=\S)")
+_ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
+_GAP = re.compile(r"(?<=\S)([ \n])(?=\S)")
 
 
 class Counter:
@@ -69,59 +71,68 @@ class Counter:
         self.margin = 1 + max((len(a["content"]) for a in added), default=0)
         if self.stable:  # offsets then cover the spaces that belong to a token; ids are unchanged
             self.tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)
-        self._known: dict[str, int] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Remember the count of each new word, with its space before it."""
-        groups, size = [[]], 0
-        for piece in pieces:
-            if size > 30_000:
-                groups.append([])
-                size = 0
-            groups[-1].append(piece)
-            size += len(piece) + 1
-        joined = [" " + " ".join(g) for g in groups if g]
-        for group, text in zip([g for g in groups if g], joined, strict=True):
-            found = self.tokenizer.encode(text, add_special_tokens=False)
-            starts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in group])])
-            places = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
-            counts = np.bincount(np.searchsorted(starts, places, "right") - 1, minlength=len(group))
-            self._known.update(zip(group, counts.tolist(), strict=True))
+        #: Counts of words with a space before them, and of words with none.
+        self._spaced: dict[str, int] = {}
+        self._bare: dict[str, int] = {}
+        self._line_feed = len(self.tokenizer.encode("\n", add_special_tokens=False)) if self.stable else 0
+
+    def _learn(self, known: dict[str, int], words: list[str], between: str, lead: int) -> None:
+        """Remember the counts of words that follow `between`, which has `lead` tokens of its own."""
+        start = 0
+        while start < len(words):
+            end, size = start, 0
+            while end < len(words) and size < 30_000:
+                size += len(words[end]) + 1
+                end += 1
+            group = words[start:end]
+            found = self.tokenizer.encode(between + between.join(group), add_special_tokens=False)
+            starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in group])])
+            places = np.fromiter((x for x, _ in found.offsets), np.int64, len(found))
+            counts = np.bincount(np.searchsorted(starts, places, "right") - 1, minlength=len(group)) - lead
+            known.update(zip(group, counts.tolist(), strict=True))
+            start = end
 
     def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text. Words met twice in a call are remembered; the others are encoded text by text."""
+        encode = self.tokenizer.encode_batch_fast
         if not self.stable:
-            return [len(x) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [(_WORD_GAP.split(t) if _ODD_SPACE.search(t) else t.strip(" ").split(" ")) for t in texts]
-        # The first word has no space before it, unless the text starts with one.
-        firsts = [len(x) for x in self.tokenizer.encode_batch_fast([self._first(t, s) for t, s in zip(texts, split, strict=True)], add_special_tokens=False)]
-        rest = [s[1:-1] if self._open_end(t) else s[1:] for t, s in zip(texts, split, strict=True)]
-        lasts = [i for i, t in enumerate(texts) if self._open_end(t) and len(split[i]) > 1]
-        tails = self.tokenizer.encode_batch_fast([" " + self._last(texts[i], split[i]) for i in lasts], add_special_tokens=False)
-        new = set().union(*rest) - self._known.keys()
-        if len(self._known) + len(new) > REMEMBERED:
-            self._known.clear()
-            new = set().union(*rest)
-        self._learn(list(new))
-        known = self._known.__getitem__
-        total = [first + sum(map(known, r)) for first, r in zip(firsts, rest, strict=True)]
-        for i, tail in zip(lasts, tails, strict=True):
-            total[i] += len(tail)
-        return total
+            return [len(x) for x in encode(texts, add_special_tokens=False)]
+        split = [self._words(t) for t in texts]
+        total = [feeds * self._line_feed for _, _, feeds, _ in split]
+        rest = [list(outer) for _, _, _, outer in split]
+        for known, column, between, lead in ((self._spaced, 0, " ", 0), (self._bare, 1, "\n", self._line_feed)):
+            if len(known) > REMEMBERED:
+                known.clear()
+            new = Count(w for s in split for w in s[column] if w not in known)
+            self._learn(known, [w for w, n in new.items() if n > 1], between, lead)
+            for i, s in enumerate(split):
+                once = [w for w in s[column] if w not in known]
+                total[i] += sum(map(known.get, s[column], repeat(0)))
+                if once:
+                    rest[i].append(between + between.join(once))
+                    total[i] -= lead * len(once)
+        sizes = iter(encode([x for r in rest for x in r], add_special_tokens=False))
+        return [n + sum(len(next(sizes)) for _ in r) for n, r in zip(total, rest, strict=True)]
 
     @staticmethod
-    def _open_end(text: str) -> bool:
-        return text.endswith(" ")
-
-    @staticmethod
-    def _first(text: str, split: list[str]) -> str:
-        """The first word with all that stands before it, and after it if it is the only one."""
-        if len(split) == 1:
-            return text
-        return text[: len(text) - len(text.lstrip(" "))] + split[0] if not split[0].startswith(" ") else split[0]
-
-    @staticmethod
-    def _last(text: str, split: list[str]) -> str:
-        return split[-1] if split[-1].endswith(" ") else split[-1] + " " * (len(text) - len(text.rstrip(" ")))
+    def _words(text: str) -> tuple[list[str], list[str], int, list[str]]:
+        """Words after a space, words after a line feed or at the start, line feeds between
+        words, and what is counted as it stands because white space surrounds it."""
+        if not text:
+            return [], [], 0, []
+        if not _ODD_SPACE.search(text):
+            lines = [line.split(" ") for line in text.split("\n")]
+            return [w for line in lines for w in line[1:]], [line[0] for line in lines], len(lines) - 1, []
+        parts = _GAP.split(text)
+        spaced, bare, outer, feeds = [], [], [], 0
+        for i in range(0, len(parts), 2):
+            gap, word = parts[i - 1] if i else "", parts[i]
+            feeds += gap == "\n"
+            if not i or i == len(parts) - 1:
+                outer.append(" " + word if gap == " " else word)
+            else:
+                (spaced if gap == " " else bare).append(word)
+        return spaced, bare, feeds, outer
 
     def pieces(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
         """Number of tokens, and for every piece its first character and first token."""
