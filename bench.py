@@ -34,7 +34,7 @@ def main() -> None:
 
     from smilegrid.catalog.inputs import Market
     from smilegrid.plans.lineage import cut
-    from smilegrid.operators import cleaning, implied_vol, mapping, pnl, quotes, risk, robustness, signals, stats, surface
+    from smilegrid.operators import cleaning, features, implied_vol, mapping, models, pnl, quotes, risk, robustness, signals, stats, surface
 
     market = Market(spark, folder)
     times: dict[str, float] = {}
@@ -51,6 +51,7 @@ def main() -> None:
             into[name] = min(spent, into.get(name, spent))
 
     setup: dict[str, float] = {}
+    fits: dict[str, float] = {}
     timed("derive_quotes", lambda: market.raw_quotes, into=setup)
     rows = market.raw_quotes.count()
     timed("sessions_and_rates", lambda: (market.sessions, market.rates), into=setup)
@@ -72,6 +73,15 @@ def main() -> None:
     timed("processed_market", lambda: run(mapping.market_day(mapping.normalise_market(market.iv_quotes))), 2)
     market.market
     timed("panel_and_forecast_journal", lambda: (market.surface, market.journal))
+
+    # The fitted models for all nodes of the panel, both horizons; the boosted trees on demand (minutes).
+    for h in (1, 2):
+        masked = cut(features.split_masks(market.lagged(h), market.splits))
+        timed(f"fit_ridge_h{h}", lambda: run(models.ridge_forecast(masked, market.splits)), into=fits)
+        timed(f"fit_arma_h{h}", lambda h=h: run(models.arma_forecast(market.panel, market.splits, h)), into=fits)
+        if os.environ.get("BENCH_BOOSTED"):
+            first = models.BOOST_CONFIGS[:1]
+            timed(f"fit_boosted_h{h}", lambda: run(models.boosted_forecast(masked, market.nodes, market.splits, first)), into=fits)
     timed("daily_losses", lambda: market.daily_losses)
     timed("signals", lambda: (market.economic, market.signals))
     usable = market.signals.where(F.col("intended_exit_date").isNotNull())
@@ -98,6 +108,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": times,
                 "setup": setup,
+                "fits": fits,
                 "sf": os.path.basename(folder.rstrip("/")),
                 "raw_rows": rows,
                 "raw_to_surface_rows_per_sec": round(rows / times["raw_quotes_to_surface"]),
