@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import OP10_SQL, op10_chat_format
 from .decontaminate import op8_decontaminate
 from .line_dedup import OP6_SQL, op6_line_dedup
+from .lm_difference import op7_lm_difference
 from .media import op9_media_columns
 from .ngram_join import op1_ngram_jaccard_join
 from .quality_knn import op5_quality_knn
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_quality_knn": op5_quality_knn,
     "op6_line_dedup": op6_line_dedup,
+    "op7_lm_difference": op7_lm_difference,
     "op8_decontaminate": op8_decontaminate,
     "op9_media_columns": op9_media_columns,
     "op10_chat_format": op10_chat_format,
