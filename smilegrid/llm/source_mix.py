@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .tables import cut, load
 
 #: Documents of one source range or one range of finish times, about.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 5_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -87,8 +87,8 @@ def mix(
     sources = cut(targets(sized, weights, percent, cap), "targets")
     rows, total = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
 
-    digits = max(0, math.ceil(math.log(max(rows, 1) / RANGE_ROWS, 16))) if rows > RANGE_ROWS else 0
-    ranged = sized.withColumn("range", F.substring("key", 1, digits) if digits else F.lit(""))
+    digits = max(1, math.ceil(math.log(max(rows, 1) / RANGE_ROWS, 16)))
+    ranged = sized.withColumn("range", F.substring("key", 1, digits))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("sum"))
     sums = sums.select("source", "range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
