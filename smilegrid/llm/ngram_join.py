@@ -32,12 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import SPACED, mix, run_hashes, text_bytes, whole_hash, words
+from .memory import returning_memory
 from .tables import broadcast_below, components, cut, load
 
 #: Text handled at a time by a task, in bytes.
 CHUNK_BYTES = 8 << 20
 #: Shingles of one fragment.
-FRAGMENT = 3_000_000
+FRAGMENT = 2_000_000
 #: Pivots of the order by rarity: documents that hold a shingle.
 RARITY_PIVOTS = (2, 3, 5, 9, 17, 65, 257)
 _MANY = np.uint32(0xFFFFFFFF)
@@ -81,6 +82,7 @@ def _sets(column: pa.Array, size: int) -> list[np.ndarray]:
 def set_sizes(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(doc_id, n, cls): size of each document's set and the class of equal sets (null if empty)."""
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, column in _chunks(batches, "text"):
             sets = _sets(column, size)
@@ -179,11 +181,13 @@ def _count_fragment(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def common_counts(docs: DataFrame, id_col: str, text_col: str, size: int, fragments: int) -> DataFrame:
     """(cls, common): how many shingles of each class another class holds too."""
 
+    @returning_memory
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, column in _chunks(batches, "text"):
             for part, payload in _entries(_sets(column, size), fragments):
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([payload], pa.binary())], ["part", "payload"])
 
+    @returning_memory
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[bytes]] = {}
         for batch in batches:
@@ -207,6 +211,7 @@ def common_counts(docs: DataFrame, id_col: str, text_col: str, size: int, fragme
 def class_tokens(docs: DataFrame, id_col: str, text_col: str, size: int, chosen: DataFrame) -> DataFrame:
     """(cls, n, hashes) of the chosen classes, read from one document of each."""
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, column in _chunks(batches, "text"):
             sets = {_class_of(s): s for s in _sets(column, size) if len(s)}
@@ -310,12 +315,14 @@ def _cross_pairs(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFr
     component only are dropped first; then components that meet at a shingle are
     paired before their classes, so classes of one component never meet.
 
-    A pair's overlap is at most the shared shingles of either, so a partner's size
-    is at most room = ((100 + percent) * m - percent * n) / percent. The extremes
-    of a component's classes at a shingle tell if any pair can be large enough.
+    At its first common shingle a pair's overlap is at most what either has from
+    there on, so a partner's size is at most
+    room = ((100 + percent) * (m - pos) - percent * n) / percent. A linked pair passes
+    this there, so meetings that do not pass are left out. The extremes of a
+    component's classes at a shingle tell if any of its pairs can pass.
     """
     owned = prefixes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select(
-        "h", F.coalesce("label", "cls").alias("label"), "cls", "n", "m", "pos", (F.col("m") * (100 + percent) - F.col("n") * percent).alias("room")
+        "h", F.coalesce("label", "cls").alias("label"), "cls", "n", "m", "pos", ((F.col("m") - F.col("pos")) * (100 + percent) - F.col("n") * percent).alias("room")
     )
     owned = cut(owned, "owned")
     mixed = owned.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
@@ -331,13 +338,12 @@ def _cross_pairs(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFr
         & (F.col("least2") * percent <= F.col("room1"))
         & (F.col("least2") * percent <= F.col("most1") * 100)
     )
-    one = short.select("h", F.col("label").alias("l1"), F.col("cls").alias("c1"), *[F.col(c).alias(f"{c}1") for c in ("n", "m", "pos")])
-    two = meeting.select("h", F.col("label").alias("l2"), F.col("cls").alias("c2"), *[F.col(c).alias(f"{c}2") for c in ("n", "m", "pos")])
-    some = two.join(both.select("h", "l1", "l2", "least1"), ["h", "l2"]).where(
-        (F.col("least1") <= F.col("n2")) & (F.col("least1") * percent <= F.col("m2") * (100 + percent) - F.col("n2") * percent)
+    one = short.select("h", F.col("label").alias("l1"), F.col("cls").alias("c1"), F.col("n").alias("n1"), F.col("room").alias("own1"))
+    two = meeting.select("h", F.col("label").alias("l2"), F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("room").alias("own2"))
+    some = two.join(both.select("h", "l1", "l2", "least1", "room1"), ["h", "l2"]).where(
+        (F.col("least1") <= F.col("n2")) & (F.col("least1") * percent <= F.col("own2")) & (F.col("n2") * percent <= F.col("room1"))
     )
-    most = F.least("pos1", "pos2") + F.least(F.col("m1") - F.col("pos1"), F.col("m2") - F.col("pos2"))
-    enough = (F.col("n1") + F.col("n2")) * percent <= most * (100 + percent)
+    enough = (F.col("n1") * percent <= F.col("own2")) & (F.col("n2") * percent <= F.col("own1"))
     first = F.col("c1") < F.col("c2")
     return (
         some.join(one, ["h", "l1"])
