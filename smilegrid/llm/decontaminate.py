@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import ALPHANUMERIC, run_hashes, text_bytes, words
+from .memory import returning_memory
 from .tables import cut, load
 
 #: Words of a shingle; windows of fewer words are one shingle.
@@ -44,6 +45,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def item_windows(items: DataFrame, size: int) -> DataFrame:
     """(window, words, items): the distinct windows, their word hashes, and the ids of their items."""
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches):
             found = words(batch.column("text"), ALPHANUMERIC)
@@ -163,6 +165,7 @@ def _mark(docs: DataFrame, rows: list, last: bool) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(_Index(rows))
     columns = ["doc_id", *([] if last else ["text"]), "n_words", "hits", "items"]
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for batch in _chunks(batches):
@@ -232,6 +235,7 @@ def contamination(
 def _shingled(windows: DataFrame) -> DataFrame:
     """(words, k, h, offset): the shingles of every window."""
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []

@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import returning_memory
 from .tables import load
 
 SIDE = 24
@@ -245,6 +246,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     separate rows. Other columns are not read.
     """
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, "text"):
@@ -299,6 +301,7 @@ def describe(media: DataFrame, media_col: str = "media", tail: int = 0) -> DataF
     keep = [c for c in media.columns if c not in _DESCRIBED]
     names = [*keep, *_DESCRIBED]
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, media_col):

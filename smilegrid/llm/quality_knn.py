@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from .bytewords import SPACED, text_bytes, words
+from .memory import returning_memory
 from .tables import load
 
 #: Most labelled rows that a model is fitted on; beyond it those of the smallest id hashes are taken.
@@ -145,6 +146,7 @@ def fit(
     learned = learned.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(learned), "doc_id").select("text", "label")
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _chunks(batches, "text"):
             counts = profiles(part.column("text"))
@@ -189,6 +191,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     schema = StructType([*kept.schema.fields]).add("score", DoubleType())
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _chunks(batches, text_col):
             scores = sent.value.score(profiles(part.column(text_col)))

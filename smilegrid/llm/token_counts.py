@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import returning_memory
 from .tables import broadcast_below, cut, load
 
 #: Characters of a text from which on it is cut, and of one step from chunk to chunk.
@@ -166,6 +167,7 @@ def _grouped(sizes: list[int]) -> Iterator[tuple[int, int]]:
 def _count_whole(texts: DataFrame, path: str) -> DataFrame:
     """Counts of texts that are encoded in one piece each."""
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
@@ -182,6 +184,7 @@ def _count_whole(texts: DataFrame, path: str) -> DataFrame:
 def _chunked(texts: DataFrame, step: int, overlap: int) -> DataFrame:
     """(row, seam, last, start, piece): chunk `seam` begins at the text's seam of that number."""
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -201,6 +204,7 @@ def _encoded(chunks: DataFrame, path: str, overlap: int) -> DataFrame:
     """Per chunk its number of tokens, and at its two seams each usable boundary with the
     tokens that a splice there would leave out of this chunk."""
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column("row")
