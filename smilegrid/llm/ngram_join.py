@@ -14,8 +14,8 @@ they find is summed:
    again, and the partial overlaps of each candidate pair are summed.
 
 A group of near copies would be quadratic in candidates, so they are taken in
-two passes: first every class against the most central class of each prefix
-shingle, which joins nearly all of a group; then all remaining candidates
+two passes: first every class against the most central classes of about its size
+at each prefix shingle, which joins nearly all of a group; then all remaining candidates
 between different components. The second pass is exhaustive, so components are
 those of all links, and no pair within a joined group is built.
 
@@ -24,6 +24,7 @@ Shingles and sets are identified by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -292,10 +293,14 @@ def _fits(na: Column, nb: Column, percent: int) -> Column:
 
 
 def _central_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Each class with the most central class of each of its prefix shingles."""
-    centres = prefixes.groupBy("h").agg(F.max(F.struct("centre", "cls", "n")).alias("top"))
+    """Each class with the most central classes of about its size at each of its prefix shingles."""
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.1)).cast("int")  # sizes of a band differ by a tenth
+    banded = prefixes.select("h", "cls", "n", "centre", band.alias("band"))
+    centres = banded.groupBy("h", "band").agg(F.max(F.struct("centre", "cls", "n")).alias("top"))
+    nearby = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
     return (
-        prefixes.join(centres, "h")
+        banded.select("h", "cls", "n", nearby)
+        .join(centres, ["h", "band"])
         .where((F.col("cls") != F.col("top.cls")) & _fits(F.col("n"), F.col("top.n"), percent))
         .select(
             F.least("cls", "top.cls").alias("a"),
