@@ -38,8 +38,8 @@ PSEUDO = 0.05
 #: Keys with this many occurrences and this share of all are frequent (so at most 1 / share are).
 FREQUENT, SHARE = 1_000, 1 / 50_000
 #: Entries of one fragment.
-FRAGMENT = 4_000_000
-CHUNK_BYTES, CHUNK_ROWS = 8 << 20, 60_000
+FRAGMENT = 2_000_000
+CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 60_000
 _START = np.uint64(0x5BD1E9955BD1E995)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
