@@ -111,7 +111,7 @@ for _h in (1, 2):
     register(f"arma_forecast_h{_h}", lambda m, h=_h: models.arma_forecast(m.panel, SPLITS, h), "node quote_date candidate status", "forecast")
 register(
     "boosted_forecast",
-    lambda m: models.boosted_forecast(_masked(m), m.nodes, SPLITS, configs=[{**c, "maxIter": 3} for c in models.BOOST_CONFIGS]),
+    lambda m: models.boosted_forecast(_masked(m), m.nodes, SPLITS, configs=models.BOOST_CONFIGS),
     "node quote_date status candidate",
     "forecast",
 )

@@ -135,3 +135,18 @@ def test_selection_rules(spark):
     losses = spark.createDataFrame(rows, "node string, position int, candidate string, rmse double, mae double")
     assert models.select_candidate(losses, ["node"]).first().candidate == "a"
     assert models.select_candidate(losses, ["node"], "near_tie").first().candidate == "b"
+
+
+def test_registered_boosting_uses_all_rounds(monkeypatch):
+    from types import SimpleNamespace
+
+    from smilegrid.catalog import QUERIES, model_cases, registry
+
+    used = {"configs": models.BOOST_CONFIGS}
+    monkeypatch.setattr(models, "boosted_forecast", lambda *a, **k: used.update(k))
+    monkeypatch.setattr(model_cases, "_masked", lambda m, horizon=1: None)
+    monkeypatch.setattr(registry, "market_for", lambda *a: SimpleNamespace(nodes=None))
+    monkeypatch.setattr(registry, "tidy", lambda df, *a: df)
+    QUERIES["boosted_forecast"](None, "")
+    assert used["configs"] == models.BOOST_CONFIGS
+    assert [c["maxIter"] for c in models.BOOST_CONFIGS] == [200, 300]
