@@ -15,7 +15,7 @@ from .portfolio_cases import performance_sql
 from .registry import register
 from .sql import adjust_sql, div, draws_sql, hac_cte, normal_p, num
 
-REPS = INFERENCE.reps
+REPS, FORECAST_REPS = INFERENCE.reps, INFERENCE.forecast_reps
 
 
 def student_sql(source: str) -> str:
@@ -65,14 +65,14 @@ register(
     7,
 )
 _RATIO_ROWS = "(SELECT model, forecast_target_date, sum_SE, sum_AE, sum_QLIKE, CAST(n_common AS DOUBLE) AS n_common, CAST(n_qlike AS DOUBLE) AS n_qlike FROM daily_losses)"
-_RATIO_DRAWS = draws_sql(_RATIO_ROWS, ["model"], ["sum_SE", "sum_AE", "sum_QLIKE", "n_common", "n_qlike"], "forecast_target_date", 5, REPS)
+_RATIO_DRAWS = draws_sql(_RATIO_ROWS, ["model"], ["sum_SE", "sum_AE", "sum_QLIKE", "n_common", "n_qlike"], "forecast_target_date", 5, FORECAST_REPS)
 register(
     "metric_bootstrap_intervals",
-    lambda m: stats.metric_intervals(m.daily_losses, reps=REPS),
+    lambda m: stats.metric_intervals(m.daily_losses, reps=FORECAST_REPS),
     "model metric block_length reps seed",
     "lower_95 upper_95",
     " UNION ALL ".join(
-        f"SELECT model, '{k}' AS metric, 5 AS block_length, {REPS} AS reps, 42 AS seed, quantile_cont(v,0.025) AS lower_95, quantile_cont(v,0.975) AS upper_95 FROM (SELECT model, {v} AS v FROM ({_RATIO_DRAWS})) GROUP BY 1"
+        f"SELECT model, '{k}' AS metric, 5 AS block_length, {FORECAST_REPS} AS reps, 42 AS seed, quantile_cont(v,0.025) AS lower_95, quantile_cont(v,0.975) AS upper_95 FROM (SELECT model, {v} AS v FROM ({_RATIO_DRAWS})) GROUP BY 1"
         for k, v in (("RMSE", "sqrt(sum_SE/n_common)"), ("MAE", "sum_AE/n_common"), ("QLIKE", "sum_QLIKE/n_qlike"))
     ),
     9,
@@ -80,7 +80,7 @@ register(
 
 
 def mcs_sql(block: int) -> str:
-    draws = draws_sql(f"({_PANEL})", ["loss"], list(FORECAST_MODELS), "forecast_target_date", block, REPS)
+    draws = draws_sql(f"({_PANEL})", ["loss"], list(FORECAST_MODELS), "forecast_target_date", block, FORECAST_REPS)
     models = list(FORECAST_MODELS)
     pairs = " UNION ALL ".join(
         f"SELECT d.loss, d.rep, {models.index(a)} AS a, {models.index(b)} AS b, o.{a}-o.{b} AS gap, (d.{a}-d.{b})/d.n-(o.{a}-o.{b}) AS dev FROM draws d JOIN obs o USING (loss)"
@@ -99,7 +99,7 @@ def mcs_sql(block: int) -> str:
 for _b in (5, 10):
     register(
         f"model_confidence_set_block_{_b}",
-        lambda m, b=_b: stats.model_confidence_set(_loss_panel(m), list(FORECAST_MODELS), block=b, reps=REPS),
+        lambda m, b=_b: stats.model_confidence_set(_loss_panel(m), list(FORECAST_MODELS), block=b, reps=FORECAST_REPS),
         "loss model included n_dates block_length",
         "p_value",
         mcs_sql(_b),

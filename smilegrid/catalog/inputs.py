@@ -38,7 +38,7 @@ EXPIRIES = (
 )
 SPLITS = Splits(train_end=dt.date(2024, 2, 2), fit_end=dt.date(2024, 2, 23), min_train=10, min_validation=5, min_arma_train=10)
 RULES = Signals(min_ic_nodes=10)
-INFERENCE = Inference(reps=200, forecast_reps=200)
+INFERENCE = Inference()
 LINE_COLUMNS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax")
 PANEL_X, PANEL_T = 0.05, 0.1
 X_LOW = -0.22

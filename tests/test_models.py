@@ -150,3 +150,15 @@ def test_registered_boosting_uses_all_rounds(monkeypatch):
     QUERIES["boosted_forecast"](None, "")
     assert used["configs"] == models.BOOST_CONFIGS
     assert [c["maxIter"] for c in models.BOOST_CONFIGS] == [200, 300]
+
+
+def test_registered_bootstraps_use_all_draws():
+    from smilegrid.catalog import ORACLES
+    from smilegrid.catalog.inputs import INFERENCE
+    from smilegrid.settings import Inference
+
+    assert INFERENCE == Inference()
+    for name in ("circular_block_bootstrap", "paired_state_effects", "paired_bootstrap_sensitivity"):
+        assert "range(4000)" in ORACLES[name], name
+    for name in ("metric_bootstrap_intervals", "model_confidence_set_block_5", "model_confidence_set_block_10"):
+        assert "range(2000)" in ORACLES[name], name
