@@ -5,6 +5,9 @@ the triangle around a node is the cheapest way to write the node as a convex
 combination of points, a linear program with three active points. A pivot brings
 in the point deepest inside the current circumcircle and drops one vertex, until
 no point lies inside. All nodes of a day pivot together.
+
+Points on one circle tie. A second cost that depends on a point's coordinates only
+decides among them, as if every point were lifted by an infinitely small multiple of it.
 """
 
 from __future__ import annotations
@@ -21,6 +24,11 @@ from ..settings import Grid
 DAY = "quote_date"
 OUTSIDE_COST = 1e8
 INSIDE = 1e-11
+#: Least difference of the second cost that decides a tie, and that cost's frequencies along (log-moneyness, T).
+TIED = 1e-7
+WAVES = ((917.3, 1303.7), (2711.9, -1987.1))
+#: Origin of all coordinates, so that planes of any two subsets of a day compare.
+ORIGIN = np.array([0.0, 0.5])
 
 
 def _axis(start: float, stop: float, points: int) -> np.ndarray:
@@ -35,33 +43,49 @@ def grid_targets(grid: Grid) -> np.ndarray:
 CORNERS = np.array([[-50.0, -30.0], [50.0, -30.0], [0.0, 60.0]])
 
 
-def _lift(points: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vertex table and costs; the first three vertices are artificial corners that
-    cost far more than any real point."""
-    places = np.vstack([CORNERS, points - centre])
-    cost = np.r_[np.full(3, OUTSIDE_COST), ((points - centre) ** 2).sum(axis=1)]
-    return np.column_stack([places, np.ones(len(places))]), cost
+def _lift(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertex table, and the costs and tie costs of its rows; the first three vertices
+    are artificial corners that cost far more than any real point."""
+    moved = points - ORIGIN
+    places = np.vstack([CORNERS, moved])
+    cost = np.r_[np.full(3, OUTSIDE_COST), (moved**2).sum(axis=1)]
+    tie = np.r_[np.zeros(3), sum(np.sin(u * moved[:, 0] + v * moved[:, 1]) for u, v in WAVES)]
+    return np.column_stack([places, np.ones(len(places))]), np.column_stack([cost, tie])
+
 
+def _planes(lifted: np.ndarray, cost: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each triangle's planes through both costs (3 x 2), and the tolerance of the first."""
+    return np.linalg.solve(lifted[basis], cost[basis]), INSIDE * np.maximum(1.0, np.abs(cost[basis][..., 0]).max(axis=1))
 
-def triangles(points: np.ndarray, targets: np.ndarray, centre: np.ndarray, rounds: int = 10_000):
+
+def triangles(points: np.ndarray, targets: np.ndarray, rounds: int = 10_000):
     """For each target the vertex numbers and weights of its Delaunay triangle.
 
     Targets outside the convex hull keep an artificial vertex (number below 3)
     with positive weight.
     """
-    lifted, cost = _lift(points, centre)
-    goal = targets - centre
+    lifted, cost = _lift(points)
+    goal = targets - ORIGIN
     basis = np.tile(np.arange(3), (len(goal), 1))
     open_rows = np.arange(len(goal))
     for _ in range(rounds):
-        corner = lifted[basis[open_rows]]
-        plane = np.linalg.solve(corner, cost[basis[open_rows]][..., None])[..., 0]
+        here = basis[open_rows]
+        plane, tolerance = _planes(lifted, cost, here)
         # Reduced cost of every point under each node's plane: negative is inside.
-        slack = cost[None, 3:] - plane @ lifted[3:].T
+        slack = cost[None, 3:, 0] - plane[..., 0] @ lifted[3:].T
         enter = slack.argmin(axis=1)
-        size = np.maximum(1.0, np.abs(cost[basis[open_rows]]).max(axis=1))
-        moving = slack[np.arange(len(enter)), enter] < -INSIDE * size
-        open_rows, enter, corner = open_rows[moving], enter[moving] + 3, corner[moving]
+        rows = np.arange(len(enter))
+        moving = slack[rows, enter] < -tolerance
+        # Real triangles that hold no point: a point on the circle enters if its second cost is lower.
+        settled = np.flatnonzero(~moving & (here >= 3).all(axis=1))
+        on_circle = np.abs(slack[settled]) <= tolerance[settled][:, None]
+        second = np.where(on_circle, cost[None, 3:, 1] - plane[settled][..., 1] @ lifted[3:].T, 0.0)
+        lowest = second.argmin(axis=1)
+        wins = second[np.arange(len(lowest)), lowest] < -TIED
+        enter[settled[wins]] = lowest[wins]
+        moving[settled[wins]] = True
+        corner = lifted[here][moving]
+        open_rows, enter = open_rows[moving], enter[moving] + 3
         if not len(open_rows):
             break
         flat = np.swapaxes(corner, 1, 2)
@@ -80,10 +104,10 @@ def interpolate(points: np.ndarray, values: np.ndarray, targets: np.ndarray) ->
     """Linear value on the Delaunay triangle of each target; NaN outside the hull."""
     if len(points) < 3:
         return np.full(len(targets), np.nan)
-    # A fixed order makes the choice between equally good triangles repeatable.
+    # A fixed order keeps the last digits repeatable.
     order = np.lexsort((points[:, 1], points[:, 0]))
     points, values = points[order], values[order]
-    basis, weights = triangles(points, targets, points.mean(axis=0))
+    basis, weights = triangles(points, targets)
     outside = ((basis < 3) & (weights > 1e-9)).any(axis=1)
     padded = np.r_[np.zeros(3), values]
     out = (weights * np.where(basis < 3, 0.0, padded[basis])).sum(axis=1)
@@ -126,7 +150,7 @@ def delaunay_surface(locations: DataFrame, grid: Grid = Grid(), bounded_day: int
     )
 
 
-_PLANES = "quote_date date, n int, a double, b double, c double, tolerance double"
+_PLANES = "quote_date date, n int, a double, b double, c double, a2 double, b2 double, c2 double, tolerance double, real boolean"
 CELLS_X, CELLS_T = 100, 50
 
 
@@ -137,28 +161,23 @@ def _active_points(points: DataFrame, targets: np.ndarray) -> DataFrame:
     looks for the point deepest inside each node's circumcircle. Only the cells
     a circle reaches are searched: their bounding boxes are tested first, and
     the points of a reached cell come through an equi-join. The rounds end when
-    no circle holds a point.
+    no circle holds a point, nor one on it that wins the tie.
     """
-    here = np.array([0.0, 0.5])  # fixed origin, so planes of all rounds compare
-
     def planes_of_day(pdf: pd.DataFrame) -> pd.DataFrame:
         xy = pdf[["log_moneyness", "T"]].to_numpy()
-        basis, _ = triangles(xy, targets, here)
-        lifted, cost = _lift(xy, here)
-        plane = np.linalg.solve(lifted[basis], cost[basis][..., None])[..., 0]
-        tolerance = INSIDE * np.maximum(1.0, np.abs(cost[basis]).max(axis=1)) * 10
-        out = pd.DataFrame(plane, columns=["a", "b", "c"])
-        return out.assign(quote_date=pdf[DAY].iloc[0], n=np.arange(len(targets), dtype="int32"), tolerance=tolerance)[
-            [f.split()[0] for f in _PLANES.split(", ")]
-        ]
+        basis, _ = triangles(xy, targets)
+        plane, tolerance = _planes(*_lift(xy), basis)
+        out = pd.DataFrame(np.hstack([plane[..., 0], plane[..., 1]]), columns=["a", "b", "c", "a2", "b2", "c2"])
+        out = out.assign(quote_date=pdf[DAY].iloc[0], n=np.arange(len(targets), dtype="int32"), tolerance=tolerance, real=(basis >= 3).all(axis=1))
+        return out[[f.split()[0] for f in _PLANES.split(", ")]]
 
     placed = cut(
         points.withColumns(
             {
                 "_i": F.floor(F.col("log_moneyness") * CELLS_X),
                 "_j": F.floor(F.col("T") * CELLS_T),
-                "_x": F.col("log_moneyness") - F.lit(here[0]),
-                "_t": F.col("T") - F.lit(here[1]),
+                "_x": F.col("log_moneyness") - F.lit(float(ORIGIN[0])),
+                "_t": F.col("T") - F.lit(float(ORIGIN[1])),
             }
         )
     )
@@ -181,17 +200,21 @@ def _active_points(points: DataFrame, targets: np.ndarray) -> DataFrame:
         reached = (
             small_side(planes)
             .join(boxes, DAY)
-            .where(lowest("a", "x0", "x1") + lowest("b", "t0", "t1") - F.col("c") < -F.col("tolerance"))
+            .where(lowest("a", "x0", "x1") + lowest("b", "t0", "t1") - F.col("c") <= F.col("tolerance"))
             .drop("x0", "x1", "t0", "t1")
         )
         x, t = F.col("_x"), F.col("_t")
         depth = x * x - F.col("a") * x + t * t - F.col("b") * t - F.col("c")
+        tie = sum((F.sin(F.lit(u) * x + F.lit(v) * t) for u, v in WAVES), F.lit(0.0)) - F.col("a2") * x - F.col("b2") * t - F.col("c2")
+        inside = F.col("_s") < -F.col("tolerance")
+        wins = F.col("real") & (F.abs("_s") <= F.col("tolerance")) & (F.col("_tie") < -TIED)
         deepest = (
             placed.join(reached, [DAY, "_i", "_j"])
-            .withColumn("_s", depth)
-            .where(F.col("_s") < -F.col("tolerance"))
+            .withColumns({"_s": depth, "_tie": tie})
+            .where(inside | wins)
+            .withColumns({"_on": ~inside, "_by": F.when(inside, F.col("_s")).otherwise(F.col("_tie"))})
             .groupBy(DAY, "n")
-            .agg(F.min(F.struct("_s", *fields)).alias("p"))
+            .agg(F.min(F.struct("_on", "_by", *fields)).alias("p"))
             .select(DAY, *[F.col(f"p.{f}").alias(f) for f in fields])
         )
         fresh = cut(deepest.distinct().join(active, [DAY, "log_moneyness", "T"], "left_anti"))

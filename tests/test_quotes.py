@@ -62,6 +62,28 @@ def test_heavy_day_gives_the_same_triangulated_surface(spark):
     assert [heavy[k] for k in direct] == pytest.approx(list(direct.values()), abs=1e-9)
 
 
+def test_heavy_day_takes_the_same_triangles_of_a_lattice(spark):
+    xs, ts = np.log(np.arange(80, 126, 0.5) / 100.0), np.arange(1, 73) * 0.015  # several points a cell
+    v = np.random.default_rng(11).uniform(0.1, 0.4, (len(xs), len(ts)))
+    rows = [(D(2024, 1, 2), float(x), float(t), float(v[i, j]), 1) for i, x in enumerate(xs) for j, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "quote_date date, log_moneyness double, T double, implied_vol double, n_quotes long")
+    direct = {r.node: r.iv_grid for r in delaunay.delaunay_surface(df, bounded_day=10**9).collect()}
+    heavy = {r.node: r.iv_grid for r in delaunay.delaunay_surface(df, bounded_day=1).collect()}
+    assert direct.keys() == heavy.keys() and len(direct) > 300
+    assert [heavy[k] for k in direct] == pytest.approx(list(direct.values()), abs=1e-9)
+
+
+def test_lattice_triangles_depend_on_their_own_points_only():
+    xs, ts = np.log(np.arange(70, 136, 2.5) / 100.0), np.arange(1, 27) / 20.0
+    p = np.array([(x, t) for x in xs for t in ts])
+    v = np.random.default_rng(12).uniform(size=len(p))
+    targets = random_day(200, 13) * [0.5, 0.5] + [0.0, 0.2]
+    far = np.array([(3.0, 0.1), (3.1, 4.0), (-4.0, 2.0)])
+    np.testing.assert_allclose(
+        delaunay.interpolate(p, v, targets), delaunay.interpolate(np.vstack([p, far]), np.r_[v, 1.0, 2.0, 3.0], targets), atol=1e-9
+    )
+
+
 def test_nearest_against_exhaustive_search(spark):
     p, targets = random_day(400, 7), random_day(60, 8)
     points = spark.createDataFrame([(1, f"k{i:03d}", float(a), float(b)) for i, (a, b) in enumerate(p)], "d int, key string, log_moneyness double, T double")
