@@ -1,11 +1,12 @@
 """URL filter by a tree of path templates per host.
 
 Known URLs grow a tree for every host: level by level, a segment that many of its
-branch's URLs share stays literal, and the others become wildcards of their shape
-(digits as {n}, other words as {w}). Sibling templates whose labels do not differ
-statistically are merged and share their labels. A template is rejected when the
-smoothed share of blocked labels in it is high enough, counted by labels and by the
-segments its wildcards replace, and when labels cover enough of it.
+branch's URLs share stays literal, the others become their shape (digits as {n}) if
+that is frequent, and else {x} or {w} (with and without digits). Sibling branches
+whose shares of blocked labels do not differ by a two-sample test are merged, named
+{a|b}, and grow on as one branch. A template is rejected when the smoothed share of
+blocked labels in it is high enough, counted by labels and by the segments it
+generalises, and when labels cover enough of it.
 
 Explicit rules come first and the longest wins. Everything is DataFrame functions;
 a hot host is spread because all counts are partial sums by (host, branch, segment).
@@ -15,21 +16,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import cut, load
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Path segments that have a level of their own; what follows is one wildcard.
-LEVELS = 3
-#: A literal segment has this many URLs and this share of its branch (so at most 1 / share literals a branch).
+#: A segment, or else its shape, keeps a branch of its own with this many URLs and this share of those
+#: of the branch above, so a branch has at most 1 / share children of either kind.
 SUPPORT, SHARE = 5, 0.05
 #: Pseudo-labels, half blocked; the share from which on a template is rejected; the difference in
 #: standard errors up to which siblings are alike.
 PSEUDO, REJECT_FROM, ALIKE = 2.0, 0.8, 1.96
-#: A wildcard is rejected only if labels cover this share of its URLs and of its distinct segments.
+#: A template is rejected only if labels cover this share of the URLs and of the distinct segments at each position it generalises.
 COVER = 0.25
 
 
@@ -64,102 +64,126 @@ def ruled(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column
     return text, blocked
 
 
+def literal(segment: Column) -> Column:
+    """A segment's own name. Braces and bars stand for wildcards and merged branches only."""
+    return F.replace(F.replace(segment, F.lit("{"), F.lit("%7B")), F.lit("|"), F.lit("%7C"))
+
+
 def shape(segment: Column) -> Column:
-    return F.when(F.regexp_like(segment, F.lit("[0-9]")), F.regexp_replace(segment, "[0-9]+", "{n}")).otherwise(
-        F.when(segment == "", F.lit("")).otherwise(F.lit("{w}"))
-    )
+    return F.when(F.regexp_like(segment, F.lit("[0-9]")), F.regexp_replace(literal(segment), "[0-9]+", "{n}"))
 
 
-def templates(paths: DataFrame) -> DataFrame:
-    """(host, path, n, branch, template) of distinct (host, path, n): a path's template and the branch above it.
+def other(segment: Column) -> Column:
+    """What a segment becomes that is frequent neither itself nor by its shape."""
+    return F.when(segment == "", "").otherwise(F.when(F.regexp_like(segment, F.lit("[0-9]")), "{x}").otherwise("{w}"))
+
 
-    A path of at most LEVELS segments keeps its number of segments; of a longer
-    one the rest is **. The empty path is the empty template.
+def _template(names: Column) -> Column:
+    return F.when(F.size(names) > 0, F.concat(F.lit("/"), F.array_join(names, "/"))).otherwise("")
+
+
+def _alike(nodes: DataFrame) -> DataFrame:
+    """(host, above, name, merged): labelled siblings that merge, and the name of what they become.
+
+    Siblings are put in order of their share of blocked labels. Where two neighbours
+    differ by a two-sample test of shares, a group ends. A branch has at most
+    2 / SHARE + 3 children, so a window holds no more rows than that.
     """
-    parts = F.split("path", "/", -1)
-    rows = paths.withColumn("parts", F.slice(parts, F.lit(2), F.size(parts))).withColumn("branch", F.lit("")).withColumn("template", F.lit(""))
-    for level in range(LEVELS):
-        there = F.size("parts") > level
-        segment = F.try_element_at("parts", F.lit(level + 1))
-        rows = cut(rows.withColumn("segment", segment), "level")
-        counted = rows.where(there).groupBy("host", F.col("template").alias("above"), "segment").agg(F.sum("n").alias("n"))
-        totals = counted.groupBy("host", "above").agg(F.sum("n").alias("total"))
-        literal = counted.join(totals, ["host", "above"]).where((F.col("n") >= SUPPORT) & (F.col("n") >= F.col("total") * SHARE))
-        literal = literal.select(F.col("host").alias("of"), "above", F.col("segment").alias("kept"))
-        same = (rows["host"] == literal["of"]) & (rows["template"] == literal["above"]) & (rows["segment"] == literal["kept"]) & there
-        named = F.concat("template", F.lit("/"), F.coalesce(F.col("kept"), shape(F.col("segment"))))
-        rows = rows.join(literal, same, "left").select(
-            "host", "path", "n", "parts", F.when(there, F.col("template")).otherwise(F.col("branch")).alias("branch"), F.when(there, named).otherwise(F.col("template")).alias("template")
-        )
-    deeper = F.size("parts") > LEVELS
-    return rows.select(
-        "host",
-        "path",
-        "n",
-        F.when(deeper, F.col("template")).otherwise(F.col("branch")).alias("branch"),
-        F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template")).alias("template"),
+    by_share = Window.partitionBy("host", "above").orderBy("share", "name")
+    share, labels = F.col("share"), F.col("labels")
+    all_labels = labels + F.lag("labels").over(by_share)
+    pooled = (F.col("blocked") + F.lag("blocked").over(by_share)) / all_labels
+    error = F.sqrt(pooled * (1 - pooled) * (1 / labels + 1 / F.lag("labels").over(by_share)))
+    ends = F.coalesce(share - F.lag("share").over(by_share) > error * ALIKE, F.lit(False))
+    grouped = (
+        nodes.where("labels > 0")
+        .withColumn("share", F.col("blocked") / labels)
+        .withColumn("ends", ends.cast("int"))
+        .withColumn("group", F.sum("ends").over(by_share.rowsBetween(Window.unboundedPreceding, 0)))
     )
+    of = Window.partitionBy("host", "above", "group")
+    merged = F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list("name").over(of)), "|"), F.lit("}"))
+    return grouped.select("host", "above", "name", F.count(F.lit(1)).over(of).alias("members"), merged.alias("merged")).where("members > 1").drop("members")
 
 
-def units(placed: DataFrame) -> DataFrame:
-    """(host, path, n, branch, template, position, segment): every path once for each segment that a wildcard of its template replaces.
+def templates(paths: DataFrame) -> DataFrame:
+    """(host, path, n, labels, blocked, parts, names) of distinct (host, path, n, labels, blocked):
+    `parts` are a path's segments and `names` what each of them is called in the tree.
 
-    What ** replaces counts as its first segment. A template without wildcards has position null.
+    The tree grows from the root until every branch with SUPPORT URLs has ended, however deep.
+    Segments that all URLs of a branch have next are taken in one round, so rounds are
+    the depths at which branches part. In a branch below SUPPORT nothing can be frequent:
+    the rest of its paths is named at once. The empty path has no segments.
     """
-    parts, names = F.split("path", "/", -1), F.split("template", "/", -1)
-    pairs = F.transform(names, lambda name, i: F.struct(i.alias("position"), F.get(parts, i).alias("segment"), name.alias("name")))
-    wild = F.filter(pairs, lambda p: p["segment"] != p["name"])
-    return placed.select("host", "path", "n", "branch", "template", F.explode_outer(wild).alias("u")).select(
-        "host", "path", "n", "branch", "template", F.col("u.position").alias("position"), F.col("u.segment").alias("segment")
-    )
+    parts = F.split("path", "/", -1)
+    rows = paths.withColumn("parts", F.slice(parts, F.lit(2), F.size(parts))).withColumn("names", F.array().cast("array<string>"))
+    columns, done, here = rows.columns, None, ["host", "above"]
+    before = [c for c in columns if c != "names"]
+    while True:
+        placed = rows.withColumns({"at": F.size("names"), "above": _template(F.col("names"))})
+        ended = placed.where(F.col("at") == F.size("parts")).select(*columns)
+        done = ended if done is None else done.unionByName(ended)
+        live = placed.where(F.col("at") < F.size("parts"))
+        if live.isEmpty():
+            return done
+        left = F.slice("parts", F.col("at") + 1, F.size("parts"))
+        branches = live.groupBy(*here).agg(F.sum("n").alias("total"), F.min(left).alias("least"), F.max(left).alias("most"))
+        parting = F.array_position(F.zip_with("least", "most", lambda a, b: a.eqNullSafe(b)), F.lit(False)).cast("int")
+        shared = F.when(parting == 0, F.size("least")).otherwise(parting - 1)  # the least is a prefix of the most, or they part
+        kind = F.when(F.col("total") < SUPPORT, "small").when(shared > 0, "chain").otherwise("wide")
+        live = live.join(branches.select(*here, "total", shared.alias("shared"), kind.alias("kind")), here)
+        live = live.withColumn("segment", F.get("parts", F.col("at"))).withColumn("shape", shape(F.col("segment")))
+
+        enough = (F.col("k") >= SUPPORT) & (F.col("k") >= F.col("total") * SHARE)
+        counted = live.where("kind = 'wide'").groupBy(*here, "segment", "shape", "total").agg(F.sum("n").alias("k"))
+        frequent = enough & (F.col("segment") != "")
+        own = counted.where(frequent).select(*here, "segment", F.lit(True).alias("own"))
+        shaped = counted.where(~frequent & F.col("shape").isNotNull()).groupBy(*here, "shape", "total").agg(F.sum("k").alias("k"))
+        shapes = shaped.where(enough).select(*here, "shape", F.col("shape").alias("kept"))
+        one = F.when(F.col("own"), literal(F.col("segment"))).otherwise(F.coalesce("kept", other(F.col("segment"))))
+        rest = F.transform(left, other)
+        run = F.transform(F.slice("parts", F.col("at") + 1, F.greatest("shared", F.lit(1))), literal)
+        more = F.when(F.col("kind") == "small", rest).when(F.col("kind") == "chain", run).otherwise(F.array(one))
+        named = live.join(own, [*here, "segment"], "left").join(shapes, [*here, "shape"], "left").withColumn("more", more)
+        named = cut(named.select(*columns, "above", "more", F.when(F.col("kind") == "wide", F.get("more", F.lit(0))).alias("name")), "named")
+        nodes = named.where("name is not null").groupBy(*here, "name").agg(F.sum("labels").alias("labels"), F.sum("blocked").alias("blocked"))
+        called = F.concat("names", F.when(F.col("merged").isNull(), F.col("more")).otherwise(F.array("merged")))
+        rows = cut(named.join(_alike(nodes), [*here, "name"], "left").select(*before, called.alias("names")), "rows")
 
 
-def rejected(placed: DataFrame, labelled: DataFrame) -> DataFrame:
-    """(host, template, purity) of the templates that are rejected.
+def units(placed: DataFrame) -> DataFrame:
+    """`placed` with every path once for each (position, segment) whose name in its template is not its own."""
+    pairs = F.transform(F.arrays_zip("parts", "names"), lambda p, i: F.struct(i.alias("position"), p["parts"].alias("segment"), p["names"].alias("name")))
+    wild = F.filter(pairs, lambda p: literal(p["segment"]) != p["name"])
+    kept = [c for c in placed.columns if c not in ("parts", "names")]
+    return placed.select(*kept, F.explode(wild).alias("u")).select(*kept, F.col("u.position").alias("position"), F.col("u.segment").alias("segment"))
 
-    `placed` has (host, path, n, branch, template), `labelled` (host, path, labels, blocked)
-    counts. Siblings below one branch are merged when their share of blocked labels is within
-    ALIKE standard errors of the branch's; one without labels has nothing to compare and stays alone.
+
+def rejected(placed: DataFrame) -> DataFrame:
+    """(host, template, purity) of the templates that are rejected, from (host, path, n, labels, blocked, parts, names, template).
 
     Labels that rules or reports give to a section speak for that section only. So a template's
-    purity is the lowest of that of its labels and, for each of its wildcards, that of the
-    replaced segments, where each segment counts once however many labels it has. Labels must
-    also cover COVER of the URLs and of the distinct segments that each wildcard replaces.
+    purity is the lowest of that of its labels and, for each position at which it replaces
+    segments, that of the replaced segments, where each segment counts once however many labels it
+    has; segments without labels call for PSEUDO votes more, half of them blocked. Labels must also
+    cover COVER of the URLs and of the distinct segments at each such position.
+    A template without labels is never rejected.
     """
-    own = placed.join(labelled, ["host", "path"]).groupBy("host", "branch", "template").agg(F.sum("labels").alias("labels"), F.sum("blocked").alias("blocked"))
-    branch = own.groupBy("host", "branch").agg(F.sum("labels").alias("all"), (F.sum("blocked") / F.sum("labels")).alias("share"))
-    error = F.sqrt(F.col("share") * (1 - F.col("share")) / F.col("labels"))
-    alike = F.abs(F.col("blocked") / F.col("labels") - F.col("share")) <= error * ALIKE
-    judged = own.join(branch, ["host", "branch"]).withColumn("alike", alike)
-    merged = judged.where("alike").groupBy("host", "branch").agg(F.sum("labels").alias("labels_"), F.sum("blocked").alias("blocked_"))
-    pooled = judged.join(merged, ["host", "branch"], "left").select(
-        "host",
-        "branch",
-        "template",
-        "alike",
-        F.when(F.col("alike"), F.col("labels_")).otherwise(F.col("labels")).alias("labels"),
-        F.when(F.col("alike"), F.col("blocked_")).otherwise(F.col("blocked")).alias("blocked"),
-    )
+    own = placed.where("labels > 0").groupBy("host", "template").agg(F.sum("labels").alias("labels"), F.sum("blocked").alias("blocked"))
     purity = (F.col("blocked") + PSEUDO / 2) / (F.col("labels") + PSEUDO)
-    pure = cut(pooled.withColumn("purity", purity).where(F.col("purity") >= REJECT_FROM), "pure")
-
-    # Each segment under each wildcard of the templates that are left, with the labels of all its URLs.
-    seen = units(placed.join(pure.select("host", "template"), ["host", "template"], "left_semi")).where("position is not null")
-    seen = seen.join(labelled, ["host", "path"], "left").groupBy("host", "branch", "template", "position", "segment").agg(
-        F.sum(F.greatest("n", F.coalesce("labels", F.lit(0)))).alias("urls"),
+    pure = cut(own.select("host", "template", purity.alias("purity")).where(F.col("purity") >= REJECT_FROM), "pure")
+    seen = units(placed.join(pure.select("host", "template"), ["host", "template"], "left_semi"))
+    seen = seen.groupBy("host", "template", "position", "segment").agg(
+        F.sum(F.greatest("n", "labels")).alias("urls"),
         F.sum(F.when(F.col("labels") > 0, F.greatest("n", "labels")).otherwise(0)).alias("covered"),
-        F.coalesce(F.sum("labels"), F.lit(0)).alias("labels"),
-        F.coalesce(F.sum("blocked"), F.lit(0)).alias("blocked"),
+        (F.sum("blocked") / F.nullif(F.sum("labels"), F.lit(0))).alias("vote"),
     )
-    seen = cut(seen.join(pure.select("host", "template", "alike"), ["host", "template"]), "segments")
-    cover = seen.groupBy("host", "branch", "template", "alike", "position").agg(
-        F.least(F.sum("covered") / F.sum("urls"), F.count_if(F.col("labels") > 0) / F.count(F.lit(1))).alias("cover")
+    unseen = F.when(F.count("vote") < F.count(F.lit(1)), PSEUDO).otherwise(0.0)
+    by_position = seen.groupBy("host", "template", "position").agg(
+        F.least(F.sum("covered") / F.sum("urls"), F.count("vote") / F.count(F.lit(1))).alias("cover"),
+        ((F.coalesce(F.sum("vote"), F.lit(0.0)) + unseen / 2) / (F.count("vote") + unseen)).alias("vote"),
     )
-    pool = F.when(F.col("alike"), F.col("branch")).otherwise(F.col("template")).alias("pool")
-    of = ["host", "alike", "pool", "position"]
-    votes = seen.where("labels > 0").groupBy("host", "alike", pool, "position", "segment").agg((F.sum("blocked") / F.sum("labels")).alias("vote"))
-    votes = votes.groupBy(of).agg(((F.sum("vote") + PSEUDO / 2) / (F.count("vote") + PSEUDO)).alias("vote"))
-    worst = cover.withColumn("pool", pool).join(votes, of, "left").groupBy("host", "template").agg(F.min("cover").alias("cover"), F.min(F.coalesce("vote", F.lit(0.0))).alias("vote"))
+    worst = by_position.groupBy("host", "template").agg(F.min("cover").alias("cover"), F.min("vote").alias("vote"))
     found = pure.join(worst, ["host", "template"], "left").withColumn("purity", F.least("purity", "vote"))
     return found.where((F.col("purity") >= REJECT_FROM) & (F.coalesce("cover", F.lit(1.0)) >= COVER)).select("host", "template", "purity")
 
@@ -188,8 +212,8 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", labels: Dat
     paths = cut(
         known.groupBy("host", "path").agg(F.sum("n").alias("n"), F.count("blocked").alias("labels"), F.count_if("blocked").alias("blocked")), "paths"
     )
-    placed = cut(templates(paths.select("host", "path", "n")), "templates")
-    bad = rejected(placed, paths.where("labels > 0").select("host", "path", "labels", "blocked"))
+    placed = cut(templates(paths).withColumn("template", _template(F.col("names"))), "templates")
+    bad = rejected(placed)
     found = placed.join(bad, ["host", "template"], "left").select(
         F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("template").alias("_template"), F.col("purity").isNotNull().alias("_rejected")
     )
@@ -219,26 +243,11 @@ def op4_url_filter(spark, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template")
 
 
-def _levels_sql() -> str:
-    ctes = []
-    for level in range(LEVELS):
-        before = f"t{level}"
-        ctes.append(f"""
-c{level} AS (SELECT host, template, parts[{level + 1}] AS seg, sum(n) AS n FROM {before} WHERE len(parts) > {level} GROUP BY ALL),
-k{level} AS (SELECT host, template, seg FROM (SELECT *, sum(n) OVER (PARTITION BY host, template) AS total FROM c{level})
-             WHERE n >= {SUPPORT} AND n >= total * CAST({SHARE} AS DOUBLE)),
-t{level + 1} AS (
-  SELECT t.host, t.path, t.n, t.parts,
-         CASE WHEN len(t.parts) > {level} THEN t.template ELSE t.branch END AS branch,
-         CASE WHEN len(t.parts) > {level} THEN t.template || '/' || CASE WHEN k.seg IS NOT NULL THEN k.seg
-              WHEN regexp_matches(t.parts[{level + 1}], '[0-9]') THEN regexp_replace(t.parts[{level + 1}], '[0-9]+', '{{n}}', 'g')
-              WHEN t.parts[{level + 1}] = '' THEN '' ELSE '{{w}}' END ELSE t.template END AS template
-  FROM {before} t LEFT JOIN k{level} k ON t.host = k.host AND t.template = k.template AND t.parts[{level + 1}] = k.seg)""")
-    return ",".join(ctes)
-
+_LITERAL = "replace(replace({0}, '{{', '%7B'), '|', '%7C')"
+_OTHER = "CASE WHEN {0} = '' THEN '' WHEN regexp_matches({0}, '[0-9]') THEN '{{x}}' ELSE '{{w}}' END"
 
 OP4_SQL = rf"""
-WITH split AS (
+WITH RECURSIVE split AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '{_URL}', 1), ''), '{_UPPER}', '{_UPPER.lower()}') AS host,
          coalesce(regexp_extract(url, '{_URL}', 2), '') AS path FROM pages),
 rules(blocked, rhost, rpath) AS (VALUES {", ".join(f"({r.blocked}, '{r.host}', '{r.path}')" for r in OP4_RULES)}),
@@ -247,27 +256,52 @@ best AS (
   FROM (SELECT DISTINCT host, path FROM split), rules
   WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY host, path),
 paths AS (
-  SELECT s.host, s.path, count(*) AS n, count(b.blocked) AS labels, count(*) FILTER (WHERE b.blocked) AS blocked
+  SELECT s.host, s.path, CAST(count(*) AS BIGINT) AS n, CAST(count(b.blocked) AS BIGINT) AS labels,
+         CAST(count(*) FILTER (WHERE b.blocked) AS BIGINT) AS blocked
   FROM split s LEFT JOIN best b ON s.host = b.host AND s.path = b.path GROUP BY s.host, s.path),
-t0 AS (SELECT host, path, n, string_split(path, '/')[2:] AS parts, '' AS branch, '' AS template FROM paths),
-{_levels_sql()},
-placed AS (
-  SELECT host, path, CASE WHEN len(parts) > {LEVELS} THEN template ELSE branch END AS branch,
-         CASE WHEN len(parts) > {LEVELS} THEN template || '/**' ELSE template END AS template FROM t{LEVELS}),
-own AS (
-  SELECT p.host, p.branch, p.template, sum(q.labels) AS labels, sum(q.blocked) AS blocked
-  FROM placed p JOIN paths q ON p.host = q.host AND p.path = q.path WHERE q.labels > 0 GROUP BY ALL),
-shared AS (
-  SELECT *, CAST(sum(blocked) OVER w AS DOUBLE) / CAST(sum(labels) OVER w AS DOUBLE) AS share FROM own
-  WINDOW w AS (PARTITION BY host, branch)),
-judged AS (
-  SELECT *, abs(CAST(blocked AS DOUBLE) / CAST(labels AS DOUBLE) - share)
-            <= sqrt(share * (1 - share) / CAST(labels AS DOUBLE)) * CAST({ALIKE} AS DOUBLE) AS alike FROM shared),
-pooled AS (
-  SELECT host, template, CASE WHEN alike THEN sum(labels) OVER w ELSE labels END AS labels,
-         CASE WHEN alike THEN sum(blocked) OVER w ELSE blocked END AS blocked FROM judged
-  WINDOW w AS (PARTITION BY host, branch, alike)),
-bad AS (SELECT DISTINCT host, template FROM pooled WHERE (blocked + {PSEUDO / 2}) / (labels + {PSEUDO}) >= {REJECT_FROM})
+tree(host, path, n, labels, blocked, parts, names, template) AS (
+  SELECT host, path, n, labels, blocked, string_split(path, '/')[2:], CAST([] AS VARCHAR[]), '' FROM paths
+  UNION ALL (
+    WITH live AS (
+      SELECT *, parts[len(names) + 1] AS seg, sum(n) OVER (PARTITION BY host, template) AS total FROM tree WHERE len(names) < len(parts)),
+    counted AS (SELECT *, sum(n) OVER (PARTITION BY host, template, seg) AS k FROM live),
+    shaped AS (
+      SELECT *, seg <> '' AND k >= {SUPPORT} AND k >= total * CAST({SHARE} AS DOUBLE) AS own,
+             CASE WHEN regexp_matches(seg, '[0-9]') THEN regexp_replace({_LITERAL.format("seg")}, '[0-9]+', '{{n}}', 'g') END AS shape FROM counted),
+    kept AS (SELECT *, sum(n) OVER (PARTITION BY host, template, shape, own) AS of_shape FROM shaped),
+    named AS (
+      SELECT *, CASE WHEN own THEN {_LITERAL.format("seg")}
+                     WHEN shape IS NOT NULL AND of_shape >= {SUPPORT} AND of_shape >= total * CAST({SHARE} AS DOUBLE) THEN shape
+                     ELSE {_OTHER.format("seg")} END AS name FROM kept),
+    nodes AS (
+      SELECT host, template, name, CAST(sum(labels) AS DOUBLE) AS l, CAST(sum(blocked) AS DOUBLE) AS b FROM named
+      WHERE total >= {SUPPORT} GROUP BY ALL HAVING sum(labels) > 0),
+    pairs AS (
+      SELECT *, b / l AS share, lag(b / l) OVER w AS share_, lag(l) OVER w AS l_, (b + lag(b) OVER w) / (l + lag(l) OVER w) AS p
+      FROM nodes WINDOW w AS (PARTITION BY host, template ORDER BY b / l, name)),
+    ends AS (SELECT *, CASE WHEN share - share_ > sqrt(p * (1 - p) * (1 / l + 1 / l_)) * CAST({ALIKE} AS DOUBLE) THEN 1 ELSE 0 END AS e FROM pairs),
+    grouped AS (SELECT *, sum(e) OVER (PARTITION BY host, template ORDER BY share, name ROWS UNBOUNDED PRECEDING) AS g FROM ends),
+    merged AS (
+      SELECT host, template, unnest(list(name)) AS name, '{{' || string_agg(name, '|' ORDER BY name) || '}}' AS called
+      FROM grouped GROUP BY host, template, g HAVING count(*) > 1)
+    SELECT a.host, a.path, a.n, a.labels, a.blocked, a.parts, list_append(a.names, coalesce(m.called, a.name)),
+           a.template || '/' || coalesce(m.called, a.name)
+    FROM named a LEFT JOIN merged m ON a.host = m.host AND a.template = m.template AND a.name = m.name)),
+placed AS (SELECT * FROM tree WHERE len(names) = len(parts)),
+own AS (SELECT host, template, (sum(blocked) + {PSEUDO / 2}) / (sum(labels) + {PSEUDO}) AS purity FROM placed WHERE labels > 0 GROUP BY ALL),
+positions AS (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM placed),
+seen AS (
+  SELECT host, template, i, parts[i] AS seg, sum(greatest(n, labels)) AS urls, sum(CASE WHEN labels > 0 THEN greatest(n, labels) ELSE 0 END) AS covered,
+         CAST(sum(blocked) AS DOUBLE) / nullif(sum(labels), 0) AS vote
+  FROM positions WHERE names[i] <> {_LITERAL.format("parts[i]")} GROUP BY ALL),
+by_position AS (
+  SELECT host, template, i, least(sum(covered) / sum(urls), CAST(count(vote) AS DOUBLE) / count(*)) AS cover,
+         CASE WHEN count(vote) < count(*) THEN (coalesce(sum(vote), 0) + {PSEUDO / 2}) / (count(vote) + {PSEUDO})
+              ELSE sum(vote) / count(vote) END AS vote FROM seen GROUP BY ALL),
+worst AS (SELECT host, template, min(cover) AS cover, min(vote) AS vote FROM by_position GROUP BY ALL),
+bad AS (
+  SELECT o.host, o.template FROM own o LEFT JOIN worst w ON o.host = w.host AND o.template = w.template
+  WHERE least(o.purity, coalesce(w.vote, 1)) >= {REJECT_FROM} AND coalesce(w.cover, 1) >= {COVER})
 SELECT s.page_id, s.host, s.path, b.rule,
        CASE WHEN coalesce(b.blocked, x.host IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict, p.template
 FROM split s LEFT JOIN best b ON s.host = b.host AND s.path = b.path

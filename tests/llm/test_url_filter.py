@@ -1,3 +1,8 @@
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,14 +33,132 @@ def test_splitting_and_rules(spark, url, host, path, rule, verdict):
     assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
 
 
+def tree(pages, labels, rules):
+    """{page_id: (template, verdict)} by plain dictionaries, branch by branch."""
+
+    def split(url):
+        m = re.search(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        return ("", "") if not m else (m[1].translate({c: c + 32 for c in range(65, 91)}), m[2])
+
+    def rule(host, path):
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fits, key=lambda r: len(r.text)).blocked if fits else None
+
+    known = defaultdict(lambda: [0, 0, 0])
+    for _, url in pages:
+        blocked = rule(*split(url))
+        k = known[split(url)]
+        k[0], k[1], k[2] = k[0] + 1, k[1] + (blocked is not None), k[2] + (blocked is True)
+    for url, blocked in labels:
+        k = known[split(url)]
+        k[1], k[2] = k[1] + 1, k[2] + blocked
+    paths = {key: (key[1].split("/")[1:], *k) for key, k in known.items()}
+    literal = lambda s: s.replace("{", "%7B").replace("|", "%7C")
+    digits = lambda s: re.search("[0-9]", s) is not None
+    shape = lambda s: re.sub("[0-9]+", "{n}", literal(s))
+    names = {key: [] for key in paths}
+    depth = 0
+    while live := [key for key in paths if len(paths[key][0]) > depth]:
+        branches = defaultdict(list)
+        for key in live:
+            branches[key[0], tuple(names[key])].append(key)
+        for keys in branches.values():
+            total, by_segment, by_shape = sum(paths[k][1] for k in keys), Counter(), Counter()
+            for k in keys:
+                by_segment[paths[k][0][depth]] += paths[k][1]
+            frequent = lambda n: n >= U.SUPPORT and n >= total * U.SHARE
+            for s, n in by_segment.items():
+                if digits(s) and not frequent(n):
+                    by_shape[shape(s)] += n
+            name = {}
+            for s, n in by_segment.items():
+                if s == "" or frequent(n):
+                    name[s] = literal(s)
+                else:
+                    name[s] = shape(s) if digits(s) and frequent(by_shape[shape(s)]) else "{x}" if digits(s) else "{w}"
+            nodes = defaultdict(lambda: [0, 0])
+            for k in keys:
+                node = nodes[name[paths[k][0][depth]]]
+                node[0], node[1] = node[0] + paths[k][2], node[1] + paths[k][3]
+            groups, last = [], None
+            for share, node in sorted((b / n, m) for m, (n, b) in nodes.items() if n):
+                n, b = nodes[node]
+                if last is not None:
+                    n_, b_ = nodes[last]
+                    p = (b + b_) / (n + n_)
+                    if share - b_ / n_ <= math.sqrt(p * (1 - p) * (1 / n + 1 / n_)) * U.ALIKE:
+                        groups[-1].append(node)
+                        last = node
+                        continue
+                groups.append([node])
+                last = node
+            called = {m: "{" + "|".join(sorted(g)) + "}" for g in groups if len(g) > 1 for m in g} if total >= U.SUPPORT else {}
+            for k in keys:
+                own = name[paths[k][0][depth]]
+                names[k].append(called.get(own, own))
+        depth += 1
+    found = defaultdict(list)
+    for key, made in names.items():
+        found[key[0], tuple(made)].append(key)
+    bad = set()
+    for template, keys in found.items():
+        n, b = sum(paths[k][2] for k in keys), sum(paths[k][3] for k in keys)
+        purity, cover = (b + 1) / (n + 2), 1.0
+        for i, made in enumerate(template[1]):
+            by_segment = defaultdict(list)
+            for k in keys:
+                if literal(paths[k][0][i]) != made:
+                    by_segment[paths[k][0][i]].append(paths[k])
+            if by_segment:
+                votes = [sum(p[3] for p in ps) / sum(p[2] for p in ps) for ps in by_segment.values() if sum(p[2] for p in ps)]
+                urls = [(max(p[1], p[2]), p[2] > 0) for ps in by_segment.values() for p in ps]
+                cover = min(cover, sum(u for u, seen in urls if seen) / sum(u for u, _ in urls), len(votes) / len(by_segment))
+                unseen = len(votes) < len(by_segment)
+                purity = min(purity, (sum(votes) + unseen) / (len(votes) + 2 * unseen))
+        if n and purity >= U.REJECT_FROM and cover >= U.COVER:
+            bad.add(template)
+    out = {}
+    for page, url in pages:
+        key = split(url)
+        blocked = rule(*key)
+        template = (key[0], tuple(names[key]))
+        out[page] = ("".join("/" + m for m in template[1]), "block" if (template in bad if blocked is None else blocked) else "allow")
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_whole_verdict_against_plain_python(spark, seed):
+    rng = random.Random(seed)
+    pick = lambda: rng.choice(["es", "fr", "de", "news", "item%d" % rng.randrange(40), str(rng.randrange(900)), "w" * rng.randrange(30), "a{b|c", ""])
+    bad = lambda path: path.startswith("/es") or "/news" in path or rng.random() < 0.05
+    paths = ["/".join(["", *(pick() for _ in range(rng.choice([0, 1, 1, 2, 3, 5])))]) for _ in range(500)] + ["/deep" * 40 + f"/{i}" for i in range(9)]
+    urls = [f"x://{rng.choice(['a.org', 'a.org', 'b.com', 'C.net'])}{p}" for p in paths] + [None, "", "x:/y", "x://a.org"]
+    pages = list(enumerate(urls + rng.choices(urls, k=100)))
+    labels = [(u, bad(u[9:])) for u in urls if u and "://" in u and rng.random() < 0.6]
+    frame, labelled = spark.createDataFrame(pages, SCHEMA), spark.createDataFrame(labels, "url string, blocked boolean")
+    got = {r.page_id: (r.template, r.verdict) for r in U.judge(frame, U.OP4_RULES, labels=labelled).collect()}
+    want = tree(pages, labels, U.OP4_RULES)
+    assert got == want
+    assert any("|" in t for t, _ in want.values()) and {v for _, v in want.values()} == {"allow", "block"}
+
+
 def test_templates(spark):
-    urls = [f"/shop/item{i}/view" for i in range(30)] + [f"/shop/word{'abc'[i % 3]}{'x' * i}/" for i in range(30)] + ["/a/b/c/d/e", "", "/"]
-    paths = spark.createDataFrame([("h", p, 1) for p in urls], "host string, path string, n int")
-    found = {r.path: (r.branch, r.template) for r in U.templates(paths).collect()}
-    assert found["/shop/item7/view"] == ("/shop/item{n}", "/shop/item{n}/view")
-    assert found["/shop/wordb" + "x" * 4 + "/"] == ("/shop/{w}", "/shop/{w}/")
-    assert found["/a/b/c/d/e"] == ("/{w}/{w}/{w}", "/{w}/{w}/{w}/**")
-    assert found[""] == ("", "") and found["/"] == ("", "/")
+    urls = [f"/shop/item{i}/view" for i in range(30)] + [f"/shop/word{'abc'[i % 3]}{'x' * i}/" for i in range(30)] + ["/a/b/c/d/e", "", "/", "/{w}/1"]
+    urls += ["/long" * 3000 + f"/{'y' * 3000}{i}" for i in range(6)]
+    paths = spark.createDataFrame([("h", p, 1, 0, 0) for p in urls], "host string, path string, n long, labels long, blocked long")
+    found = {r.path: r.names for r in U.templates(paths).collect()}
+    assert found["/shop/item7/view"] == ["shop", "item{n}", "view"]
+    assert found["/shop/wordb" + "x" * 4 + "/"] == ["shop", "{w}", ""]
+    assert found["/a/b/c/d/e"] == ["{w}"] * 5 and found["/{w}/1"] == ["{w}", "{x}"]
+    assert found[""] == [] and found["/"] == [""]
+    assert found[urls[-1]] == ["long"] * 3000 + ["y" * 3000 + "{n}"]
+
+
+def test_similar_branches_are_merged(spark):
+    urls = [(f"x://h.org/{s}/{t}/{i}", s != "ok") for s in ("spam", "scam", "ok") for t in ("u", "v") for i in range(10)]
+    labels = [u for u in urls if u[0].endswith(("1", "3", "5"))]
+    found = U.judge(spark.createDataFrame(list(enumerate(u for u, _ in urls)), SCHEMA), [], labels=spark.createDataFrame(labels, "url string, blocked boolean"))
+    assert {(r.template, r.verdict) for r in found.collect()} == {("/{scam|spam}/{u|v}/{n}", "block"), ("/ok/{u|v}/{n}", "allow")}
 
 
 def test_rejection_by_purity(spark):
