@@ -16,6 +16,7 @@ from .quality_knn import op5_quality_knn
 from .source_mix import OP3_SQL, op3_source_mix
 from .token_counts import op2_token_counts
 from .url_filter import OP4_SQL, op4_url_filter
+from .whitening import op12_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_media_columns": op9_media_columns,
     "op10_chat_format": op10_chat_format,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLES: dict[str, str] = {
