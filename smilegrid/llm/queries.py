@@ -12,6 +12,7 @@ from .line_dedup import OP6_SQL, op6_line_dedup
 from .lm_difference import op7_lm_difference
 from .media import op9_media_columns
 from .ngram_join import op1_ngram_jaccard_join
+from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .quality_knn import op5_quality_knn
 from .source_mix import OP3_SQL, op3_source_mix
 from .token_counts import op2_token_counts
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_media_columns": op9_media_columns,
     "op10_chat_format": op10_chat_format,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_whitening": op12_whitening,
 }
 
@@ -37,4 +39,5 @@ ORACLES: dict[str, str] = {
     "op4_url_filter": OP4_SQL,
     "op6_line_dedup": OP6_SQL,
     "op10_chat_format": OP10_SQL,
+    "op11_prefix_trie": OP11_SQL,
 }

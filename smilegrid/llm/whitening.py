@@ -22,10 +22,10 @@ from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
 from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import cut, load
+from .tables import load, numbered
 
 #: Entries of a block, and blocks that one task of a product takes.
 BLOCK_ENTRIES, BLOCKS_A_TASK = 1 << 16, 16
@@ -59,15 +59,6 @@ def usable(vector: Column) -> Column:
     return F.coalesce(F.forall(vector, lambda c: F.coalesce(fine(c.cast("double")), F.lit(False))), F.lit(False))
 
 
-def numbered(table: DataFrame) -> DataFrame:
-    """A stored copy of `table` with a column `index` that counts its rows from 0 without gaps."""
-    place = F.monotonically_increasing_id()
-    stored = cut(table.withColumns({"_part": F.shiftright(place, 33), "_at": place.bitwiseAND((1 << 33) - 1)}), "vectors")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task that wrote the table
-    starts = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    return cut(stored.join(F.broadcast(starts), "_part").withColumn("index", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start"), "numbered")
-
-
 def _block_matrix(rows: DataFrame, index: str, vector: str, n: int, dims: int) -> BlockMatrix:
     plain = rows.select(F.col(index).cast("long").alias("index"), array_to_vector(F.col(vector)).alias("vector"))
     old = MLUtils.convertVectorColumnsFromML(plain, "vector")
@@ -100,14 +91,14 @@ def whiten(vectors: DataFrame, vector: str, keys: list[str], components: int = C
     """
     spark = vectors.sparkSession
     rows = vectors.where(usable(F.col(vector)) & (F.size(vector) > 0)).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], on_grid(F.col(vector)).alias("x"))
-    rows = numbered(rows)
+    rows = numbered(rows, "index").drop("part", "at")
     dims = rows.agg(F.max(F.size("x"))).first()[0]
     if dims is None:
         return None
     if dims > MAX_DIMS:
         raise ValueError(f"vectors of {dims} entries; at most {MAX_DIMS} are supported")
     if rows.where(F.size("x") < dims).limit(1).count():
-        rows = numbered(rows.where(F.size("x") == dims).drop("index"))
+        rows = numbered(rows.where(F.size("x") == dims).drop("index"), "index").drop("part", "at")
     sums = rows.select(F.posexplode("x").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("sum"), F.count(F.lit(1)).alias("n")).orderBy("at").collect()
     n, total = sums[0]["n"], F.array(*[F.lit(r["sum"]) for r in sums])
     away = F.zip_with("x", total, lambda x, s: F.try_subtract(F.try_multiply(x, F.lit(n)), s))
