@@ -118,7 +118,7 @@ def list_ranks(arcs: DataFrame, weights: list[str]) -> DataFrame:
     off = {w: f"{w}_off" for w in weights}
     while live.count() > LAST:
         coin = lambda c, r=len(rounds): F.xxhash64(F.col(c), F.lit(r)).bitwiseAND(1) == 1
-        takes = F.coalesce(coin("id") & ~coin("next"), F.lit(False))
+        takes = F.col("next").isNotNull() & coin("id") & ~coin("next")
         before = live.where(takes).select(F.col("id").alias("into"), F.col("next").alias("id"), *[F.col(w).alias(o) for w, o in off.items()])
         met = live.where(~coin("id")).join(before, "id", "left")
         left = met.select(
