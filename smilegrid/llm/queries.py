@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP10_SQL, op10_chat_format
 from .decontaminate import op8_decontaminate
+from .disclosure import op13_disclosure
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .lm_difference import op7_lm_difference
 from .media import op9_media_columns
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_whitening": op12_whitening,
+    "op13_disclosure": op13_disclosure,
 }
 
 ORACLES: dict[str, str] = {
