@@ -8,23 +8,22 @@ target model. Its own counts are left out of both, so a document does not vouch
 for itself.
 
 A loss is a sum of terms that depend on one bigram or one history word each:
--log(c(h, w) + a) + log(c(h) + a V). So counts are never sent to documents and no
-model is gathered anywhere: documents send their bigrams and histories to
-fragments by hash, each fragment counts what it gets, and the terms come back
-summed per document. Frequent words and bigrams, of which there can only be a
-few, are counted first and scored where the documents are.
-
-Words are runs of non-space characters with A-Z folded, known by 64-bit hashes; 48
-bits of a key travel beside its fragment.
+-log(c(h, w) + a) + log(c(h) + a V). Documents are stored in chunks of a few megabytes.
+A chunk sends each of its distinct bigrams and words once, with its own counts,
+to fragments by hash; a fragment adds up what it gets and returns the counts of the whole corpus
+to the chunk, in the order in which it sent them; the chunk adds up its documents' terms. So
+no model is gathered anywhere, what is sent and returned is in proportion to the keys
+of the chunks, and a word or bigram of every document costs one entry per chunk.
+
+Words are runs of non-space characters with A-Z folded, known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +34,8 @@ from .tables import broadcast_below, cut, load
 
 #: Pseudo-count of every bigram in the background model.
 PSEUDO = 0.05
-#: Keys with this many occurrences and this share of all are frequent (so at most 1 / share are).
-FREQUENT, SHARE = 1_000, 1 / 50_000
-#: Entries of one fragment.
-FRAGMENT = 2_000_000
+#: Tokens of the corpus per fragment; a fragment gets at most two entries for each.
+FRAGMENT = 4_000_000
 CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 60_000
 _START = np.uint64(0x5BD1E9955BD1E995)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -75,57 +72,115 @@ def _cuts(sorted_keys: np.ndarray, fragments: int) -> np.ndarray:
     return np.searchsorted((sorted_keys >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32), np.arange(fragments + 1))
 
 
-def key_counts(docs: DataFrame, keys: Callable[[_Chunk], tuple[np.ndarray, np.ndarray, np.ndarray]], fragments: int, least: int) -> DataFrame:
-    """(key, n, n_target) of the keys with at least `least` counted occurrences, and per fragment a row
-    with a null key whose n is its number of distinct keys. `keys` gives keys, their documents and
-    which of them count. Every chunk sends each of its keys once."""
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of counts, each as its width, its length and its values in the narrowest type that holds them."""
+    out = []
+    for x in arrays:
+        kind = np.min_scalar_type(int(x.max())) if len(x) else np.dtype(np.uint8)
+        out.append(np.array([kind.itemsize, len(x)], np.uint64).tobytes() + x.astype(kind).tobytes())
+    return b"".join(out)
+
+
+def _unpack(payload: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(payload):
+        width, size = (int(x) for x in np.frombuffer(payload, np.uint64, 2, at))
+        out.append(np.frombuffer(payload, f"u{width}", size, at + 16))
+        at += 16 + width * size
+    return out
+
+
+class _Keys:
+    """The distinct keys of one kind in a chunk, sorted, with the chunk's own counts."""
+
+    def __init__(self, key: np.ndarray, chunk: _Chunk, counted: np.ndarray | None = None):
+        self.distinct, self.place = np.unique(key, return_inverse=True)
+        counted = np.ones(len(key), bool) if counted is None else counted
+        self.n = np.bincount(self.place[counted], minlength=len(self.distinct))
+        self.n_target = np.bincount(self.place[counted & chunk.target[chunk.doc]], minlength=len(self.distinct))
+
+
+def _kinds(chunk: _Chunk) -> tuple[_Keys, _Keys]:
+    """Bigrams and words. A word counts as a history wherever another one follows it in its document."""
+    follows = np.append(chunk.before[1:] != _START, False)[: len(chunk.words)]
+    return _Keys(chunk.bigrams, chunk), _Keys(chunk.words, chunk, follows)
+
+
+def _chunk_of(row: dict) -> _Chunk:
+    return _Chunk(pa.RecordBatch.from_arrays([pa.array(row["texts"], pa.string()), pa.array(row["targets"], pa.bool_())], ["text", "target"]))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """(chunk, ids, targets, texts, tokens, opened, in_target, opened_in_target): stored chunks of some
+    documents each, with their numbers of tokens and of documents that have any."""
+
+    @returning_memory
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch, chunk in _chunks(batches):
+            some = chunk.n > 0
+            sizes = (chunk.n.sum(), some.sum(), chunk.n[chunk.target].sum(), (some & chunk.target).sum())
+            lists = [pa.array([batch.column(c).to_pylist()], pa.list_(t)) for c, t in (("doc_id", pa.int64()), ("target", pa.bool_()), ("text", pa.string()))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), *lists, *[pa.array([int(x)], pa.int64()) for x in sizes]], ["chunk", "ids", "targets", "texts", "tokens", "opened", "in_target", "opened_in_target"]
+            )
+            number += 1
+
+    kinds = "chunk long, ids array<long>, targets array<boolean>, texts array<string>, tokens long, opened long, in_target long, opened_in_target long"
+    return cut(docs.mapInArrow(run, kinds), "chunks")
+
+
+def corpus_counts(chunks: DataFrame, fragments: int) -> DataFrame:
+    """(chunk, part, payload, vocabulary): for every chunk and fragment the corpus's counts of the chunk's keys there.
+
+    The payload packs counts and target counts of the bigrams, then of the words, in the
+    order of the chunk's sorted keys. Each fragment has one row more, with a null chunk and its number of words.
+    """
 
     @returning_memory
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, chunk in _chunks(batches):
-            key, doc, counted = keys(chunk)
-            distinct, place = np.unique(key, return_inverse=True)
-            n = np.bincount(place[counted], minlength=len(distinct)).astype(np.uint32)
-            of_target = np.bincount(place[counted & chunk.target[doc]], minlength=len(distinct)).astype(np.uint32)
-            edges = _cuts(distinct, fragments)
-            for part in np.flatnonzero(np.diff(edges)).tolist():
-                at = slice(edges[part], edges[part + 1])
-                payload = distinct[at].tobytes() + n[at].tobytes() + of_target[at].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([payload], pa.binary())], ["part", "payload"])
+        for row in _rows(batches):
+            pairs, words_ = _kinds(_chunk_of(row))
+            edges = [_cuts(k.distinct, fragments) for k in (pairs, words_)]
+            parts, payloads = [], []
+            for part in range(fragments):
+                of = [(k, slice(e[part], e[part + 1])) for k, e in zip((pairs, words_), edges)]
+                if any(at.stop > at.start for _, at in of):
+                    parts.append(part)
+                    payloads.append(_pack(*[x[at] for k, at in of for x in (k.distinct, k.n, k.n_target)]))
+            yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * len(parts), pa.int64()), pa.array(parts, pa.int32()), pa.array(payloads, pa.binary())], ["chunk", "part", "payload"])
 
     @returning_memory
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [p for b in batches for p in b.column("payload").to_pylist()]
-        if not parts:
-            return
-        sizes = [len(p) // 16 for p in parts]
-        key = np.concatenate([np.frombuffer(p, np.uint64, s) for p, s in zip(parts, sizes, strict=True)])
-        both = [np.concatenate([np.frombuffer(p, np.uint32, s, s * w) for p, s in zip(parts, sizes, strict=True)]) for w in (8, 12)]
-        distinct, place = np.unique(key, return_inverse=True)
-        n, of_target = (np.bincount(place, x, minlength=len(distinct)).astype(np.int64) for x in both)
-        some = n >= least
-        arrays = [pa.array([None, *distinct[some].view(np.int64).tolist()], pa.int64())]
-        arrays += [pa.array([first, *x[some].tolist()], pa.int64()) for first, x in ((len(distinct), n), (0, of_target))]
-        yield pa.RecordBatch.from_arrays(arrays, ["key", "n", "n_target"])
-
-    sent = docs.mapInArrow(send, "part int, payload binary").repartition(fragments, "part")
-    return sent.mapInArrow(count, "key long, n long, n_target long")
-
-
-class _Known:
-    """Counts of frequent keys, to look up by key."""
-
-    def __init__(self, rows: list):
-        order = np.argsort(keys := np.array([r["key"] for r in rows], dtype=np.int64).view(np.uint64))
-        self.keys = keys[order]
-        self.n, self.n_target = (np.array([r[c] for r in rows], dtype=np.int64)[order] for c in ("n", "n_target"))
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each key is frequent, and its place if so."""
-        if not len(self.keys):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.keys[place] == keys, place
+        groups: dict[int, list[tuple[int, list[np.ndarray]]]] = {}
+        for batch in batches:
+            for chunk, part, payload in zip(*(batch.column(c).to_pylist() for c in ("chunk", "part", "payload"))):
+                groups.setdefault(part, []).append((chunk, _unpack(payload)))
+        for part in list(groups):
+            sent = groups.pop(part)
+            totals, vocabulary = [], 0
+            for kind in (0, 3):
+                distinct, place = np.unique(np.concatenate([a[kind] for _, a in sent]), return_inverse=True)
+                vocabulary = len(distinct)
+                sums = [np.bincount(place, np.concatenate([a[kind + j] for _, a in sent]), minlength=len(distinct)).astype(np.int64)[place] for j in (1, 2)]
+                totals.append((sums, np.cumsum([0, *(len(a[kind]) for _, a in sent)])))
+            for i, (chunk, _) in enumerate(sent):
+                payload = _pack(*[x[ends[i] : ends[i + 1]] for sums, ends in totals for x in sums])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk], pa.int64()), pa.array([part], pa.int32()), pa.array([payload], pa.binary()), pa.array([None], pa.int64())], ["chunk", "part", "payload", "vocabulary"]
+                )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None], pa.int64()), pa.array([part], pa.int32()), pa.array([None], pa.binary()), pa.array([vocabulary], pa.int64())], ["chunk", "part", "payload", "vocabulary"]
+            )
+
+    sent = chunks.select("chunk", "targets", "texts").mapInArrow(send, "chunk long, part int, payload binary")
+    return cut(sent.repartitionById(fragments, F.col("part")).mapInArrow(count, "chunk long, part int, payload binary, vocabulary long"), "counts")
 
 
 def _terms(n, all_n, all_target, own_target, pseudo: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,12 +188,12 @@ def _terms(n, all_n, all_target, own_target, pseudo: tuple[float, float]) -> tup
     return n * np.log(all_n - n + pseudo[0]), n * np.log(all_target - n * own_target + pseudo[1])
 
 
-def _postings(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, document) with the number of occurrences, sorted by key."""
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(key) else np.empty(0, np.int64)
-    return key[first], doc[first], np.diff(np.append(first, len(key)))
+def _postings(place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (place of the key, document) with the number of occurrences."""
+    order = np.lexsort((doc, place))
+    place, doc = place[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])])) if len(place) else np.empty(0, np.int64)
+    return place[first], doc[first], np.diff(np.append(first, len(place)))
 
 
 def cross_entropy_difference(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target") -> DataFrame:
@@ -150,99 +205,56 @@ def cross_entropy_difference(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     Null and empty texts have no tokens, null losses and score 0. Without target
     documents both models are the background one with nothing counted in the target.
-    Rows with equal or null ids are separate rows; an empty table gives no rows.
-    Other columns are not read.
+    A very long text is a chunk of its own. Rows with equal or null ids are separate rows;
+    an empty table gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(target_col).cast("boolean"), F.lit(False)).alias("target")
     )
-
-    @returning_memory
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, chunk in _chunks(batches):
-            some = chunk.n > 0
-            sizes = (chunk.n.sum(), chunk.n[chunk.target].sum(), some.sum(), (some & chunk.target).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in sizes], ["a", "b", "c", "d"])
-
-    sizes = rows.mapInArrow(measure, "a long, b long, c long, d long").agg(*[F.sum(c) for c in "abcd"]).first()
-    total, of_target, starts, starts_target = (int(x or 0) for x in sizes)
-    fragments = max(16, -(-2 * total // FRAGMENT))
-    least = max(FREQUENT, int(total * SHARE))
-
-    # A word is a history wherever another word follows it in its document.
-    counted = cut(key_counts(rows, lambda c: (c.words, c.doc, np.append(c.before[1:] != _START, False)[: len(c.words)]), fragments, least), "words")
-    vocabulary = 1 + int(counted.where("key is null").agg(F.sum("n")).first()[0] or 0)
-    # Both lists have at most 1 / SHARE rows.
-    start = {"key": int(_START.view(np.int64)), "n": starts, "n_target": starts_target}
-    frequent_words = _Known([*counted.where("key is not null").collect(), start])
-
-    def frequent_pairs(c: _Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        # A pair occurs no more often than either of its words.
-        may = frequent_words.find(c.before)[0] & frequent_words.find(c.words)[0]
-        return c.bigrams[may], c.doc[may], np.ones(int(may.sum()), bool)
-
-    frequent_bigrams = _Known(key_counts(rows, frequent_pairs, fragments, least).where("key is not null").collect())
-    sent = spark.sparkContext.broadcast((frequent_bigrams, frequent_words))
+    chunks = chunked(rows)
+    sizes = chunks.agg(*[F.sum(c) for c in ("tokens", "opened", "in_target", "opened_in_target")]).first()
+    total, opened, of_target, opened_in_target = (int(x or 0) for x in sizes)
+    fragments = max(16, -(-total // FRAGMENT))
+    counts = corpus_counts(chunks, fragments)
+    vocabulary = 1 + int(counts.where("chunk is null").agg(F.sum("vocabulary")).first()[0] or 0)
     a = (PSEUDO, PSEUDO * (of_target / total if of_target else 1.0))
-    pseudo = {0: a, 1: (a[0] * vocabulary, a[1] * vocabulary)}  # of bigrams and of histories
-
-    @returning_memory
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 40
-        names = ["part", "kind", "payload", "row", "doc_id", "n", "background", "target"]
-
-        def out(part, kind, payload, row, doc_id, n, background, target) -> pa.RecordBatch:
-            values = (pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary()), pa.array(row, pa.int64()), doc_id)
-            return pa.RecordBatch.from_arrays([*values, *(pa.array(x, t) for x, t in ((n, pa.int64()), (background, pa.float64()), (target, pa.float64())))], names)
-
-        for batch, chunk in _chunks(batches):
-            size = batch.num_rows
-            losses = np.zeros((2, size))
-            nothing = pa.array([None], pa.int64())
-            for kind, key, sign in ((0, chunk.bigrams, -1.0), (1, chunk.before, 1.0)):
-                key, doc, n = _postings(key, chunk.doc)
-                known = sent.value[kind]
-                here, place = known.find(key)
-                at = place[here]
-                terms = _terms(n[here], known.n[at], known.n_target[at], chunk.target[doc[here]], pseudo[kind]) if here.any() else ()
-                for model, term in enumerate(terms):
-                    losses[model] += sign * np.bincount(doc[here], term, minlength=size)
-                key, doc, n = key[~here], doc[~here], n[~here]
-                edges = _cuts(key, fragments)
-                for part in np.flatnonzero(np.diff(edges)).tolist():
-                    p = slice(edges[part], edges[part + 1])
-                    own, local = np.unique(doc[p], return_inverse=True)
-                    order = np.argsort(local, kind="stable")
-                    narrow = (key[p][order] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-                    head = np.array([len(local), len(own)], np.uint64)
-                    pieces = (head, narrow, local[order].astype(np.uint16), n[p][order].astype(np.uint32), number + own, chunk.target[own])
-                    yield out([part], [kind], [b"".join(np.ascontiguousarray(x).tobytes() for x in pieces)], [None], nothing, [None], [None], [None])
-            yield out(
-                np.arange(size) % fragments, [None] * size, [None] * size, number + np.arange(size), batch.column("doc_id"), chunk.n, losses[0], losses[1]
-            )
-            number += size
+    pseudo = (a, (a[0] * vocabulary, a[1] * vocabulary))  # of bigrams and of histories
+
+    def scored(row: dict, payloads: list[bytes]) -> pa.RecordBatch:
+        chunk = _chunk_of(row)
+        pairs, words_ = _kinds(chunk)
+        size = len(chunk.n)
+        parts = [_unpack(p) for p in payloads]
+        known = [np.concatenate([p[j] for p in parts]).astype(np.int64) if parts else np.empty(0, np.int64) for j in range(4)]
+        # The start word's counts are the numbers of documents with words; other histories are words.
+        history = np.where(chunk.before == _START, len(words_.distinct), np.roll(words_.place, 1))
+        known[2], known[3] = np.append(known[2], opened), np.append(known[3], opened_in_target)
+        losses = np.zeros((2, size))
+        for kind, places, sign in ((0, pairs.place, -1.0), (1, history, 1.0)):
+            place, doc, n = _postings(places, chunk.doc)
+            for model, term in enumerate(_terms(n, known[2 * kind][place], known[2 * kind + 1][place], chunk.target[doc], pseudo[kind])):
+                losses[model] += sign * np.bincount(doc, term, minlength=size)
+        arrays = [pa.array(row["ids"], pa.int64()), pa.array(chunk.n, pa.int64()), *[pa.array(x, pa.float64()) for x in losses]]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "background", "target"])
 
     @returning_memory
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "doc_id", "n", "background", "target"]
-        groups: dict[tuple[int, int], list[bytes]] = {}
-        for batch in batches:
-            own = batch.filter(pa.compute.is_valid(batch.column("row")))
-            if own.num_rows:
-                yield own.select(names)
-            sent_here = batch.filter(pa.compute.is_valid(batch.column("payload")))
-            for part, kind, payload in zip(*(sent_here.column(c).to_pylist() for c in ("part", "kind", "payload")), strict=True):
-                groups.setdefault((part, kind), []).append(payload)
-        for part, kind in list(groups):
-            row, background, target = _score_fragment(groups.pop((part, kind)), pseudo[kind])
-            sign = 1.0 if kind else -1.0
-            none = pa.nulls(len(row), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(row), none, none, pa.array(sign * background), pa.array(sign * target)], names)
-
-    kinds = "row long, doc_id long, n long, background double, target double"
-    found = rows.mapInArrow(send, f"part int, kind int, payload binary, {kinds}").repartition(fragments, "part").mapInArrow(score, kinds)
-    summed = found.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "n")], *[F.sum(c).alias(c) for c in ("background", "target")])
+        whole, payloads = None, []
+        for row in _rows(batches):
+            if row["part"] < 0:
+                if whole is not None:
+                    yield scored(whole, payloads)
+                whole, payloads = row, []
+            else:
+                payloads.append(row["payload"])
+        if whole is not None:
+            yield scored(whole, payloads)
+
+    meeting = chunks.select("chunk", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("payload"), "ids", "targets", "texts").unionByName(
+        counts.where("chunk is not null").select("chunk", "part", "payload"), allowMissingColumns=True
+    )
+    dealt = meeting.repartition("chunk").sortWithinPartitions("chunk", "part")
+    summed = dealt.mapInArrow(score, "doc_id long, n long, background double, target double")
     loss = {m: F.when(F.col("n") > 0, F.col(m) / F.col("n")) for m in ("background", "target")}
     return summed.select(
         "doc_id",
@@ -253,32 +265,6 @@ def cross_entropy_difference(docs: DataFrame, id_col: str = "doc_id", text_col:
     )
 
 
-def _score_fragment(payloads: list[bytes], pseudo: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of a fragment with their summed terms in both models."""
-    keys, owner, counts, rows, flags, offset = [], [], [], [], [], 0
-    for payload in payloads:
-        k, m = (int(x) for x in np.frombuffer(payload, np.uint64, 2))
-        wide = np.zeros((k, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(payload, np.uint8, 6 * k, 16).reshape(-1, 6)
-        keys.append(wide.view(np.uint64)[:, 0])
-        owner.append(np.frombuffer(payload, np.uint16, k, 16 + 6 * k).astype(np.int64) + offset)
-        counts.append(np.frombuffer(payload, np.uint32, k, 16 + 8 * k))
-        rows.append(np.frombuffer(payload, np.int64, m, 16 + 12 * k))
-        flags.append(np.frombuffer(payload, np.bool_, m, 16 + 12 * k + 8 * m))
-        offset += m
-    key, own, n = np.concatenate(keys), np.concatenate(owner), np.concatenate(counts).astype(np.int64)
-    row, flag = np.concatenate(rows), np.concatenate(flags)
-    order = np.argsort(key)
-    key, own, n = key[order], own[order], n[order]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    lengths = np.diff(np.append(starts, len(key)))
-    in_target = flag[own]
-    all_n, all_target = (np.repeat(np.add.reduceat(x, starts), lengths) for x in (n, n * in_target))
-    sums = [np.bincount(own, t, minlength=offset) for t in _terms(n, all_n, all_target, in_target, pseudo)]
-    distinct, place = np.unique(row, return_inverse=True)
-    return distinct, *(np.bincount(place, s, minlength=len(distinct)) for s in sums)
-
-
 def op7_lm_difference(spark, sf_dir: str) -> DataFrame:
     """The target model is fitted on the documents labelled as good, the background model on all."""
     good = load(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("_good")).distinct()

@@ -46,10 +46,10 @@ def sample(seed, n=60):
     return [(d, " ".join(rng.choice("the The a of x y z w v rare".split() + [f"r{rng.randrange(80)}"]) for _ in range(rng.randrange(0, 40))), rng.random() < 0.4) for d in range(n)]
 
 
-@pytest.mark.parametrize("frequent", [1_000, 30, 1])
-def test_against_brute_force(spark, monkeypatch, frequent):
-    monkeypatch.setattr(M, "FREQUENT", frequent)
-    rows = sample(frequent)
+@pytest.mark.parametrize("seed,fragment,chunk", [(1_000, 4_000_000, 60_000), (30, 20, 7), (1, 1, 1)])
+def test_against_brute_force(spark, monkeypatch, seed, fragment, chunk):
+    monkeypatch.setattr(M, "FRAGMENT", fragment), monkeypatch.setattr(M, "CHUNK_ROWS", chunk)
+    rows = sample(seed)
     check(M.cross_entropy_difference(spark.createDataFrame(rows, SCHEMA).repartition(5)), rows)
 
 
