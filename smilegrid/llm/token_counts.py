@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 from collections import Counter as Count
 from collections.abc import Iterator
 from itertools import repeat
@@ -40,9 +41,11 @@ from .tables import broadcast_below, cut, load
 STEP = 32_768
 #: First overlap in characters; grows fourfold where no stable boundary lies in it.
 OVERLAP = 256
-#: Words that a task remembers, and bytes of text it counts at a time.
-REMEMBERED = 200_000
-GROUP_BYTES = 2 << 20
+#: Bytes of the words that a worker remembers, characters of the longest of them, bytes of text that
+#: it counts at a time, and characters whose encodings it holds at a time.
+MEMO_BYTES, MEMO_WORD = 12 << 20, 64
+GROUP_BYTES = 1 << 19
+ENCODED_CHARS = 30_000
 
 _ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
 _GAP = re.compile(r"(?<=\S)([ \n])(?=\S)")
@@ -75,6 +78,7 @@ class Counter:
         #: Counts of words with a space before them, and of words with none.
         self._spaced: dict[str, int] = {}
         self._bare: dict[str, int] = {}
+        self._held = 0
         self._line_feed = len(self.tokenizer.encode("\n", add_special_tokens=False)) if self.stable else 0
 
     def _learn(self, known: dict[str, int], words: list[str], between: str, lead: int) -> None:
@@ -82,7 +86,7 @@ class Counter:
         start = 0
         while start < len(words):
             end, size = start, 0
-            while end < len(words) and size < 30_000:
+            while end < len(words) and size < ENCODED_CHARS:
                 size += len(words[end]) + 1
                 end += 1
             group = words[start:end]
@@ -91,20 +95,33 @@ class Counter:
             places = np.fromiter((x for x, _ in found.offsets), np.int64, len(found))
             counts = np.bincount(np.searchsorted(starts, places, "right") - 1, minlength=len(group)) - lead
             known.update(zip(group, counts.tolist(), strict=True))
+            self._held += sum(map(sys.getsizeof, group)) + 100 * len(group)
+            start = end
+
+    def _lengths(self, texts: list[str]) -> Iterator[int]:
+        """Numbers of tokens of the texts, with the encodings of some of them held at a time."""
+        start = 0
+        while start < len(texts):
+            end, size = start, 0
+            while end < len(texts) and (end == start or size < ENCODED_CHARS):
+                size += len(texts[end])
+                end += 1
+            yield from [len(x) for x in self.tokenizer.encode_batch_fast(texts[start:end], add_special_tokens=False)]
             start = end
 
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text. Words met twice in a call are remembered; the others are encoded text by text."""
-        encode = self.tokenizer.encode_batch_fast
         if not self.stable:
-            return [len(x) for x in encode(texts, add_special_tokens=False)]
+            return list(self._lengths(texts))
+        if self._held > MEMO_BYTES:
+            self._spaced.clear()
+            self._bare.clear()
+            self._held = 0
         split = [self._words(t) for t in texts]
         total = [feeds * self._line_feed for _, _, feeds, _ in split]
         rest = [list(outer) for _, _, _, outer in split]
         for known, column, between, lead in ((self._spaced, 0, " ", 0), (self._bare, 1, "\n", self._line_feed)):
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = Count(w for s in split for w in s[column] if w not in known)
+            new = Count(w for s in split for w in s[column] if len(w) <= MEMO_WORD and w not in known)
             self._learn(known, [w for w, n in new.items() if n > 1], between, lead)
             for i, s in enumerate(split):
                 once = [w for w in s[column] if w not in known]
@@ -112,8 +129,8 @@ class Counter:
                 if once:
                     rest[i].append(between + between.join(once))
                     total[i] -= lead * len(once)
-        sizes = iter(encode([x for r in rest for x in r], add_special_tokens=False))
-        return [n + sum(len(next(sizes)) for _ in r) for n, r in zip(total, rest, strict=True)]
+        sizes = self._lengths([x for r in rest for x in r])
+        return [n + sum(next(sizes) for _ in r) for n, r in zip(total, rest, strict=True)]
 
     @staticmethod
     def _words(text: str) -> tuple[list[str], list[str], int, list[str]]:
@@ -208,7 +225,8 @@ def _encoded(chunks: DataFrame, path: str, overlap: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column("row")
-            for i, r in enumerate(batch.drop_columns(["row"]).to_pylist()):
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).drop_columns(["row"]).to_pylist()[0]
                 use = counter(path)
                 total, places, before = use.pieces(r["piece"])
                 size = len(r["piece"])
