@@ -154,7 +154,7 @@ def tour(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     Numbers follow (parent, depth, conv_id), so a node's children are consecutive: the one after a
     child that is not the last is its next sibling. The enter arc of node v is 2v, its exit arc 2v + 1.
     """
-    table = cut(numbered(nodes, "node", [F.col("parent").asc_nulls_first(), F.col("depth"), F.col("conv_id")]).drop("part", "at"), "numbered")
+    table = cut(numbered(nodes, "node", [F.col("parent").asc_nulls_first(), F.col("depth"), F.col("conv_id")]), "numbered")
     children = table.where("depth > 0").groupBy("parent", "depth").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n_children"))
     children = children.select(F.col("parent").alias("conv_id"), (F.col("depth") - 1).alias("depth"), "first", "last", "n_children")
     table = cut(table.join(children, ["conv_id", "depth"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))), "tree")

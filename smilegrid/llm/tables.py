@@ -11,6 +11,8 @@ __all__ = ["broadcast_below", "components", "cut", "load", "numbered"]
 
 #: Most rows of a side of a few fixed-width columns that is sent to every executor.
 BROADCAST_ROWS = 1_000_000
+#: Columns that `numbered` uses on its way.
+NUMBERING = ("_range", "_at", "_rows", "_start")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,13 +59,13 @@ def numbered(table: DataFrame, index: str, order: list[Column] | None = None) ->
     """A stored copy of `table` with a column `index` that counts its rows from 0 without gaps.
 
     With `order`, rows are dealt by ranges of it and sorted within, so the numbers follow it
-    and no task holds more than a range; equal rows share a range. `part` and `at` say which
-    range and which of its rows a row is.
+    and no task holds more than a range; equal rows share a range. The names in NUMBERING and
+    `index` must be free.
     """
     if order:
         table = table.repartitionByRange(*order).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id()
-    stored = cut(table.withColumns({"part": F.shiftright(place, 33), "at": place.bitwiseAND((1 << 33) - 1)}), "ranges")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task that wrote the table
-    starts = stored.groupBy("part").agg(F.count(F.lit(1)).alias("_rows")).select("part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    return stored.join(F.broadcast(starts), "part").withColumn(index, F.col("_start") + F.col("at")).drop("_start")
+    stored = cut(table.withColumns({"_range": F.shiftright(place, 33), "_at": place.bitwiseAND((1 << 33) - 1)}), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per task that wrote the table
+    starts = stored.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")).select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    return stored.join(F.broadcast(starts), "_range").withColumn(index, F.col("_start") + F.col("_at")).drop(*NUMBERING)

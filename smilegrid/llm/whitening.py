@@ -91,14 +91,14 @@ def whiten(vectors: DataFrame, vector: str, keys: list[str], components: int = C
     """
     spark = vectors.sparkSession
     rows = vectors.where(usable(F.col(vector)) & (F.size(vector) > 0)).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], on_grid(F.col(vector)).alias("x"))
-    rows = numbered(rows, "index").drop("part", "at")
+    rows = numbered(rows, "index")
     dims = rows.agg(F.max(F.size("x"))).first()[0]
     if dims is None:
         return None
     if dims > MAX_DIMS:
         raise ValueError(f"vectors of {dims} entries; at most {MAX_DIMS} are supported")
     if rows.where(F.size("x") < dims).limit(1).count():
-        rows = numbered(rows.where(F.size("x") == dims).drop("index"), "index").drop("part", "at")
+        rows = numbered(rows.where(F.size("x") == dims).drop("index"), "index")
     sums = rows.select(F.posexplode("x").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("sum"), F.count(F.lit(1)).alias("n")).orderBy("at").collect()
     n, total = sums[0]["n"], F.array(*[F.lit(r["sum"]) for r in sums])
     away = F.zip_with("x", total, lambda x, s: F.try_subtract(F.try_multiply(x, F.lit(n)), s))

@@ -1,3 +1,4 @@
+import re
 import sys
 from pathlib import Path
 
@@ -13,7 +14,7 @@ from test_ngram_join import expected as groups  # noqa: E402
 FOLDER = "/root/testdata/sf0.001"
 
 
-def texts(df):
+def texts_of(df):
     return [(r.doc_id, r.text) for r in df.collect()]
 
 
@@ -31,24 +32,24 @@ def test_every_stage_against_brute_force(spark, tmp_path):
 
     before, after = stages[0]
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
-    kept = {d for d, _ in texts(after)}
-    assert all((d in kept) == (labels[d] == 1) for d in labels if d in dict(texts(before)))
+    kept = {d for d, _ in texts_of(after)}
+    assert all((d in kept) == (labels[d] == 1) for d in labels if d in dict(texts_of(before)))
 
     before, after = stages[1]
-    want = {d: (lines, dropped, digest) for d, lines, dropped, digest in dedup(texts(before))}
-    got = {d: hashlib.sha256(t.encode()).hexdigest() for d, t in texts(after)}
+    want = {d: (lines, dropped, digest) for d, lines, dropped, digest in dedup(texts_of(before))}
+    got = {d: hashlib.sha256(t.encode()).hexdigest() for d, t in texts_of(after)}
     assert got == {d: w[2] for d, w in want.items()}
     assert all(r.n_chars == len(r.text) for r in after.collect())
 
     before, after = stages[2]
-    assert {d for d, _ in texts(after)} == {d for d, _, c in groups(texts(before)) if c == d}
+    assert {d for d, _ in texts_of(after)} == {d for d, _, c in groups(texts_of(before)) if c == d}
 
     before, after = stages[3]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
-    assert {d for d, _ in texts(after)} == {d for d, _, hit, _ in windows(texts(before), items) if not hit}
+    assert {d for d, _ in texts_of(after)} == {d for d, _, hit, _ in windows(texts_of(before), items) if not hit}
 
     before, after = stages[4]
-    total = sum(len((t or "").split()) for _, t in texts(before))
+    total = sum(len((t or "").split()) for _, t in texts_of(before))
     rows = after.collect()
     assert 0 < sum(r.taken for r in rows) <= 1.5 * total and all(0 < r.taken <= 2 * r.size for r in rows)
     assert sorted(map(str, P.run(spark, FOLDER).select("doc_id", "taken").collect())) == sorted(map(str, after.select("doc_id", "taken").collect()))
@@ -64,3 +65,48 @@ def test_edge_rows_pass_every_stage(spark, tmp_path):
             stage(spark, docs, FOLDER).write.parquet(f"{tmp_path}/{k}-{n}")
             docs = spark.read.parquet(f"{tmp_path}/{k}-{n}")
         assert docs.count() == 0 or docs.where("taken > 2 * size").count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    schema = spark.read.parquet(f"{FOLDER}/documents.parquet").schema
+    long = " ".join(f"w{i}" for i in range(100))
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").orderBy("item_id").first().text
+    texts = {"A": long, "copy": long + " end", "B": "a text of its own that nothing else repeats"}
+    rows = [(3, texts["A"]), (5, texts["copy"]), (5, texts["B"]), (None, texts["copy"]), (None, "alone " * 9), (7, ""), (7, ""), (8, None), (3, "")]
+    docs = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in rows], schema).withColumns({"_row": F.lit("r"), "_at": F.lit(1), "group": F.lit(2)})
+    kept = P.near_copies(spark, docs, FOLDER)
+    assert sorted(kept.columns) == sorted(docs.columns) and {r._row for r in kept.collect()} == {"r"}
+    assert sorted(texts_of(kept), key=str) == sorted([(3, texts["A"]), (5, texts["B"]), (None, "alone " * 9), (7, ""), (8, None), (3, "")], key=str)
+    docs = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in ((1, item), (1, "clean"), (None, item), (None, "clean"))], schema)
+    assert sorted(texts_of(P.benchmarks(spark, docs, FOLDER)), key=str) == [(1, "clean"), (None, "clean")]
+
+
+def fair(sizes):
+    """{source: (size, target)} by resharing the excess over twice a source's size."""
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    left, open_, target = 1.5 * sum(sizes.values()), set(names), {}
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = {s for s in open_ if share[s] > 2 * sizes[s]}
+        if not full:
+            return target | share
+        for s in full:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+        open_ -= full
+    return target
+
+
+def test_mixture_against_plain_shares(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = P.mixture(spark, docs, FOLDER).collect()
+    size, taken = {}, {}
+    for r in docs.collect():
+        size[r.source] = size.get(r.source, 0) + len([w for w in re.split("[\\x20\\x09-\\x0D]+", r.text or "") if w])
+    for r in rows:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        assert 0 < r.taken <= 2 * r.size and r.source_size == size[r.source]
+    want, longest = fair(size), max(r.size for r in rows)
+    assert all(abs(r.target - want[r.source]) < 1e-6 * want[r.source] for r in rows)
+    assert all(abs(taken[s] - want[s]) <= 2 * longest for s in want)
