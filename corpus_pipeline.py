@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from smilegrid.llm import decontaminate, line_dedup, ngram_join, quality_knn, source_mix
-from smilegrid.llm.tables import cut, load
+from smilegrid.llm.tables import NUMBERING, broadcast_below, cut, load, numbered
 
 
 def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
@@ -46,19 +46,36 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumns(new).select(*docs.columns).withColumnsRenamed(back)
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """A stored copy of `docs` with its rows numbered by _row, and what brings set-aside names back."""
+    docs, back = _aside(docs, "_row", *NUMBERING)
+    return numbered(docs, "_row"), back
+
+
+def _without(docs: DataFrame, dropped: DataFrame, back: dict[str, str]) -> DataFrame:
+    return docs.join(broadcast_below(dropped), "_row", "left_anti").drop("_row").withColumnsRenamed(back)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of every group of near copies; empty texts are no copies of each other.
-    Of rows with one id and text one stays."""
-    found = ngram_join.near_duplicates(docs)
-    others = cut(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_copy")).distinct(), "copies")
-    return docs.join(others, docs["doc_id"] == others["_copy"], "left_anti").dropDuplicates(["doc_id", "text"])
+    """One document of every group of near copies: that of the smallest id (a null id last, ties by a digest of the text).
+    Rows are judged one by one, so rows that share an id, or have none, stay or go by their own text.
+    Texts without words are no copies of each other; of such rows with one id and text one stays."""
+    docs, back = _numbered(docs)
+    found = ngram_join.near_duplicates(docs, "_row").withColumnRenamed("doc_id", "_row")
+    facts = docs.select("_row", "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    empty = F.col("n_shingles") == 0
+    alone = [F.when(empty, F.col(c)).alias(f"own_{c}") for c in ("doc_id", "digest")]
+    rows = cut(found.join(facts, "_row").select("_row", "doc_id", "digest", F.when(~empty, F.col("component_id")).alias("group"), *alone), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "_row"))
+    kept = rows.groupBy("group", "own_doc_id", "own_digest").agg(first["_row"].alias("_row"))
+    return _without(docs, cut(rows.join(kept, "_row", "left_anti").select("_row"), "copies"), back)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs. Rows with one id go together."""
-    found = decontaminate.contamination(docs, load(spark, sf_dir, "benchmark"))
-    hit = cut(found.where("hits is not null").select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    """Documents in which no benchmark window occurs. Every row is judged by its own text."""
+    docs, back = _numbered(docs)
+    found = decontaminate.contamination(docs, load(spark, sf_dir, "benchmark"), "_row")
+    return _without(docs, cut(found.where("hits is not null").select(F.col("doc_id").alias("_row")), "contaminated"), back)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
