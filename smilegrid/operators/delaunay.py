@@ -6,8 +6,16 @@ combination of points, a linear program with three active points. A pivot brings
 in the point deepest inside the current circumcircle and drops one vertex, until
 no point lies inside. All nodes of a day pivot together.
 
-Points on one circle tie. A second cost that depends on a point's coordinates only
-decides among them, as if every point were lifted by an infinitely small multiple of it.
+Costs are compared in three levels, so the triangle depends on the points alone and
+not on which of them were looked at, or in which order:
+
+1. the weight of three artificial corners, which only a node outside the hull needs;
+2. the lifted height;
+3. a function of a point's coordinates, which decides among points on one circle, as
+   if every point were lifted by an infinitely small multiple of it.
+
+A node on an edge, of a triangle or of the hull, has a vertex of weight 0. Which vertex
+leaves then is decided as if the node were moved by infinitely small steps.
 """
 
 from __future__ import annotations
@@ -22,11 +30,14 @@ from ..plans.lineage import cut
 from ..settings import Grid
 
 DAY = "quote_date"
-OUTSIDE_COST = 1e8
-INSIDE = 1e-11
-#: Least difference of the second cost that decides a tie, and that cost's frequencies along (log-moneyness, T).
-TIED = 1e-7
+#: Tolerances of the levels: corner weight, height relative to that of the vertices, third cost.
+CORNER, INSIDE, TIED = 1e-12, 1e-11, 1e-7
+#: Ratios closer than this leave the choice to the next step of the node.
+LEVEL = 1e-12
+#: Frequencies of the third cost along (log-moneyness, T).
 WAVES = ((917.3, 1303.7), (2711.9, -1987.1))
+#: Steps of a node.
+STEPS = np.array([[0.8090, 0.5878, 0.0], [-0.3827, 0.9239, 0.0]])
 #: Origin of all coordinates, so that planes of any two subsets of a day compare.
 ORIGIN = np.array([0.0, 0.5])
 
@@ -44,18 +55,54 @@ CORNERS = np.array([[-50.0, -30.0], [50.0, -30.0], [0.0, 60.0]])
 
 
 def _lift(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vertex table, and the costs and tie costs of its rows; the first three vertices
-    are artificial corners that cost far more than any real point."""
+    """Vertex table, and the costs of its rows by level; the first three vertices are the artificial corners."""
     moved = points - ORIGIN
     places = np.vstack([CORNERS, moved])
-    cost = np.r_[np.full(3, OUTSIDE_COST), (moved**2).sum(axis=1)]
+    corner = np.r_[np.ones(3), np.zeros(len(moved))]
+    height = np.r_[np.zeros(3), (moved**2).sum(axis=1)]
     tie = np.r_[np.zeros(3), sum(np.sin(u * moved[:, 0] + v * moved[:, 1]) for u, v in WAVES)]
-    return np.column_stack([places, np.ones(len(places))]), np.column_stack([cost, tie])
+    return np.column_stack([places, np.ones(len(places))]), np.column_stack([corner, height, tie])
 
 
 def _planes(lifted: np.ndarray, cost: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each triangle's planes through both costs (3 x 2), and the tolerance of the first."""
-    return np.linalg.solve(lifted[basis], cost[basis]), INSIDE * np.maximum(1.0, np.abs(cost[basis][..., 0]).max(axis=1))
+    """Each triangle's planes through the costs (3 coefficients x 3 levels), and the tolerance of the heights."""
+    return np.linalg.solve(lifted[basis], cost[basis]), INSIDE * np.maximum(1.0, np.abs(cost[basis][..., 1]).max(axis=1))
+
+
+def _entering(lifted: np.ndarray, cost: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each triangle the real point that lowers its cost most in the first level in which any does, and whether one does."""
+    plane, tolerance = _planes(lifted, cost, basis)
+    slack = lambda rows, level: cost[None, 3:, level] - plane[rows][..., level] @ lifted[3:].T
+    enter, moving = np.zeros(len(basis), np.int64), np.zeros(len(basis), bool)
+    tied = np.ones((len(basis), len(lifted) - 3), bool)
+    artificial = np.flatnonzero((basis < 3).any(axis=1))
+    if len(artificial):
+        below = slack(artificial, 0)
+        enter[artificial] = below.argmin(axis=1)
+        moving[artificial] = below.min(axis=1) < -CORNER
+        tied[artificial] = np.abs(below) <= CORNER
+    for level, limit in ((1, tolerance), (2, np.full(len(basis), TIED))):
+        rows = np.flatnonzero(~moving)
+        if not len(rows):
+            break
+        below = np.where(tied[rows], slack(rows, level), np.inf)
+        enter[rows] = below.argmin(axis=1)
+        moving[rows] = below.min(axis=1) < -limit[rows]
+        tied[rows] &= np.abs(below) <= limit[rows][:, None]
+    return enter + 3, moving
+
+
+def _leaving(lifted: np.ndarray, basis: np.ndarray, goal: np.ndarray, enter: np.ndarray) -> np.ndarray:
+    """The place in each triangle of the vertex that makes room, so that the node and its steps stay inside."""
+    columns = np.concatenate([np.column_stack([goal, np.ones(len(goal))])[..., None], np.broadcast_to(STEPS.T, (len(goal), 3, 2)), lifted[enter][..., None]], axis=2)
+    found = np.linalg.solve(np.swapaxes(lifted[basis], 1, 2), columns)
+    there = found[..., 3]
+    open_ = there > 1e-13
+    for k in range(3):
+        weight = np.maximum(found[..., 0], 0.0) if k == 0 else found[..., k]
+        ratio = np.where(open_, weight / np.where(open_, there, 1.0), np.inf)
+        open_ &= ratio <= ratio.min(axis=1, keepdims=True) + LEVEL
+    return open_.argmax(axis=1)
 
 
 def triangles(points: np.ndarray, targets: np.ndarray, rounds: int = 10_000):
@@ -69,30 +116,11 @@ def triangles(points: np.ndarray, targets: np.ndarray, rounds: int = 10_000):
     basis = np.tile(np.arange(3), (len(goal), 1))
     open_rows = np.arange(len(goal))
     for _ in range(rounds):
-        here = basis[open_rows]
-        plane, tolerance = _planes(lifted, cost, here)
-        # Reduced cost of every point under each node's plane: negative is inside.
-        slack = cost[None, 3:, 0] - plane[..., 0] @ lifted[3:].T
-        enter = slack.argmin(axis=1)
-        rows = np.arange(len(enter))
-        moving = slack[rows, enter] < -tolerance
-        # Real triangles that hold no point: a point on the circle enters if its second cost is lower.
-        settled = np.flatnonzero(~moving & (here >= 3).all(axis=1))
-        on_circle = np.abs(slack[settled]) <= tolerance[settled][:, None]
-        second = np.where(on_circle, cost[None, 3:, 1] - plane[settled][..., 1] @ lifted[3:].T, 0.0)
-        lowest = second.argmin(axis=1)
-        wins = second[np.arange(len(lowest)), lowest] < -TIED
-        enter[settled[wins]] = lowest[wins]
-        moving[settled[wins]] = True
-        corner = lifted[here][moving]
-        open_rows, enter = open_rows[moving], enter[moving] + 3
+        enter, moving = _entering(lifted, cost, basis[open_rows])
+        open_rows, enter = open_rows[moving], enter[moving]
         if not len(open_rows):
             break
-        flat = np.swapaxes(corner, 1, 2)
-        here = np.linalg.solve(flat, np.column_stack([goal[open_rows], np.ones(len(open_rows))])[..., None])[..., 0]
-        there = np.linalg.solve(flat, lifted[enter][..., None])[..., 0]
-        ratio = np.where(there > 1e-13, np.maximum(here, 0.0) / np.where(there > 1e-13, there, 1.0), np.inf)
-        basis[open_rows, ratio.argmin(axis=1)] = enter
+        basis[open_rows, _leaving(lifted, basis[open_rows], goal[open_rows], enter)] = enter
     else:
         raise RuntimeError(f"triangulation not settled after {rounds} rounds")
     corner = np.swapaxes(lifted[basis], 1, 2)
@@ -115,15 +143,18 @@ def interpolate(points: np.ndarray, values: np.ndarray, targets: np.ndarray) ->
 
 
 _SCHEMA = "quote_date date, n int, iv_grid double"
+#: Nodes of a heavy day that are solved together.
+BLOCK = 50
 
 
 def delaunay_surface(locations: DataFrame, grid: Grid = Grid(), bounded_day: int = 20_000) -> DataFrame:
     """Delaunay-linear surface of every day.
 
     A day with at most `bounded_day` distinct locations is solved in one kernel
-    call. A heavier day is solved exactly as well, without gathering it: the
-    kernel works on a growing subset, and a distributed pass over all locations
-    adds every point found inside some node's circumcircle until none is left.
+    call. A heavier day is solved in blocks of nodes without gathering it: each block
+    works on a growing subset of its own, and a distributed pass over all locations
+    adds every point found inside some node's circumcircle until none is left. Both
+    ways give the same triangles.
     """
     locations = locations.select(DAY, "log_moneyness", "T", "implied_vol")
     counts = locations.groupBy(DAY).agg(F.count(F.lit(1)).alias("_n"))
@@ -131,18 +162,17 @@ def delaunay_surface(locations: DataFrame, grid: Grid = Grid(), bounded_day: int
     targets = grid_targets(grid)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = interpolate(pdf[["log_moneyness", "T"]].to_numpy(), pdf["implied_vol"].to_numpy(), targets)
+        block = pdf["block"].iloc[0]
+        own = np.arange(len(targets)) if block < 0 else np.arange(len(targets))[block * BLOCK : (block + 1) * BLOCK]
+        z = interpolate(pdf[["log_moneyness", "T"]].to_numpy(), pdf["implied_vol"].to_numpy(), targets[own])
         keep = np.flatnonzero(np.isfinite(z))
-        return pd.DataFrame({DAY: pdf[DAY].iloc[0], "n": keep.astype("int32"), "iv_grid": z[keep]})
+        return pd.DataFrame({DAY: pdf[DAY].iloc[0], "n": own[keep].astype("int32"), "iv_grid": z[keep]})
 
-    if heavy.isEmpty():
-        bounded = locations
-    else:
+    bounded = locations.withColumn("block", F.lit(-1))
+    if not heavy.isEmpty():
         heavy = small_side(heavy)
-        bounded = locations.join(heavy, DAY, "left_anti").unionByName(
-            _active_points(locations.join(heavy, DAY, "left_semi"), targets)
-        )
-    solved = bounded.groupBy(DAY).applyInPandas(solve, _SCHEMA)
+        bounded = bounded.join(heavy, DAY, "left_anti").unionByName(_active_points(locations.join(heavy, DAY, "left_semi"), targets))
+    solved = bounded.groupBy(DAY, "block").applyInPandas(solve, _SCHEMA)
     x_idx = (F.col("n") % grid.x_points).cast("int")
     t_idx = F.floor(F.col("n") / grid.x_points).cast("int")
     return solved.select(
@@ -150,74 +180,89 @@ def delaunay_surface(locations: DataFrame, grid: Grid = Grid(), bounded_day: int
     )
 
 
-_PLANES = "quote_date date, n int, a double, b double, c double, a2 double, b2 double, c2 double, tolerance double, real boolean"
+_COEFFICIENTS = [f"{c}{level}" for level in range(3) for c in "abc"]
+_PLANES = f"quote_date date, block int, n int, {', '.join(f'{c} double' for c in _COEFFICIENTS)}, tolerance double"
 CELLS_X, CELLS_T = 100, 50
 
 
 def _active_points(points: DataFrame, targets: np.ndarray) -> DataFrame:
-    """A subset of each heavy day with the same node triangles as the whole day.
+    """(quote_date, block, point): for every block of nodes a subset of its day with the same triangles as the whole day.
 
-    Starting from one point per grid cell, every round solves the subset, then
+    Starting from one point per grid cell, every round solves the subsets, then
     looks for the point deepest inside each node's circumcircle. Only the cells
     a circle reaches are searched: their bounding boxes are tested first, and
-    the points of a reached cell come through an equi-join. The rounds end when
-    no circle holds a point, nor one on it that wins the tie.
+    the points of a reached cell come through an equi-join. A block whose circles hold no
+    point, nor one that wins a tie, is done; rounds go on for the others.
     """
-    def planes_of_day(pdf: pd.DataFrame) -> pd.DataFrame:
+
+    def planes_of_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = int(pdf["block"].iloc[0])
+        own = targets[block * BLOCK : (block + 1) * BLOCK]
         xy = pdf[["log_moneyness", "T"]].to_numpy()
-        basis, _ = triangles(xy, targets)
+        basis, _ = triangles(xy, own)
         plane, tolerance = _planes(*_lift(xy), basis)
-        out = pd.DataFrame(np.hstack([plane[..., 0], plane[..., 1]]), columns=["a", "b", "c", "a2", "b2", "c2"])
-        out = out.assign(quote_date=pdf[DAY].iloc[0], n=np.arange(len(targets), dtype="int32"), tolerance=tolerance, real=(basis >= 3).all(axis=1))
-        return out[[f.split()[0] for f in _PLANES.split(", ")]]
-
-    placed = cut(
-        points.withColumns(
-            {
-                "_i": F.floor(F.col("log_moneyness") * CELLS_X),
-                "_j": F.floor(F.col("T") * CELLS_T),
-                "_x": F.col("log_moneyness") - F.lit(float(ORIGIN[0])),
-                "_t": F.col("T") - F.lit(float(ORIGIN[1])),
-            }
-        )
-    )
-    boxes = cut(
-        placed.groupBy(DAY, "_i", "_j").agg(
-            F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_t").alias("t0"), F.max("_t").alias("t1")
-        )
+        out = pd.DataFrame(np.hstack([plane[..., level] for level in range(3)]), columns=_COEFFICIENTS)
+        out = out.assign(quote_date=pdf[DAY].iloc[0], block=np.int32(block), n=np.arange(len(own), dtype="int32") + block * BLOCK, tolerance=tolerance)
+        return out[[f.split()[0] for f in _PLANES.split(", ")]].astype({"block": "int32", "n": "int32"})
+
+    x, t = F.col("_x"), F.col("_t")
+    tie = sum((F.sin(F.lit(u) * x + F.lit(v) * t) for u, v in WAVES), F.lit(0.0))
+    placed = points.withColumns(
+        {
+            "_i": F.floor(F.col("log_moneyness") * CELLS_X),
+            "_j": F.floor(F.col("T") * CELLS_T),
+            "_x": F.col("log_moneyness") - F.lit(float(ORIGIN[0])),
+            "_t": F.col("T") - F.lit(float(ORIGIN[1])),
+        }
     )
+    placed = cut(placed.withColumn("_tie", tie))
+    boxes = placed.groupBy(DAY, "_i", "_j").agg(F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_t").alias("t0"), F.max("_t").alias("t1"))
+    boxes = cut(boxes)
     fields = ["log_moneyness", "T", "implied_vol"]
-    active = placed.groupBy(DAY, "_i", "_j").agg(F.min(F.struct(*fields)).alias("p")).select(DAY, "p.*")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-len(targets) // BLOCK) - 1)))
+    start = placed.groupBy(DAY, "_i", "_j").agg(F.min(F.struct(*fields)).alias("p"))
+    active = cut(start.select(DAY, blocks.alias("block"), "p.*"))
 
     def lowest(slope: str, lo: str, hi: str):
         """Smallest value of z * z - slope * z for z between lo and hi."""
         z = F.greatest(F.col(lo), F.least(F.col(hi), F.col(slope) / 2))
         return z * z - F.col(slope) * z
 
+    def highest(slope: str, lo: str, hi: str):
+        """Largest value of slope * z for z between lo and hi."""
+        return F.greatest(F.col(slope) * F.col(lo), F.col(slope) * F.col(hi))
+
+    # The levels' slacks of a point under a plane; the first two are also bounded over a box.
+    height = F.col("_s") < -F.col("tolerance")
+    level = F.when(F.col("_corner") < -CORNER, 0).when(
+        F.col("_corner") <= CORNER, F.when(height, 1).when((F.col("_s") <= F.col("tolerance")) & (F.col("_third") < -TIED), 2)
+    )
+    most = highest("a0", "x0", "x1") + highest("b0", "t0", "t1") + F.col("c0")
+    reaches = (most > CORNER) | ((most >= -CORNER) & (lowest("a1", "x0", "x1") + lowest("b1", "t0", "t1") - F.col("c1") <= F.col("tolerance")))
+    settled = None
     while True:
-        active = cut(active)
-        planes = cut(active.groupBy(DAY).applyInPandas(planes_of_day, _PLANES))
-        reached = (
-            small_side(planes)
-            .join(boxes, DAY)
-            .where(lowest("a", "x0", "x1") + lowest("b", "t0", "t1") - F.col("c") <= F.col("tolerance"))
-            .drop("x0", "x1", "t0", "t1")
-        )
-        x, t = F.col("_x"), F.col("_t")
-        depth = x * x - F.col("a") * x + t * t - F.col("b") * t - F.col("c")
-        tie = sum((F.sin(F.lit(u) * x + F.lit(v) * t) for u, v in WAVES), F.lit(0.0)) - F.col("a2") * x - F.col("b2") * t - F.col("c2")
-        inside = F.col("_s") < -F.col("tolerance")
-        wins = F.col("real") & (F.abs("_s") <= F.col("tolerance")) & (F.col("_tie") < -TIED)
+        planes = cut(active.groupBy(DAY, "block").applyInPandas(planes_of_block, _PLANES))
+        reached = small_side(planes).join(boxes, DAY).where(reaches).drop("x0", "x1", "t0", "t1")
         deepest = (
             placed.join(reached, [DAY, "_i", "_j"])
-            .withColumns({"_s": depth, "_tie": tie})
-            .where(inside | wins)
-            .withColumns({"_on": ~inside, "_by": F.when(inside, F.col("_s")).otherwise(F.col("_tie"))})
-            .groupBy(DAY, "n")
-            .agg(F.min(F.struct("_on", "_by", *fields)).alias("p"))
-            .select(DAY, *[F.col(f"p.{f}").alias(f) for f in fields])
+            .withColumns(
+                {
+                    "_corner": -(F.col("a0") * x + F.col("b0") * t + F.col("c0")),
+                    "_s": x * x - F.col("a1") * x + t * t - F.col("b1") * t - F.col("c1"),
+                    "_third": F.col("_tie") - F.col("a2") * x - F.col("b2") * t - F.col("c2"),
+                }
+            )
+            .withColumn("_level", level)
+            .where("_level is not null")
+            .withColumn("_by", F.when(F.col("_level") == 0, F.col("_corner")).when(F.col("_level") == 1, F.col("_s")).otherwise(F.col("_third")))
+            .groupBy(DAY, "block", "n")
+            .agg(F.min(F.struct("_level", "_by", *fields)).alias("p"))
+            .select(DAY, "block", *[F.col(f"p.{f}").alias(f) for f in fields])
         )
-        fresh = cut(deepest.distinct().join(active, [DAY, "log_moneyness", "T"], "left_anti"))
+        fresh = cut(deepest.distinct().join(active, [DAY, "block", "log_moneyness", "T"], "left_anti"))
+        still = fresh.select(DAY, "block").distinct()
+        done = active.join(still, [DAY, "block"], "left_anti")
+        settled = done if settled is None else settled.unionByName(done)
         if fresh.isEmpty():
-            return active
-        active = active.unionByName(fresh)
+            return settled
+        active = cut(active.join(still, [DAY, "block"], "left_semi").unionByName(fresh))

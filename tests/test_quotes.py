@@ -73,6 +73,46 @@ def test_heavy_day_takes_the_same_triangles_of_a_lattice(spark):
     assert [heavy[k] for k in direct] == pytest.approx(list(direct.values()), abs=1e-9)
 
 
+@pytest.mark.parametrize("ts", [(0.08, 0.2, 0.3, 0.45, 0.6, 0.8, 1.0), tuple(0.08 + 0.92 * i / 11 for i in range(12))])
+def test_nodes_on_the_edge_of_the_hull(spark, ts):
+    """Expiries at the first and last maturity of the grid put whole rows of nodes on the hull's edge."""
+    xs = np.linspace(-0.24, 0.2, 45)
+    v = np.random.default_rng(len(ts)).uniform(0.1, 0.4, (len(xs), len(ts)))
+    rows = [(D(2024, 1, 2), float(x), float(t), float(v[i, j]), 1) for i, x in enumerate(xs) for j, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "quote_date date, log_moneyness double, T double, implied_vol double, n_quotes long")
+    direct = {r.node: r.iv_grid for r in delaunay.delaunay_surface(df, bounded_day=10**9).collect()}
+    heavy = {r.node: r.iv_grid for r in delaunay.delaunay_surface(df, bounded_day=1).collect()}
+    assert len(direct) == 500 and direct.keys() == heavy.keys()
+    assert [heavy[k] for k in direct] == pytest.approx(list(direct.values()), abs=1e-12)
+    for j, t in ((0, 0), (len(ts) - 1, 19)):  # along the edge the surface is linear between its neighbours
+        along = np.interp(np.linspace(-0.22, 0.18, 25), xs, v[:, j])
+        np.testing.assert_allclose([direct[f"iv_x{i:02d}_t{t:02d}"] for i in range(25)], along, atol=1e-9)
+
+
+def test_triangles_of_any_subset_that_holds_them():
+    """Adding points outside the circles of a lattice's nodes, or changing the order, changes nothing."""
+    rng = np.random.default_rng(21)
+    xs, ts = np.linspace(-0.3, 0.3, 31), np.linspace(0.05, 1.05, 21)
+    p = np.array([(x, t) for x in xs for t in ts])
+    v = rng.uniform(size=len(p))
+    targets = np.vstack([p[rng.choice(len(p), 60)], (p[:-1] + p[1:])[:200] / 2, random_day(100, 4) * [1, 0.8] + [0, 0.1]])
+    whole = delaunay.interpolate(p, v, targets)
+    order = rng.permutation(len(p))
+    np.testing.assert_allclose(delaunay.interpolate(p[order], v[order], targets), whole, atol=1e-12)
+    basis, weights = delaunay.triangles(p, targets)
+    used = np.unique(basis[(basis >= 3) & (weights > 1e-9)]) - 3
+    extra = np.union1d(used, rng.choice(len(p), 60))
+    inside = np.isfinite(whole)
+    np.testing.assert_allclose(delaunay.interpolate(p[extra], v[extra], targets)[inside], whole[inside], atol=1e-9)
+
+
+def test_points_on_one_line():
+    p = np.array([(0.01 * i, 0.5) for i in range(-5, 6)])
+    found = delaunay.interpolate(p, p[:, 0] ** 2, np.array([(0.005, 0.5), (-0.05, 0.5), (0.0, 0.6)]))
+    np.testing.assert_allclose(found[:2], [0.00005, 0.0025], atol=1e-12)
+    assert np.isnan(found[2])
+
+
 def test_lattice_triangles_depend_on_their_own_points_only():
     xs, ts = np.log(np.arange(70, 136, 2.5) / 100.0), np.arange(1, 27) / 20.0
     p = np.array([(x, t) for x in xs for t in ts])
