@@ -74,14 +74,12 @@ def main() -> None:
     market.market
     timed("panel_and_forecast_journal", lambda: (market.surface, market.journal))
 
-    # The fitted models for all nodes of the panel, both horizons; the boosted trees on demand (minutes).
+    # The fitted models for all nodes of the panel, both horizons.
     for h in (1, 2):
         masked = cut(features.split_masks(market.lagged(h), market.splits))
         timed(f"fit_ridge_h{h}", lambda: run(models.ridge_forecast(masked, market.splits)), into=fits)
         timed(f"fit_arma_h{h}", lambda h=h: run(models.arma_forecast(market.panel, market.splits, h)), into=fits)
-        if os.environ.get("BENCH_BOOSTED"):
-            first = models.BOOST_CONFIGS[:1]
-            timed(f"fit_boosted_h{h}", lambda: run(models.boosted_forecast(masked, market.nodes, market.splits, first)), into=fits)
+        timed(f"fit_boosted_h{h}", lambda: run(models.boosted_forecast(masked, market.splits)), into=fits)
     timed("daily_losses", lambda: market.daily_losses)
     timed("signals", lambda: (market.economic, market.signals))
     usable = market.signals.where(F.col("intended_exit_date").isNotNull())

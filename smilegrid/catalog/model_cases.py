@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..operators import delaunay, features, models, surface
 from .inputs import GRID, SPLITS, Market
-from .quotes_cases import _DAYS
+from .quotes_cases import _DAYS, _LOCATIONS, _TS, _XS
 from .registry import register
 
 
@@ -109,12 +109,13 @@ register(
 for _h in (1, 2):
     register(f"ridge_forecast_h{_h}", lambda m, h=_h: models.ridge_forecast(_masked(m, h), SPLITS), "node quote_date status", "forecast")
     register(f"arma_forecast_h{_h}", lambda m, h=_h: models.arma_forecast(m.panel, SPLITS, h), "node quote_date candidate status", "forecast")
-register(
-    "boosted_forecast",
-    lambda m: models.boosted_forecast(_masked(m), m.nodes, SPLITS, configs=models.BOOST_CONFIGS),
-    "node quote_date status candidate",
-    "forecast",
-)
+for _h, _name in ((1, "boosted_forecast"), (2, "boosted_forecast_h2")):
+    register(
+        _name,
+        lambda m, h=_h: models.boosted_forecast(_masked(m, h), SPLITS, configs=models.BOOST_CONFIGS),
+        "node quote_date status candidate",
+        "forecast",
+    )
 
 
 def _tilted(m: Market):
@@ -122,11 +123,22 @@ def _tilted(m: Market):
     return m.locations.withColumn("implied_vol", 0.3 + 0.2 * F.col("log_moneyness") - 0.1 * F.col("T"))
 
 
+# A node lies in the hull of a day's locations if it is between the hull's least and greatest log-moneyness
+# at its maturity; these are reached between two observed maturities.
+_HULL = f"""WITH ends AS (SELECT p.quote_date, p.t, min(p.x) AS lo, max(p.x) AS hi FROM ({_LOCATIONS}) p
+ JOIN (SELECT quote_date FROM ({_DAYS}) WHERE n_obs_unique>=10) d USING (quote_date) GROUP BY ALL),
+ chords AS (SELECT a.quote_date, g.t, CASE WHEN a.t=b.t THEN 0 ELSE (g.t-a.t)/(b.t-a.t) END AS w, a.lo AS alo, b.lo AS blo, a.hi AS ahi, b.hi AS bhi
+  FROM ends a JOIN ends b ON a.quote_date=b.quote_date AND a.t<=b.t JOIN {_TS} g ON g.t BETWEEN a.t AND b.t),
+ hull AS (SELECT quote_date, t, min(alo+w*(blo-alo)) AS lo, max(ahi+w*(bhi-ahi)) AS hi FROM chords GROUP BY ALL)
+ SELECT d.quote_date, coalesce(n.nodes,0) AS nodes, 0 AS violations FROM (SELECT quote_date FROM ({_DAYS}) WHERE n_obs_unique>=10) d
+ LEFT JOIN (SELECT h.quote_date, count(*) AS nodes FROM hull h CROSS JOIN {_XS} x WHERE x.x BETWEEN h.lo-1e-9 AND h.hi+1e-9 GROUP BY ALL) n USING (quote_date)"""
+
+
 def _plane_check(m: Market):
     nodes = surface.build_surface(_tilted(m), method="delaunay")
     truth = 0.3 + 0.2 * F.col("log_moneyness") - 0.1 * F.col("T")
     return nodes.groupBy("quote_date").agg(
-        F.count(F.lit(1)).alias("nodes"), F.count_if(F.abs(F.col("iv_grid") - truth) > 1e-9).alias("violations")
+        F.count("iv_grid").alias("nodes"), F.count_if(F.abs(F.col("iv_grid") - truth) > 1e-9).alias("violations")
     )
 
 
@@ -135,7 +147,7 @@ register(
     _plane_check,
     "quote_date nodes violations",
     "",
-    f"SELECT quote_date, 500 AS nodes, 0 AS violations FROM ({_DAYS}) WHERE n_obs_unique>=10",
+    _HULL,
 )
 register(
     "delaunay_surface",

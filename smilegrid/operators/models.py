@@ -1,4 +1,4 @@
-"""Forecast models per grid node: ridge, ARMA family, pooled boosted trees, selection.
+"""Forecast models per grid node: ridge, ARMA family, boosted trees, selection.
 
 Kernels run once per node on that node's history, which the calendar bounds to
 one row per session. Everything around them (medians, masks, scoring,
@@ -7,6 +7,8 @@ validation losses, selection) is plain DataFrame work.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..settings import ARMA_ORDERS, RIDGE_PENALTIES, Splits
+from . import boosting
 from .features import FEATURES, history_status
 
 DAY = "quote_date"
@@ -24,6 +27,13 @@ def persistence(features: DataFrame) -> DataFrame:
     return features.select("node", DAY, "target_date", F.col("lag_1").alias("forecast"))
 
 
+def by_node(rows: DataFrame):
+    """Rows grouped by node, nodes dealt to as many tasks as shuffles have: a fit costs far more
+    than its rows weigh, so partitions must not be merged for being small."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "node").groupBy("node")
+
+
 # ------------------------------------------------------------------ selection
 
 
@@ -277,48 +287,58 @@ BOOST_CONFIGS = (
 # --- end of fixed values ---
 
 
-def _boost_matrix(masked: DataFrame, nodes: DataFrame, flag: str) -> DataFrame:
-    """Feature vector: imputed features, missing-indicators and node coordinates.
+_BOOST_LOSS = "node string, position int, candidate string, rmse double, mae double"
+_BOOST_FORECAST = "node string, quote_date date, candidate string, forecast double"
 
-    Medians come from the rows the model may see (`flag`), per node.
-    """
-    from pyspark.ml.feature import VectorAssembler
 
-    medians = masked.where(flag).groupBy("node").agg(*[F.median(f).alias(f"_m_{f}") for f in FEATURES])
-    df = masked.join(medians, "node", "left").join(nodes.select("node", "log_moneyness", "T"), "node")
-    df = df.withColumns(
-        {f"_i_{f}": F.coalesce(N.finite_or_null(f), F.col(f"_m_{f}"), F.lit(0.0)) for f in FEATURES}
-        | {f"_g_{f}": (~N.finite(f)).cast("double") for f in FEATURES}
+def _boosted(rows: pd.DataFrame, config: dict, seed: int) -> boosting.Trees:
+    """A model of one node's rows; its samples depend on the seed, the node and the configuration."""
+    return boosting.fit(
+        rows[FEATURES].to_numpy(dtype=float, na_value=np.nan),
+        rows["label"].to_numpy(dtype=float),
+        config["maxIter"],
+        config["maxDepth"],
+        config["stepSize"],
+        config["subsamplingRate"],
+        float(config["featureSubsetStrategy"]),
+        [seed, zlib.crc32(rows["node"].iloc[0].encode()), config["maxIter"], config["maxDepth"]],
     )
-    inputs = [f"_i_{f}" for f in FEATURES] + [f"_g_{f}" for f in FEATURES] + ["log_moneyness", "T"]
-    return VectorAssembler(inputCols=inputs, outputCol="_x").transform(df)
 
 
-def boosted_forecast(masked: DataFrame, nodes: DataFrame, splits: Splits = Splits(), configs=BOOST_CONFIGS, seed: int = 42) -> DataFrame:
-    """One pooled boosted-tree model for all nodes, with the node coordinates as
-    features: tree building is distributed over rows instead of running a
-    separate small fit per node."""
-    from pyspark.ml.regression import GBTRegressor
+def boosted_losses(masked: DataFrame, configs=BOOST_CONFIGS, seed: int = 42) -> DataFrame:
+    """Validation RMSE and MAE of each configuration per node, fitted on the node's training rows."""
+
+    def trial(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(DAY)
+        train, check = pdf[pdf["is_train"]], pdf[pdf["is_validation"]]
+        out = []
+        for position, config in enumerate(configs):
+            made = _boosted(train, config, seed).predict(check[FEATURES].to_numpy(dtype=float, na_value=np.nan))
+            error = made - check["label"].to_numpy(dtype=float)
+            out.append((pdf["node"].iloc[0], position, str(position), float(np.sqrt(np.mean(error**2))), float(np.mean(np.abs(error)))))
+        return pd.DataFrame(out, columns=[f.split()[0] for f in _BOOST_LOSS.split(", ")])
 
-    from ..plans.lineage import ensure_checkpoint_dir
+    rows = masked.where("is_train OR is_validation").select("node", DAY, "label", "is_train", "is_validation", *FEATURES)
+    return by_node(rows).applyInPandas(trial, _BOOST_LOSS)
 
-    ensure_checkpoint_dir(masked.sparkSession)
+
+def boosted_forecast(masked: DataFrame, splits: Splits = Splits(), configs=BOOST_CONFIGS, seed: int = 42) -> DataFrame:
+    """One boosted model per node: the configuration is chosen on the validation rows, refitted on all
+    historical labels, and every origin is forecast. Missing features stay missing.
+
+    A task fits one node at a time, on at most one row per session.
+    """
     status = history_status(masked, splits).select("node", "status")
     eligible = masked.join(status.where("status = 'OK'").select("node"), "node", "left_semi")
+    best = select_candidate(boosted_losses(eligible, configs, seed), ["node"], rule="near_tie").select("node", "position")
+
+    def final(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(DAY)
+        position = int(pdf["position"].iloc[0])
+        made = _boosted(pdf[pdf["is_final"]], configs[position], seed).predict(pdf[FEATURES].to_numpy(dtype=float, na_value=np.nan))
+        return pd.DataFrame({"node": pdf["node"], DAY: pdf[DAY], "candidate": str(position), "forecast": made})
 
-    def model(config):
-        return GBTRegressor(featuresCol="_x", labelCol="label", predictionCol="prediction", seed=seed, checkpointInterval=10, **config)
-
-    trial = _boost_matrix(eligible, nodes, "is_train")
-    train, check = trial.where("is_train").select("_x", "label"), trial.where("is_validation").select("_x", "label")
-    losses = None
-    for position, config in enumerate(configs):
-        scored = model(config).fit(train).transform(check).withColumns({"position": F.lit(position), "candidate": F.lit(str(position))})
-        one = validation_losses(scored, ["position", "candidate"])
-        losses = one if losses is None else losses.unionByName(one)
-    best = select_candidate(losses.withColumn("_all", F.lit(1)), ["_all"], rule="near_tie").first()  # one row
-    final = _boost_matrix(eligible, nodes, "is_final")
-    fitted = model(configs[best["position"]]).fit(final.where("is_final").select("_x", "label"))
-    predicted = fitted.transform(final.select("node", DAY, "_x")).select("node", DAY, F.lit(str(best["candidate"])).alias("candidate"), F.col("prediction").alias("forecast"))
+    rows = eligible.select("node", DAY, "label", "is_final", *FEATURES).join(best, "node")
+    predicted = by_node(rows).applyInPandas(final, _BOOST_FORECAST)
     origins = masked.select("node", DAY, "target_date").join(status, "node")
     return origins.join(predicted, ["node", DAY], "left")

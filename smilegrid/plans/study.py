@@ -150,7 +150,7 @@ class Study:
             fitted = {
                 "ridge": models.ridge_forecast(masked, self.splits),
                 "arima": models.arma_forecast(self.panel, self.splits, h),
-                "xgboost": models.boosted_forecast(masked, self.nodes, self.splits, self.boost_configs),
+                "xgboost": models.boosted_forecast(masked, self.splits, self.boost_configs),
             }
             if h == 1:
                 base = masked.select(

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from smilegrid.operators import checks, features, models, stats
+from smilegrid.operators import boosting, checks, features, models, stats
 from smilegrid.settings import Splits
 
 D = dt.date
@@ -152,6 +152,80 @@ def test_registered_boosting_uses_all_rounds(monkeypatch):
     assert [c["maxIter"] for c in models.BOOST_CONFIGS] == [200, 300]
 
 
+def exhaustive_split(x, g):
+    """(gain, feature, limit, missing on the left) of the best split, every limit and side tried."""
+    quality = lambda v: v.sum() ** 2 / (len(v) + boosting.PENALTY)
+    best = (boosting.LEAST_GAIN, None, None, None)
+    for f in range(x.shape[1]):
+        values = np.unique(x[~np.isnan(x[:, f]), f])
+        limits = [*((values[1:] + values[:-1]) / 2), np.inf]
+        for limit in limits:
+            for side in (False, True):
+                left = np.where(np.isnan(x[:, f]), side, x[:, f] < limit)
+                if 0 < left.sum() < len(g):
+                    gain = 0.5 * (quality(g[left]) + quality(g[~left]) - quality(g))
+                    if gain > best[0] + 1e-12:
+                        best = (gain, f, limit, side)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_boosted_splits_against_exhaustive_search(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(60, 4)).round(1)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    y = np.nan_to_num(x[:, 0]) + np.isnan(x[:, 1]) * 2 + rng.normal(size=60)
+    trees = boosting.fit(x, y, 3, 2, 0.3, 1.0, 1.0, 0)
+    made = np.full(60, y.mean())
+    for k in range(3):
+        g = made - y
+        gain, f, limit, side = exhaustive_split(x, g)
+        assert (trees.feature[k, 0], trees.threshold[k, 0], trees.missing_left[k, 0]) == (f, limit, side)
+        left = np.where(np.isnan(x[:, f]), side, x[:, f] < limit)
+        for node, rows in ((1, left), (2, ~left)):
+            _, f2, limit2, side2 = exhaustive_split(x[rows], g[rows])
+            if f2 is None:
+                parts = [rows]
+            else:
+                assert trees.feature[k, node] == f2
+                low = np.where(np.isnan(x[:, f2]), trees.missing_left[k, node], x[:, f2] < trees.threshold[k, node])
+                want = np.where(np.isnan(x[rows, f2]), side2, x[rows, f2] < limit2)
+                assert (low[rows] == want).all() or (low[rows] == ~want).all()  # the same two leaves
+                parts = [rows & low, rows & ~low]
+            for part in parts:
+                made[part] -= 0.3 * g[part].sum() / (part.sum() + boosting.PENALTY)
+    np.testing.assert_allclose(trees.predict(x), made, atol=1e-12)
+
+
+def test_boosted_models_learn_and_repeat():
+    rng = np.random.default_rng(1)
+    x = rng.uniform(-1, 1, (400, 3))
+    x[:, 2] = np.nan  # a column without any value
+    y = np.sin(3 * x[:, 0]) + (x[:, 1] > 0)
+    c = models.BOOST_CONFIGS[0]
+    fit = lambda: boosting.fit(x, y, c["maxIter"], c["maxDepth"], c["stepSize"], 0.9, 0.9, 7)
+    error = np.sqrt(np.mean((fit().predict(x) - y) ** 2))
+    assert error < 0.1 * y.std() and np.array_equal(fit().predict(x), fit().predict(x))
+    many = boosting.thresholds(rng.normal(size=5000))
+    assert len(many) == boosting.MAX_BINS - 1 and (np.diff(many) > 0).all()
+    one = boosting.fit(np.full((5, 2), np.nan), np.arange(5.0), 4, 2, 0.5, 1.0, 1.0, 0)
+    assert np.allclose(one.predict(np.zeros((2, 2))), 2.0)
+
+
+def test_boosted_forecast_per_node(spark):
+    df, calendar, splits = panel(spark)
+    masked = features.split_masks(features.lag_features(df, calendar, 1), splits)
+    configs = [{**c, "maxIter": 20} for c in models.BOOST_CONFIGS]
+    found = models.boosted_forecast(masked, splits, configs)
+    assert found.count() == masked.count() and found.where("status = 'OK' AND forecast IS NULL").count() == 0
+    alone = models.boosted_forecast(masked.where("node = 'p'"), splits, configs)
+    assert sorted(map(tuple, alone.collect())) == sorted(tuple(r) for r in found.collect() if r.node == "p")
+    best = {r.node: r for r in models.select_candidate(models.boosted_losses(masked, configs), ["node"], "near_tie").collect()}
+    assert {r.node: r.candidate for r in found.select("node", "candidate").distinct().collect()} == {n: r.candidate for n, r in best.items()}
+    starved = models.boosted_forecast(masked, Splits(train_end=splits.train_end, fit_end=splits.fit_end, min_train=500), configs)
+    assert {(r.status, r.forecast) for r in starved.select("status", "forecast").distinct().collect()} == {("INSUFFICIENT_HISTORICAL_LABELS", None)}
+
+
 def test_registered_bootstraps_use_all_draws():
     from smilegrid.catalog import ORACLES
     from smilegrid.catalog.inputs import INFERENCE
