@@ -306,13 +306,14 @@ def _boosted(rows: pd.DataFrame, config: dict, seed: int) -> boosting.Trees:
 
 
 def boosted_losses(masked: DataFrame, configs=BOOST_CONFIGS, seed: int = 42) -> DataFrame:
-    """Validation RMSE and MAE of each configuration per node, fitted on the node's training rows."""
+    """Validation RMSE and MAE of each configuration per node, fitted on the node's training rows.
+    A node without training or validation rows has none."""
 
     def trial(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(DAY)
         train, check = pdf[pdf["is_train"]], pdf[pdf["is_validation"]]
         out = []
-        for position, config in enumerate(configs):
+        for position, config in enumerate(configs if len(train) and len(check) else ()):
             made = _boosted(train, config, seed).predict(check[FEATURES].to_numpy(dtype=float, na_value=np.nan))
             error = made - check["label"].to_numpy(dtype=float)
             out.append((pdf["node"].iloc[0], position, str(position), float(np.sqrt(np.mean(error**2))), float(np.mean(np.abs(error)))))
