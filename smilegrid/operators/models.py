@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..settings import ARMA_ORDERS, RIDGE_PENALTIES, Splits
-from . import boosting
+from . import arma, boosting
 from .features import FEATURES, history_status
 
 DAY = "quote_date"
@@ -137,101 +137,56 @@ _ARMA_LOSS = "node string, position int, candidate string, status string, rmse d
 _ARMA_FORECAST = "node string, quote_date date, candidate string, status string, forecast double"
 
 
-def _lagged(x: np.ndarray, lags: int) -> np.ndarray:
-    return np.column_stack([np.r_[np.full(k, np.nan), x[: len(x) - k]] for k in range(1, lags + 1)])
+#: Series that are fitted together.
+TOGETHER = 256
 
 
-def _least_squares(y: np.ndarray, x: np.ndarray) -> np.ndarray | None:
-    whole = np.isfinite(y) & np.isfinite(x).all(axis=1)
-    if whole.sum() < x.shape[1] + 2:
-        return None
-    coef, _, rank, _ = np.linalg.lstsq(x[whole], y[whole], rcond=None)
-    return coef if rank == x.shape[1] else None
+def _together(panel: DataFrame, *more: str) -> DataFrame:
+    """The panel's rows with a group of at most about TOGETHER nodes each, and as many groups as shuffles have tasks."""
+    tasks = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = panel.select("node").distinct().count()
+    groups = max(tasks, -(-nodes // TOGETHER))
+    return panel.select("node", DAY, "iv_grid", *more).withColumn("_group", F.pmod(F.xxhash64("node"), F.lit(groups))).repartition(groups, "_group")
 
 
-def _estimate(series: np.ndarray, order: tuple[int, int, int]) -> np.ndarray | None:
-    """Two-step least squares (Hannan-Rissanen) of an ARMA without constant."""
-    p, d, q = order
-    w = np.diff(series) if d else series
-    if q == 0:
-        return _least_squares(w, _lagged(w, p))
-    # The long autoregression has two lags more than the model; a series too short for it has no estimate.
-    long = _lagged(w, p + q + 2)
-    first = _least_squares(w, long)
-    if first is None:
-        return None
-    shocks = w - long @ first
-    return _least_squares(w, np.hstack([_lagged(w, p), _lagged(shocks, q)]))
-
-
-def _filtered(series: np.ndarray, order: tuple[int, int, int], params: np.ndarray, horizon: int) -> np.ndarray:
-    """Forecast at every origin t of the value at t + horizon.
-
-    A state-space filter with fixed parameters; missing observations are skipped
-    by prediction only, and nothing after t enters the forecast made at t.
-    """
-    p, d, q = order
-    r = max(p, q + 1)
-    arma = np.zeros((r, r))
-    arma[:p, 0] = params[:p]
-    arma[:-1, 1:] = np.eye(r - 1)
-    shock = np.zeros(r)
-    shock[0] = 1.0
-    shock[1 : q + 1] = params[p:]
-    size = r + d
-    move, noise, seen = np.zeros((size, size)), np.zeros(size), np.zeros(size)
-    move[d:, d:], noise[d:], seen[d] = arma, shock, 1.0
-    if d:  # the level carries the previous value; the difference is added to it
-        move[0, 0], move[0, d], seen[0] = 1.0, 1.0, 1.0
-    state, spread = np.zeros(size), np.eye(size) * 1e4
-    q_matrix = np.outer(noise, noise)
-    ahead = seen @ np.linalg.matrix_power(move, horizon)
-    out = np.empty(len(series))
-    for t, value in enumerate(series):
-        if np.isfinite(value):
-            gain_base = spread @ seen
-            scale = seen @ gain_base
-            if scale > 1e-12:
-                gain = gain_base / scale
-                state = state + gain * (value - seen @ state)
-                spread = spread - np.outer(gain, gain_base)
-        out[t] = ahead @ state
-        state, spread = move @ state, move @ spread @ move.T + q_matrix
-    return out
+def _matrix(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Nodes, days and the values of a dense panel, one row per node."""
+    wide = pdf.pivot(index="node", columns=DAY, values="iv_grid").sort_index(axis=1)
+    return list(wide.index), pd.to_datetime(wide.columns).to_numpy(), wide.to_numpy(dtype=float, na_value=np.nan)
 
 
 def arma_losses(panel: DataFrame, splits: Splits = Splits(), horizon: int = 1, orders=ARMA_ORDERS) -> DataFrame:
-    """Validation RMSE and MAE of each order, fitted on the training history only.
+    """Validation RMSE and MAE of each order, fitted by likelihood on the training history only.
 
     `panel` is dense: node, quote_date, iv_grid.
     """
-    train_end, fit_end = pd.Timestamp(splits.train_end), pd.Timestamp(splits.fit_end)
+    train_end, fit_end = np.datetime64(pd.Timestamp(splits.train_end)), np.datetime64(pd.Timestamp(splits.fit_end))
 
     def trial(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(DAY)
-        day = pd.to_datetime(pdf[DAY]).to_numpy()
-        x = pdf["iv_grid"].to_numpy(dtype=float, na_value=np.nan)
-        upto = int((day <= np.datetime64(fit_end)).sum())
-        x, day = x[:upto], day[:upto]
-        history = x[day <= np.datetime64(train_end)]
-        origin = np.arange(len(x) - horizon)
+        nodes, day, x = _matrix(pdf)
+        x, day = x[:, day <= fit_end], day[day <= fit_end]
+        history = x[:, day <= train_end]
+        origin = np.arange(max(0, len(day) - horizon))
         target = origin + horizon
-        check = (day[target] > np.datetime64(train_end)) & (day[origin] >= np.datetime64(train_end)) & np.isfinite(x[target])
-        short = np.isfinite(history).sum() < splits.min_arma_train or check.sum() < splits.min_validation
+        check = ((day[target] > train_end) & (day[origin] >= train_end))[None] & np.isfinite(x[:, target])
+        enough = (np.isfinite(history).sum(axis=1) >= splits.min_arma_train) & (check.sum(axis=1) >= splits.min_validation)
         rows = []
         for position, order in enumerate(orders):
-            name, rmse, mae, status = "%d%d%d" % tuple(order), None, None, "INSUFFICIENT_HISTORICAL_LABELS"
-            if not short:
-                params = _estimate(history, order)
-                status = "NOT_ESTIMABLE"
-                if params is not None:
-                    error = _filtered(x, order, params, horizon)[origin[check]] - x[target[check]]
-                    if np.isfinite(error).all():
-                        rmse, mae, status = float(np.sqrt(np.mean(error**2))), float(np.mean(np.abs(error))), "OK"
-            rows.append((pdf["node"].iloc[0], position, name, status, rmse, mae))
+            name, found = "%d%d%d" % tuple(order), {}
+            some = np.flatnonzero(enough)
+            if len(some):
+                params, _, fitted = arma.fit(history[some], order)
+                made = arma.run(x[some], params, order, horizon)[1]
+                for i, node in enumerate(some):
+                    error = (made[i, origin] - x[node, target])[check[node]]
+                    if fitted[i] and np.isfinite(error).all():
+                        found[node] = ("OK", float(np.sqrt(np.mean(error**2))), float(np.mean(np.abs(error))))
+            for i, node in enumerate(nodes):
+                status = "NOT_ESTIMABLE" if enough[i] else "INSUFFICIENT_HISTORICAL_LABELS"
+                rows.append((node, position, name, *found.get(i, (status, None, None))))
         return pd.DataFrame(rows, columns=[f.split()[0] for f in _ARMA_LOSS.split(", ")])
 
-    return panel.select("node", DAY, "iv_grid").groupBy("node").applyInPandas(trial, _ARMA_LOSS)
+    return _together(panel).groupBy("_group").applyInPandas(trial, _ARMA_LOSS)
 
 
 def arma_forecast(panel: DataFrame, splits: Splits = Splits(), horizon: int = 1, orders=ARMA_ORDERS) -> DataFrame:
@@ -244,25 +199,24 @@ def arma_forecast(panel: DataFrame, splits: Splits = Splits(), horizon: int = 1,
         .otherwise("NO_CONVERGED_CANDIDATE")
         .alias("_reason")
     )
-    chosen = panel.select("node", DAY, "iv_grid").join(best.select("node", "candidate"), "node", "left").join(reason, "node", "left")
-    fit_end = pd.Timestamp(splits.fit_end)
+    chosen = _together(panel).join(best.select("node", "candidate"), "node", "left").join(reason, "node", "left")
+    fit_end = np.datetime64(pd.Timestamp(splits.fit_end))
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(DAY)
-        name = pdf["candidate"].iloc[0]
-        out = pd.DataFrame({"node": pdf["node"], DAY: pdf[DAY], "candidate": name, "status": pdf["_reason"].iloc[0], "forecast": np.nan})
-        if name is None or pd.isna(name):
-            return out
-        x = pdf["iv_grid"].to_numpy(dtype=float, na_value=np.nan)
-        order = tuple(int(c) for c in name)
-        params = _estimate(x[(pd.to_datetime(pdf[DAY]) <= fit_end).to_numpy()], order)
-        if params is None:
-            out["status"] = "FINAL_NOT_ESTIMABLE"
-            return out
-        out["forecast"], out["status"] = _filtered(x, order, params, horizon), "OK"
-        return out
-
-    done = chosen.groupBy("node").applyInPandas(final, _ARMA_FORECAST)
+        nodes, day, x = _matrix(pdf)
+        own = pdf.drop_duplicates("node").set_index("node").loc[nodes]
+        made, status = np.full(x.shape, np.nan), own["_reason"].to_numpy(dtype=object)
+        for name in own["candidate"].dropna().unique():
+            some = np.flatnonzero((own["candidate"] == name).to_numpy())
+            order = tuple(int(c) for c in name)
+            params, _, fitted = arma.fit(x[some][:, day <= fit_end], order)
+            made[some[fitted]] = arma.run(x[some[fitted]], params[fitted], order, horizon)[1]
+            status[some] = np.where(fitted, "OK", "FINAL_NOT_ESTIMABLE")
+        out = pd.DataFrame({"node": np.repeat(nodes, len(day)), DAY: np.tile(day, len(nodes)), "candidate": np.repeat(own["candidate"].to_numpy(dtype=object), len(day))})
+        out[DAY] = out[DAY].dt.date
+        return out.assign(status=np.repeat(status, len(day)), forecast=made.ravel())
+
+    done = chosen.groupBy("_group").applyInPandas(final, _ARMA_FORECAST)
     return done.withColumn("forecast", N.finite_or_null("forecast"))
 
 

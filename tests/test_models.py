@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from smilegrid.operators import boosting, checks, features, models, stats
+from smilegrid.operators import arma, boosting, checks, features, models, stats
 from smilegrid.settings import Splits
 
 D = dt.date
@@ -63,21 +63,93 @@ def walk(n=100, gaps=(12, 72)):
 @pytest.mark.parametrize("order", [(1, 0, 0), (2, 0, 0), (1, 1, 0), (1, 0, 1), (2, 0, 1)])
 def test_two_step_forecast_ignores_what_follows(order):
     x = walk()
-    params = models._estimate(x[:60], order)
-    full = models._filtered(x, order, params, 2)[70]
+    params = arma.two_step(x[:60], order)
+    full = arma.run(x[None], params[None], order, 2)[1][0, 70]
     cut = x.copy()
     cut[71:] = np.nan
-    assert models._filtered(cut, order, params, 2)[70] == pytest.approx(full, abs=1e-12)
+    assert arma.run(cut[None], params[None], order, 2)[1][0, 70] == pytest.approx(full, abs=1e-12)
 
 
 def test_first_order_forecast_is_the_coefficient_times_the_value():
     x = walk(gaps=())
-    phi = models._estimate(x[:60], (1, 0, 0))
+    phi = arma.two_step(x[:60], (1, 0, 0))
     assert phi[0] == pytest.approx((x[1:60] @ x[:59]) / (x[:59] @ x[:59]))
-    assert models._filtered(x, (1, 0, 0), phi, 1)[70] == pytest.approx(phi[0] * x[70], abs=1e-9)
-    level = models._filtered(x, (1, 1, 0), models._estimate(x[:60], (1, 1, 0)), 1)[70]
-    step = models._estimate(x[:60], (1, 1, 0))[0]
-    assert level == pytest.approx(x[70] + step * (x[70] - x[69]), abs=1e-5)
+    forecast = lambda order, params: arma.run(x[None], np.array([params]), order, 1)[1][0, 70]
+    assert forecast((1, 0, 0), phi) == pytest.approx(phi[0] * x[70], abs=1e-9)
+    step = arma.two_step(x[:60], (1, 1, 0))
+    assert forecast((1, 1, 0), step) == pytest.approx(x[70] + step[0] * (x[70] - x[69]), abs=1e-5)
+
+
+def simulated(order, params, n, seed, gone=0.0):
+    """Series of an ARMA process, about `gone` of the values missing."""
+    rng = np.random.default_rng(seed)
+    p, d, q = order
+    e, w = rng.normal(size=n + 50), np.zeros(n + 50)
+    for t in range(2, n + 50):
+        w[t] = sum(params[i] * w[t - 1 - i] for i in range(p)) + e[t] + sum(params[p + i] * e[t - 1 - i] for i in range(q))
+    x = (3 + w[50:].cumsum() if d else w[50:]) * 0.01
+    x[rng.random(n) < gone] = np.nan
+    return x
+
+
+def dense_likelihood(x, params, order):
+    """Log-likelihood with the shock variance concentrated out, from the covariance matrix of what was observed."""
+    p, d, q = order
+    ar = np.r_[1.0, -np.array(params[:p])]
+    psi = np.zeros(4000)
+    ma = np.r_[1.0, params[p:], np.zeros(4000)]
+    for i in range(4000):
+        psi[i] = ma[i] - sum(ar[j] * psi[i - j] for j in range(1, min(i, p) + 1))
+    gamma = np.array([psi[: 4000 - k] @ psi[k:] for k in range(len(x))])
+    cov = gamma[np.abs(np.subtract.outer(np.arange(len(x)), np.arange(len(x))))]
+    there = np.isfinite(x)
+    if d:  # differences between observed values, as sums of the process
+        at = np.flatnonzero(there)
+        sums = np.zeros((len(at) - 1, len(x)))
+        for i, (a, b) in enumerate(zip(at, at[1:])):
+            sums[i, a + 1 : b + 1] = 1
+        cov, v = sums @ cov @ sums.T, np.diff(x[at])
+    else:
+        cov, v = cov[np.ix_(there, there)], x[there]
+    n = len(v)
+    return -0.5 * (n * (np.log(2 * np.pi * (v @ np.linalg.solve(cov, v)) / n) + 1) + np.linalg.slogdet(cov)[1])
+
+
+CASES = [((1, 0, 0), [0.7]), ((2, 0, 0), [0.5, 0.3]), ((1, 1, 0), [0.4]), ((1, 0, 1), [0.8, -0.4]), ((2, 0, 1), [0.9, -0.2, 0.5])]
+
+
+@pytest.mark.parametrize("order,params", CASES)
+def test_filter_likelihood_against_the_covariance_matrix(order, params):
+    for gone in (0.0, 0.3):
+        x = simulated(order, params, 60, 3, gone)
+        got = arma.run(x[None], np.array([params]), order)[0][0]
+        assert got == pytest.approx(dense_likelihood(x, params, order), abs=1e-3 if order[1] else 1e-6)
+
+
+@pytest.mark.parametrize("order,params", CASES)
+def test_likelihood_fits_are_best(order, params):
+    series = np.array([simulated(order, params, 300, s, 0.1 * (s % 3)) for s in range(8)] + [np.full(300, np.nan)])
+    found, loglik, fitted = arma.fit(series, order)
+    assert fitted.tolist() == [True] * 8 + [False]
+    assert np.allclose(arma.run(series[:8], found[:8], order)[0], loglik[:8])
+    start = np.array([arma.two_step(s, order) for s in series[:8]])
+    inside = arma.coefficients(arma.free_numbers(start, order), order)
+    assert (loglik[:8] >= arma.run(series[:8], inside, order)[0] - 1e-9).all()
+    rng = np.random.default_rng(0)
+    for _ in range(30):  # no place nearby is better
+        near = arma.coefficients(arma.free_numbers(found[:8], order) + rng.normal(scale=0.05, size=found[:8].shape), order)
+        assert (arma.run(series[:8], near, order)[0] <= loglik[:8] + 1e-3).all()
+    assert np.abs(found[:8].mean(axis=0) - params).max() < 0.15
+
+
+def test_first_order_fit_equals_a_direct_maximisation():
+    x = simulated((1, 0, 0), [0.6], 120, 9, 0.2)
+    found = arma.fit(x[None], (1, 0, 0))[0][0, 0]
+    grid = np.linspace(-0.999, 0.999, 4001)
+    direct = grid[np.argmax([dense_likelihood(x, [g], (1, 0, 0)) for g in grid[::40]]) * 40]
+    fine = np.linspace(direct - 0.02, direct + 0.02, 81)
+    direct = fine[np.argmax([dense_likelihood(x, [g], (1, 0, 0)) for g in fine])]
+    assert found == pytest.approx(direct, abs=1e-3)
 
 
 def panel(spark, n=120):
