@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions.sizing import mean_rank, quantile
+from ..plans.lineage import cut
 
 
 def _or_raise(valid: Column, value: Column, message: str, strict: bool) -> Column:
@@ -301,82 +302,52 @@ def model_confidence_set(
 ) -> DataFrame:
     """Model confidence set with the range statistic and circular blocks.
 
-    All model subsets of two or more are tested at once (eleven for four
-    models); the elimination path is then read off by following, from the full
-    set, the subset left after dropping the worst model.
+    Which model leaves next depends on the observed pairs alone: the worse model of the widest
+    pair of those left (ties: the earlier pair). So the order of elimination comes from one small table of
+    pairs, and a pair belongs to all steps up to the first of its models' departure. Every replication
+    then needs one running maximum over its pairs by that step; no subset of models is formed.
     """
     means = panel.groupBy("loss").agg(*[F.avg(m).alias(m) for m in models], F.count(F.lit(1)).alias("n_dates"))
     sums = resampled_sums(panel, ["loss"], list(models), day, block, reps, seed)
     observed = means.select("loss", "n_dates", F.struct(*models).alias("_bar"))
-    pairs = list(combinations(range(len(models)), 2))
-    rows = sums.join(F.broadcast(observed), "loss").select(  # one row per loss function
-        "loss",
-        "rep",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(a).alias("a"),
-                        F.lit(b).alias("b"),
-                        (F.col("_bar")[models[a]] - F.col("_bar")[models[b]]).alias("gap"),
-                        (
-                            (F.col(models[a]) - F.col(models[b])) / F.col("n")
-                            - (F.col("_bar")[models[a]] - F.col("_bar")[models[b]])
-                        ).alias("dev"),
-                    )
-                    for a, b in pairs
-                ]
-            )
-        ).alias("p"),
-    ).select("loss", "rep", "p.*")
-    scale = F.sqrt(F.avg(F.col("dev") * F.col("dev")).over(Window.partitionBy("loss", "a", "b")))
-    scaled = rows.select(
-        "loss", "rep", "a", "b", N.div("gap", scale).alias("t"), F.abs(N.div("dev", scale)).alias("sim")
-    )
-    masks = [sum(1 << i for i in s) for k in range(2, len(models) + 1) for s in combinations(range(len(models)), k)]
-    in_mask = F.filter(
-        F.array(*[F.lit(m) for m in masks]),
-        lambda m: (F.call_function("getbit", m, F.col("a")) == 1) & (F.call_function("getbit", m, F.col("b")) == 1),
-    )
-    tested = scaled.withColumn("mask", F.explode(in_mask))
-    per_rep = tested.groupBy("loss", "mask", "rep").agg(
-        F.max("sim").alias("sim"),
-        F.max(F.abs("t")).alias("stat"),
-        # The worse model of the widest pair: the one with the larger mean loss.
-        F.max_by(F.when(F.col("t") > 0, F.col("a")).otherwise(F.col("b")), F.abs("t")).alias("worst"),
-    )
-    subsets = per_rep.groupBy("loss", "mask").agg(
-        F.avg((F.col("stat") < F.col("sim")).cast("double")).alias("p"), F.first("worst").alias("worst")
-    )
-    lookup = subsets.groupBy("loss").agg(
-        F.map_from_entries(F.collect_list(F.struct("mask", F.struct("p", "worst")))).alias("_m")
-    )
-    full = (1 << len(models)) - 1
-    start = F.struct(F.lit(full).alias("mask"), F.lit(0.0).alias("p"), F.array().cast("array<struct<i:int,p:double>>").alias("out"))
-
-    def drop_worst(acc, _):
-        step = F.col("_m")[acc["mask"]]
-        p = F.greatest(acc["p"], step["p"])
-        return F.struct(
-            acc["mask"].bitwiseXOR(F.call_function("shiftleft", F.lit(1), step["worst"])).alias("mask"),
-            p.alias("p"),
-            F.concat(acc["out"], F.array(F.struct(step["worst"].alias("i"), p.alias("p")))).alias("out"),
-        )
-
-    rounds = F.sequence(F.lit(1), F.lit(len(models) - 1))
-    path = lookup.select("loss", F.aggregate(rounds, start, drop_worst).alias("r"))
-    names = F.array(*[F.lit(m) for m in models])
-    dropped = path.select("loss", F.inline("r.out")).select("loss", F.element_at(names, F.col("i") + 1).alias("model"), "p")
-    survivor = path.select(
-        "loss",
-        F.explode(
-            F.filter(
-                F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("m")) for i, m in enumerate(models)]),
-                lambda s: F.call_function("getbit", F.col("r.mask"), s["i"]) == 1,
-            )
-        ).alias("s"),
-    ).select("loss", F.col("s.m").alias("model"), F.lit(1.0).alias("p"))
-    return dropped.unionByName(survivor).join(F.broadcast(means.select("loss", "n_dates")), "loss").select(
+    gap = lambda a, b: F.col("_bar")[models[a]] - F.col("_bar")[models[b]]
+    of_pairs = [
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), gap(a, b).alias("gap"), ((F.col(models[a]) - F.col(models[b])) / F.col("n") - gap(a, b)).alias("dev"))
+        for a, b in combinations(range(len(models)), 2)
+    ]
+    rows = cut(sums.join(F.broadcast(observed), "loss").select("loss", "rep", F.inline(F.array(*of_pairs))))  # one observed row per loss function
+    pairs = rows.groupBy("loss", "a", "b").agg(F.max("gap").alias("gap"), F.sqrt(F.avg(F.col("dev") * F.col("dev"))).alias("scale"))
+    pairs = cut(pairs.withColumn("t", N.div("gap", "scale")))
+
+    # The order of elimination, one array per loss function.
+    every = pairs.groupBy("loss").agg(F.collect_list(F.struct("a", "b", "t")).alias("_pairs"))
+    out = lambda gone, i: F.array_contains(gone, i)
+
+    def drop_worst(gone, _):
+        left = F.filter("_pairs", lambda p: ~out(gone, p["a"]) & ~out(gone, p["b"]))
+        width = lambda p: F.coalesce(F.abs(p["t"]), F.lit(-1.0))
+        worse = lambda p: F.when(p["t"] > 0, p["a"]).otherwise(p["b"])
+        widest = F.array_max(F.transform(left, lambda p: F.struct(width(p).alias("width"), (-p["a"]).alias("a"), (-p["b"]).alias("b"), worse(p).alias("worst"))))
+        return F.concat(gone, F.array(widest["worst"]))
+
+    steps = F.sequence(F.lit(1), F.lit(len(models) - 1))
+    order = cut(every.select("loss", F.aggregate(steps, F.array().cast("array<int>"), drop_worst).alias("_order")))
+    leaves = lambda i: F.when(out(F.col("_order"), F.col(i)), F.array_position("_order", F.col(i)).cast("int")).otherwise(len(models))
+    placed = pairs.join(F.broadcast(order), "loss").select("loss", "a", "b", "t", "scale", F.least(leaves("a"), leaves("b")).alias("step"))  # one row per loss function
+
+    later = Window.partitionBy("loss").orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    stats = placed.groupBy("loss", "step").agg(F.max(F.abs("t")).alias("stat")).withColumn("stat", F.max("stat").over(later))
+    by_rep = Window.partitionBy("loss", "rep").orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    sims = rows.join(F.broadcast(placed.select("loss", "a", "b", "scale", "step")), ["loss", "a", "b"])  # a row per pair of models
+    sims = sims.groupBy("loss", "rep", "step").agg(F.max(F.abs(N.div("dev", "scale"))).alias("sim")).withColumn("sim", F.max("sim").over(by_rep))
+    tested = sims.join(F.broadcast(stats), ["loss", "step"]).groupBy("loss", "step").agg(F.avg((F.col("stat") < F.col("sim")).cast("double")).alias("p"))
+    so_far = Window.partitionBy("loss").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    tested = tested.select("loss", "step", F.greatest(F.max("p").over(so_far), F.lit(0.0)).alias("p"))
+
+    names = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("model")) for i, m in enumerate(models)])
+    listed = order.select("loss", "_order", F.inline(names)).withColumn("step", leaves("i"))
+    found = listed.join(tested, ["loss", "step"], "left").withColumn("p", F.when(F.col("step") == len(models), 1.0).otherwise(F.col("p")))
+    return found.join(F.broadcast(means.select("loss", "n_dates")), "loss").select(
         "loss",
         "model",
         F.col("p").alias("p_value"),

@@ -298,6 +298,32 @@ def test_boosted_forecast_per_node(spark):
     assert {(r.status, r.forecast) for r in starved.select("status", "forecast").distinct().collect()} == {("INSUFFICIENT_HISTORICAL_LABELS", None)}
 
 
+@pytest.mark.parametrize("count", [2, 4, 30])
+def test_confidence_set_against_plain_elimination(spark, count):
+    rng = np.random.default_rng(count)
+    days = business_days(60)
+    values = rng.normal(size=(60, count)) + np.linspace(0, 1, count)
+    names = [f"m{i}" for i in range(count)]
+    df = spark.createDataFrame([("x", d, *map(float, v)) for d, v in zip(days, values)], "loss string, day date, " + ", ".join(f"{m} double" for m in names))
+    found = {r.model: r.p_value for r in stats.model_confidence_set(df, names, "day", 5, 60, 7).collect()}
+    draws = stats.resampled_sums(df, ["loss"], names, "day", 5, 60, 7).collect()
+    boot = np.array([[r[m] / r.n for m in names] for r in draws])
+    bar = values.mean(axis=0)
+    dev = (boot[:, :, None] - boot[:, None, :]) - (bar[:, None] - bar[None, :])
+    scale = np.sqrt((dev**2).mean(axis=0))
+    np.fill_diagonal(scale, 1.0)
+    t, left, p = (bar[:, None] - bar[None, :]) / scale, list(range(count)), 0.0
+    while len(left) > 1:
+        own = np.ix_(left, left)
+        widest = np.unravel_index(np.abs(t[own]).argmax(), (len(left),) * 2)
+        p = max(p, np.mean(np.abs(dev[:, own[0], own[1]] / scale[own]).max(axis=(1, 2)) > np.abs(t[own]).max()))
+        a, b = (left[i] for i in widest)
+        worst = a if t[a, b] > 0 else b
+        assert found[names[worst]] == pytest.approx(p)
+        left.remove(worst)
+    assert found[names[left[0]]] == 1.0 and len(found) == count
+
+
 def test_registered_bootstraps_use_all_draws():
     from smilegrid.catalog import ORACLES
     from smilegrid.catalog.inputs import INFERENCE
