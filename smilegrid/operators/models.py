@@ -78,31 +78,67 @@ def select_candidate(losses: DataFrame, keys: list[str], rule: str = "lexicograp
 _RIDGE_FIT = "node string, position int, candidate double, median array<double>, mean array<double>, scale array<double>, coef array<double>, intercept double, n_fit int"
 
 
-def _ridge_kernel(penalties):
-    """Median imputation with missing-indicators, standardisation, closed-form solve."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        raw = pdf[FEATURES].to_numpy(dtype=float, na_value=np.nan)
-        y = pdf["label"].to_numpy(dtype=float)
-        gone = np.isnan(raw)
-        median = np.array([np.median(c[~g]) if (~g).any() else 0.0 for c, g in zip(raw.T, gone.T)])
-        x = np.hstack([np.where(gone, median, raw), gone.astype(float)])
-        mean, scale = x.mean(axis=0), x.std(axis=0)
-        scale[scale < 1e-14] = 1.0
-        z = (x - mean) / scale
-        gram, moment = z.T @ z, z.T @ (y - y.mean())
-        rows = []
-        for position, penalty in enumerate(penalties):
-            coef = np.linalg.solve(gram + penalty * np.eye(len(gram)), moment)
-            rows.append((pdf["node"].iloc[0], position, float(penalty), median, mean, scale, coef, float(y.mean()), len(y)))
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in _RIDGE_FIT.split(", ")])
+_RIDGE_SUMS = "node string, median array<double>, middle double, sums array<double>"
+
+
+def ridge_moments(rows: DataFrame) -> DataFrame:
+    """(node, median, middle, sums): what a ridge fit needs of a node's rows; a node has a row per task and batch that held any.
+
+    The variables are a 1, the features less their medians (0 where missing), the missing-indicators, and the label
+    less its own median. `sums` holds the sums of the products of each two of them, i <= j, row by row, so
+    the width is fixed and rows of one node add up.
+    """
+    known = rows.select("node", F.col("label").cast("double").alias("label"), *[N.finite_or_null(f).cast("double").alias(f) for f in FEATURES])
+    medians = known.groupBy("node").agg(
+        F.array(*[F.coalesce(F.median(f), F.lit(0.0)) for f in FEATURES]).alias("median"), F.median("label").alias("middle")
+    )
 
-    return fit
+    def add_up(batches):
+        for pdf in batches:
+            pdf = pdf.sort_values("node", kind="stable")
+            if not len(pdf):
+                continue
+            raw, median, middle = pdf[FEATURES].to_numpy(dtype=float, na_value=np.nan), np.stack(pdf["median"]), pdf["middle"].to_numpy(dtype=float)
+            gone = np.isnan(raw)
+            v = np.column_stack([np.ones(len(pdf)), np.where(gone, 0.0, raw - median), gone, pdf["label"].to_numpy(dtype=float) - middle])
+            i, j = np.triu_indices(v.shape[1])
+            node = pdf["node"].to_numpy()
+            first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            sums = np.add.reduceat(v[:, i] * v[:, j], first, axis=0)
+            yield pd.DataFrame({"node": node[first], "median": list(median[first]), "middle": middle[first], "sums": list(sums)})
+
+    return known.join(medians, "node").mapInPandas(add_up, _RIDGE_SUMS)
 
 
 def ridge_fits(rows: DataFrame, penalties=RIDGE_PENALTIES) -> DataFrame:
-    """One fit per node and penalty from the given (already masked) rows."""
-    return rows.select("node", "label", *FEATURES).groupBy("node").applyInPandas(_ridge_kernel(penalties), _RIDGE_FIT)
+    """One fit per node and penalty from the given (already masked) rows: median imputation with
+    missing-indicators, standardisation, closed-form solve.
+
+    Rows are summed where they are; only sums of products meet by node, and one
+    eigendecomposition serves all penalties.
+    """
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        median, middle = np.asarray(pdf["median"].iloc[0], float), float(pdf["middle"].iloc[0])
+        width = 2 + 2 * len(FEATURES)
+        products = np.zeros((width, width))
+        products[np.triu_indices(width)] = np.stack(pdf["sums"]).sum(axis=0)
+        products += np.triu(products, 1).T
+        n, sums = products[0, 0], products[0, 1:]
+        spread = products[1:, 1:] - np.outer(sums, sums) / n
+        scale = np.sqrt(np.maximum(np.diag(spread)[:-1], 0.0) / n)
+        scale[scale < 1e-14] = 1.0
+        mean = sums[:-1] / n
+        mean[: len(median)] += median
+        values, vectors = np.linalg.eigh(spread[:-1, :-1] / np.outer(scale, scale))
+        turned = vectors.T @ (spread[:-1, -1] / scale)
+        out = []
+        for position, penalty in enumerate(penalties):
+            coef = vectors @ (turned / (np.maximum(values, 0.0) + penalty))
+            out.append((pdf["node"].iloc[0], position, float(penalty), median, mean, scale, coef, float(middle + sums[-1] / n), int(n)))
+        return pd.DataFrame(out, columns=[f.split()[0] for f in _RIDGE_FIT.split(", ")])
+
+    return ridge_moments(rows).groupBy("node").applyInPandas(solve, _RIDGE_FIT)
 
 
 def ridge_predict(features: DataFrame, fits: DataFrame) -> DataFrame:
