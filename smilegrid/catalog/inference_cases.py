@@ -193,7 +193,7 @@ register(
 register(
     "exact_quantiles_of_prices",
     lambda m: exact_quantiles(
-        m.table("lineitem").select("l_returnflag", "l_extendedprice"), ["l_returnflag"], "l_extendedprice", {"q10": 0.1, "q50": 0.5, "q95": 0.95}, buckets_per_unit=1
+        m.table("lineitem").select("l_returnflag", "l_extendedprice"), ["l_returnflag"], "l_extendedprice", {"q10": 0.1, "q50": 0.5, "q95": 0.95}
     ),
     "l_returnflag",
     "q10 q50 q95",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
-from ..functions.sizing import quantile, small_side
+from ..functions.sizing import exact_quantiles, small_side
 from ..settings import NO_QUOTE, PROCESSED, RATE_DATE, RECOVERED, Cleaning
 from .calendar import snapshot_guard
 from .mapping import IDENTITY
@@ -253,13 +253,13 @@ def recovery_reasons(quotes: DataFrame, trades: DataFrame) -> DataFrame:
 def quote_quality(quotes: DataFrame, trades: DataFrame) -> DataFrame:
     """Spread distribution and threshold counts per quote source."""
     columns = ["exit_quote_source", "relative_spread", "raw_trade_volume", "zero_volume_flag", "zero_open_interest_flag", "calendar_guard_pass"]
-    rows = _levels(quotes, trades, columns)
+    by = ["level", "model", "source"]
+    rows = _levels(quotes, trades, columns).withColumnRenamed("exit_quote_source", "source")
     spread = F.col("relative_spread")
-    grouped = rows.groupBy("level", "model", F.col("exit_quote_source").alias("source")).agg(
+    spreads = exact_quantiles(rows, by, "relative_spread", {"median_relative_spread": 0.5, "q90_relative_spread": 0.9})
+    grouped = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(spread).alias("mean_relative_spread"),
-        F.median(spread).alias("median_relative_spread"),
-        quantile(spread, 0.9).alias("q90_relative_spread"),
         F.max(spread).alias("max_relative_spread"),
         F.count_if(spread > 0.2).alias("n_spread_gt_20"),
         F.count_if(spread > 0.1).alias("n_spread_gt_10"),
@@ -268,7 +268,7 @@ def quote_quality(quotes: DataFrame, trades: DataFrame) -> DataFrame:
         F.count_if("zero_open_interest_flag").alias("n_raw_zero_OI"),
         F.count_if(~F.col("calendar_guard_pass")).alias("n_calendar_rejected"),
     )
-    whole = _complete(rows, "source", QUOTE_SOURCES).join(grouped, ["level", "model", "source"], "left")
+    whole = _complete(rows, "source", QUOTE_SOURCES).join(grouped, by, "left").join(spreads, by, "left")
     return whole.na.fill(0, [c for c in whole.columns if c.startswith("n_") or c == "n"])
 
 

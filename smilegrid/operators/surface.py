@@ -88,10 +88,10 @@ def surface_points(
     return df
 
 
-def unique_locations(points: DataFrame, heavy_rows: int = 1_000_000) -> DataFrame:
+def unique_locations(points: DataFrame) -> DataFrame:
     """One median volatility per day and location, with its number of quotes."""
     keys = [DAY, "log_moneyness", "T"]
-    return median_by(points, keys, "implied_vol", "implied_vol", "n_quotes", heavy_rows)
+    return median_by(points, keys, "implied_vol", "implied_vol", "n_quotes")
 
 
 def location_counts(locations: DataFrame, grid: Grid = Grid()) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from smilegrid.functions import numeric as N
+from smilegrid.functions import sizing
 from smilegrid.functions import text as X
 from smilegrid.functions.sizing import exact_quantiles, median_by
 from smilegrid.settings import Cleaning
@@ -111,12 +112,35 @@ def test_student_p_against_integration(spark):
     assert got == pytest.approx([survival(abs(t), nu) for t, nu in cases], abs=1e-9)
 
 
-def test_exact_quantiles_and_heavy_median(spark):
+def test_exact_quantiles_and_medians(spark, monkeypatch):
     rng = np.random.default_rng(3)
-    values = {"a": rng.normal(size=501), "b": rng.integers(0, 4, size=300).astype(float), "c": np.array([2.5])}
-    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "k string, v double")
-    out = {r.k: r for r in exact_quantiles(df, ["k"], "v", {"q10": 0.1, "q50": 0.5, "q95": 0.95}, buckets_per_unit=4).collect()}
-    medians = {r.k: (r.m, r.n) for r in median_by(df, ["k"], "v", "m", "n", heavy_rows=200).collect()}
+    values = {
+        "a": rng.normal(size=5001),
+        "b": rng.integers(0, 4, size=3000).astype(float),
+        "c": np.array([2.5]),
+        "d": np.r_[np.full(2000, 1.0), rng.uniform(1.0, 2.0, 2000)],
+        "e": np.full(700, -3.0),
+        None: rng.normal(size=40),
+    }
+    table = [(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None), ("empty", None)]
+    df = spark.createDataFrame(table, "k string, v double").repartition(5)
+    wanted = {"q00": 0.0, "q10": 0.1, "q50": 0.5, "q95": 0.95, "q100": 1.0}
+    for sketch, finer in ((8, 32), (64, 512)):
+        monkeypatch.setattr(sizing, "FINE_SKETCH", finer)
+        out = {r.k: r for r in exact_quantiles(df, ["k"], "v", wanted, sketch=sketch).collect()}
+        for k, vs in values.items():
+            assert [out[k][name] for name in wanted] == pytest.approx(list(np.quantile(vs, list(wanted.values()))), abs=1e-12)
+        assert set(out) == {*values, "empty"} and out["empty"].q50 is None
+    medians = {r.k: (r.m, r.n) for r in median_by(df, ["k"], "v", "m", "n").collect()}
     for k, vs in values.items():
-        assert [out[k].q10, out[k].q50, out[k].q95] == pytest.approx(list(np.quantile(vs, [0.1, 0.5, 0.95])), abs=1e-12)
-        assert medians[k] == (pytest.approx(np.median(vs), abs=1e-12), len(vs))
+        assert medians[k] == (pytest.approx(np.median(vs), abs=1e-12), len(vs) + (k == "a"))
+    assert exact_quantiles(df.limit(0), ["k"], "v", wanted).collect() == []
+
+
+def test_keys_too_many_to_broadcast_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", 3)
+    rng = np.random.default_rng(4)
+    values = {k: rng.normal(size=3000 if k == 0 else 100) for k in range(12)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "k int, v double")
+    out = {r.k: r.m for r in exact_quantiles(df, ["k"], "v", {"m": 0.3}, sketch=16).collect()}
+    assert out == {k: pytest.approx(np.quantile(vs, 0.3), abs=1e-12) for k, vs in values.items()}
