@@ -134,6 +134,45 @@ def test_nearest_against_exhaustive_search(spark):
         assert got[f"n{i}"] == (f"k{distance.argmin():03d}", pytest.approx(distance.min()))
 
 
+def test_nearest_with_far_places_crowded_cells_and_missing_coordinates(spark):
+    rng = np.random.default_rng(21)
+    lattice = np.array([(0.01 * i, 0.05 * j) for i in range(-8, 9) for j in range(1, 8)])
+    days = {
+        1: np.vstack([rng.normal(size=(300, 2)) * 0.2, [(-4.0e9, 0.3), (2.5, 7.0e11), (1e17, -1e17)]]),
+        2: np.vstack([rng.uniform(size=(2000, 2)) * 1e-3, [(5.0, 5.0)]]),
+        3: np.vstack([lattice, lattice]),
+    }
+    rows = [(d, f"k{i:04d}", float(a), float(b)) for d, p in days.items() for i, (a, b) in enumerate(p)]
+    rows += [(1, "a", None, 0.1), (1, "b", 0.1, float("inf")), (2, "c", float("nan"), 0.0)]
+    points = spark.createDataFrame(rows, "d int, key string, x double, t double").repartition(4)
+    q = np.vstack([rng.normal(size=(25, 2)) * 0.1, rng.uniform(size=(10, 2)) * 1e-3, lattice[::9] + [0.005, 0.0], [(-3.9e9, 0.0), (1e16, 1e16)]])
+    wanted = [(d, i, float(a), float(b)) for d in (1, 2, 3, 4) for i, (a, b) in enumerate(q)] + [(1, 999, None, 0.1)]
+    targets = spark.createDataFrame(wanted, "d int, node int, x double, t double")
+    got = {(r.d, r.node): (r.key, r.mapping_distance) for r in nearest.nearest(targets, points, "d", "node", "key", "x", "t").collect()}
+    want = {}
+    for d, p in days.items():
+        for i, at in enumerate(q):
+            distance = np.sqrt(((p[:, 0] - at[0]) / 0.02) ** 2 + ((p[:, 1] - at[1]) / 0.05) ** 2)
+            first = np.flatnonzero(distance - distance.min() <= 1e-12)[0]
+            want[d, i] = (f"k{first:04d}", pytest.approx(distance.min(), rel=1e-12))
+    assert got == want
+    assert nearest.nearest(targets, points.limit(0), "d", "node", "key", "x", "t").collect() == []
+
+
+def test_a_target_meets_a_few_cells_however_many_the_day_has(spark):
+    targets = spark.createDataFrame([(1, i, float(a), float(b)) for i, (a, b) in enumerate(random_day(40, 9))], "d int, node int, _x double, _t double")
+    cells, met = [], []
+    for n in (20, 200):
+        side = np.linspace(-1.0, 1.0, n)
+        places = spark.createDataFrame([(1, float(a), float(b)) for a in side for b in side], "d int, _px double, _pt double")
+        _, levels = nearest._pyramid(places, "d", 0.02, 0.05)
+        assert levels[-1].count() <= 4
+        cells.append(levels[0].count())
+        found = nearest._descend(targets, levels, "d", "node", 0.02, 0.05, 0.0)
+        met.append(max(r["count"] for r in found.groupBy("node").count().collect()))
+    assert cells == [400, 40_000] and max(met) <= 8
+
+
 # ------------------------------------------------------------------ cleaning
 
 MONDAY = D(2022, 11, 7)
