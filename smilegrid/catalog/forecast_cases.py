@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..operators import calendar as cal
-from ..operators import checks, features, mapping, quotes, scoring, signals
+from ..operators import archive, checks, features, mapping, quotes, scoring, signals
+from ..plans.lineage import shared_folder
 from ..settings import FORECAST_MODELS, RATE_DATE
 from .inputs import RULES, SPLITS, Market
 from .registry import register
@@ -230,6 +231,21 @@ register(
     "bid_1545 ask_1545 mid spot trade_volume open_interest",
     "recovered",
 )
+
+
+def _archive_recovery(m: Market):
+    path = shared_folder(m.spark, "quote-archive")
+    archive.write_archive(m.raw_quotes, path)
+    return archive.recover(m.spark, path, quotes.absent_pairs(m.required, m.processed), m.rates)
+
+
+register(
+    "archive_recovery",
+    _archive_recovery,
+    "quote_date contract_key source_observation_count observable_failure_reasons",
+    "bid_1545 ask_1545 mid spot trade_volume open_interest",
+    "recovered",
+)
 register(
     "exit_quote_choice",
     lambda m: m.exit_quotes,

@@ -23,13 +23,13 @@ def required_pairs(net: DataFrame) -> DataFrame:
     return net.select(*EXIT_KEY).distinct()
 
 
-def _as_quote_key(required: DataFrame) -> DataFrame:
+def as_quote_key(required: DataFrame) -> DataFrame:
     return required.select(F.col("intended_exit_date").alias("quote_date"), "contract_key")
 
 
 def processed_pairs(market: DataFrame, required: DataFrame) -> DataFrame:
     """Processed quotes of exactly the required (date, contract) pairs."""
-    return market.join(small_side(_as_quote_key(required)), QUOTE_KEY, "left_semi")
+    return market.join(small_side(as_quote_key(required)), QUOTE_KEY, "left_semi")
 
 
 def absent_pairs(required: DataFrame, processed: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def recover_raw(raw: DataFrame, missing: DataFrame, rates: DataFrame, rules: Cle
     part = F.split("contract_key", r"\|")
     identity = ["quote_date", "_symbol", "_root", "_expiration", "_micro", "_side"]
     wanted = small_side(
-        _as_quote_key(missing).select(
+        as_quote_key(missing).select(
             "quote_date",
             part[0].alias("_symbol"),
             part[1].alias("_root"),
@@ -86,7 +86,7 @@ def recover_raw(raw: DataFrame, missing: DataFrame, rates: DataFrame, rules: Cle
             part[4].alias("_side"),
         )
     )
-    dates = small_side(_as_quote_key(missing).select("quote_date").distinct())
+    dates = small_side(as_quote_key(missing).select("quote_date").distinct())
     is_text = dict(raw.dtypes)["quote_date"] == "string"
     spelled = dates.select(F.date_format("quote_date", "yyyy-MM-dd").alias("quote_date")) if is_text else dates
     near = raw.join(small_side(spelled), "quote_date", "left_semi")

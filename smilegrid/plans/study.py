@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..operators import calendar as cal
 from ..operators import (
+    archive,
     checks,
     cleaning,
     features,
@@ -43,11 +44,14 @@ class Study:
 
     Each stage is a frame built on first use. Stages that feed several others are
     written once to the shared folder (`cut`), so a lost executor costs at most
-    one stage and no consumer replans the chain.
+    one stage and no consumer replans the chain. With `archive`, the path of the
+    same raw quotes stored by `archive.write_archive`, exit quotes are looked up
+    there instead of by a scan.
     """
 
     bootstrap = True
     surface_method = "separable"
+    archive: str | None = None
 
     def __init__(self, spark: SparkSession, raw_quotes: DataFrame, raw_rates: DataFrame, sessions: DataFrame, settings: Settings = Settings()):
         self.spark = spark
@@ -233,6 +237,8 @@ class Study:
     @cached_property
     def recovered(self) -> DataFrame:
         missing = cut(quotes.absent_pairs(self.required, self.processed))
+        if self.archive:
+            return cut(archive.recover(self.spark, self.archive, missing, self.rates))
         return cut(quotes.recover_raw(self.raw_quotes, missing, self.rates))
 
     @cached_property
