@@ -134,8 +134,8 @@ _HULL = f"""WITH ends AS (SELECT p.quote_date, p.t, min(p.x) AS lo, max(p.x) AS
  LEFT JOIN (SELECT h.quote_date, count(*) AS nodes FROM hull h CROSS JOIN {_XS} x WHERE x.x BETWEEN h.lo-1e-9 AND h.hi+1e-9 GROUP BY ALL) n USING (quote_date)"""
 
 
-def _plane_check(m: Market):
-    nodes = surface.build_surface(_tilted(m), method="delaunay")
+def _plane_check(m: Market, method: str = "delaunay"):
+    nodes = surface.build_surface(_tilted(m), method=method)
     truth = 0.3 + 0.2 * F.col("log_moneyness") - 0.1 * F.col("T")
     return nodes.groupBy("quote_date").agg(
         F.count("iv_grid").alias("nodes"), F.count_if(F.abs(F.col("iv_grid") - truth) > 1e-9).alias("violations")
@@ -155,6 +155,19 @@ register(
     "quote_date node",
     "iv_grid",
 )
+register(
+    "cubic_plane_reproduction",
+    lambda m: _plane_check(m, "cubic"),
+    "quote_date nodes violations",
+    "",
+    _HULL,
+)
+register(
+    "cubic_surface",
+    lambda m: surface.build_surface(m.locations, method="cubic"),
+    "quote_date node",
+    "iv_grid",
+)
 
 
 def _streamed(m: Market):

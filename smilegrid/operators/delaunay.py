@@ -20,6 +20,8 @@ leaves then is decided as if the node were moved by infinitely small steps.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -92,9 +94,9 @@ def _entering(lifted: np.ndarray, cost: np.ndarray, basis: np.ndarray) -> tuple[
     return enter + 3, moving
 
 
-def _leaving(lifted: np.ndarray, basis: np.ndarray, goal: np.ndarray, enter: np.ndarray) -> np.ndarray:
+def _leaving(lifted: np.ndarray, basis: np.ndarray, goal: np.ndarray, steps: np.ndarray, enter: np.ndarray) -> np.ndarray:
     """The place in each triangle of the vertex that makes room, so that the node and its steps stay inside."""
-    columns = np.concatenate([np.column_stack([goal, np.ones(len(goal))])[..., None], np.broadcast_to(STEPS.T, (len(goal), 3, 2)), lifted[enter][..., None]], axis=2)
+    columns = np.concatenate([np.column_stack([goal, np.ones(len(goal))])[..., None], steps, lifted[enter][..., None]], axis=2)
     found = np.linalg.solve(np.swapaxes(lifted[basis], 1, 2), columns)
     there = found[..., 3]
     open_ = there > 1e-13
@@ -105,14 +107,16 @@ def _leaving(lifted: np.ndarray, basis: np.ndarray, goal: np.ndarray, enter: np.
     return open_.argmax(axis=1)
 
 
-def triangles(points: np.ndarray, targets: np.ndarray, rounds: int = 10_000):
+def triangles(points: np.ndarray, targets: np.ndarray, rounds: int = 10_000, steps: np.ndarray | None = None):
     """For each target the vertex numbers and weights of its Delaunay triangle.
 
     Targets outside the convex hull keep an artificial vertex (number below 3)
-    with positive weight.
+    with positive weight. `steps` (targets x 3 x 2) are each target's own infinitely small
+    moves, which pick among the triangles around a target that is itself a point.
     """
     lifted, cost = _lift(points)
     goal = targets - ORIGIN
+    steps = np.broadcast_to(STEPS.T, (len(goal), 3, 2)) if steps is None else steps
     basis = np.tile(np.arange(3), (len(goal), 1))
     open_rows = np.arange(len(goal))
     for _ in range(rounds):
@@ -120,7 +124,7 @@ def triangles(points: np.ndarray, targets: np.ndarray, rounds: int = 10_000):
         open_rows, enter = open_rows[moving], enter[moving]
         if not len(open_rows):
             break
-        basis[open_rows, _leaving(lifted, basis[open_rows], goal[open_rows], enter)] = enter
+        basis[open_rows, _leaving(lifted, basis[open_rows], goal[open_rows], steps[open_rows], enter)] = enter
     else:
         raise RuntimeError(f"triangulation not settled after {rounds} rounds")
     corner = np.swapaxes(lifted[basis], 1, 2)
@@ -147,8 +151,20 @@ _SCHEMA = "quote_date date, n int, iv_grid double"
 BLOCK = 50
 
 
+def _own_triangles(points: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    return triangles(points, targets)[0]
+
+
 def delaunay_surface(locations: DataFrame, grid: Grid = Grid(), bounded_day: int = 20_000) -> DataFrame:
-    """Delaunay-linear surface of every day.
+    """Delaunay-linear surface of every day."""
+    return triangulated_surface(locations, grid, bounded_day, interpolate, _own_triangles)
+
+
+def triangulated_surface(locations: DataFrame, grid: Grid, bounded_day: int, value: Callable, supports: Callable) -> DataFrame:
+    """Surface of every day from a rule on Delaunay triangles.
+
+    `value(points, values, targets)` gives the nodes' values, `supports(points, targets)` all
+    triangles that they depend on.
 
     A day with at most `bounded_day` distinct locations is solved in one kernel
     call. A heavier day is solved in blocks of nodes without gathering it: each block
@@ -164,14 +180,14 @@ def delaunay_surface(locations: DataFrame, grid: Grid = Grid(), bounded_day: int
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         block = pdf["block"].iloc[0]
         own = np.arange(len(targets)) if block < 0 else np.arange(len(targets))[block * BLOCK : (block + 1) * BLOCK]
-        z = interpolate(pdf[["log_moneyness", "T"]].to_numpy(), pdf["implied_vol"].to_numpy(), targets[own])
+        z = value(pdf[["log_moneyness", "T"]].to_numpy(), pdf["implied_vol"].to_numpy(), targets[own])
         keep = np.flatnonzero(np.isfinite(z))
         return pd.DataFrame({DAY: pdf[DAY].iloc[0], "n": own[keep].astype("int32"), "iv_grid": z[keep]})
 
     bounded = locations.withColumn("block", F.lit(-1))
     if not heavy.isEmpty():
         heavy = small_side(heavy)
-        bounded = bounded.join(heavy, DAY, "left_anti").unionByName(_active_points(locations.join(heavy, DAY, "left_semi"), targets))
+        bounded = bounded.join(heavy, DAY, "left_anti").unionByName(_active_points(locations.join(heavy, DAY, "left_semi"), targets, supports))
     solved = bounded.groupBy(DAY, "block").applyInPandas(solve, _SCHEMA)
     x_idx = (F.col("n") % grid.x_points).cast("int")
     t_idx = F.floor(F.col("n") / grid.x_points).cast("int")
@@ -185,11 +201,11 @@ _PLANES = f"quote_date date, block int, n int, {', '.join(f'{c} double' for c in
 CELLS_X, CELLS_T = 100, 50
 
 
-def _active_points(points: DataFrame, targets: np.ndarray) -> DataFrame:
+def _active_points(points: DataFrame, targets: np.ndarray, supports: Callable) -> DataFrame:
     """(quote_date, block, point): for every block of nodes a subset of its day with the same triangles as the whole day.
 
     Starting from one point per grid cell, every round solves the subsets, then
-    looks for the point deepest inside each node's circumcircle. Only the cells
+    looks for the point deepest inside each circumcircle that the nodes depend on. Only the cells
     a circle reaches are searched: their bounding boxes are tested first, and
     the points of a reached cell come through an equi-join. A block whose circles hold no
     point, nor one that wins a tie, is done; rounds go on for the others.
@@ -199,10 +215,10 @@ def _active_points(points: DataFrame, targets: np.ndarray) -> DataFrame:
         block = int(pdf["block"].iloc[0])
         own = targets[block * BLOCK : (block + 1) * BLOCK]
         xy = pdf[["log_moneyness", "T"]].to_numpy()
-        basis, _ = triangles(xy, own)
+        basis = supports(xy, own)
         plane, tolerance = _planes(*_lift(xy), basis)
         out = pd.DataFrame(np.hstack([plane[..., level] for level in range(3)]), columns=_COEFFICIENTS)
-        out = out.assign(quote_date=pdf[DAY].iloc[0], block=np.int32(block), n=np.arange(len(own), dtype="int32") + block * BLOCK, tolerance=tolerance)
+        out = out.assign(quote_date=pdf[DAY].iloc[0], block=np.int32(block), n=np.arange(len(basis), dtype="int32"), tolerance=tolerance)
         return out[[f.split()[0] for f in _PLANES.split(", ")]].astype({"block": "int32", "n": "int32"})
 
     x, t = F.col("_x"), F.col("_t")

@@ -12,6 +12,7 @@ from ..functions import numeric as N
 from ..functions import text as X
 from ..functions.sizing import median_by, small_side
 from ..settings import Grid
+from .cubic import cubic_surface
 from .delaunay import delaunay_surface
 from .nearest import nearest
 
@@ -249,8 +250,10 @@ def build_surface(
         surface = separable_surface(usable, grid)
     elif method == "delaunay":
         surface = delaunay_surface(usable, grid)
+    elif method == "cubic":
+        surface = cubic_surface(usable, grid)
     else:
-        raise ValueError("method must be 'separable' or 'delaunay'")
+        raise ValueError("method must be 'separable', 'delaunay' or 'cubic'")
     nodes = on_every_node(surface, days, grid)
     if fill:
         nodes = fill_nearest(nodes, usable)
