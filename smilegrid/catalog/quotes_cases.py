@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as X
 from ..functions.sizing import small_side
-from ..operators import checks, cleaning, implied_vol, mapping, quotes, surface
+from ..operators import checks, cleaning, digests, implied_vol, mapping, quotes, surface
 from ..plans.lineage import cut, shared_folder
 from ..settings import DIVIDEND, RATE_DATE, TENOR_COLUMNS, Grid
 from ..sources import tables
@@ -125,6 +125,36 @@ register(
 )
 
 
+def _range_diff(m: Market):
+    """Orders against a copy with changed prices, missing customers, and orders that only one side has."""
+    orders = m.table("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    moved = orders.where("o_orderkey % 211 <> 5").withColumns(
+        {
+            "o_totalprice": F.when(F.col("o_orderkey") % 97 == 3, F.col("o_totalprice") + 0.5).otherwise(F.col("o_totalprice")),
+            "o_custkey": F.when(F.col("o_orderkey") % 89 != 1, F.col("o_custkey")),
+        }
+    )
+    return digests.range_diff(moved, orders.where("o_orderkey % 223 <> 6"), ["o_orderkey"])
+
+
+register(
+    "table_range_diff",
+    _range_diff,
+    "result_name status",
+    "reference_value new_value absolute_difference",
+    """WITH e AS (SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS ec, o_totalprice AS ep, true AS he FROM orders WHERE o_orderkey%223<>6),
+ n AS (SELECT o_orderkey, CASE WHEN o_orderkey%89<>1 THEN CAST(o_custkey AS DOUBLE) END AS nc, CASE WHEN o_orderkey%97=3 THEN o_totalprice+0.5 ELSE o_totalprice END AS np, true AS hn
+ FROM orders WHERE o_orderkey%211<>5),
+ b AS (SELECT * FROM e FULL JOIN n USING (o_orderkey)),
+ pairs AS (SELECT 'o_custkey' AS c, o_orderkey AS k, he, hn, ec AS r, nc AS v FROM b UNION ALL SELECT 'o_totalprice', o_orderkey, he, hn, ep, np FROM b),
+ cells AS (SELECT c||'[o_orderkey='||k||']' AS result_name, r AS reference_value, v AS new_value,
+  CASE WHEN he IS NULL OR hn IS NULL THEN 'Infinity'::DOUBLE WHEN r IS NULL AND v IS NULL THEN 0 WHEN r IS NULL OR v IS NULL THEN 'Infinity'::DOUBLE ELSE abs(v-r) END AS absolute_difference FROM pairs)
+ SELECT result_name, reference_value, new_value, absolute_difference, 'FAIL' AS status FROM cells WHERE absolute_difference>1e-10
+ UNION ALL SELECT 'row_keys', count(he), count(hn), count(*) FILTER (he IS NULL OR hn IS NULL), CASE WHEN count(*) FILTER (he IS NULL OR hn IS NULL)=0 THEN 'PASS' ELSE 'FAIL' END FROM b
+ UNION ALL SELECT 'cells', count(*), count(*) FILTER (absolute_difference<=1e-10), count(*) FILTER (absolute_difference>1e-10), CASE WHEN count(*) FILTER (absolute_difference>1e-10)=0 THEN 'PASS' ELSE 'FAIL' END FROM cells""",
+)
+
+
 def _expected_diff(m: Market):
     folder = shared_folder(m.spark, "expected")
     table = m.daily.select("model", "entry_date", "PnL_mid", "Return_mid", "number_contracts")

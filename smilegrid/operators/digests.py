@@ -119,8 +119,8 @@ def range_diff(new: DataFrame, expected: DataFrame, keys: list[str], tolerance:
         F.count(F.lit(1)).alias("pairs"),
         F.coalesce(F.sum(F.size("failing")), F.lit(0)).alias("failed"),
     )
-    # Both have one row.
-    facts = total.join(F.broadcast(seen), F.lit(True))
+    counts = [*total.columns, *seen.columns]
+    facts = total.unionByName(seen, allowMissingColumns=True).agg(*[F.max(x).alias(x) for x in counts])
     all_cells = (F.col("expected") - F.col("opened") + F.col("pairs")) * len(cells)
     line = lambda name, reference, value, gap: F.struct(
         F.lit(name).alias("result_name"),
