@@ -170,6 +170,31 @@ register(
 )
 
 
+def _streamed_days(m: Market):
+    """Two deliveries: quotes up to February, then the others with the last week of the first sent again."""
+    from ..functions.text import lenient_date
+    from ..plans.lineage import shared_folder
+    from ..streaming import cleaning as stream
+    from ..streaming import events
+
+    folder = shared_folder(m.spark, "dated-stream")
+    day = lenient_date("quote_date")
+    for kept in (day < "2024-03-01", (day >= "2024-02-26") | day.isNull()):
+        m.raw_quotes.where(kept).repartition(4).write.mode("append").parquet(f"{folder}/in")
+        events.write_daily_counts(stream.quote_stream(m.spark, f"{folder}/in", "parquet"), m.rates, f"{folder}/out").awaitTermination()
+    return events.closed_days(m.spark, f"{folder}/out")
+
+
+register(
+    "streamed_daily_counts",
+    _streamed_days,
+    "quote_date outcome n",
+    "",
+    """SELECT quote_date, outcome, count(*) AS n FROM (SELECT DISTINCT quote_date, coalesce(first_fail,'kept') AS outcome, root, expiration, strike, option_type, trade_volume, open_interest,
+ bid_1545, ask_1545, underlying_bid_1545, underlying_ask_1545 FROM flagged) WHERE quote_date <= (SELECT max(quote_date) FROM flagged) - 5 GROUP BY ALL""",
+)
+
+
 def _streamed(m: Market):
     from ..plans.lineage import shared_folder
     from ..streaming import cleaning as stream
