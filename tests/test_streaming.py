@@ -80,7 +80,7 @@ def test_late_and_repeated_rows(spark, rates, tmp_path):
 
 
 def test_batch_counts_of_nulls_repeats_and_empty_tables(spark, rates):
-    rows = [quote(0, 100.0), quote(0, 100.0), quote(0, 100.0, symbol=None), quote(0, None), (None,) * len(QUOTE_SCHEMA)]
+    rows = [quote(0, 100.0), quote(0, 100.0), quote(0, 100.0, symbol=None), quote(0, None), ("SPX", "01/03/2024", *quote(0, 100.0)[2:]), (None,) * len(QUOTE_SCHEMA)]
     counts = events.daily_counts(spark.createDataFrame(rows, QUOTE_SCHEMA), rates).collect()
     assert {(r.outcome, r.n) for r in counts} == {("kept", 2), ("basic", 1)}
     assert events.daily_counts(spark.createDataFrame([], QUOTE_SCHEMA), rates).isEmpty()
