@@ -173,8 +173,8 @@ def choose_quotes(required: DataFrame, processed: DataFrame, raw: DataFrame, cal
     )
     return out.withColumns(
         {
-            "STRICT_20": F.col("BASE") & N.holds(F.col("relative_spread") <= 0.2),
-            "STRICT_10": F.col("BASE") & N.holds(F.col("relative_spread") <= 0.1),
+            "STRICT_20": F.col("BASE") & N.holds(N.spread_at_most("relative_spread", 0.2)),
+            "STRICT_10": F.col("BASE") & N.holds(N.spread_at_most("relative_spread", 0.1)),
             "POSITIVE_VOLUME": F.col("BASE") & N.holds(F.col("exit_quote_trade_volume") > 0),
         }
     )
@@ -261,8 +261,8 @@ def quote_quality(quotes: DataFrame, trades: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.avg(spread).alias("mean_relative_spread"),
         F.max(spread).alias("max_relative_spread"),
-        F.count_if(spread > 0.2).alias("n_spread_gt_20"),
-        F.count_if(spread > 0.1).alias("n_spread_gt_10"),
+        F.count_if(~N.spread_at_most(spread, 0.2)).alias("n_spread_gt_20"),
+        F.count_if(~N.spread_at_most(spread, 0.1)).alias("n_spread_gt_10"),
         F.count("raw_trade_volume").alias("n_raw_volume_observed"),
         F.count_if("zero_volume_flag").alias("n_raw_zero_volume"),
         F.count_if("zero_open_interest_flag").alias("n_raw_zero_OI"),

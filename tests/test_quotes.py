@@ -414,6 +414,22 @@ def test_exit_choice_against_a_plain_rule(spark):
     assert shut.where("BASE").isEmpty()
 
 
+def test_a_spread_at_the_limit_is_inside_whatever_order_its_mean_was_summed_in(spark):
+    day = MONDAY + dt.timedelta(days=2)
+    books = {"a": (0.95, 1.05), "b": (0.9, 1.1), "c": (0.9, 1.1000001), "d": (0.95, 1.0500001)}
+    assert (1.05 - 0.95) / 1.0 > 0.1 and (1.1 - 0.9) / 1.0 > 0.2
+    required, processed, raw = exit_frames(spark, {k: (book, None, 1.0) for k, book in books.items()}, day)
+    chosen = quotes.choose_quotes(required, processed, raw, week(spark))
+    assert {r.contract_key: (r.STRICT_10, r.STRICT_20) for r in chosen.collect()} == {
+        "a": (True, True), "b": (False, True), "c": (False, False), "d": (False, True),
+    }
+    held = chosen.select(F.lit("m").alias("model"), F.lit(True).alias("nonzero_net_position"), *chosen.columns)
+    covered = quotes.coverage(held).first()
+    assert (covered.STRICT_10_valid_exits, covered.STRICT_20_valid_exits) == (1, 3)
+    quality = quotes.quote_quality(chosen, held).where(F.col("source") == PROCESSED)
+    assert {(r.n_spread_gt_10, r.n_spread_gt_20) for r in quality.collect()} == {(3, 1)}
+
+
 def test_exit_choice_reads_nothing_but_the_exact_books(spark):
     exits, day = random_exits(35), MONDAY + dt.timedelta(days=2)
     required, processed, raw = exit_frames(spark, exits, day)
