@@ -262,9 +262,9 @@ def contribution(contracts: DataFrame, quality: bool = False) -> DataFrame:
     source, spread = F.col("exit_quote_source"), F.col("relative_exit_spread")
     if quality:
         buckets = {
-            "spread_le_10": spread <= 0.1,
-            "spread_10_to_20": (spread > 0.1) & (spread <= 0.2),
-            "spread_gt_20": spread > 0.2,
+            "spread_le_10": N.spread_at_most(spread, 0.1),
+            "spread_10_to_20": ~N.spread_at_most(spread, 0.1) & N.spread_at_most(spread, 0.2),
+            "spread_gt_20": ~N.spread_at_most(spread, 0.2),
             "zero_volume_raw_recovered": (source == RECOVERED) & (F.col("raw_trade_volume") == 0),
             "positive_volume_chosen_quote": F.col("exit_quote_trade_volume") > 0,
             "STRICT_20": F.col("STRICT_20"),

@@ -387,3 +387,12 @@ def test_coverage_check_fails_when_one_exit_is_missing(spark):
     for missing in (False, None):
         broken = active.unionByName(spark.createDataFrame([(missing,)], "BASE boolean"))
         assert (count(broken).violations, count(broken).status) == (1, "FAIL")
+
+
+def test_contribution_puts_a_spread_at_the_limit_inside(spark):
+    spreads = [(1.05 - 0.95) / 1.0, (1.1 - 0.9) / 1.0, 0.2000001]
+    assert spreads[0] > 0.1 and spreads[1] > 0.2
+    rows = [("m", s, "PROCESSED_1545", None, 1.0, False, False, True, 1.0, 1.0, 0.1, 0.1) for s in spreads]
+    names = "model string, relative_exit_spread double, exit_quote_source string, raw_trade_volume double, exit_quote_trade_volume double, STRICT_20 boolean, STRICT_10 boolean, POSITIVE_VOLUME boolean, pnl_mid double, pnl_exec double, entry_spread_cost double, exit_spread_cost double"
+    found = {r.bucket: r.n_contracts for r in pnl.contribution(spark.createDataFrame(rows, names), quality=True).collect()}
+    assert (found["spread_le_10"], found["spread_10_to_20"], found["spread_gt_20"]) == (1, 1, 1)
