@@ -25,6 +25,7 @@ from ..settings import Study as Settings
 
 FIRST_DAY = dt.date(2024, 1, 1)
 SESSIONS = 60
+STRIKES = 51
 EXPIRIES = (
     "2024-01-12",
     "2024-02-16",
@@ -77,56 +78,85 @@ class Market(Study):
 
     @cached_property
     def _lines(self) -> DataFrame:
+        """Every line at its session and the next one, with `_contract`: session, expiry, strike and side as one number."""
         d = F.col("l_orderkey") % SESSIONS + F.col("ahead")
-        days = F.array(*[F.lit(x).cast("date") for x in EXPIRIES])
-        expiry = (F.col("l_suppkey") % len(EXPIRIES)).cast("int")
+        # A remainder of a missing key, or of a negative one, keeps a code of its own.
+        expiry = F.coalesce(F.col("l_suppkey") % len(EXPIRIES), F.lit(len(EXPIRIES))) + 10
+        strike = F.coalesce(F.col("l_partkey") % STRIKES, F.lit(STRIKES)) + 60
+        kind = F.when(F.col("l_orderkey") % 97 == 0, "X").when(F.col("l_linenumber") % 2 == 0, "P").otherwise("C")
         lines = spread(self.table("lineitem").select(*LINE_COLUMNS)).withColumn("ahead", F.explode(F.array(F.lit(0), F.lit(1))))
-        df = lines.where(d < SESSIONS).select(
-            "ahead",
-            "l_orderkey",
-            "l_linenumber",
-            "l_partkey",
-            "l_quantity",
-            "l_discount",
-            "l_tax",
-            d.alias("d"),
+        return lines.where(d < SESSIONS).withColumns(
+            {"d": d, "kind": kind, "_contract": (d * 1000 + expiry * 25) * 1000 + strike * 2 + (kind == "P").cast("long")}
+        )
+
+    @cached_property
+    def _prices(self) -> DataFrame:
+        """What all quotes of one contract and session share: dates, strike, spot and fair price. The keys are remainders,
+        so there are at most some 55,000 of them, and none is priced once per quote."""
+        days = F.array(*[F.lit(x).cast("date") for x in EXPIRIES])
+        expiry = F.col("expiry").cast("int")
+        put, d = F.col("put"), F.col("d")
+        keys = self._lines.groupBy("_contract").agg(
+            F.first("d").alias("d"),
+            F.first(F.col("l_suppkey") % len(EXPIRIES)).alias("expiry"),
+            F.first(F.col("l_partkey") % STRIKES).alias("strike_no"),
+            F.first(F.col("kind") == "P").alias("put"),
+        )
+        df = keys.select(
+            "_contract",
+            "d",
+            "put",
             F.date_add(F.lit(FIRST_DAY), (7 * F.floor(d / F.lit(5.0)) + d % 5).cast("int")).alias("qd"),
             F.get(days, expiry).alias("xd"),
             F.when(expiry.isin(2, 4, 6), "SPXW").otherwise("SPX").alias("root"),
-            (F.lit(75.0) + F.col("l_partkey") % 51).alias("strike"),
+            (F.lit(75.0) + F.col("strike_no")).alias("strike"),
             (F.lit(100.0) + ((d * 37) % 11) * 0.5).alias("s"),
-            F.when(F.col("l_orderkey") % 97 == 0, "X").when(F.col("l_linenumber") % 2 == 0, "P").otherwise("C").alias("kind"),
         )
         df = df.withColumns(
             {
                 "t": F.greatest(F.datediff("xd", "qd"), F.lit(1)) / F.lit(365.0),
-                "intr": F.when(F.col("kind") == "P", F.greatest(F.col("strike") - F.col("s"), F.lit(0.0))).otherwise(
+                "intr": F.when(put, F.greatest(F.col("strike") - F.col("s"), F.lit(0.0))).otherwise(
                     F.greatest(F.col("s") - F.col("strike"), F.lit(0.0))
                 ),
-                **session_rates(F.col("d")),
+                **session_rates(d),
             }
         )
         df = df.withColumns({"r": N.annualised(N.tenor_rate("t")), "y": N.annualised(F.col(f"`{DIVIDEND}`"))})
         df = df.withColumn("vol", true_vol(F.ln(F.col("strike") / F.col("s")), F.col("t"), F.datediff("qd", F.lit(FIRST_DAY))))
-        df = N.with_option_price(df, "fair", "s", "strike", "t", "r", "y", "vol", F.col("kind") != "P")
-        # A share of deep in-the-money quotes is priced far below the no-arbitrage bound.
-        broken = (F.col("l_tax") > 0.075) & (F.col("intr") > 10.0)
-        return df.withColumn("mid0", F.when(broken, 0.5 * F.col("intr")).otherwise(F.col("fair")))
+        df = N.with_option_price(df, "fair", "s", "strike", "t", "r", "y", "vol", ~put)
+        return cut(
+            df.select(
+                "_contract",
+                F.date_format("qd", "yyyy-MM-dd").alias("day_first_year"),
+                F.date_format("qd", "dd/MM/yyyy").alias("day_first_day"),
+                F.date_format("xd", "yyyy-MM-dd").alias("expiration"),
+                "root",
+                "strike",
+                "s",
+                "intr",
+                "fair",
+            )
+        )
 
     @cached_property
     def raw_quotes(self) -> DataFrame:
         """Raw archive layout, dates as text in mixed formats (some unreadable)."""
         text = (
             F.when((F.col("l_orderkey") % 89 == 0) & (F.col("ahead") == 0), "n/a")
-            .when((F.col("l_linenumber") == 3) & (F.col("ahead") == 0), F.date_format("qd", "dd/MM/yyyy"))
-            .otherwise(F.date_format("qd", "yyyy-MM-dd"))
+            .when((F.col("l_linenumber") == 3) & (F.col("ahead") == 0), F.col("day_first_day"))
+            .otherwise(F.col("day_first_year"))
+        )
+        # A share of deep in-the-money quotes is priced far below the no-arbitrage bound.
+        broken = (F.col("l_tax") > 0.075) & (F.col("intr") > 10.0)
+        priced = self._lines.join(F.broadcast(self._prices), "_contract").withColumn(
+            "mid0", F.when(broken, 0.5 * F.col("intr")).otherwise(F.col("fair"))
         )
         edge = 1.3 * F.col("l_discount")
-        table = self._lines.select(
+        table = priced.select(
             F.lit("spx ").alias("underlying_symbol"),
             text.alias("quote_date"),
             "root",
-            F.date_format("xd", "yyyy-MM-dd").alias("expiration"),
+            "expiration",
             "strike",
             F.col("kind").alias("option_type"),
             F.when(F.col("ahead") == 0, F.col("l_quantity").cast("long") - 1).otherwise(F.lit(0)).alias("trade_volume"),
@@ -143,7 +173,9 @@ class Market(Study):
     @cached_property
     def sessions(self) -> DataFrame:
         """Distinct quote dates: a calendar, read by many operators."""
-        days = self._lines.select(F.col("qd").alias("session")).distinct()
+        d = F.col("d")
+        day = F.date_add(F.lit(FIRST_DAY), (7 * F.floor(d / F.lit(5.0)) + d % 5).cast("int"))
+        days = self._lines.select("d").distinct().select(day.alias("session"))
         close = F.make_timestamp_ntz(
             F.year("session"), F.month("session"), F.dayofmonth("session"), F.when(F.datediff("session", F.lit(FIRST_DAY)) % 17 == 9, 13).otherwise(16), F.lit(0), F.lit(0)
         )

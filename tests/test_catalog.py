@@ -4,10 +4,17 @@ The smallest data has too few complete trading days for the inference operators,
 which refuse such samples, so the middle size is used.
 """
 
+import contextlib
+import io
+import math
+import re
 import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
+
+from smilegrid.plans.lineage import cut
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
@@ -36,3 +43,31 @@ def test_sql_belongs_to_registered_queries():
 def test_query_matches_sql(spark, database, name):
     text, ok = compare.compare(spark, database, entry.queries()[name], entry.oracle_sql().get(name), DATA)
     assert ok and text != "rows-only n=0", text
+
+
+def test_quotes_are_priced_once_per_contract_and_session(spark, tmp_path, monkeypatch):
+    """The stage that writes raw quotes must stay small enough to be compiled, and no quote may get lost or change its price."""
+    from smilegrid.catalog import inputs
+
+    lines = [(k, 1 + k % 4, 7 * k, k % 13, 5.0, 0.01 * (k % 7), 0.08) for k in range(400)]
+    lines += [(60, 2, None, 3, 5.0, 0.02, 0.0), (60, None, 5, None, 5.0, 0.02, 0.0), (59, 1, 5, 4, 5.0, 0.02, 0.0), (-7, 1, -5, -4, 5.0, 0.02, 0.0), (None, 1, 5, 4, 5.0, 0.02, 0.0)]
+    frame = spark.createDataFrame(lines * 3, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_tax double")
+    frame.write.parquet(str(tmp_path / "lineitem.parquet"))
+    stored = []
+    monkeypatch.setattr(inputs, "cut", lambda df, name="stage": stored.append(df) or cut(df, name))
+    market = inputs.Market(spark, str(tmp_path))
+    raw = market.raw_quotes
+    ahead = [(k, a) for k, *_ in lines if k is not None for a in (0, 1) if int(math.fmod(k, 60)) + a < 60]
+    assert raw.count() == 3 * len(ahead)
+    keys = raw.select("quote_date", "expiration", "strike", "option_type", "root", "trade_volume", "open_interest")
+    copies = raw.groupBy(*raw.columns).count().where(F.col("count") % 3 != 0)
+    assert copies.isEmpty() and keys.where("strike IS NULL").count() == 6 and keys.where("expiration IS NULL").count() == 12
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            stored[-1].select("*").explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(-?\d+)", text.getvalue())]
+    assert sizes and max(sizes) < 8000
