@@ -170,6 +170,15 @@ register(
 )
 
 
+def _write_deliveries(quotes, path: str) -> int:
+    """Append quotes as files, at least four and as many as the quotes have parts, so no task's share grows with them.
+    Returns the number of files under the path."""
+    from ..sources.tables import spread
+
+    spread(quotes, 4).write.mode("append").parquet(path)
+    return len(quotes.sparkSession.read.parquet(path).inputFiles())
+
+
 def _streamed_days(m: Market):
     """Two deliveries: quotes up to February, then the others with the last week of the first sent again."""
     from ..functions.text import lenient_date
@@ -180,7 +189,7 @@ def _streamed_days(m: Market):
     folder = shared_folder(m.spark, "dated-stream")
     day = lenient_date("quote_date")
     for kept in (day < "2024-03-01", (day >= "2024-02-26") | day.isNull()):
-        m.raw_quotes.where(kept).repartition(4).write.mode("append").parquet(f"{folder}/in")
+        _write_deliveries(m.raw_quotes.where(kept), f"{folder}/in")
         events.write_daily_counts(stream.quote_stream(m.spark, f"{folder}/in", "parquet"), m.rates, f"{folder}/out").awaitTermination()
     return events.closed_days(m.spark, f"{folder}/out")
 
@@ -200,8 +209,8 @@ def _streamed(m: Market):
     from ..streaming import cleaning as stream
 
     folder = shared_folder(m.spark, "quote-stream")
-    m.raw_quotes.repartition(4).write.parquet(f"{folder}/in")
-    quotes = stream.quote_stream(m.spark, f"{folder}/in", "parquet", files_per_batch=2)
+    files = _write_deliveries(m.raw_quotes, f"{folder}/in")
+    quotes = stream.quote_stream(m.spark, f"{folder}/in", "parquet", files_per_batch=-(-files // 2))
     stream.clean_stream(quotes, m.rates, f"{folder}/out").awaitTermination()
     return stream.total_counts(m.spark, f"{folder}/out")
 

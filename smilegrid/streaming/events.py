@@ -37,22 +37,30 @@ def without_repeats(quotes: DataFrame, lateness: str) -> DataFrame:
     On a stream the digests are kept for `lateness` behind the newest event; a batch of the
     same rows gives the same quotes.
     """
+    return _each_once(_with_digest(quotes), lateness).drop("_digest")
+
+
+def _with_digest(quotes: DataFrame) -> DataFrame:
     text = F.to_json(F.struct(*[F.col(c) for c in IDENTITY]), {"ignoreNullFields": "false"})
-    keyed = quotes.withColumn("_digest", F.sha2(text, 256))
-    if quotes.isStreaming:
-        return keyed.withWatermark(EVENT, lateness).dropDuplicatesWithinWatermark(["_digest"]).drop("_digest")
-    return keyed.dropDuplicates(["_digest"]).drop("_digest")
+    return quotes.withColumn("_digest", F.sha2(text, 256))
+
+
+def _each_once(keyed: DataFrame, lateness: str) -> DataFrame:
+    if keyed.isStreaming:
+        return keyed.withWatermark(EVENT, lateness).dropDuplicatesWithinWatermark(["_digest"])
+    return keyed.dropDuplicates(["_digest"])
 
 
 def daily_counts(quotes: DataFrame, rates: DataFrame, rules: Cleaning = Cleaning(), lateness: str = "5 days") -> DataFrame:
     """Quotes per day and first broken rule (`kept` for none): (event_time, outcome, n).
 
     The same plan for a batch and for a stream. The rate table is a batch table: it is read
-    again by every micro-batch.
+    again by every micro-batch. Equal quotes break the same rule, so the rule is found first
+    and only it travels with the digest.
     """
-    fresh = without_repeats(with_event_time(quotes), lateness)
-    flagged = cleaning.with_first_failure(fresh, rates, rules)
-    return flagged.groupBy(EVENT, F.coalesce("first_fail", F.lit("kept")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    flagged = cleaning.with_first_failure(_with_digest(with_event_time(quotes)), rates, rules)
+    outcomes = flagged.select(EVENT, "_digest", F.coalesce("first_fail", F.lit("kept")).alias("outcome"))
+    return _each_once(outcomes, lateness).groupBy(EVENT, "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 def write_daily_counts(

@@ -84,3 +84,21 @@ def test_batch_counts_of_nulls_repeats_and_empty_tables(spark, rates):
     counts = events.daily_counts(spark.createDataFrame(rows, QUOTE_SCHEMA), rates).collect()
     assert {(r.outcome, r.n) for r in counts} == {("kept", 2), ("basic", 1)}
     assert events.daily_counts(spark.createDataFrame([], QUOTE_SCHEMA), rates).isEmpty()
+
+
+def test_deliveries_are_written_in_as_many_files_as_the_quotes_have_parts(spark, tmp_path):
+    from smilegrid.catalog.model_cases import _write_deliveries
+
+    quotes = spark.range(100)
+    assert _write_deliveries(quotes.repartition(11), str(tmp_path / "many")) == 11
+    assert _write_deliveries(quotes.coalesce(1), str(tmp_path / "few")) == 4
+    assert spark.read.parquet(str(tmp_path / "many")).count() == spark.read.parquet(str(tmp_path / "few")).count() == 100
+
+
+def test_only_the_outcome_is_shuffled_to_find_repeats(spark, rates):
+    rows = [quote(n, 100.0 + k, bid=6.0 if k == 4 else 5.0) for n in (0, 1) for k in range(6)]
+    counted = events.daily_counts(spark.createDataFrame(rows + rows, QUOTE_SCHEMA), rates)
+    plan = counted._jdf.queryExecution().sparkPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Aggregate(key=[_digest" in line]
+    assert shuffled and not any("underlying_bid_1545" in line for line in shuffled), plan
+    assert sum(r.n for r in counted.collect()) == len(rows)
