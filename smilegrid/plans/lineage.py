@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,11 +40,27 @@ def drop_stages(spark: SparkSession) -> int:
     context = spark.sparkContext
     folders = _folders.pop(context.applicationId, [])
     for folder in folders:
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, folder)
     return len(folders)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def passing_stages(spark: SparkSession) -> Iterator[None]:
+    """Stages stored inside are deleted on leaving, but for the last one, the result: no frame may read them later."""
+    folders = _folders.setdefault(spark.sparkContext.applicationId, [])
+    before = set(folders)
+    yield
+    for folder in [f for f in folders if f not in before][:-1]:
+        _delete(spark, folder)
+        folders.remove(folder)
+
+
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Materialise a frame that several later operators read.
 

@@ -110,3 +110,16 @@ def test_mixture_against_plain_shares(spark):
     want, longest = fair(size), max(r.size for r in rows)
     assert all(abs(r.target - want[r.source]) < 1e-6 * want[r.source] for r in rows)
     assert all(abs(taken[s] - want[s]) <= 2 * longest for s in want)
+
+
+def test_stages_that_only_led_to_a_result_are_deleted(spark):
+    from smilegrid.plans import lineage
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    folders = lambda: list(lineage._folders.get(spark.sparkContext.applicationId, []))
+    for stage, result in ((P.near_copies, "copies"), (P.benchmarks, "contaminated")):
+        before = set(folders())
+        kept = stage(spark, docs, FOLDER)
+        names = sorted(f.rsplit("/", 1)[1].rsplit("-", 1)[0] for f in folders() if f not in before)
+        assert names == sorted([result, "ranges"])
+        assert 0 < kept.count() <= docs.count() and kept.columns == docs.columns
