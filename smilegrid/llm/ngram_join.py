@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import SPACED, mix, run_hashes, text_bytes, whole_hash, words
@@ -43,6 +43,8 @@ FRAGMENT = 2_000_000
 #: Pivots of the order by rarity: documents that hold a shingle.
 RARITY_PIVOTS = (2, 3, 5, 9, 17, 65, 257)
 _MANY = np.uint32(0xFFFFFFFF)
+#: Bits of a class's hash that name it to the fragments.
+NAME = 0xFFFFFFFF
 
 
 def _set(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -108,12 +110,18 @@ def _need(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100).cast("long")
 
 
-def _entries(sets: list[np.ndarray], fragments: int) -> Iterator[tuple[int, bytes]]:
+def _entries(sets: list[np.ndarray], fragments: int, name: int = NAME) -> Iterator[tuple[int, bytes]]:
     """What one chunk tells each fragment.
 
     A shingle that several classes of the chunk hold is sent once, without them:
     they already know that it is common. So a very frequent shingle costs one
     entry a chunk, however many documents hold it.
+
+    Of a hash only the lower half travels; the upper half has chosen the fragment.
+    Different shingles of a fragment that agree in it (one in some 2,000, as a fragment
+    holds a few million) count as common, which can keep a class and never drops one.
+    A class is named by the `name` bits of its hash, once a fragment: with many fragments
+    that is nearly once a shingle.
     """
     classes: dict[int, np.ndarray] = {}
     for s in sets:
@@ -121,7 +129,7 @@ def _entries(sets: list[np.ndarray], fragments: int) -> Iterator[tuple[int, byte
             classes.setdefault(_class_of(s), s)
     if not classes:
         return
-    names = np.array(list(classes), dtype=np.int64)
+    names = (np.array(list(classes), dtype=np.int64) & name).astype(np.uint32)
     hashes = np.concatenate(list(classes.values()))
     owner = np.repeat(np.arange(len(names), dtype=np.uint32), [len(s) for s in classes.values()])
     order = np.argsort(hashes)
@@ -139,7 +147,7 @@ def _entries(sets: list[np.ndarray], fragments: int) -> Iterator[tuple[int, byte
         who, local = np.unique(own, return_inverse=True)
         known = np.bincount(local[shared], minlength=len(who)).astype(np.uint32)
         sender = np.where(shared, _MANY, local.astype(np.uint32))[lead]
-        sent = hashes[a:b][lead]
+        sent = hashes[a:b][lead].astype(np.uint32)
         by_sender = np.argsort(sender, kind="stable")  # runs of equal numbers compress well
         head = np.array([len(sent), len(who)], dtype=np.uint64)
         yield part, b"".join(x.tobytes() for x in (head, sent[by_sender], sender[by_sender], known, names[who]))
@@ -149,7 +157,7 @@ def _read_entry(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     k, m = (int(x) for x in np.frombuffer(payload, np.uint64, 2))
     at = 16
     out = []
-    for kind, count in ((np.uint64, k), (np.uint32, k), (np.uint32, m), (np.int64, m)):
+    for kind, count in ((np.uint32, k), (np.uint32, k), (np.uint32, m), (np.uint32, m)):
         out.append(np.frombuffer(payload, kind, count, at))
         at += count * np.dtype(kind).itemsize
     return tuple(out)
@@ -179,13 +187,14 @@ def _count_fragment(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return distinct, counts[first]
 
 
-def common_counts(docs: DataFrame, id_col: str, text_col: str, size: int, fragments: int) -> DataFrame:
-    """(cls, common): how many shingles of each class another class holds too."""
+def common_counts(docs: DataFrame, id_col: str, text_col: str, size: int, fragments: int, name: int = NAME) -> DataFrame:
+    """(name, common): how many shingles of the class of that name a class of another name holds too, or a few more.
+    Where classes share a name the count is of any of them."""
 
     @returning_memory
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, column in _chunks(batches, "text"):
-            for part, payload in _entries(_sets(column, size), fragments):
+            for part, payload in _entries(_sets(column, size), fragments, name):
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([payload], pa.binary())], ["part", "payload"])
 
     @returning_memory
@@ -197,14 +206,14 @@ def common_counts(docs: DataFrame, id_col: str, text_col: str, size: int, fragme
         for part in list(parts):
             names, counts = _count_fragment(parts.pop(part))
             some = counts > 0
-            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(counts[some].astype(np.int64))], ["cls", "common"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[some].astype(np.int64)), pa.array(counts[some].astype(np.int64))], ["name", "common"])
 
     return (
         _pair(docs, id_col, text_col)
         .mapInArrow(send, "part int, payload binary")
         .repartition(fragments, "part")
-        .mapInArrow(count, "cls long, common long")
-        .groupBy("cls")
+        .mapInArrow(count, "name long, common long")
+        .groupBy("name")
         .agg(F.sum("common").alias("common"))
     )
 
@@ -382,8 +391,12 @@ def near_duplicates(
     total = sets.agg(F.sum("n")).first()[0] or 0
     classes = cut(sets.where("cls is not null").groupBy("cls").agg(F.max("n").alias("n"), F.min("doc_id").alias("rep")), "classes")
     fragments = max(16, -(-int(total) // FRAGMENT))
-    common = common_counts(docs, id_col, text_col, size, fragments)
-    active = cut(classes.join(common, "cls").where(F.col("common") >= _need(F.col("n"), percent)).drop("common"), "active")
+    common = common_counts(docs, id_col, text_col, size, fragments, NAME)
+    named = classes.withColumn("name", F.col("cls").bitwiseAND(F.lit(NAME)))
+    twins = named.withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy("name")))
+    # The counts of classes that share a name tell nothing of any of them, so these few stay.
+    stays = (F.col("_same") > 1) | (F.col("common") >= _need(F.col("n"), percent))
+    active = cut(twins.join(common, "name", "left").where(stays).select(*classes.columns), "active")
     ranked = cut(_ranked(class_tokens(docs, id_col, text_col, size, active), percent), "ranked")
     segments = cut(_segments(ranked), "segments")
     prefixes = cut(_prefixes(ranked), "prefixes")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from smilegrid.llm import ngram_join
@@ -91,3 +92,18 @@ def test_a_large_group_builds_no_pairs_within(spark):
         rows.append((d, " ".join(text)))
     frame = spark.createDataFrame(rows, SCHEMA)
     assert {r.component_id for r in ngram_join.near_duplicates(frame).collect()} == {0}
+
+
+def test_fragments_get_few_bytes_a_shingle():
+    """With many fragments a class is named to nearly each of them, so names must be as short as shingles."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64)) for _ in range(200)]
+    shingles = sum(len(s) for s in sets)
+    assert sum(len(payload) for _, payload in ngram_join._entries(sets, 2400)) < 18 * shingles
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_classes_of_one_name_lose_no_link(spark, monkeypatch, seed):
+    monkeypatch.setattr(ngram_join, "NAME", 7)
+    rows = varied(seed)
+    assert actual(ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5))) == expected(rows)
