@@ -448,11 +448,16 @@ register(
     "mean_vol",
     f"SELECT quote_date, count(*) FILTER (vega>0.01e0) AS n_sensitive, count(*) FILTER (vega>0.01e0) AS n_repriced, avg(implied_vol) FILTER (vega>0.01e0) AS mean_vol FROM ({_GREEK_ROWS}) GROUP BY 1",
 )
+def _counts(m: Market):
+    # Stored once, as both the inversion and its count of inputs read it; derived quote columns are what the solver needs.
+    inputs = ("quote_date", "expiration", "option_type", "mid", "spot", "strike", "r_annual", "q_annual")
+    attempted = cut(_attempted(m).where("region = 'time_value'").select(*inputs))
+    return implied_vol.inversion_counts(implied_vol.invert(attempted), attempted)
+
+
 register(
     "iv_inversion_counts",
-    lambda m: implied_vol.inversion_counts(
-        implied_vol.invert(_attempted(m).where("region = 'time_value'")), _attempted(m).where("region = 'time_value'")
-    ),
+    _counts,
     "input valid solver_failure invalid_input",
     "",
     f"SELECT count(*) AS input, count(*) FILTER (mid<={_CEILING}) AS valid, count(*) FILTER (mid>{_CEILING}) AS solver_failure, 0 AS invalid_input FROM flagged WHERE coalesce(first_fail,'')<>'basic' AND quote_date IS NOT NULL AND has_rate AND {_REGION}='time_value'",
