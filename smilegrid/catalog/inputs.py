@@ -127,6 +127,7 @@ class Market(Study):
         return cut(
             df.select(
                 "_contract",
+                "d",
                 F.date_format("qd", "yyyy-MM-dd").alias("day_first_year"),
                 F.date_format("qd", "dd/MM/yyyy").alias("day_first_day"),
                 F.date_format("xd", "yyyy-MM-dd").alias("expiration"),
@@ -148,7 +149,7 @@ class Market(Study):
         )
         # A share of deep in-the-money quotes is priced far below the no-arbitrage bound.
         broken = (F.col("l_tax") > 0.075) & (F.col("intr") > 10.0)
-        priced = self._lines.join(F.broadcast(self._prices), "_contract").withColumn(
+        priced = self._lines.join(F.broadcast(self._prices.drop("d")), "_contract").withColumn(
             "mid0", F.when(broken, 0.5 * F.col("intr")).otherwise(F.col("fair"))
         )
         edge = 1.3 * F.col("l_discount")
@@ -175,7 +176,7 @@ class Market(Study):
         """Distinct quote dates: a calendar, read by many operators."""
         d = F.col("d")
         day = F.date_add(F.lit(FIRST_DAY), (7 * F.floor(d / F.lit(5.0)) + d % 5).cast("int"))
-        days = self._lines.select("d").distinct().select(day.alias("session"))
+        days = self._prices.select("d").distinct().select(day.alias("session"))
         close = F.make_timestamp_ntz(
             F.year("session"), F.month("session"), F.dayofmonth("session"), F.when(F.datediff("session", F.lit(FIRST_DAY)) % 17 == 9, 13).otherwise(16), F.lit(0), F.lit(0)
         )
@@ -200,7 +201,8 @@ class Market(Study):
         """Cleaned quotes with the volatility they were priced from. The inversion job
         recovers the same numbers from the prices, in its own queries."""
         vol = true_vol(F.ln("moneyness"), F.col("T"), F.datediff("quote_date", F.lit(FIRST_DAY)))
-        return cut(self.clean.withColumn("implied_vol", vol))
+        # A closed form of three stored columns: its readers compute it, a second copy of all quotes is not written.
+        return self.clean.withColumn("implied_vol", vol)
 
     @cached_property
     def surface(self) -> DataFrame:

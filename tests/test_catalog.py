@@ -71,3 +71,17 @@ def test_quotes_are_priced_once_per_contract_and_session(spark, tmp_path, monkey
         spark.conf.unset("spark.sql.adaptive.enabled")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(-?\d+)", text.getvalue())]
     assert sizes and max(sizes) < 8000
+
+
+def test_quotes_are_read_and_stored_no_oftener_than_needed(spark, monkeypatch):
+    """Lines are read for the contracts' prices and for the raw quotes only, volatilities of quotes are not stored a second
+    time, and the inversion's counts read the raw archive once."""
+    from smilegrid.catalog import inputs, quotes_cases
+
+    stored = []
+    monkeypatch.setattr(inputs, "cut", lambda df, name="stage": stored.append(df) or cut(df, name))
+    market = inputs.Market(spark, DATA)
+    assert market.iv_quotes.count() == market.clean.count()
+    assert sum(any("lineitem" in f for f in df.inputFiles()) for df in stored) == 2
+    assert not any("implied_vol" in df.columns for df in stored)
+    assert not set(quotes_cases._counts(market).inputFiles()) & set(market.raw_quotes.inputFiles())
