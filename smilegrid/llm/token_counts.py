@@ -161,13 +161,19 @@ class Counter:
         return len(found), places[opens], opens
 
 
-_COUNTERS: dict[str, Counter] = {}
+def counter(path: str) -> Counter:
+    """The worker's counter of a vocabulary file, kept from task to task.
 
+    Kernels travel by value, so this module's globals are new in each task: a counter kept
+    there would travel with them and be left behind, vocabulary and words, by every task.
+    The library's module is the worker's own.
+    """
+    import tokenizers
 
-def counter(path: str) -> Counter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
-    return _COUNTERS[path]
+    kept = vars(tokenizers).setdefault("_smilegrid_counters", {})
+    if path not in kept:
+        kept[path] = Counter(path)
+    return kept[path]
 
 
 def _grouped(sizes: list[int]) -> Iterator[tuple[int, int]]:

@@ -62,3 +62,13 @@ def test_other_kinds_of_vocabulary_encode_whole_texts():
     whole = tokenizers.Tokenizer.from_file(other)
     sample = ["Some words  here", "", "a\nb"]
     assert T.Counter(other).counts(sample) == [len(x.ids) for x in whole.encode_batch(sample, add_special_tokens=False)]
+
+
+def test_tasks_of_a_worker_share_one_counter():
+    from pyspark import cloudpickle
+
+    T.counter(PATH).counts(["some words and some words"])
+    kernel = cloudpickle.dumps(T.counter)
+    one, two = cloudpickle.loads(kernel), cloudpickle.loads(kernel)
+    assert one is not two and one(PATH) is two(PATH)
+    assert len(kernel) < 100_000  # the vocabulary stays where it is
