@@ -29,6 +29,28 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _digest(doc_id: Column) -> Column:
+    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
+def place(doc_id: Column, size: Column) -> Column:
+    """Where a document stands in its source's queue; equal documents share a place."""
+    return F.struct(_digest(doc_id).alias("key"), doc_id.isNotNull().alias("known"), doc_id.alias("doc_id"), size.alias("size"))
+
+
+def reached(mixed: DataFrame, cap: int = 2) -> DataFrame:
+    """(source, source_size, target, last): per source of a mix the place of the last document taken at least 1, 2, ... `cap` times.
+
+    A source's documents are taken in the order of their places, so these tell what the
+    mix takes of any of them without a join by document.
+    """
+    here = place(F.col("doc_id"), F.col("size"))
+    last = [F.max(F.when(F.col("taken") >= F.col("size") * times, here)) for times in range(1, cap + 1)]
+    return mixed.where("taken > 0").groupBy("source").agg(
+        F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.array(*last).alias("last")
+    )
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...], percent: int, cap: int) -> DataFrame:
     """(source, source_size, target): one row per source.
 
@@ -79,9 +101,10 @@ def mix(
     is a source; null ids and rows with equal ids are documents of their own. An
     empty table gives an empty result. Other columns are not read.
     """
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     sized = cut(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), digest.alias("key")),
+        docs.select(
+            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _digest(F.col(id_col)).alias("key")
+        ),
         "sized",
     )
     sources = cut(targets(sized, weights, percent, cap), "targets")

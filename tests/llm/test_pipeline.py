@@ -123,3 +123,30 @@ def test_stages_that_only_led_to_a_result_are_deleted(spark):
         names = sorted(f.rsplit("/", 1)[1].rsplit("-", 1)[0] for f in folders() if f not in before)
         assert names == sorted([result, "ranges"])
         assert 0 < kept.count() <= docs.count() and kept.columns == docs.columns
+
+
+def test_mixture_takes_what_the_mix_takes_and_shuffles_no_text(spark, monkeypatch):
+    import random
+
+    from smilegrid.llm import source_mix
+
+    rng = random.Random(7)
+    rows = [(rng.choice([None, *range(300)]), "w " * rng.randrange(0, 40), rng.choice(["a", "b", "é", None, "hot", "hot"])) for _ in range(900)]
+    docs = spark.createDataFrame([(d, t, "en", s, 0, "own") for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, last string")
+    want = {}
+    for r in source_mix.mix(docs).collect():
+        key = (r.doc_id, r.source, r.size)
+        want[key] = max(want.get(key, (0,)), (r.taken, r.source_size, r.target))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(source_mix, "RANGE_ROWS", 50)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        found = P.mixture(spark, docs, FOLDER)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert " Exchange " not in plan and "SortMergeJoin" not in plan
+    assert found.columns == [*docs.columns, "size", "source_size", "target", "taken"]
+    got = sorted(((r.doc_id, r.text, r.source, r.last, r.taken, r.source_size, r.target) for r in found.collect()), key=str)
+    sized = [(d, t, s, "own", *want[d, s, len(t.split())]) for d, t, s in rows]
+    assert got == sorted([r for r in sized if r[4] > 0], key=str) and len(got) < len(rows)
