@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..operators import features, scoring
+from ..operators import cleaning, features, scoring
 from ..plans.lineage import cut
 from ..plans.study import Study
 from ..sources.tables import spread
@@ -123,7 +123,10 @@ class Market(Study):
         )
         df = df.withColumns({"r": N.annualised(N.tenor_rate("t")), "y": N.annualised(F.col(f"`{DIVIDEND}`"))})
         df = df.withColumn("vol", true_vol(F.ln(F.col("strike") / F.col("s")), F.col("t"), F.datediff("qd", F.lit(FIRST_DAY))))
+        # Stored between the steps, so that the price's long code is generated apart from that of the rest.
+        df = cut(df.select("_contract", "d", "put", "qd", "xd", "root", "strike", "s", "intr", "t", "r", "y", "vol"))
         df = N.with_option_price(df, "fair", "s", "strike", "t", "r", "y", "vol", ~put)
+        df = cut(df.select("_contract", "d", "qd", "xd", "root", "strike", "s", "intr", "fair"))
         return cut(
             df.select(
                 "_contract",
@@ -141,7 +144,8 @@ class Market(Study):
 
     @cached_property
     def raw_quotes(self) -> DataFrame:
-        """Raw archive layout, dates as text in mixed formats (some unreadable)."""
+        """Raw archive layout, dates as text in mixed formats (some unreadable). Not stored: a reader derives the columns
+        it needs from the lines, which costs less than writing all columns of all quotes and reading them back."""
         text = (
             F.when((F.col("l_orderkey") % 89 == 0) & (F.col("ahead") == 0), "n/a")
             .when((F.col("l_linenumber") == 3) & (F.col("ahead") == 0), F.col("day_first_day"))
@@ -153,7 +157,7 @@ class Market(Study):
             "mid0", F.when(broken, 0.5 * F.col("intr")).otherwise(F.col("fair"))
         )
         edge = 1.3 * F.col("l_discount")
-        table = priced.select(
+        return priced.select(
             F.lit("spx ").alias("underlying_symbol"),
             text.alias("quote_date"),
             "root",
@@ -169,7 +173,16 @@ class Market(Study):
             (F.col("mid0") * (1.0 - edge)).alias("bid_eod"),
             (F.col("mid0") * (1.0 + edge)).alias("ask_eod"),
         )
-        return cut(table)
+
+    @cached_property
+    def clean(self) -> DataFrame:
+        """Kept quotes. Nothing is observed on the way, which would make all columns of every raw quote before the filter;
+        the funnel counts in a pass of its own, if it is wanted."""
+        return cut(cleaning.kept(self.flagged))
+
+    @cached_property
+    def funnel(self) -> DataFrame:
+        return cleaning.funnel(self.flagged)
 
     @cached_property
     def sessions(self) -> DataFrame:

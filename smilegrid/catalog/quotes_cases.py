@@ -182,9 +182,10 @@ UNION ALL SELECT 'Return_mid', 'PASS', count(*), 0e0 FROM daily UNION ALL SELECT
 
 register(
     "lenient_dates",
-    lambda m: m.raw_quotes.select("quote_date", X.lenient_date("quote_date").alias("parsed"), X.iso_date("quote_date").alias("iso"))
-    .groupBy("quote_date", "parsed", "iso")
-    .agg(F.count(F.lit(1)).alias("n")),
+    # A text is parsed once, not once per quote that bears it.
+    lambda m: m.raw_quotes.groupBy("quote_date")
+    .agg(F.count(F.lit(1)).alias("n"))
+    .withColumns({"parsed": X.lenient_date("quote_date"), "iso": X.iso_date("quote_date")}),
     "quote_date parsed iso n",
     "",
     """SELECT quote_date, CAST(coalesce(try_strptime(quote_date,'%Y-%m-%d'),try_strptime(quote_date,'%d/%m/%Y')) AS DATE) AS parsed,

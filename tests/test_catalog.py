@@ -85,3 +85,35 @@ def test_quotes_are_read_and_stored_no_oftener_than_needed(spark, monkeypatch):
     assert sum(any("lineitem" in f for f in df.inputFiles()) for df in stored) == 2
     assert not any("implied_vol" in df.columns for df in stored)
     assert not set(quotes_cases._counts(market).inputFiles()) & set(market.raw_quotes.inputFiles())
+
+
+def test_raw_quotes_are_derived_by_their_readers_and_a_date_text_is_parsed_once(spark, monkeypatch):
+    """No copy of all raw quotes is stored, a reader of few columns reads few of the lines, and dates are parsed after counting."""
+    import contextlib
+    import io
+
+    from smilegrid.catalog import QUERIES, inputs
+
+    stored = []
+    monkeypatch.setattr(inputs, "cut", lambda df, name="stage": stored.append(df) or cut(df, name))
+    monkeypatch.setattr(inputs, "_markets", {})
+    frame = QUERIES["lenient_dates"](spark, DATA)
+    assert not any("bid_1545" in df.columns for df in stored)
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        frame.explain("formatted")
+    parsed = [line for line in text.getvalue().splitlines() if "parsed" in line]
+    assert parsed and "l_discount" not in text.getvalue()
+    counts = {r.quote_date: (r.parsed, r.n) for r in frame.collect()}
+    market = inputs.Market(spark, DATA)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        code = io.StringIO()
+        with contextlib.redirect_stdout(code):
+            market.flagged.select("*").explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(-?\d+)", code.getvalue())) < 8000
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").where("l_orderkey >= 0")
+    assert sum(n for _, n in counts.values()) == lines.count() + lines.where("l_orderkey % 60 <> 59").count()
+    assert counts["n/a"][0] is None and all(p is not None for q, (p, _) in counts.items() if q != "n/a")
