@@ -61,13 +61,26 @@ def passing_stages(spark: SparkSession) -> Iterator[None]:
         folders.remove(folder)
 
 
-def cut(df: DataFrame, name: str = "stage") -> DataFrame:
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Files through which a stage stored inside was shuffled are deleted once it is stored; else they stay until
+    the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def cut(df: DataFrame, name: str = "stage", **options) -> DataFrame:
     """Materialise a frame that several later operators read.
 
     The rows go to a compressed columnar table in the shared folder: it survives
     lost executors, and its readers get column pruning, filter pushdown and true
-    sizes for the planner instead of recomputing the chain.
+    sizes for the planner instead of recomputing the chain. `options` are of the writer.
     """
     path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,11 +2,15 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from smilegrid.llm import lm_difference as M
+from smilegrid.llm.tables import cut
 
 SCHEMA = "doc_id long, text string, target boolean"
 
@@ -60,11 +64,54 @@ def test_edge_rows(spark):
     check(M.cross_entropy_difference(frame), [(d, t, bool(x)) for d, t, x in rows])
 
 
+def test_stored_chunks_are_read_one_at_a_time(spark, monkeypatch):
+    """However many a task has made of its input: row groups are written and read whole."""
+    monkeypatch.setattr(M, "CHUNK_ROWS", 2)
+    rows = [(d, "the same words again", d % 2 == 0) for d in range(40)]
+    files = M.chunked(spark.createDataFrame(rows, SCHEMA).coalesce(1)).inputFiles()
+    found = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in files]
+    assert sum(m.num_rows for m in found) == 20
+    assert all(m.row_group(i).num_rows == 1 for m in found for i in range(m.num_row_groups))
+
+
+def test_shuffles_of_stored_counts_are_deleted(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = lambda: {f.name for f in Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]).rglob("shuffle_*.data")}
+    chunks = M.chunked(spark.createDataFrame(sample(5), SCHEMA))
+    ready = cut(chunks.join(M.marked(chunks).select("chunk", "marks"), "chunk"))
+    before = kept()
+    counts = M.corpus_counts(ready, 4)
+    assert kept() <= before
+    assert counts.where("chunk is null").count() == 4
+    assert spark.conf.get(name, None) is None
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "no target here", False), (2, "no target", False)]])
 def test_empty_and_without_target(spark, rows):
     check(M.cross_entropy_difference(spark.createDataFrame(rows, SCHEMA)), rows)
 
 
+def test_target_ids(spark):
+    """Equal ids are targets together, null ids never, and ids without a document do nothing."""
+    rows = [(1, "a b c a b", True), (1, "c b", True), (2, "a b", False), (None, "b c a", False), (3, None, True), (4, "b b b", True)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    check(M.cross_entropy_difference(docs, targets=spark.createDataFrame([(1,), (3,), (4,), (9,), (None,)], "good long")), rows)
+
+
+@pytest.mark.parametrize("slice_", [1, 3, 1_000])
+def test_fragments_added_up_in_slices(monkeypatch, slice_):
+    monkeypatch.setattr(M, "SLICE", slice_)
+    rng = random.Random(slice_)
+    chunks = [{rng.randrange(1 << 64): (rng.randrange(1, 9), rng.randrange(3)) for _ in range(20)} | {7: (300, 1), (1 << 64) - 1: (1, 0)} for _ in range(4)] + [{}]
+    sums = {k: [sum(c[k][j] for c in chunks if k in c) for j in (0, 1)] for c in chunks for k in c}
+    sent = [[np.array(sorted(c), np.uint64), *(np.array([c[k][j] for k in sorted(c)], np.uint16) for j in (0, 1))] for c in chunks]
+    pieces, distinct = M._added(sent, 0)
+    assert distinct == len(sums)
+    for c, of in zip(chunks, pieces, strict=True):
+        for j in (0, 1):
+            assert [int(x) for p in of[j] for x in p] == [sums[k][j] for k in sorted(c)]
+
+
 def test_good_documents_score_higher(spark):
     folder = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
